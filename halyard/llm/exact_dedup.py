@@ -12,7 +12,8 @@ Everything is a DataFrame operation. Texts move only for hits.
 
 Defined results: a null text counts as empty; equal rows (also equal ids) are
 one group of which exactly one row is kept; an empty table gives an empty
-result; extra columns are ignored.
+result; extra columns are ignored; a row without an id stays only where all of
+its group have none.
 """
 
 from __future__ import annotations
@@ -67,7 +68,7 @@ class DigestIndex:
         row a task.
         """
         return self.rows().groupBy("digest").agg(
-            F.min(F.struct("doc_id", "uid")).alias("first"), F.count(F.lit(1)).alias("group_size")
+            F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "uid")).alias("first"), F.count(F.lit(1)).alias("group_size")
         )
 
     def probe(self, digests: DataFrame) -> DataFrame:
@@ -130,7 +131,7 @@ def exact_groups(documents: DataFrame, digest: Callable[[Column], Column] = sha2
     rows = index.rows()
     parts = rows.join(suspects, "digest", "left_semi")
     regrouped = parts.groupBy("digest", "text_sha256").agg(
-        F.min(F.struct("doc_id", "uid")).alias("first"), F.count(F.lit(1)).alias("group_size")
+        F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "uid")).alias("first"), F.count(F.lit(1)).alias("group_size")
     )
     settled = rows.join(suspects, "digest", "left_anti").join(level, "digest")
     mended = parts.join(regrouped, ["digest", "text_sha256"])
