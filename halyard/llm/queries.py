@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from halyard.llm.common import read_documents
 from halyard.llm.exact_dedup import exact_groups
+from halyard.llm.fingerprint import fingerprint_documents
 from halyard.llm.mixing import mix_sources
 from halyard.llm.pii import detect_pii
 
@@ -14,6 +15,10 @@ def op1_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect_pii(read_documents(spark, sf_dir))
 
 
+def op2_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(read_documents(spark, sf_dir))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mix_sources(read_documents(spark, sf_dir))
     return mix.documents.select("doc_id", "size", "source_size", "target", "taken", "source", "shards")
@@ -27,6 +32,7 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_pii_anchors": op1_pii_anchors,
+    "op2_multiset_fingerprint": op2_multiset_fingerprint,
     "op3_mix_sources": op3_mix_sources,
     "op6_exact_dedup": op6_exact_dedup,
 }
