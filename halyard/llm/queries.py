@@ -8,7 +8,17 @@ from halyard.llm.common import read_documents
 from halyard.llm.exact_dedup import exact_groups
 from halyard.llm.fingerprint import fingerprint_documents
 from halyard.llm.mixing import mix_sources
+from halyard.llm.packing import pack_documents
 from halyard.llm.pii import detect_pii
+from halyard.llm.token_files import round_trip
+
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,11 +40,21 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(read_documents(spark, sf_dir), tokenizer_path())
+
+
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(read_documents(spark, sf_dir), tokenizer_path())
+
+
 QUERIES = {
     "op1_pii_anchors": op1_pii_anchors,
     "op2_multiset_fingerprint": op2_multiset_fingerprint,
     "op3_mix_sources": op3_mix_sources,
     "op6_exact_dedup": op6_exact_dedup,
+    "op9_hilbert_packing": op9_hilbert_packing,
+    "op10_token_files": op10_token_files,
 }
 
 ORACLE = {
