@@ -11,6 +11,7 @@ from halyard.llm.mixing import mix_sources
 from halyard.llm.packing import pack_documents
 from halyard.llm.pii import detect_pii
 from halyard.llm.token_files import round_trip
+from halyard.llm.url_filter import judge_urls
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -40,6 +41,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_url_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 def op9_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_documents(spark, sf_dir), tokenizer_path())
 
@@ -53,6 +58,7 @@ QUERIES = {
     "op2_multiset_fingerprint": op2_multiset_fingerprint,
     "op3_mix_sources": op3_mix_sources,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_url_ratio": op7_url_ratio,
     "op9_hilbert_packing": op9_hilbert_packing,
     "op10_token_files": op10_token_files,
 }
