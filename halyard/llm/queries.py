@@ -7,9 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from halyard.llm.common import read_documents
 from halyard.llm.exact_dedup import exact_groups
 from halyard.llm.fingerprint import fingerprint_documents
+from halyard.llm.jaccard import similar_components
+from halyard.llm.lang_id import identify_languages
 from halyard.llm.mixing import mix_sources
 from halyard.llm.packing import pack_documents
 from halyard.llm.pii import detect_pii
+from halyard.llm.quality import score_quality
 from halyard.llm.token_files import round_trip
 from halyard.llm.url_filter import judge_urls
 
@@ -35,6 +38,15 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.documents.select("doc_id", "size", "source_size", "target", "taken", "source", "shards")
 
 
+def op4_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(read_documents(spark, sf_dir))
+
+
+def op5_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return score_quality(read_documents(spark, sf_dir), labels)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(read_documents(spark, sf_dir)).select(
         "doc_id", "keep_id", "group_size", "kept", "text_sha256"
@@ -45,6 +57,10 @@ def op7_url_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+def op8_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_components(read_documents(spark, sf_dir))
+
+
 def op9_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_documents(spark, sf_dir), tokenizer_path())
 
@@ -57,13 +73,18 @@ QUERIES = {
     "op1_pii_anchors": op1_pii_anchors,
     "op2_multiset_fingerprint": op2_multiset_fingerprint,
     "op3_mix_sources": op3_mix_sources,
+    "op4_ppm_language": op4_ppm_language,
+    "op5_quality_fm": op5_quality_fm,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_url_ratio": op7_url_ratio,
+    "op8_jaccard_components": op8_jaccard_components,
     "op9_hilbert_packing": op9_hilbert_packing,
     "op10_token_files": op10_token_files,
 }
 
 ORACLE = {
+    "op4_ppm_language": op4_ppm_language,
+    "op5_quality_fm": op5_quality_fm,
     "op6_exact_dedup": r"""
 WITH n AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY text_sha256) AS keep_id,
