@@ -9,11 +9,11 @@ LINE = r"^([^,\s]+)((?:,[^,=\s]+=[^,\s]+)*)\s+(\S+)(?:\s+(-?\d+))?\s*$"
 NUMBER = r"^value=(-?[0-9.]+(?:[eE][-+]?[0-9]+)?)[iu]?$"
 
 
-def parse_line_protocol(lines: DataFrame, default_cluster: str, config: DataFrame, column: str = "line") -> DataFrame:
+def parse_line_protocol(lines: DataFrame, default_cluster: str, config: DataFrame, column: str = "line", keep: tuple[str, ...] = ()) -> DataFrame:
     """``measurement,tags value=x ts`` rows to samples. Unknown measurements, other
-    fields and path-like names are skipped; ``type=node`` has no component."""
+    fields and path-like names are skipped; ``type=node`` has no component. ``keep``: columns carried along."""
     part = lambda k: F.regexp_extract(F.col(column), LINE, k)
-    rows = lines.select(part(1).alias("metric"), part(2).alias("tagged"), part(3).alias("field"), part(4).alias("ts"))
+    rows = lines.select(part(1).alias("metric"), part(2).alias("tagged"), part(3).alias("field"), part(4).alias("ts"), *keep)
     tags = F.str_to_map(F.substring("tagged", F.lit(2), F.length("tagged")), F.lit(","), F.lit("="))
     rows = rows.where((F.col("metric") != "") & (F.col("ts") != "")).withColumn("t", tags)
     tag = lambda *names: F.coalesce(*[F.try_element_at("t", F.lit(n)) for n in names])
@@ -23,8 +23,8 @@ def parse_line_protocol(lines: DataFrame, default_cluster: str, config: DataFram
     out = rows.select(
         F.coalesce(tag("cluster"), F.lit(default_cluster)).alias("cluster"), tag("hostname", "host").alias("hostname"), scope.alias("scope"),
         F.when(kind == "node", "").otherwise(F.coalesce(tag("type-id"), F.lit(""))).alias("scope_id"), "metric", F.col("ts").cast("long").alias("ts"),
-        F.when(number != "", number).cast("double").alias("value"),
+        F.when(number != "", number).cast("double").alias("value"), *keep,
     )
     odd = lambda c: F.col(c).rlike(r"\.\.|/|\\")
     clean = out.where(F.col("value").isNotNull() & F.col("hostname").isNotNull() & ~odd("cluster") & ~odd("hostname") & ~odd("scope_id"))
-    return clean.join(F.broadcast(config.select("metric").distinct()), "metric", "left_semi").select("cluster", "hostname", "scope", "scope_id", "metric", "ts", "value")
+    return clean.join(F.broadcast(config.select("metric").distinct()), "metric", "left_semi").select("cluster", "hostname", "scope", "scope_id", "metric", "ts", "value", *keep)
