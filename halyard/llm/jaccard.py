@@ -16,17 +16,19 @@ filled segments, the subset and its one-deletion neighbours. (If a set has more
 empty segments than that covers, its pairs are found through those empty
 segments; that needs a further pass and hardly ever happens.)
 
-Sets that share an index key are linked to the key's first set at once; verified
-links make components, and only pairs of different components that share a key
-are looked at again. No link is lost, and a large group of near copies costs one
-comparison a member. Every candidate is verified on its whole shingle set.
+In a few rounds each key offers one of its sets to the others; verified links
+make components, and at last all pairs of different components that share a key
+are looked at: in crowded keys block by block, without forming the pairs. No link is lost, and a large group of near copies costs a few
+comparisons a member. Candidates are first compared on short parity sketches,
+which bound the difference from below, then verified on whole shingle sets.
 
 Equal sets (equal 64-bit digest of the sorted shingle hashes) are one node.
 
 Defined results: a null text or one without words has no shingles and links with
 nothing; fewer words than n are one shingle; equal ids are one component with
-their partners; rows without an id get the component of their partners; an empty
-table gives no rows; extra columns are ignored.
+their partners; a row without an id shares the component of rows with an equal set and
+makes no links of its own; an empty table gives no rows; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -47,7 +49,14 @@ CACHE_WORDS = 300_000
 ROWS_OUT = 100_000
 BROADCAST_ROWS = 200_000
 _P = np.uint64(0x9E3779B97F4A7C15)
-_SALT_SEGMENT, _SALT_SUBSET, _SALT_NEAR, _SALT_EMPTY = (np.uint64(s) for s in (0x51, 0x52, 0x53, 0x54))
+_SALT_SEGMENT, _SALT_SUBSET, _SALT_NEAR, _SALT_EMPTY, _SALT_SKETCH = (np.uint64(s) for s in (0x51, 0x52, 0x53, 0x54, 0x55))
+SKETCH_BITS = 2048
+#: Rounds in which each key offers one member to the others, before the rest of
+#: the pairs is formed.
+STAR_ROUNDS = 2
+#: Keys of more sets than this are compared by blocks of about so many rows.
+CROWD = 24
+BLOCK_ROWS = 1024
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -223,8 +232,8 @@ def _all_empty(tokens: np.ndarray, scheme: Scheme) -> Iterator[tuple[np.ndarray,
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (key, node): those of keys that two nodes share, with
-    the key's first node. Holds one row between batches, however long a run is."""
+    """Of rows sorted by (key, node): those of keys that two nodes share. Holds
+    one row between batches, however long a run is."""
     open_row = None
     for batch in batches:
         key, node, size, wide = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
@@ -236,20 +245,28 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, node, size, wide = key[fresh], node[fresh], size[fresh], wide[fresh].astype(bool)
         begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         spans = np.diff(np.concatenate([begin, [len(key)]]))
-        leader = np.repeat(begin, spans)
         shared = (np.repeat(spans, spans) > 1) | wide
         last = begin[-1]
         open_row = (key[last], node[last], size[last], wide[last])
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(key[shared].astype(np.int64)), pa.array(node[shared].astype(np.int64)), pa.array(size[shared].astype(np.int32)),
-                pa.array(wide[shared]), pa.array(node[leader][shared].astype(np.int64)), pa.array(size[leader][shared].astype(np.int32)),
+                pa.array(wide[shared]),
             ],
-            ["key", "node", "size", "wide", "leader", "leader_size"],
+            ["key", "node", "size", "wide"],
         )
 
 
+def parity_sketch(tokens: np.ndarray) -> np.ndarray:
+    """Parities of the token counts in ``SKETCH_BITS`` hash buckets. Two sets
+    differ in at least as many elements as their sketches in bits."""
+    bucket = (mix(tokens + _SALT_SKETCH) % np.uint64(SKETCH_BITS)).astype(np.int64)
+    return np.packbits((np.bincount(bucket, minlength=SKETCH_BITS) & 1).astype(np.uint8)).view(np.int64)
+
+
 def _set_table(n: int):
+    words = SKETCH_BITS // 64
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Shingler(n)
         for batch in batches:
@@ -258,9 +275,14 @@ def _set_table(n: int):
                 nodes = [digest(t) if len(t) else None for t in found]
                 offsets = np.concatenate([[0], np.cumsum([len(t) for t in found])])
                 flat = np.concatenate(found) if found else np.zeros(0, np.uint64)
+                sketches = np.concatenate([parity_sketch(t) for t in found]) if found else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat.view(np.int64)))],
-                    ["node", "tokens"],
+                    [
+                        pa.array(nodes, pa.int64()),
+                        pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat.view(np.int64))),
+                        pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * words, pa.int32()), pa.array(sketches)),
+                    ],
+                    ["node", "tokens", "sketch"],
                 )
 
     return run
@@ -272,21 +294,103 @@ def _fits(a: str, b: str, percent: int):
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose sets reach the similarity."""
-    left, right = sets.toDF("a", "tokens_a"), sets.toDF("b", "tokens_b")
-    both = pairs.join(left, "a").join(right, "b")
+    """Pairs (a, b) whose sets reach the similarity. The short sketches rule out
+    most others before any set is moved; the sets decide."""
+    short = sets.select("node", F.size("tokens").alias("n"), "sketch")
+    both = pairs.join(short.toDF("a", "n_a", "sketch_a"), "a").join(short.toDF("b", "n_b", "sketch_b"), "b")
+    bits = F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    apart = F.aggregate(bits, F.lit(0), lambda acc, v: acc + v).cast("long")
+    # common >= percent / (100 + percent) * sum, so at most this many elements differ
+    near = apart * (100 + percent) <= (F.col("n_a") + F.col("n_b")).cast("long") * (100 - percent)
+    close = both.where(near).select("a", "b")
+    whole = sets.select("node", "tokens")
+    both = close.join(whole.toDF("a", "tokens_a"), "a").join(whole.toDF("b", "tokens_b"), "b")
     common = F.size(F.array_intersect("tokens_a", "tokens_b")).cast("long")
     both = both.select("a", "b", common.alias("common"), (F.size("tokens_a") + F.size("tokens_b")).cast("long").alias("sum"))
     return both.where(F.col("common") * 100 >= (F.col("sum") - F.col("common")) * percent).select("a", "b")
 
 
+_BLOCK = "pair long, node long, size int, root long, side boolean, lone boolean, sketch array<bigint>"
+
+
+def _block_pairs(percent: int):
+    """Pairs within one (key, block, block), given as runs of sorted rows: those
+    of different components whose sketches leave the similarity possible. A run
+    is at most two blocks; only what is left goes out."""
+
+    def survivors(run: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        a_rows = np.arange(len(run["node"])) if run["lone"][0] else np.flatnonzero(~run["side"])
+        b_rows = a_rows if run["lone"][0] else np.flatnonzero(run["side"])
+        size, node, root, sketch = run["size"].astype(np.int64), run["node"], run["root"], run["sketch"]
+        left, right = [], []
+        for at in range(0, len(a_rows), 32):
+            i = a_rows[at : at + 32]
+            apart = np.bitwise_count(sketch[i][:, None, :] ^ sketch[b_rows][None, :, :]).sum(2, dtype=np.int64)
+            small, large = np.minimum(size[i][:, None], size[b_rows]), np.maximum(size[i][:, None], size[b_rows])
+            good = (apart * (100 + percent) <= (small + large) * (100 - percent)) & (small * 100 >= large * percent)
+            good &= root[i][:, None] != root[b_rows]
+            if run["lone"][0]:
+                good &= node[i][:, None] < node[b_rows]
+            x, y = np.nonzero(good)
+            left.append(node[i][x])
+            right.append(node[b_rows][y])
+        a, b = np.concatenate(left or [node[:0]]), np.concatenate(right or [node[:0]])
+        return np.minimum(a, b), np.maximum(a, b)
+
+    def columns(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+        out = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in ("pair", "node", "size", "root", "side", "lone")}
+        out["side"], out["lone"] = out["side"].astype(bool), out["lone"].astype(bool)
+        out["sketch"] = batch.column("sketch").flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH_BITS // 64)
+        return out
+
+    def emit(run: dict[str, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in survivors(run)], ["a", "b"])
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = columns(batch)
+            if held is not None:
+                rows = {k: np.concatenate([held[k], rows[k]]) for k in rows}
+            begin = np.flatnonzero(np.concatenate([[True], rows["pair"][1:] != rows["pair"][:-1]]))
+            for x, y in zip(begin[:-1], begin[1:]):
+                yield emit({k: v[x:y] for k, v in rows.items()})
+            held = {k: v[begin[-1] :] for k, v in rows.items()}
+        if held is not None:
+            yield emit(held)
+
+    return go
+
+
+def crowded_pairs(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of keys that many sets share, by blocks against blocks.
+
+    A key's members fall into blocks of about ``BLOCK_ROWS``; each pair of blocks
+    is one small unit of work, so a hot key is spread over many tasks. Sketches
+    are compared where they lie and no pair is formed that they rule out.
+    """
+    counts = placed.groupBy("key").agg(F.count(F.lit(1)).alias("k"))
+    parts = F.ceil(F.col("k") / BLOCK_ROWS).cast("int")
+    rows = placed.join(counts, "key").join(sets.select("node", "sketch"), "node").withColumn("parts", parts)
+    rows = rows.withColumn("own", F.pmod(F.xxhash64(F.lit(41), "node"), F.col("parts")).cast("int"))
+    met = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    units = met.select(
+        F.xxhash64("key", low, high).alias("pair"), "node", "size", "root", (F.col("own") > F.col("other")).alias("side"), (F.col("own") == F.col("other")).alias("lone"), "sketch"
+    )
+    order = ["pair", "node"]
+    return units.repartition("pair").sortWithinPartitions(*order).mapInArrow(_block_pairs(percent), "a long, b long").distinct()
+
+
 def components(edges: DataFrame, name: str = "stars") -> DataFrame:
     """(node, root) for every node of an edge: alternating large and small stars.
 
     Each step is one aggregate and one join, written to the shared folder; no
     neighbour list is ever held. Ends when a step changes nothing.
     """
-    stars = materialise(edges.where("a <> b").select("a", "b").distinct(), name)
+    stars = edges.where("a <> b").select("a", "b")
     mark = None
     while True:
         # Large star: larger neighbours move to the least neighbour.
@@ -298,11 +402,12 @@ def components(edges: DataFrame, name: str = "stars") -> DataFrame:
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         low = down.groupBy("a").agg(F.min("b").alias("low"))
         small = down.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("x"), "low"), F.struct(F.col("a").alias("x"), "low"))).alias("e"))
-        stars = materialise(small.select(F.col("e.x").alias("a"), F.col("e.low").alias("b")).where("a <> b").distinct(), name)
-        row = stars.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if (row["n"], row["h"]) == mark:
+        seen = Observation()  # counts what is written, without reading it again
+        stars = small.select(F.col("e.x").alias("a"), F.col("e.low").alias("b")).where("a <> b").distinct()
+        stars = materialise(stars.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")), name)
+        if (row := (seen.get["n"], seen.get["h"])) == mark:
             break
-        mark = (row["n"], row["h"])
+        mark = row
     roots = stars.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("root"))
     return stars.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
 
@@ -314,57 +419,71 @@ def similar_components(documents: DataFrame, n: int = 4, percent: int = 85) -> D
 
     # Index rows meet by key; only keys of two nodes or more are kept.
     keyed = base.select("text").mapInArrow(_signature_table(n, percent), _SIGNATURE)
-    run_schema = _SIGNATURE + ", leader long, leader_size int"
-    shared = materialise(keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_runs, run_schema), "shared-keys")
+    shared = materialise(keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_runs, _SIGNATURE), "shared-keys")
     wide = shared.where("wide").select("key", "node", "size").distinct()
-    members = shared.where("not wide").select("key", "node", "size", "leader", "leader_size")
+    members = shared.where("not wide").select("key", "node", "size")
     wide_keys = wide.select("key").distinct()
     if wide_keys.limit(1).count():
         # Sets with too many empty segments: meet all sets that have those empty.
         others = base.select("text").mapInArrow(_signature_table(n, percent, only_empty=True), _SIGNATURE)
         others = others.join(wide_keys, "key", "left_semi").select("key", "node", "size").distinct()
-        first = wide.groupBy("key").agg(F.min_by(F.struct("node", "size"), "node").alias("f"))
-        more = others.join(first, "key").select("key", "node", "size", F.col("f.node").alias("leader"), F.col("f.size").alias("leader_size"))
-        members = materialise(members.unionByName(more), "shared-keys")
-
-    # Round one: each node with the least of its keys' first nodes.
-    first_pairs = (
-        members.where(F.col("leader") != F.col("node"))
-        .where(_fits("size", "leader_size", percent))
-        .groupBy(F.col("node").alias("b"))
-        .agg(F.min("leader").alias("a"))
-        .select("a", "b")
-    )
-    first_pairs = materialise(first_pairs, "first-pairs")
-    wanted = members.select("node").distinct()
-    holders = shingled.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+        members = materialise(members.unionByName(others), "shared-keys")
+
+    members = members.select("key", "node", "size").distinct()
+    wanted = materialise(members.groupBy("node").agg(F.count(F.lit(1)).alias("popularity"), F.max("size").alias("size")), "wanted")
+    holders = shingled.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     holders = materialise(holders, "holders")
     few = holders.count() <= BROADCAST_ROWS
-    texts = base.join(F.broadcast(holders) if few else holders, "doc_id").select("text", F.col("node").alias("want"))
-    made = texts.select("text").mapInArrow(_set_table(n), "node long, tokens array<bigint>")
-    # Repeated ids may bring other texts; a node's first row is as good as any.
-    sets = materialise(made.join(F.broadcast(wanted) if few else wanted, "node", "left_semi").dropDuplicates(["node"]), "sets")
-    links = materialise(verified(first_pairs, sets, percent), "links")
-    roots = materialise(components(links), "roots")
-
-    # Round two: nodes that share a key but not a component.
-    placed = (
-        members.select("key", "node", "size").distinct().join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    )
-    placed = materialise(placed, "placed")
-    open_keys = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    left_over = placed.join(open_keys, "key", "left_semi")
-    right = left_over.select("key", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("root").alias("root_b"))
+    texts = base.join(F.broadcast(holders) if few else holders, "doc_id").select("text")
+    made = texts.mapInArrow(_set_table(n), "node long, tokens array<bigint>, sketch array<bigint>")
+    # Repeated ids may bring other texts; any row of a node is as good.
+    asked = wanted.select("node")
+    sets = materialise(made.join(F.broadcast(asked) if few else asked, "node", "left_semi").dropDuplicates(["node"]), "sets")
+
+    # Star rounds: each key offers its most shared member (later: one by chance)
+    # to the members of other components. Each is linear in the index rows.
+    links = roots = None
+    seen = None
+    known = materialise(members.join(wanted.select("node", "popularity"), "node"), "members")
+    placed = known.withColumn("root", F.col("node"))
+    for turn in range(STAR_ROUNDS):
+        worth = F.col("popularity") if turn == 0 else F.xxhash64(F.lit(turn), "key", "node")
+        chief = placed.groupBy("key").agg(F.max(F.struct(worth.alias("worth"), "node", "size", "root")).alias("c"))
+        offers = (
+            placed.join(chief, "key")
+            .where((F.col("root") != F.col("c.root")) & _fits("size", "c.size", percent))
+            .select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b"), "c.worth", "node")
+        )
+        if turn == 0:  # the most shared one only
+            best = F.max_by(F.struct("a", "b"), "worth")
+            offers = offers.groupBy("node").agg(best.alias("p")).select("p.a", "p.b").distinct()
+        else:
+            offers = offers.select("a", "b").distinct().join(seen, ["a", "b"], "left_anti")
+        offers = materialise(offers, "offers")
+        new = materialise(verified(offers, sets, percent), "links")
+        links = new if links is None else links.unionByName(new)
+        seen = offers if seen is None else seen.unionByName(offers)
+        roots = components(links)
+        placed = known.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        open_keys = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+        placed = materialise(placed.join(open_keys, "key", "left_semi"), "placed")
+
+    # What is left: nodes that share a key but not a component.
+    # Keys of few sets by a join, crowded ones by blocks.
+    crowd = placed.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > CROWD).select("key")
+    crowded = crowded_pairs(placed.join(crowd, "key", "left_semi"), sets, percent)
+    placed = placed.join(crowd, "key", "left_anti")
+    right = placed.select("key", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("root").alias("root_b"))
     cross = (
-        left_over.join(right, "key")
+        placed.select("key", "node", "size", "root").join(right, "key")
         .where((F.col("node") < F.col("b")) & (F.col("root") != F.col("root_b")) & _fits("size", "size_b", percent))
         .select(F.col("node").alias("a"), "b")
         .distinct()
-    )
-    seen = first_pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    )
+    cross = cross.unionByName(crowded).distinct()
     cross = materialise(cross.join(seen, ["a", "b"], "left_anti"), "cross-pairs")
-    more_links = materialise(verified(cross, sets, percent), "links")
-    roots = materialise(components(links.unionByName(more_links)), "roots")
+    links = materialise(links.unionByName(verified(cross, sets, percent)), "links")
+    roots = components(links)
 
     # Least document of each component, then back to the rows.
     least = shingled.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))

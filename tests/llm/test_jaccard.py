@@ -69,6 +69,22 @@ def test_edits(spark, monkeypatch, cover):
     assert got == brute(rows, 4, 85)
 
 
+@pytest.mark.parametrize("rows", [3, 1024])
+def test_crowded_keys(spark, monkeypatch, rows):
+    """Many sets around the threshold share keys; blocks give the same links."""
+    monkeypatch.setattr("halyard.llm.jaccard.CROWD", 2)
+    monkeypatch.setattr("halyard.llm.jaccard.BLOCK_ROWS", rows)
+    rng, docs = random.Random(8), []
+    base = [f"w{k}" for k in range(150)]
+    for k in range(60):
+        words = base[:]
+        for _ in range(rng.randrange(1, 7)):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(10_000)}"
+        docs.append((k, " ".join(words)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in similar_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute(docs, 4, 85)
+
+
 def test_signatures_meet():
     """Any pair that reaches the similarity shares a key (no empty-segment pass needed)."""
     scheme, make, rng = Scheme(85), Shingler(4), random.Random(3)
