@@ -2,37 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from halyard.scratch import scratch_path
+
+__all__ = ["SPACE_RE", "WORD_RE", "materialise", "read_documents", "scratch_path", "text_or_empty"]
+
 #: White space of the corpus contracts: space and U+0009 to U+000D (fixed value).
 SPACE_RE = r"[\x20\x09-\x0D]+"
 WORD_RE = r"[^\x20\x09-\x0D]+"
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
-
-    Only where the setting is absent (tests, notebooks) a folder is made and
-    registered, which is right for local mode alone.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        made = spark.sparkContext.getCheckpointDir()
-        if made is None:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="halyard-"))
-            made = spark.sparkContext.getCheckpointDir()
-        root = made
-    return root.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/halyard-{name}-{uuid.uuid4().hex}"
-
-
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back.
 
