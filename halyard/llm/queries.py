@@ -83,8 +83,6 @@ QUERIES = {
 }
 
 ORACLE = {
-    "op4_ppm_language": op4_ppm_language,
-    "op5_quality_fm": op5_quality_fm,
     "op6_exact_dedup": r"""
 WITH n AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY text_sha256) AS keep_id,
