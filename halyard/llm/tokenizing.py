@@ -14,13 +14,20 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Cached words per Python worker; the cache is emptied when it is full.
-CACHE_WORDS = 600_000
+#: Cached words per Python worker, in two halves: when one is full, the other,
+#: with the words not met since, is let go.
+CACHE_WORDS = 1_200_000
 #: ASCII punctuation that may end a word; the apostrophe is left out (contractions).
+RUNS = ("  ", "\n\n", " \n", "\n ")
+#: White space besides space and newline.
+OTHER_SPACE = tuple("\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 STOPS = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
 
 
 class WordCachedEncoder:
+    """Keys of the cache: a word stands for itself after a space; a word after a
+    newline has the newline in front. Values are serialized ids."""
+
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -35,84 +42,70 @@ class WordCachedEncoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2") if size <= 65536 else np.dtype("<u4")
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
         self.limit = cache_words
 
     def whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return np.array(ids, dtype=self.dtype).tobytes()
 
-    def _fill(self, words: list[str]) -> None:
-        """Encode ``words`` (each begins with its space) in one call."""
-        joined = "".join(words)
-        ids = np.array(self.tokenizer.encode(joined, add_special_tokens=False).ids, dtype=self.dtype)
-        at = np.flatnonzero(self.opens[ids]) if len(ids) else []
+    def _fill(self, words: list[str], joined: str, begins) -> None:
+        """Encode ``words`` in one call; ``begins`` marks the ids that open one."""
+        # The fast call leaves out character offsets, which nothing here needs.
+        ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype=self.dtype)
+        at = np.flatnonzero(begins(ids))
         if len(at) != len(words) or at[0] != 0:
             for w in words:
-                self.cache[w] = self.whole(w)
-            return
-        raw, width = ids.tobytes(), self.dtype.itemsize
-        bounds = [*(at * width).tolist(), len(raw)]
-        self.cache.update((w, raw[bounds[i] : bounds[i + 1]]) for i, w in enumerate(words))
-
-
-    def _fill_first(self, words: list[str]) -> None:
-        """Encode words that open a line, parted by lone newlines."""
-        if not words:
-            return
-        ids = np.array(self.tokenizer.encode("\n".join(words), add_special_tokens=False).ids, dtype=self.dtype)
-        at = np.flatnonzero(ids == self.newline)
-        if self.newline is None or "\n" in words or len(at) != len(words) - 1:
-            for w in words:
-                self.cache[w] = self.whole(w)
+                self.cache[w] = self.whole(w if w[0] == "\n" else " " + w)
             return
         raw, width = ids.tobytes(), self.dtype.itemsize
-        ends = [*(at * width).tolist(), len(raw)]
-        begins = [0, *((at + 1) * width).tolist()]
-        self.cache.update((w, raw[b:e]) for w, b, e in zip(words, begins, ends))
+        bounds = (at * width).tolist()
+        self.cache.update(zip(words, map(raw.__getitem__, map(slice, bounds, [*bounds[1:], len(raw)]))))
 
-    def encode_many(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian integers of ``self.dtype``."""
-        if len(self.cache) > self.limit:
-            self.cache = {}
-        cache, split, missing = self.cache, [], {}
-        cache.setdefault("\n", self.whole("\n"))
-        for text in texts:
-            odd = any(s in text for s in self.special)
-            keys = None
-            if not odd and text:
-                lines = text.split("\n")
-                keys = []
-                for k, line in enumerate(lines):
-                    words = line.split(" ")
-                    if k:
-                        keys.append("\n")
-                    keys.append(words[0])
-                    keys += [" " + w for w in words[1:]]
-                if len(keys) != len(text.split()) + len(lines) - 1 or "" in keys or " " in keys:
-                    keys = None
-            split.append(keys)
-            if keys:
-                missing.update(dict.fromkeys(k for k in keys if k not in cache))
-        # A run of stops after a letter or digit is always a piece of its own.
-        bare: dict[str, None] = {}
-        ended = []
+    def _learn(self, missing: list[str]) -> None:
+        cache, bare, ended = self.cache, set(), []
         for w in missing:
             stem = w.rstrip(STOPS)
+            # A run of stops after a letter or digit is always a piece of its own.
             if len(stem) < len(w) and stem[-1:].isalnum():
                 ended.append((w, stem, w[len(stem) :]))
-                for part in (stem, w[len(stem) :]):
-                    if part not in cache:
-                        bare[part] = None
+                if stem not in cache:
+                    bare.add(stem)
             else:
-                bare[w] = None
-        spaced = [w for w in bare if w[0] == " "]
+                bare.add(w)
+        spaced = [w for w in bare if w[0] != "\n"]
         for i in range(0, len(spaced), 20_000):
-            self._fill(spaced[i : i + 20_000])
-        self._fill_first([w for w in bare if w[0] != " "])
+            part = spaced[i : i + 20_000]
+            self._fill(part, " " + " ".join(part), self.opens.__getitem__)
+        if first := [w for w in bare if w[0] == "\n"]:
+            self._fill(first, "".join(first), self.newline.__eq__)
         for w, stem, tail in ended:
-            cache[w] = cache[stem] + cache[tail]
-        get = cache.__getitem__
-        return [b"".join(map(get, keys)) if keys else self.whole(text) for text, keys in zip(texts, split)]
+            if tail not in self.tails:
+                self.tails[tail] = self.whole(tail)
+            cache[w] = cache[stem] + self.tails[tail]
+
+    def _keys(self, text: str) -> list[str] | None:
+        """The text's words as cache keys; None where white space is irregular."""
+        if not text or self.newline is None or text[0] in " \n" or text[-1] in " \n":
+            return None
+        if any(s in text for s in (*RUNS, *OTHER_SPACE, *self.special)):
+            return None
+        return ("\n" + text).replace("\n", " \n").split(" ")[1:]
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian integers of ``self.dtype``."""
+        if len(self.cache) > self.limit // 2:
+            self.older, self.cache = self.cache, {}
+        split = [self._keys(text) for text in texts]
+        missing = set().union(*(keys for keys in split if keys)).difference(self.cache)
+        older = self.older
+        known = {w: older[w] for w in missing if w in older}
+        self.cache.update(known)
+        if len(known) < len(missing):
+            self._learn([w for w in missing if w not in known])
+        get, width = self.cache.__getitem__, self.dtype.itemsize
+        return [b"".join(map(get, keys))[width:] if keys else self.whole(text) for text, keys in zip(texts, split)]
 
     def ids(self, raw: bytes) -> np.ndarray:
         return np.frombuffer(raw, dtype=self.dtype).astype("<u4")
