@@ -59,45 +59,44 @@ def _bucket_of(vocabulary: int) -> np.ndarray:
     return (_mix(np.arange(vocabulary) + 977) % np.uint64(BUCKETS)).astype(np.int64)
 
 
-def hilbert_key(cell: tuple[int, ...], bits: int = BITS) -> int:
-    """Place of a cell on the Hilbert curve over a cube of ``2**bits`` a side.
+def hilbert_keys(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """Places of cells (one a row) on the Hilbert curve over a cube of
+    ``2**bits`` a side.
 
     Axes are turned into the transposed index by undoing the reflections and
     exchanges of each level, then Gray-coded and interleaved.
     """
-    axes, n = list(cell), len(cell)
+    axes, n = cells.astype(np.int64).T.copy(), cells.shape[1]
     level = 1 << (bits - 1)
     while level > 1:
         low = level - 1
         for i in range(n):
-            if axes[i] & level:
-                axes[0] ^= low
-            else:
-                swap = (axes[0] ^ axes[i]) & low
-                axes[0] ^= swap
-                axes[i] ^= swap
+            high = (axes[i] & level) > 0
+            swap = np.where(high, 0, (axes[0] ^ axes[i]) & low)
+            axes[0] ^= np.where(high, low, swap)
+            axes[i] ^= swap
         level >>= 1
     for i in range(1, n):
         axes[i] ^= axes[i - 1]
-    flips, level = 0, 1 << (bits - 1)
+    flips, level = np.zeros(len(cells), np.int64), 1 << (bits - 1)
     while level > 1:
-        if axes[-1] & level:
-            flips ^= level - 1
+        flips ^= np.where(axes[-1] & level, level - 1, 0)
         level >>= 1
-    key = 0
+    key = np.zeros(len(cells), np.int64)
     for b in range(bits - 1, -1, -1):
         for a in axes:
             key = (key << 1) | (((a ^ flips) >> b) & 1)
     return key
 
 
-def document_key(ids: np.ndarray, vocabulary: int) -> int:
-    counts = np.sqrt(np.bincount(_bucket_of(vocabulary)[ids], minlength=BUCKETS))
-    counts -= counts.mean()
-    length = np.linalg.norm(counts)
-    point = (counts / length if length else counts) @ _projection()
-    cells = np.clip((point + REACH) * ((1 << BITS) / (2 * REACH)), 0, (1 << BITS) - 1).astype(int)
-    return hilbert_key(tuple(cells.tolist()))
+def document_keys(documents: list[np.ndarray], vocabulary: int) -> np.ndarray:
+    """Hilbert key of each document's id array."""
+    bucket = _bucket_of(vocabulary)
+    counts = np.sqrt(np.array([np.bincount(bucket[ids], minlength=BUCKETS) for ids in documents]).reshape(-1, BUCKETS))
+    counts -= counts.mean(1, keepdims=True)
+    length = np.linalg.norm(counts, axis=1, keepdims=True)
+    points = (counts / np.where(length > 0, length, 1)) @ _projection()
+    return hilbert_keys(np.clip((points + REACH) * ((1 << BITS) / (2 * REACH)), 0, (1 << BITS) - 1))
 
 
 def _encode(path: str):
@@ -108,7 +107,7 @@ def _encode(path: str):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 raws = [raw + end for raw in enc.encode_many(batch.column(1).slice(at, 256).to_pylist())]
-                keys = [document_key(np.frombuffer(raw, dtype=enc.dtype), size) for raw in raws]
+                keys = document_keys([np.frombuffer(raw, dtype=enc.dtype) for raw in raws], size)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(at, 256),
