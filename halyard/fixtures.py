@@ -17,6 +17,8 @@ SHORT = 300
 #: Job windows re-based into the month of the samples.
 REBASE, REBASE_SPAN = 1704067200, 2592000
 STEP = 86400
+#: Seconds since 1970 of a time without zone, whatever the session's time zone.
+EPOCH_SQL = "timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST({} AS TIMESTAMP_NTZ))"
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages")
 
@@ -74,7 +76,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text = VIEWS[name]
     inputs = {n: view(spark, sf_dir, n) for n in _names(text)}
     body = re.sub(r"\b(FROM|JOIN)\s+(\w+)\b", lambda m: f"{m[1]} {{{m[2]}}}" if m[2] in inputs else m[0], text)
-    body = re.sub(r"EPOCH\(([\w.]+)\)", r"unix_timestamp(\1)", body)
+    body = re.sub(r"EPOCH\(([\w.]+)\)", lambda m: EPOCH_SQL.format(m[1]), body)
     return spark.sql(body, **inputs)
 
 

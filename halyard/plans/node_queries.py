@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from halyard.fixtures import NOW, REBASE, REBASE_SPAN, SHORT, full_jobs, view
+from halyard.fixtures import EPOCH_SQL, NOW, REBASE, REBASE_SPAN, SHORT, full_jobs, view
 from halyard.functions import scalars as S
 from halyard.operators import filters as P
 from halyard.operators import joins as J
@@ -183,7 +183,7 @@ REPEATED = {"repeated": "SELECT o_orderkey AS id, o_custkey AS job_id, concat('c
 
 def repeated_jobs(spark, d):
     return view(spark, d, "orders").select(
-        F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("job_id"), F.concat(F.lit("c"), F.col("o_custkey") % 3).alias("cluster"), F.unix_timestamp("o_orderdate").alias("start_time")
+        F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("job_id"), F.concat(F.lit("c"), F.col("o_custkey") % 3).alias("cluster"), F.expr(EPOCH_SQL.format("o_orderdate")).alias("start_time")
     )
 
 
