@@ -397,9 +397,9 @@ def components(edges: DataFrame, name: str = "stars") -> DataFrame:
         sides = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = sides.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
         large = sides.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        large = large.where("a <> b").distinct()
+        large = large.where("a <> b")
         # Small star: smaller neighbours and the node itself move to the least one.
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         low = down.groupBy("a").agg(F.min("b").alias("low"))
         small = down.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("x"), "low"), F.struct(F.col("a").alias("x"), "low"))).alias("e"))
         seen = Observation()  # counts what is written, without reading it again
