@@ -19,6 +19,7 @@ its group have none.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -163,4 +164,9 @@ def drop_exact_copies(documents: DataFrame) -> DataFrame:
         .withColumn("_rank", F.row_number().over(Window.partitionBy("doc_id", "_sha").orderBy("doc_id")))
         .where("_rank = 1")
     )
-    return plain.select(documents.columns).unionByName(ranked.select(documents.columns))
+    # Rows without an id match no join on it: one row a kept text. Copies meet in
+    # an aggregate that combines on the map side, before the join.
+    lone = documents.where("doc_id is null").withColumn("_sha", column).dropDuplicates(["_sha"])
+    lone = lone.join(kept.where("doc_id is null").select(F.col("text_sha256").alias("_sha")), "_sha", "left_semi")
+    parts = (plain, ranked, lone)
+    return reduce(DataFrame.unionByName, [part.select(documents.columns) for part in parts])

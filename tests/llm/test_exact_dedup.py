@@ -36,5 +36,16 @@ def test_filter_keeps_one_row_a_text(spark):
     assert drop_exact_copies(twice).count() == 1
 
 
+def test_filter_keeps_rows_without_an_id(spark):
+    """Beside an equal text with an id they go; else one row a text stays."""
+    lone = spark.createDataFrame([(None, "q"), (None, "w  w"), (None, "w w"), (None, None), (None, "q")], "doc_id long, text string")
+    docs = frame(spark).unionByName(lone.selectExpr("*", "1 as kept", "'x' as digest", "2 as uid"))
+    got = drop_exact_copies(docs)
+    assert got.columns == docs.columns
+    rows = got.collect()
+    assert sorted(r.doc_id for r in rows if r.doc_id is not None) == [1, 3, 6, 7]
+    assert sorted(" ".join(r.text.split()) for r in rows if r.doc_id is None) == ["q", "w w"]
+
+
 def test_empty(spark):
     assert exact_groups(frame(spark).limit(0)).count() == 0
