@@ -38,19 +38,29 @@ def concurrent_jobs(jobs: DataFrame, hosts: DataFrame, now: int, buffer: int = 2
 
     Finished others must overlap the job by more than the buffer on both sides;
     running ones must have started early enough. Intervals are spread over time
-    buckets, so a busy host is many join keys.
+    buckets, so a busy host is many join keys. Of two that overlap, the later
+    starts inside the earlier: only the earlier is spread, and a pair meets once
+    a host.
     """
+    width = 30 * BUCKET
     end = F.when(F.col("job_state") == "running", F.lit(now)).otherwise(F.col("start_time") + F.col("duration"))
     placed = jobs.select("id", "cluster", "job_state", "shared", "start_time", "duration", end.alias("end")).join(hosts, "id")
-    placed = placed.withColumn("bucket", F.explode(_buckets(F.col("start_time"), F.col("end"), 30 * BUCKET)))
     asked = placed.where((F.col("shared") != "none") & (F.col("end") - F.col("start_time") > min_duration))
-    asked = asked.select("cluster", "hostname", "bucket", "id", F.col("start_time").alias("s"), F.col("end").alias("e"))
-    other = placed.select("cluster", "hostname", "bucket", F.col("id").alias("other"), "job_state", "start_time", "end")
+    asked = asked.select("cluster", "hostname", "id", F.col("start_time").alias("s"), F.col("end").alias("e"))
+    other = placed.select("cluster", "hostname", F.col("id").alias("other"), "job_state", "start_time", "end")
     early = F.col("start_time") < F.col("e") - buffer
     finished = (F.col("job_state") != "running") & early & (F.col("end") > F.col("s") + buffer)
     running = (F.col("job_state") == "running") & (F.col("start_time") <= F.col("e") - buffer)
-    pairs = asked.join(other, ["cluster", "hostname", "bucket"]).where((F.col("id") != F.col("other")) & (finished | running))
-    return pairs.select("id", "other").distinct()
+    hit = (F.col("id") != F.col("other")) & (finished | running)
+
+    def meet(left: Column, right: Column) -> DataFrame:
+        return asked.withColumn("bucket", left).join(other.withColumn("bucket", right), ["cluster", "hostname", "bucket"]).where(hit)
+
+    at = lambda time: F.floor(F.col(time) / width)
+    spread = lambda start, stop: F.explode(_buckets(F.col(start), F.col(stop), width))
+    after = meet(spread("s", "e"), at("start_time")).where("start_time >= s")
+    before = meet(at("s"), spread("start_time", "end")).where("start_time < s")
+    return after.select("id", "other").unionByName(before.select("id", "other")).distinct()
 
 
 def samples_for_jobs(samples: DataFrame, jobs: DataFrame, hosts: DataFrame, bucket: int = BUCKET) -> DataFrame:

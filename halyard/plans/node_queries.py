@@ -57,6 +57,13 @@ def j5(spark, d):
     return J.concurrent_jobs(view(spark, d, "jobs").where("start_time > 960000000"), view(spark, d, "job_hosts"), NOW)
 
 
+@query("j5_concurrent_jobs_all", f"""WITH p AS (SELECT id, cluster, job_state, shared, start_time, CASE WHEN job_state = 'running' THEN {NOW} ELSE start_time + duration END AS e, hostname FROM jobs JOIN job_hosts USING (id))
+ SELECT DISTINCT a.id, b.id AS other FROM p a JOIN p b ON a.cluster = b.cluster AND a.hostname = b.hostname AND a.id <> b.id WHERE a.shared <> 'none' AND a.e - a.start_time > 600
+ AND ((b.job_state <> 'running' AND b.start_time < a.e - 200 AND b.e > a.start_time + 200) OR (b.job_state = 'running' AND b.start_time <= a.e - 200))""")
+def j5_all(spark, d):
+    return J.concurrent_jobs(view(spark, d, "jobs"), view(spark, d, "job_hosts"), NOW)
+
+
 REBASED = {"rebased": f"SELECT id, job_state, hpc_user, num_nodes, {REBASE} + start_time % {REBASE_SPAN} AS start_time, duration FROM jobs"}
 
 
