@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from halyard.functions.scalars import scheduler_state
+
 
 def latest_node_state(states: DataFrame) -> DataFrame:
     """Newest row a node; of equal times the larger id."""
@@ -60,6 +62,12 @@ def stacked_timeline(states: DataFrame, column: str, step: int = 1) -> DataFrame
     return dense.withColumn("stacked", F.sum("n").over(below))
 
 
+def scheduler_states(states: DataFrame) -> DataFrame:
+    """(node_id, state): one state a node by priority, out of all it was in."""
+    sets = states.groupBy("node_id").agg(F.collect_set(F.upper("node_state")).alias("s"))
+    return sets.select("node_id", scheduler_state(F.col("s")).alias("state"))
+
+
 def node_jobs_summary(jobs: DataFrame, hosts: DataFrame) -> DataFrame:
     """Sorted distinct users and projects of each host's jobs."""
     placed = jobs.select("id", "hpc_user", "project").join(hosts, "id")

@@ -288,8 +288,10 @@ query("c14_scaled_threshold", "SELECT id, CASE WHEN shared = 'none' THEN 500.0D
 )
 query("c15_scheduler_state", f"""SELECT node_id, CASE WHEN s && ['allocated'] THEN 'allocated' WHEN s && ['reserved'] THEN 'reserved' WHEN s && ['idle'] AND s && ['down'] THEN 'down' WHEN s && ['idle'] THEN 'idle' WHEN s && ['down'] THEN 'down' WHEN s && ['mixed'] THEN 'mixed' ELSE 'unknown' END AS state
  FROM (SELECT node_id, list(lower(node_state)) AS s FROM node_states WHERE id % 37 < 2 GROUP BY node_id)""")(
-    lambda spark, d: view(spark, d, "node_states").where("id % 37 < 2").groupBy("node_id").agg(F.collect_list(F.upper("node_state")).alias("s")).select("node_id", S.scheduler_state(F.col("s")).alias("state"))
+    lambda spark, d: N.scheduler_states(view(spark, d, "node_states").where("id % 37 < 2"))
 )
+query("c15_scheduler_state_all", """SELECT node_id, CASE WHEN s && ['allocated'] THEN 'allocated' WHEN s && ['reserved'] THEN 'reserved' WHEN s && ['idle'] AND s && ['down'] THEN 'down' WHEN s && ['idle'] THEN 'idle' WHEN s && ['down'] THEN 'down' WHEN s && ['mixed'] THEN 'mixed' ELSE 'unknown' END AS state
+ FROM (SELECT node_id, list(DISTINCT lower(node_state)) AS s FROM node_states GROUP BY node_id)""")(lambda spark, d: N.scheduler_states(view(spark, d, "node_states")))
 query("c16_peak_fraction", "SELECT seq, coalesce(least(1.0D, value / 100 / peak), 0.0D) AS part FROM samples LEFT JOIN (SELECT * FROM metric_config WHERE metric <> 'mem_bw') USING (metric)")(
     lambda spark, d: view(spark, d, "samples").join(view(spark, d, "metric_config").where("metric <> 'mem_bw'"), "metric", "left").select("seq", S.peak_fraction(F.col("value") / 100, F.col("peak")).alias("part"))
 )

@@ -28,3 +28,20 @@ def test_concurrent_jobs_all(spark, sf):
     part = entry.queries()["j5_concurrent_jobs"](spark, sf).count()
     print("rows", part, len(got))
     assert part < len(got)
+
+
+def test_scheduler_state_all(spark, sf):
+    seen = {}
+    for r in view(spark, sf, "node_states").collect():
+        seen.setdefault(r.node_id, set()).add(r.node_state)
+
+    def first(s):
+        if s >= {"idle", "down"} and not s & {"allocated", "reserved"}:
+            return "down"
+        return next(x for x in ("allocated", "reserved", "idle", "down", "mixed") if x in s)
+
+    got = {r.node_id: r.state for r in entry.queries()["c15_scheduler_state_all"](spark, sf).collect()}
+    assert got == {node: first(s) for node, s in seen.items()}
+    part = {r.node_id: r.state for r in entry.queries()["c15_scheduler_state"](spark, sf).collect()}
+    print("nodes", len(part), len(got), "other state", sum(got[n] != x for n, x in part.items()))
+    assert part != got
