@@ -142,6 +142,10 @@ query("x1_order_by_column", "SELECT id, start_time FROM jobs ORDER BY start_time
 query("x1_order_by_footprint", "SELECT id, flops_any_avg FROM jobs WHERE flops_any_avg IS NOT NULL ORDER BY flops_any_avg, id LIMIT 50")(
     lambda spark, d: X.order_jobs(full_jobs(spark, d), "flops_any_avg", "foot", "ASC").select("id", "flops_any_avg").limit(50)
 )
+query("x1_order_by_column_all", "SELECT id, start_time FROM jobs ORDER BY start_time DESC, id")(lambda spark, d: X.order_jobs(view(spark, d, "jobs"), "startTime", "col", "DESC").select("id", "start_time"))
+query("x1_order_by_footprint_all", "SELECT id, flops_any_avg FROM jobs WHERE flops_any_avg IS NOT NULL ORDER BY flops_any_avg, id")(
+    lambda spark, d: X.order_jobs(full_jobs(spark, d), "flops_any_avg", "foot", "ASC").select("id", "flops_any_avg")
+)
 query("x2_page", "SELECT id, duration FROM jobs ORDER BY duration, id LIMIT 25 OFFSET 50")(lambda spark, d: X.page(X.order_jobs(view(spark, d, "jobs"), "duration"), 3, 25).select("id", "duration"))
 
 

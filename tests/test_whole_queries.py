@@ -45,3 +45,14 @@ def test_scheduler_state_all(spark, sf):
     part = {r.node_id: r.state for r in entry.queries()["c15_scheduler_state"](spark, sf).collect()}
     print("nodes", len(part), len(got), "other state", sum(got[n] != x for n, x in part.items()))
     assert part != got
+
+
+def test_order_jobs_all(spark, sf):
+    """All jobs, and in order."""
+    jobs = view(spark, sf, "jobs").collect()
+    want = sorted(((r.id, r.start_time) for r in jobs), key=lambda r: (-r[1], r[0]))
+    assert [tuple(r) for r in entry.queries()["x1_order_by_column_all"](spark, sf).collect()] == want
+    foot = sorted(((r.id, r.flops_any_avg) for r in jobs if r.flops_any_avg is not None), key=lambda r: (r[1], r[0]))
+    assert [tuple(r) for r in entry.queries()["x1_order_by_footprint_all"](spark, sf).collect()] == foot
+    print("rows", len(want), len(foot))
+    assert len(want) > 50 and len(foot) > 50
