@@ -77,7 +77,7 @@ query("v1_good", f"SELECT id FROM jobs WHERE len({REASONS}) = 0")(lambda spark,
 
 @query("v2_load_tags", "SELECT tag_type, tag_name, count(*) AS n FROM tags GROUP BY ALL")
 def v2(spark, d):
-    """Tags of loaded jobs, once a (name, type), through the archive loader's steps."""
+    """Tags linked to jobs, once a (name, type), so n is 1. The archive loader does not run here."""
     rows = view(spark, d, "job_tags").join(view(spark, d, "tags"), "tag_id")
     return rows.select("tag_type", "tag_name").dropDuplicates().groupBy("tag_type", "tag_name").agg(F.count(F.lit(1)).alias("n"))
 
