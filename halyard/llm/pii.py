@@ -1,15 +1,25 @@
 """Personal data by anchor expansion.
 
 One Aho-Corasick pass over the whole text finds anchors: at-signs, URL schemes,
-digit pairs, dotted digits, plus-digits and identifier cue words. A local parser
-for each anchor kind expands to the left and right and validates the boundary.
-No pattern engine walks the text, so the time is linear in its length.
+digit pairs, dotted digits, plus-digits and identifier cues. A local parser for
+each anchor kind expands to the left and right and validates the boundary. No
+pattern engine walks the text, and a parser reads no part twice that another
+anchor of its kind has read, so the time is linear in the text's length.
 
 Base kinds (leftmost, non-overlapping for each kind, failing ones dropped with
 no retry): ``email``, ``ip`` (parts at most 255), ``card`` (14 to 19 digits,
-Luhn), ``phone`` (plus sign, 10 to 15 digits). Added kinds: ``account`` (an IBAN
-whose check digits hold, after a cue word) and ``login`` (user information in
-front of the host of a URL).
+Luhn), ``phone`` (plus sign, 10 to 15 digits). Added kinds:
+
+* ``account``: an IBAN (country letters, two digits, 15 to 34 letters and digits
+  in all, in one piece or in groups of four; its check digits hold), with or
+  without a cue; or after a cue word a US bank routing number (nine digits, its
+  check digit holds);
+* ``login``: user information in front of the host of a URL;
+* ``id``: after a cue word a US social security number (three, two and four
+  digits, no group of zeros, not 000, 666 or 9xx in front).
+
+Between a cue and the number may stand any run of blanks and of ``:=#.`` marks,
+and the words no, nr, num or number.
 
 Defined results: null and empty texts have no spans; offsets are code points,
 ends exclusive; rows repeat as given; extra columns are ignored.
@@ -24,10 +34,16 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-KINDS = ("email", "ip", "card", "phone", "account", "login")
-#: Cue words of account numbers, and URL schemes.
-ACCOUNT_CUES = ("iban", "account", "konto", "compte", "cuenta")
-SCHEMES = ("http://", "https://", "ftp://", "ssh://")
+KINDS = ("email", "ip", "card", "phone", "account", "login", "id")
+#: Cue words of account and identity numbers, words that may follow
+#: them, URL schemes, and the countries of the IBAN registry.
+ACCOUNT_CUES = ("iban", "account", "acct", "konto", "kontonummer", "compte", "cuenta", "routing", "aba")
+ID_CUES = ("ssn", "social security", "social-security")
+FILLERS = ("number", "num", "no", "nr")
+SCHEMES = ("http://", "https://", "ftp://", "ftps://", "sftp://", "ssh://", "git://", "ws://", "wss://", "postgres://", "postgresql://", "mysql://", "mongodb://", "redis://", "amqp://", "smtp://", "ldap://")
+IBAN_COUNTRIES = (
+    "AD AE AL AT AZ BA BE BG BH BI BR BY CH CR CY CZ DE DJ DK DO EE EG ES FI FK FO FR GB GE GI GL GR GT HR HU IE IL IQ IS IT JO KW KZ LB LC LI LT LU LV LY MC MD ME MK MN MR MT MU NI NL NO OM PK PL PS PT QA RO RS RU SA SC SD SE SI SK SM SO ST SV TL TN TR UA VA VG XK YE"
+).split()
 
 DIGITS = frozenset("0123456789")
 _ALNUM = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
@@ -35,7 +51,7 @@ LOCAL = _ALNUM | frozenset("._%+-")
 LABEL = _ALNUM | frozenset("-")
 PHONE = DIGITS | frozenset(" ().-")
 UPPER_ALNUM = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
-MAX_ACCOUNT = 42
+GAPS = frozenset(" \t\r\n:=#.")
 
 
 @lru_cache(maxsize=1)
@@ -50,9 +66,13 @@ def automaton():
             a.add_word(f"{x}.{y}", (3, "dotted"))
             for gap in ("", " ", "-"):
                 a.add_word(f"{x}{gap}{y}", (2 + len(gap), "digits"))
-    for cue in ACCOUNT_CUES:
-        for form in {cue, cue.upper(), cue.capitalize()}:
-            a.add_word(form, (len(form), "account"))
+    for cues, kind in ((ACCOUNT_CUES, "account"), (ID_CUES, "id")):
+        for cue in cues:
+            for form in {cue, cue.upper(), cue.capitalize(), cue.title()}:
+                a.add_word(form, (len(form), kind))
+    for country in IBAN_COUNTRIES:
+        for x in "0123456789":
+            a.add_word(country + x, (3, "iban"))
     for scheme in SCHEMES:
         a.add_word(scheme, (len(scheme), "scheme"))
     a.make_automaton()
@@ -124,33 +144,82 @@ def dotted_run(text: str, begin: int) -> list[tuple[int, int]]:
             return runs
 
 
-def parse_account(text: str, at: int) -> tuple[int, int] | None:
-    """An IBAN (spaces allowed in it) within a few marks after a cue's end."""
-    n, begin = len(text), at
-    while begin < n and begin - at < 8 and text[begin] in " :=#.":
-        begin += 1
-    if begin == at or begin + 15 > n or not (text[begin : begin + 2].isascii() and text[begin : begin + 2].isupper()):
+def parse_iban(text: str, begin: int) -> tuple[int, int] | None:
+    """An IBAN from its country letters on: the longest one whose check holds
+    and that ends where its word does."""
+    n = len(text)
+    if begin > 0 and text[begin - 1] in _ALNUM or not text[begin + 2 : begin + 4].isdecimal() or not text[begin + 2 : begin + 4].isascii():
         return None
-    code, ends, end = "", [], begin
-    while end < n and end - begin < MAX_ACCOUNT and len(code) < 34:
+    code, ends, end = [], [], begin
+    while end < n and len(code) < 35:
         if text[end] in UPPER_ALNUM:
-            code += text[end]
+            code.append(text[end])
             ends.append(end + 1)
-        elif not (text[end] == " " and end + 1 < n and text[end + 1] in UPPER_ALNUM):
+        elif not (text[end] == " " and code and len(code) % 4 == 0 and end + 1 < n and text[end + 1] in UPPER_ALNUM):
             break
         end += 1
-    for size in range(len(code), 14, -1):
-        if code[2:4].isdigit() and iban_holds(code[:size]):
-            stop = ends[size - 1]
-            if stop >= n or text[stop] not in _ALNUM:
-                return begin, stop
+    for size in range(min(34, len(code)), 14, -1):
+        stop = ends[size - 1]
+        if (stop >= n or text[stop] not in _ALNUM) and iban_holds("".join(code[:size])):
+            return begin, stop
     return None
 
 
+def after_cue(text: str, at: int) -> int:
+    """Where a number may begin after a cue's end: behind marks and filler words."""
+    n, begin, moved = len(text), at, True
+    while moved:
+        moved = False
+        while begin < n and text[begin] in GAPS:
+            begin, moved = begin + 1, True
+        if moved or begin == at:
+            ahead = text[begin : begin + 7].lower()
+            for word in FILLERS:
+                if begin > at and ahead.startswith(word) and (len(ahead) == len(word) or ahead[len(word)] in GAPS):
+                    begin += len(word)
+                    break
+            else:
+                moved = False
+    return begin
+
+
+def digits_from(text: str, begin: int) -> int:
+    end = begin
+    while end < len(text) and text[end] in DIGITS:
+        end += 1
+    return end
+
+
+def parse_routing(text: str, begin: int) -> tuple[int, int] | None:
+    """Nine digits whose weighted sum (3, 7, 1) is a multiple of ten."""
+    end = digits_from(text, begin)
+    if end - begin != 9 or (end < len(text) and text[end] in _ALNUM):
+        return None
+    total = sum(int(c) * w for c, w in zip(text[begin:end], (3, 7, 1) * 3))
+    return (begin, end) if total and total % 10 == 0 else None
+
+
+def parse_social(text: str, begin: int) -> tuple[int, int] | None:
+    """Three, two and four digits with hyphens, blanks or nothing between."""
+    parts, at = [], begin
+    for k, width in enumerate((3, 2, 4)):
+        part = text[at : at + width]
+        if len(part) < width or any(c not in DIGITS for c in part):
+            return None
+        parts.append(part)
+        at += width
+        if k < 2 and at < len(text) and text[at] in " -":
+            at += 1
+    if at < len(text) and text[at] in _ALNUM:
+        return None
+    good = parts[0] not in ("000", "666") and parts[0] < "900" and parts[1] != "00" and parts[2] != "0000"
+    return (begin, at) if good else None
+
+
 def parse_login(text: str, at: int) -> tuple[int, int] | None:
     """``user:secret@`` right after a scheme, within its authority."""
     n, end = len(text), at
-    while end < n and end - at < 256 and text[end] not in "/?#@ \t\r\n\"'<>":
+    while end < n and text[end] not in "/?#@ \t\r\n\"'<>":
         end += 1
     return (at, end) if end < n and text[end] == "@" and ":" in text[at + 1 : end] else None
 
@@ -194,11 +263,15 @@ def find_spans(text: str | None) -> list[tuple[str, int, int]]:
                 n = sum(c in DIGITS for c in text[begin:end])
                 if 10 <= n <= 15:
                     out.append(("phone", begin, end))
-        elif anchor == "account":
-            if found := parse_account(text, last + 1):
+        elif anchor == "iban":
+            if found := parse_iban(text, begin):
                 out.append(("account", *found))
-        elif found := parse_login(text, last + 1):
-            out.append(("login", *found))
+        elif anchor == "scheme":
+            if found := parse_login(text, last + 1):
+                out.append(("login", *found))
+        elif (number := after_cue(text, last + 1)) > last + 1:
+            if found := (parse_social if anchor == "id" else parse_routing)(text, number):
+                out.append((anchor, *found))
     return sorted(set(out), key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
@@ -207,7 +280,7 @@ def small_part(digits: str) -> bool:
     return len(bare) < 3 or (len(bare) == 3 and bare <= "255")
 
 
-SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long"
 _BASE = KINDS[:4]
 
 
@@ -219,10 +292,10 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             spans = find_spans(text)
             base = ",".join(f"{k}:{b}:{e}" for k, b, e in spans if k in _BASE)
             values = [doc_id, *(sum(s[0] == k for s in spans) for k in _BASE)]
-            values += [hashlib.sha256(base.encode()).hexdigest(), ",".join(f"{k}:{b}:{e}" for k, b, e in spans)]
+            values += [hashlib.sha256(base.encode()).hexdigest(), ",".join(f"{k}:{b}:{e}" for k, b, e in spans), len(spans)]
             for column, value in zip(rows, values):
                 column.append(value)
-        kinds = [pa.int64()] * 5 + [pa.string()] * 2
+        kinds = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds)], names)
 
 

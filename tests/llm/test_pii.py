@@ -53,7 +53,16 @@ def test_base_equals_patterns_on_pieces(parts):
     "text,kind",
     [
         ("see https://ann:pw@example.org/x", "login"),
+        ("see http://bob:" + "a" * 300 + "@host.org/", "login"),
         ("IBAN: DE89 3704 0044 0532 0130 00 please", "account"),
+        ("IBAN number DE89370400440532013000", "account"),
+        ("Kontonummer: DE89370400440532013000.", "account"),
+        ("pay DE89370400440532013000 now", "account"),
+        ("iban:" + " " * 40 + "GB82 WEST 1234 5698 7654 32", "account"),
+        ("MT84 MALT 0110 0001 2345 MTLC AST0 01S", "account"),
+        ("routing number: 021000021", "account"),
+        ("SSN 123-45-6789,", "id"),
+        ("social security no. 123 45 6789", "id"),
     ],
 )
 def test_added_kinds(text, kind):
@@ -63,6 +72,8 @@ def test_added_kinds(text, kind):
 def test_added_kinds_need_valid_boundaries():
     assert find_spans("IBAN: DE88 3704 0044 0532 0130 00 please") == []
     assert find_spans("see https://example.org/x") == []
+    for text in ("XDE89370400440532013000", "DE89370400440532013000X", "routing 021000022", "ssn 000-12-3456", "ssn 123-45-67890", "123-45-6789", "ssn"):
+        assert not [s for s in find_spans(text) if s[0] in ("account", "id")], text
 
 
 def test_rows(spark):
@@ -72,7 +83,7 @@ def test_rows(spark):
     assert len(got) == 5
     empty = hashlib.sha256(b"").hexdigest()
     assert all(r.base_sha256 == empty for r in got if r.doc_id in (1, 2))
-    assert [r.spans for r in got if r.doc_id == 3] == ["email:2:10,ip:11:18"]
+    assert [r.spans for r in got if r.doc_id == 3] == ["email:2:10,ip:11:18"] and [r.n_spans for r in got if r.doc_id == 3] == [2]
     assert [r.n_phone for r in got if r.doc_id is None] == [1]
     assert detect_pii(df.limit(0)).count() == 0
 
