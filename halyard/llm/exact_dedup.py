@@ -1,14 +1,21 @@
 """Exact dedup by a log-structured merge index of text digests.
 
-Memtables: each task's rows, flushed as one run sorted by digest, with Parquet
-bloom filters and min/max statistics on the digest column so that a later probe
-skips runs that cannot hold it. Compaction merges runs into one level that keeps
-the smallest identifier of each digest and the number of rows. A hit (a digest
-held by more than one row) is verified byte by byte against the row that stays;
-rows that fail are regrouped by their whole text, so a digest collision never
-drops a text.
-
-Everything is a DataFrame operation. Texts move only for hits.
+Rows arrive in memtables. Each is folded to one entry a digest (smallest
+identifier, number of rows) and flushed as a run sorted by digest; a run that is
+looked up gets a bit filter beside it. A new memtable is looked up in every
+older run: digests that the run's filter rules out never meet its entries. When
+a level holds ``FANOUT`` runs they are merged into one run of the next level,
+and compaction merges what is left; the smallest identifier stays.
+
+Hits (digests of more than one row) are verified byte by byte: their texts are
+fetched through a filter of fixed size, and each digest's least and greatest
+text must be equal. Digests of more than one text (a weak digest) are regrouped
+by SHA-256 first, so a digest collision never drops a text.
+
+Everything is a DataFrame operation, the plan is one for all sizes, and texts
+move only for hits. A hot digest meets in aggregates that combine on the map
+side; digests of more than a 2000th of all rows (2000 at most) are joined by
+broadcast, the others by key.
 
 Defined results: a null text counts as empty; equal rows (also equal ids) are
 one group of which exactly one row is kept; an empty table gives an empty
@@ -21,14 +28,16 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from halyard.llm.common import SPACE_RE, materialise, scratch_path, text_or_empty
+from halyard.llm.common import SPACE_RE, Workspace, bit_filter, maybe_in, text_or_empty
 
-#: A hit list of at most this many rows (three longs each) is broadcast.
-BROADCAST_ROWS = 200_000
+#: Memtables of one bulk load, and runs a level holds before they are merged.
+MEMTABLES = 2
+FANOUT = 2
+#: A digest of more than this part of all rows is hot.
+HOT_PART = 2000
 
 
 def normalised(text: Column) -> Column:
@@ -40,133 +49,147 @@ def sha256_hex(text: Column) -> Column:
 
 
 class DigestIndex:
-    """Runs and levels under one folder of the shared file system."""
+    """Levels of runs under one folder of the shared file system.
+
+    An entry is (digest, first, n, lo, hi): the smallest identifier, the number
+    of rows, and the least and greatest SHA-256 among them. A run's filter is
+    written when it is first asked for.
+    """
 
-    def __init__(self, spark: SparkSession, path: str | None = None):
+    def __init__(self, spark: SparkSession, workspace: Workspace | None = None, fanout: int = FANOUT):
         self.spark = spark
-        self.path = path or scratch_path(spark, "digest-index")
-        self.runs: list[str] = []
-
-    def flush(self, rows: DataFrame) -> str:
-        """Write (digest, doc_id, uid) rows as sorted runs, one a task."""
-        path = f"{self.path}/run-{len(self.runs):05d}"
-        (
-            rows.sortWithinPartitions("digest", "doc_id")
-            .write.option("parquet.bloom.filter.enabled#digest", "true")
-            .option("parquet.bloom.filter.expected.ndv#digest", "100000")
-            .parquet(path)
+        self.workspace = workspace or Workspace(spark, "digest-index")
+        self.fanout = fanout
+        self.levels: list[list[DataFrame]] = []
+        self.filters: dict[int, DataFrame] = {}
+
+    def _push(self, run: DataFrame, level: int) -> None:
+        while len(self.levels) <= level:
+            self.levels.append([])
+        self.levels[level].append(run)
+        if len(runs := self.levels[level]) < self.fanout:
+            return
+        self.levels[level] = []
+        merged = self.workspace.table(_merged(runs).sortWithinPartitions("digest"), f"run-{level + 1}")
+        self.workspace.drop(*runs, *[self.filters.pop(id(r), None) for r in runs])
+        self._push(merged, level + 1)
+
+    def _filter(self, run: DataFrame) -> DataFrame:
+        if id(run) not in self.filters:
+            self.filters[id(run)] = self.workspace.table(bit_filter(run, "digest"), "filter")
+        return self.filters[id(run)]
+
+    def runs(self) -> list[DataFrame]:
+        return [run for level in self.levels for run in level]
+
+    def add(self, rows: DataFrame) -> DataFrame:
+        """Take (digest, doc_id, uid, text_sha256) rows as one memtable.
+
+        Returns the memtable's digests that are hits: held by more than one row
+        of it, or by an older run.
+        """
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "uid")).alias("first")
+        entries = rows.groupBy("digest").agg(
+            first, F.count(F.lit(1)).alias("n"), F.min("text_sha256").alias("lo"), F.max("text_sha256").alias("hi")
         )
-        self.runs.append(path)
-        return path
+        run = self.workspace.table(entries.sortWithinPartitions("digest"), "run-0")
+        hits = [run.where("n > 1").select("digest"), self.probe(run).select("digest")]
+        found = self.workspace.table(reduce(DataFrame.unionByName, hits).distinct(), "hits")
+        self._push(run, 0)
+        return found
 
-    def rows(self) -> DataFrame:
-        return self.spark.read.parquet(*self.runs)
+    def probe(self, digests: DataFrame) -> DataFrame:
+        """Entries of older runs for the given digests (column ``digest``)."""
+        wanted = digests.select("digest")
+        found = [run.join(maybe_in(wanted, "digest", self._filter(run)), "digest", "left_semi") for run in self.runs()]
+        return _merged(found) if found else digests.limit(0)
 
     def compacted(self) -> DataFrame:
-        """One row a digest: smallest identifier first, and the group's size.
+        """One entry a digest over all runs."""
+        runs = self.runs()
+        return runs[0] if len(runs) == 1 else _merged(runs)
 
-        The aggregate combines on the map side, so a hot digest shuffles one
-        row a task.
-        """
-        return self.rows().groupBy("digest").agg(
-            F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "uid")).alias("first"), F.count(F.lit(1)).alias("group_size")
-        )
 
-    def probe(self, digests: DataFrame) -> DataFrame:
-        """The compacted entries of the given digests; filters prune the runs."""
-        return self.compacted().join(digests.select("digest").distinct(), "digest", "left_semi")
+def _merged(runs: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, runs).groupBy("digest").agg(
+        F.min("first").alias("first"), F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")
+    )
 
 
-def exact_groups(documents: DataFrame, digest: Callable[[Column], Column] = sha256_hex) -> DataFrame:
+def _joined(rows: DataFrame, entries: DataFrame, on: list[str], total: int) -> DataFrame:
+    """``rows`` with their entry's columns. Entries of many rows are few, since
+    each stands for more than a ``HOT_PART``-th of ``total``."""
+    hot = F.broadcast(entries.where(F.col("n") * HOT_PART > total))
+    rest = rows.join(hot, on, "left_anti").join(entries.where(F.col("n") * HOT_PART <= total), on)
+    return rows.join(hot, on).unionByName(rest)
+
+
+def exact_groups(documents: DataFrame, digest: Callable[[Column], Column] | None = None, workspace: Workspace | None = None) -> DataFrame:
     """doc_id, uid, keep_id, group_size, kept, text_sha256 for every row.
 
     ``uid`` numbers the rows of this call; it parts rows of equal id.
-    ``digest`` may be any function of the normalised text, weak ones too.
+    ``digest`` may be any function of the normalised text, weak ones too; the
+    SHA-256 itself if none is given.
     """
     spark = documents.sparkSession
+    own = workspace or Workspace(spark, "exact-dedup")
     source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), normalised(text_or_empty()).alias("norm"))
-    index = DigestIndex(spark)
-    keyed = source.select(
-        "doc_id",
-        F.monotonically_increasing_id().alias("uid"),
-        digest(F.col("norm")).alias("digest"),
-        sha256_hex(F.col("norm")).alias("text_sha256"),
-    )
-    index.flush(keyed)
-    level = materialise(index.compacted(), "digest-level")
-    hot = level.where("group_size > 1")
-
-    # Hits: rows of digests held more than once, joined back to their texts.
-    members = (
-        index.rows()
-        .join(hot, "digest", "left_semi")
-        .select("doc_id", "digest")
-        .distinct()
-    )
-    members = materialise(members, "digest-hits")
-    n_members = members.count()
-    wanted = F.broadcast(members) if n_members <= BROADCAST_ROWS else members
-    # A row joins on its id; the digest, computed again, settles repeated ids.
-    texts = (
-        source.join(wanted.withColumnRenamed("digest", "want"), "doc_id")
-        .withColumn("digest", digest(F.col("norm")))
-        .where(F.col("digest").eqNullSafe(F.col("want")))
-        .drop("want")
-    )
-    firsts = hot.select("digest", F.col("first.doc_id").alias("first_id"))
-    hits = texts.join(firsts, "digest")
-    # One text an index entry; ids that repeat with one digest may differ in text.
-    keeper = (
-        hits.where(F.col("doc_id") == F.col("first_id"))
-        .groupBy("digest")
-        .agg(F.min("norm").alias("kept_text"))
-    )
-    failed = (
-        hits.join(keeper, "digest")
-        .where(F.col("norm") != F.col("kept_text"))
-        .select("digest", "doc_id", "norm")
-    )
-    failed = materialise(failed.select("digest", "doc_id", sha256_hex(F.col("norm")).alias("text_sha256")), "digest-misses")
-    suspects = failed.select("digest").distinct()
-    # Digests with a failed row are regrouped with the whole text's own hash too.
-    rows = index.rows()
-    parts = rows.join(suspects, "digest", "left_semi")
-    regrouped = parts.groupBy("digest", "text_sha256").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "uid")).alias("first"), F.count(F.lit(1)).alias("group_size")
-    )
-    settled = rows.join(suspects, "digest", "left_anti").join(level, "digest")
-    mended = parts.join(regrouped, ["digest", "text_sha256"])
-    out = settled.select("doc_id", "uid", "first", "group_size", "text_sha256").unionByName(
-        mended.select("doc_id", "uid", "first", "group_size", "text_sha256")
-    )
-    return out.select(
-        "doc_id",
-        "uid",
-        F.col("first.doc_id").alias("keep_id"),
-        "group_size",
-        (F.col("uid") == F.col("first.uid")).alias("kept"),
-        "text_sha256",
+    rows = source.select("doc_id", F.monotonically_increasing_id().alias("uid"), sha256_hex(F.col("norm")).alias("text_sha256"), *([digest(F.col("norm")).alias("digest")] if digest else []))
+    if digest is None:
+        rows = rows.withColumn("digest", F.unhex("text_sha256"))
+    seen = Observation()
+    rows = own.table(rows.observe(seen, F.count(F.lit(1)).alias("n")), "rows")
+    total = seen.get["n"]
+
+    index = DigestIndex(spark, own)
+    turn = F.pmod(F.xxhash64(F.lit(3), "doc_id", "uid"), F.lit(MEMTABLES))
+    hits = [index.add(rows.where(turn == k)) for k in range(MEMTABLES)]
+    level = index.compacted()
+
+    columns = ["doc_id", "uid", "text_sha256", "first", "n"]
+    out = _joined(rows, level.where("lo = hi"), ["digest"], total).select(columns)
+    suspects = level.where("lo <> hi").select("digest", "n")
+    if suspects.limit(1).count():
+        # Digests of several texts are regrouped with the whole text's own hash.
+        parts = own.table(_joined(rows, suspects, ["digest"], total).drop("n"), "suspects")
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "uid")).alias("first")
+        regrouped = parts.groupBy("digest", "text_sha256").agg(first, F.count(F.lit(1)).alias("n"))
+        out = out.unionByName(_joined(parts, regrouped, ["digest", "text_sha256"], total).select(columns))
+    out = out.select(
+        "doc_id", "uid", F.col("first.doc_id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("uid") == F.col("first.uid")).alias("kept"), "text_sha256"
     )
+    out = own.table(out, "groups")
+
+    # Byte verification of the hits; their rows are found by id, through a filter.
+    members = rows.join(reduce(DataFrame.unionByName, hits).distinct(), "digest", "left_semi")
+    texts = maybe_in(source, "doc_id", bit_filter(members, "doc_id")).withColumn("text_sha256", sha256_hex(F.col("norm")))
+    spread = texts.groupBy("text_sha256").agg(F.min("norm").alias("least"), F.max("norm").alias("greatest"))
+    if spread.where("least <> greatest").limit(1).count():
+        raise ArithmeticError("different texts share a SHA-256; no group can be told by it")
+    own.close(out)
+    return out
 
 
 def drop_exact_copies(documents: DataFrame) -> DataFrame:
-    """The rows of ``documents`` that stay, with all their columns."""
-    kept = exact_groups(documents).where("kept").select("doc_id", "text_sha256")
-    ids = kept.select("doc_id")
-    repeated = documents.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
-    plain = documents.join(ids, "doc_id", "left_semi").join(repeated, "doc_id", "left_anti")
-    # Rows that share an id: one row a kept text.
-    column = F.sha2(F.encode(normalised(text_or_empty()), "UTF-8"), 256)
-    ranked = (
-        documents.join(repeated, "doc_id", "left_semi")
-        .withColumn("_sha", column)
-        .join(kept.withColumnRenamed("text_sha256", "_sha"), ["doc_id", "_sha"], "left_semi")
-        .withColumn("_rank", F.row_number().over(Window.partitionBy("doc_id", "_sha").orderBy("doc_id")))
-        .where("_rank = 1")
-    )
-    # Rows without an id match no join on it: one row a kept text. Copies meet in
-    # an aggregate that combines on the map side, before the join.
-    lone = documents.where("doc_id is null").withColumn("_sha", column).dropDuplicates(["_sha"])
-    lone = lone.join(kept.where("doc_id is null").select(F.col("text_sha256").alias("_sha")), "_sha", "left_semi")
-    parts = (plain, ranked, lone)
-    return reduce(DataFrame.unionByName, [part.select(documents.columns) for part in parts])
+    """The rows of ``documents`` that stay, with all their columns.
+
+    A row whose id is in no group of two or more stays where it is. The others
+    meet by id and text: of rows that share both, the one of the least hash.
+    """
+    spark = documents.sparkSession
+    own = Workspace(spark, "exact-copies")
+    groups = exact_groups(documents, workspace=own)
+    copies = groups.where("group_size > 1").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), "kept")
+    keys = [F.coalesce("_id", F.lit(0)).alias("_id"), F.col("_id").isNull().alias("_none"), "_sha"]
+    verdicts = own.table(copies.groupBy(*keys).agg(F.max("kept").alias("_kept")), "verdicts")
+    ids = verdicts.select(F.when(~F.col("_none"), F.col("_id")).alias("_id"))
+    bits = own.table(bit_filter(ids, "_id"), "copy-filter")
+    own.drop(groups)
+    named = documents.withColumn("_own", F.col("doc_id").cast("long"))
+    alone = maybe_in(named, "_own", bits, inside=False)
+    met = maybe_in(named, "_own", bits).withColumn("_sha", sha256_hex(normalised(text_or_empty())))
+    row = F.struct(*[documents[c] for c in documents.columns])
+    same = [F.coalesce("_own", F.lit(0)).alias("_id"), F.col("_own").isNull().alias("_none"), "_sha"]
+    one = met.groupBy(*same).agg(F.min_by(row, F.xxhash64(*documents.columns)).alias("_row"))
+    stay = one.join(verdicts, ["_id", "_none", "_sha"], "left").where(F.coalesce("_kept", F.lit(True)))
+    return alone.select(documents.columns).unionByName(stay.select(*[F.col("_row")[c].alias(c) for c in documents.columns]))

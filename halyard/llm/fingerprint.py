@@ -8,8 +8,8 @@ and units are added or removed by adding or subtracting their vectors
 (``combine`` and ``remove``).
 
 Lanes: four 64-bit hashes as eight lanes modulo 2**32 (equality), the number of
-units modulo 2**32, and from two of the hashes 120 one-bit lanes, three packed
-in a word, modulo 2**20 (likeness: with signs, the mean square of the
+units modulo 2**32, and from the bits of the hashes 240 one-bit lanes, three
+packed in a word, modulo 2**20 (likeness: with signs, the mean square of the
 difference of two lane vectors estimates the size of the symmetric difference).
 
 All of it is DataFrame expressions; only the neighbour of a document is fetched
@@ -34,12 +34,17 @@ SEEDS = (11, 23, 37, 53)
 SHIFTS = 20
 PACKED = 3
 LANE_BITS = 20
-LANES = 2 * SHIFTS * PACKED
+#: Lanes lie one bit apart; the bit between takes the carry and is cleared.
+STRIDE = LANE_BITS + 1
+LANES = len(SEEDS) * SHIFTS * PACKED
 MASK32 = (1 << 32) - 1
-#: One bit in each of the three packed lanes.
-ONES = sum(1 << (LANE_BITS * k) for k in range(PACKED))
+#: One bit in each of the three packed lanes, all of their bits, and the carries.
+ONES = sum(1 << (STRIDE * k) for k in range(PACKED))
 LANE_MASK = (1 << LANE_BITS) - 1
+KEPT = ONES * LANE_MASK
+CARRIES = ONES << LANE_BITS
 ROWS_A_BUCKET = 512
+MAX_RANGES = 1 << 16
 UNIT_RE = r"(?:[^ \n]++ ?+){1,6}+"
 
 
@@ -66,13 +71,16 @@ def _lanes(hashed: list[Column]) -> Column:
     def total(hashes: Column, lane) -> Column:
         return F.aggregate(hashes, F.lit(0).cast("long"), lambda acc, h: acc + lane(h))
 
+    def modular(hashes: Column, lane) -> Column:
+        return F.aggregate(hashes, F.lit(0).cast("long"), lambda acc, h: (acc + lane(h)).bitwiseAND(F.lit(KEPT)))
+
     lanes: list[Column] = []
     for h in hashed:
         lanes.append(total(h, lambda x: x.bitwiseAND(F.lit(MASK32))).bitwiseAND(F.lit(MASK32)))
         lanes.append(total(h, lambda x: F.shiftrightunsigned(x, 32)).bitwiseAND(F.lit(MASK32)))
     lanes.append(F.size(hashed[0]).cast("long"))
-    for h in hashed[:2]:
-        lanes += [total(h, bits_from(k)) for k in range(SHIFTS)]
+    for h in hashed:
+        lanes += [modular(h, bits_from(k)) for k in range(SHIFTS)]
     return F.array(*lanes)
 
 
@@ -89,11 +97,12 @@ def combine(a: Column, b: Column) -> Column:
 
 def remove(a: Column, b: Column) -> Column:
     """Fingerprint of the units of ``a`` without those of ``b``."""
-    return _masked(F.zip_with(a, b, lambda x, y: x - y))
+    # A set carry bit in front of each lane lends what the lane may lack.
+    return _masked(F.zip_with(F.transform(a, lambda x, i: F.when(i < 9, x).otherwise(x.bitwiseOR(F.lit(CARRIES)))), b, lambda x, y: x - y))
 
 
 def _masked(lanes: Column) -> Column:
-    return F.transform(lanes, lambda x, i: F.when(i < 9, x.bitwiseAND(F.lit(MASK32))).otherwise(x))
+    return F.transform(lanes, lambda x, i: F.when(i < 9, x.bitwiseAND(F.lit(MASK32))).otherwise(x.bitwiseAND(F.lit(KEPT))))
 
 
 def to_hex(lanes: Column) -> Column:
@@ -104,14 +113,18 @@ def to_hex(lanes: Column) -> Column:
 def likeness(a: Column, b: Column) -> Column:
     """Estimated 2 |A and B| / (|A| + |B|) over units, 0 to 1; 1 for equal ones."""
     n = lambda x: F.element_at(x, 9)
-    lane = lambda word, k: F.shiftright(word, LANE_BITS * k).bitwiseAND(F.lit(LANE_MASK))
+    lane = lambda word, k: F.shiftright(word, STRIDE * k).bitwiseAND(F.lit(LANE_MASK))
+    turn = 1 << LANE_BITS
 
     def squares(x: Column, y: Column) -> Column:
-        # Signed lane: twice the ones less the units.
-        diffs = [(lane(x, k) - lane(y, k)) * 2 for k in range(PACKED)]
-        return reduce(lambda p, q: p + q, [(d - (n(a) - n(b))) * (d - (n(a) - n(b))) for d in diffs])
-
-    pairs = F.zip_with(F.slice(a, 10, 2 * SHIFTS), F.slice(b, 10, 2 * SHIFTS), squares)
+        # Signed lane: twice the ones less the units, the nearest value modulo the lane.
+        surplus = n(a) - n(b)
+        middle = F.floor(surplus / 2)
+        diffs = [F.pmod(lane(x, k) - lane(y, k) - middle + turn // 2, F.lit(turn)) - turn // 2 + middle for k in range(PACKED)]
+        return reduce(lambda p, q: p + q, [(d * 2 - surplus) * (d * 2 - surplus) for d in diffs])
+
+    words = len(SEEDS) * SHIFTS
+    pairs = F.zip_with(F.slice(a, 10, words), F.slice(b, 10, words), squares)
     apart = F.aggregate(pairs, F.lit(0).cast("long"), lambda acc, v: acc + v) / F.lit(float(LANES))
     both = n(a) + n(b)
     estimate = F.greatest(F.lit(0.0), F.lit(1.0) - F.try_divide(apart, both.cast("double")))
@@ -119,41 +132,73 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(equal, 1.0).when((n(a) == 0) | (n(b) == 0), 0.0).otherwise(estimate)
 
 
+def id_ranges(documents: DataFrame) -> Column:
+    """Bucket of a row by (doc_id, tie), ascending, cut by the data.
+
+    Boundaries are approximate quantiles of the ids, one for ``ROWS_A_BUCKET``
+    rows and ``MAX_RANGES`` at most, so that wide, clustered or outlying ids make
+    no large range. Rows without an id come first; those and the rows of an id
+    that fills several ranges are parted by ``tie``, a hash of the text.
+    """
+    sizes = documents.agg(F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("named")).first()
+    wanted = max(1, min(MAX_RANGES, sizes["named"] // ROWS_A_BUCKET))
+    cuts: list[int] = []
+    if sizes["named"] and wanted > 1:
+        shares = F.array(*[F.lit(k / wanted) for k in range(1, wanted)]) if wanted <= 64 else F.transform(F.sequence(F.lit(1), F.lit(wanted - 1)), lambda k: k / F.lit(float(wanted)))
+        cuts = documents.agg(F.percentile_approx("doc_id", shares, F.lit(10 * wanted)).alias("q")).first()["q"]
+    bounds = F.from_json(F.lit(str(list(cuts))), "array<bigint>")
+    steps = len(cuts).bit_length()
+    unnamed = max(1, -(-(sizes["n"] - sizes["named"]) * wanted // max(1, sizes["named"]))) if sizes["named"] else MAX_RANGES
+    unnamed = min(MAX_RANGES, unnamed)
+    # The tie as a share of its range, to part rows of one id in the order of ties.
+    share = F.lit(0.5) + F.col("tie") / F.lit(2.0**64)
+
+    def search(least: bool) -> Column:
+        """How many boundaries are below the id (``least``) or not above it."""
+
+        def step(span: Column, _: Column) -> Column:
+            middle = F.floor((span["lo"] + span["hi"]) / 2).cast("int")
+            cut = F.element_at(bounds, middle + 1)
+            right = (cut < F.col("doc_id")) if least else (cut <= F.col("doc_id"))
+            right = right & (span["lo"] < span["hi"])
+            return F.struct(F.when(right, middle + 1).otherwise(span["lo"]).alias("lo"), F.when(right | (span["lo"] >= span["hi"]), span["hi"]).otherwise(middle).alias("hi"))
+
+        if not steps:
+            return F.lit(0)
+        begin = F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), begin, step)["lo"]
+
+    low, high = search(True), search(False)
+    own = low + F.floor(share * (high - low + 1)).cast("int")
+    return F.when(F.col("doc_id").isNull(), F.floor(share * unnamed).cast("int") - unnamed).otherwise(F.least(own, high)).cast("long")
+
+
 def with_next(documents: DataFrame) -> DataFrame:
     """doc_id, text, fp, next_text, next_fp: the next row by id, cyclically.
 
-    Ids fall into ranges of about ``max(512, sqrt(n))`` rows. Each range also
-    gets the first row of the following one, so the neighbour is found inside a
-    range; the ordered list of ranges has at most sqrt(n) rows.
+    Rows fall into ranges by id; each range also gets the first row of the
+    following one, so the neighbour is found inside a range. The ordered list of
+    ranges has at most ``2 * MAX_RANGES`` rows, which are broadcast.
     """
-    base = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    ids = base.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n")).first()
-    low, high, n = ids["low"] or 0, ids["high"] or 0, max(1, ids["n"])
-    rows = max(ROWS_A_BUCKET, int(n**0.5))
-    width = max(1, -(-(high - low + 1) * rows // n))
-    bucket = F.floor((F.coalesce("doc_id", F.lit(low)) - F.lit(low)) / F.lit(width)).cast("long")
-    placed = base.withColumn("bucket", bucket)
-    # Range by range: its smallest id, handed to the range before it.
-    firsts = placed.groupBy("bucket").agg(
-        F.min(F.struct(F.col("doc_id").isNotNull().alias("has_id"), "doc_id")).alias("first")
-    )
+    base = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("tie", F.xxhash64("text"))
+    placed = base.withColumn("bucket", id_ranges(base.select("doc_id")))
+    # Range by range: its first row, handed to the range before it.
+    firsts = placed.groupBy("bucket").agg(F.min(F.struct("doc_id", "tie")).alias("first"))
     order = Window.orderBy("bucket")
     every = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     heads = materialise(
         firsts.withColumn("before", F.coalesce(F.lag("bucket").over(order), F.last("bucket").over(every))).select(
-            "before", "bucket", F.col("first.doc_id").alias("first_id"), F.col("first.has_id").alias("has_id")
+            "before", F.col("bucket").alias("of"), F.col("first.doc_id").alias("first_id"), F.col("first.tie").alias("first_tie")
         ),
         "id-ranges",
     )
-    few = F.broadcast(heads) if n <= 1_000_000_000 else heads
-    guests = (
-        placed.withColumnRenamed("bucket", "own")
-        .join(few, (F.col("own") == F.col("bucket")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
-        .select("doc_id", "text", F.col("before").alias("bucket"))
-    )
+    met = (F.col("bucket") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("tie") == F.col("first_tie"))
+    # Equal rows may all be first; one a range is enough.
+    guests = placed.join(F.broadcast(heads), met).groupBy("before", "doc_id", "tie").agg(F.min("text").alias("text"))
+    guests = guests.select("doc_id", "text", "tie", F.col("before").alias("bucket"))
     # The following range's rows sort behind the range's own.
     union = placed.withColumn("guest", F.lit(0)).unionByName(guests.withColumn("guest", F.lit(1)))
-    union = union.repartition("bucket").withColumn("fp", fingerprint_lanes(F.col("text"))).withColumn("tie", F.xxhash64("text"))
+    union = union.repartition("bucket").withColumn("fp", fingerprint_lanes(F.col("text")))
     in_range = Window.partitionBy("bucket").orderBy("guest", "doc_id", "tie", "text")
     return (
         union.withColumn("next_text", F.lead("text").over(in_range))

@@ -12,9 +12,10 @@ would pair them all, so it gets no share of the error budget. What that loses is
 made good where it is cheapest: if a pair agrees on i empty segments only, then
 of any i segments that both fill and that differ, one differs by a single
 element. A set with empty segments therefore also indexes, for its first few
-filled segments, the subset and its one-deletion neighbours. (If a set has more
-empty segments than that covers, its pairs are found through those empty
-segments; that needs a further pass and hardly ever happens.)
+filled segments, the subset and its one-deletion neighbours. That holds as long
+as neither set has more empty segments than half of all, nor than the segments
+so indexed. (If a set has more, its pairs are found through those empty
+segments. All sets index those, but only keys that such a set shares are kept.)
 
 In a few rounds each key offers one of its sets to the others; verified links
 make components, and at last all pairs of different components that share a key
@@ -22,32 +23,37 @@ are looked at: in crowded keys block by block, without forming the pairs. No lin
 comparisons a member. Candidates are first compared on short parity sketches,
 which bound the difference from below, then verified on whole shingle sets.
 
-Equal sets (equal 64-bit digest of the sorted shingle hashes) are one node.
+Equal sets are one node, named by a 64-bit digest of the sorted shingle hashes.
+A second digest of 64 bits parts sets that share the first one: those few (some
+n**2 / 2**65 of n) take the second as their name.
+
+The plan is one for all sizes: the sets to verify are fetched through filters of
+fixed size, which let more rows pass when they fill up.
 
 Defined results: a null text or one without words has no shingles and links with
 nothing; fewer words than n are one shingle; equal ids are one component with
-their partners; a row without an id shares the component of rows with an equal set and
-makes no links of its own; an empty table gives no rows; extra columns are
+their partners; a row without an id links like any other, and a component of
+such rows alone has none; an empty table gives no rows; extra columns are
 ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.types import LongType, StructField, StructType
 
-from halyard.llm.common import materialise
+from halyard.llm.common import SPACE_RE, Workspace, bit_filter, maybe_in
 
 BAND_RATIO = 1.3
 CACHE_WORDS = 300_000
 ROWS_OUT = 100_000
-BROADCAST_ROWS = 200_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 _SALT_SEGMENT, _SALT_SUBSET, _SALT_NEAR, _SALT_EMPTY, _SALT_SKETCH = (np.uint64(s) for s in (0x51, 0x52, 0x53, 0x54, 0x55))
 SKETCH_BITS = 2048
@@ -95,6 +101,10 @@ class Scheme:
         """Filled segments whose neighbourhoods a set with empty ones indexes."""
         return segments // 20 + 6
 
+    def bearable(self, segments: int) -> int:
+        """Empty segments up to which those neighbourhoods find every pair."""
+        return min(self.covered(segments), segments // 2)
+
 
 class Shingler:
     def __init__(self, n: int):
@@ -121,12 +131,28 @@ class Shingler:
         return np.unique(mix(out))
 
 
-def digest(tokens: np.ndarray) -> int:
-    return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes()))))
+def set_digest(tokens: np.ndarray, seed: int) -> int:
+    return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes(), seed))))
+
+
+class Namer:
+    """Name of a set: its digest, or a second one where sets share the first."""
+
+    def __init__(self, make: Callable[[np.ndarray, int], int], shared: frozenset[int] = frozenset()):
+        self.make, self.shared = make, shared
+
+    def __call__(self, tokens: np.ndarray) -> int:
+        name = self.make(tokens, 0)
+        return self.make(tokens, 1) if name in self.shared else name
+
+
+#: Kinds of index rows, in sorting order: an empty segment of a set that has too
+#: many of them, one of another set, and a subset or neighbour.
+WIDE, EMPTY, PLAIN = 0, 1, 2
 
 
-def signatures(tokens: np.ndarray, scheme: Scheme) -> Iterator[tuple[np.ndarray, bool]]:
-    """Arrays of index keys of one set; True marks keys of too many empty segments."""
+def signatures(tokens: np.ndarray, scheme: Scheme) -> Iterator[tuple[np.ndarray, int]]:
+    """Arrays of index keys of one set, each with its kind."""
     with np.errstate(over="ignore"):
         spread, weight = mix(tokens ^ _SALT_SEGMENT), mix(tokens + _SALT_SUBSET)
         for band in scheme.bands(len(tokens)):
@@ -138,64 +164,65 @@ def signatures(tokens: np.ndarray, scheme: Scheme) -> Iterator[tuple[np.ndarray,
             filled, first = np.unique(segment[order], return_index=True)
             sums = np.add.reduceat(weight[order], first)
             place = mix(filled.astype(np.uint64) + np.uint64((band + 1) << 32))
-            yield mix(sums + place), False
+            yield mix(sums + place), PLAIN
             empty = m - len(filled)
             if not empty:
                 continue
+            gaps = np.setdiff1d(np.arange(m), filled, assume_unique=True).astype(np.uint64)
+            yield empty_keys(gaps, band), WIDE if empty > scheme.bearable(m) else EMPTY
             few = min(scheme.covered(m), len(filled))
-            if empty > scheme.covered(m):
-                gaps = np.setdiff1d(np.arange(m), filled).astype(np.uint64)
-                yield empty_keys(gaps, band), True
             stop = first[few] if few < len(first) else len(order)
             owner = segment[order[:stop]]
             slot = np.searchsorted(filled, owner)
             sizes = np.bincount(slot, minlength=few)
             near = sums[slot] - weight[order[:stop]]
             near = near[sizes[slot] > 1] + place[slot[sizes[slot] > 1]]
-            yield mix(np.concatenate([sums[:few] + place[:few], near]) ^ (_SALT_NEAR << np.uint64(40))), False
+            yield mix(np.concatenate([sums[:few] + place[:few], near]) ^ (_SALT_NEAR << np.uint64(40))), PLAIN
 
 
 def empty_keys(gaps: np.ndarray, band: int) -> np.ndarray:
     return mix(gaps + np.uint64((band + 1) << 32) + (_SALT_EMPTY << np.uint64(48)))
 
 
-def _shingle_table(n: int):
+def _shingle_table(n: int, digest: Callable[[np.ndarray, int], int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Shingler(n)
         for batch in batches:
-            sizes, ids = [], []
+            sizes, ids, checks = [], [], []
             for text in batch.column(1).to_pylist():
                 tokens = make(text)
                 sizes.append(len(tokens))
-                ids.append(digest(tokens) if len(tokens) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64())], ["doc_id", "n_shingles", "node"])
+                ids.append(digest(tokens, 0) if len(tokens) else None)
+                checks.append(digest(tokens, 1) if len(tokens) else None)
+            columns = [batch.column(0), *(pa.array(c, pa.int64()) for c in (sizes, ids, checks))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "node", "other"])
 
     return run
 
 
-_SIGNATURE = "key long, node long, size int, wide boolean"
+_SIGNATURE = "key long, node long, size int, kind byte"
 
 
-def _signature_table(n: int, percent: int, only_empty: bool = False):
-    """Index rows of every text; ``only_empty``: keys of all empty segments."""
+def _signature_table(n: int, percent: int, name: Namer):
+    """Index rows of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make, scheme = Shingler(n), Scheme(percent)
         keys: list[np.ndarray] = []
         nodes: list[int] = []
         sizes: list[int] = []
-        wides: list[bool] = []
+        kinds: list[int] = []
         lengths: list[int] = []
 
         def flush() -> pa.RecordBatch:
             spans = np.array(lengths)
             columns = [
                 np.concatenate(keys).view(np.int64), np.repeat(np.array(nodes, np.int64), spans),
-                np.repeat(np.array(sizes, np.int32), spans), np.repeat(np.array(wides, bool), spans),
+                np.repeat(np.array(sizes, np.int32), spans), np.repeat(np.array(kinds, np.int8), spans),
             ]
-            for held in (keys, nodes, sizes, wides, lengths):
+            for held in (keys, nodes, sizes, kinds, lengths):
                 held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "node", "size", "wide"])
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "node", "size", "kind"])
 
         pending = 0
         for batch in batches:
@@ -203,14 +230,13 @@ def _signature_table(n: int, percent: int, only_empty: bool = False):
                 tokens = make(text)
                 if not len(tokens):
                     continue
-                node = digest(tokens)
-                found = _all_empty(tokens, scheme) if only_empty else signatures(tokens, scheme)
-                for part, wide in found:
+                node = name(tokens)
+                for part, kind in signatures(tokens, scheme):
                     if len(part):
                         keys.append(part)
                         nodes.append(node)
                         sizes.append(len(tokens))
-                        wides.append(wide)
+                        kinds.append(kind)
                         lengths.append(len(part))
                         pending += len(part)
                 if pending > ROWS_OUT:
@@ -222,67 +248,69 @@ def _signature_table(n: int, percent: int, only_empty: bool = False):
     return run
 
 
-def _all_empty(tokens: np.ndarray, scheme: Scheme) -> Iterator[tuple[np.ndarray, bool]]:
-    spread = mix(tokens ^ _SALT_SEGMENT)
-    for band in scheme.bands(len(tokens)):
-        m = scheme.segments(band)
-        gaps = np.setdiff1d(np.arange(m), (spread % np.uint64(m)).astype(np.int64)).astype(np.uint64)
-        if m > 1 and len(gaps):
-            yield empty_keys(gaps, band), False
-
-
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (key, node): those of keys that two nodes share. Holds
-    one row between batches, however long a run is."""
+    """Of rows sorted by (key, kind, node): those of keys that two nodes share;
+    of an empty segment's key only if it begins with a wide row. Holds one row
+    between batches, however long a run is."""
     open_row = None
     for batch in batches:
-        key, node, size, wide = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+        key, node, size, kind = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
         if open_row is not None:
-            key, node, size, wide = (np.concatenate([[o], c]) for o, c in zip(open_row, (key, node, size, wide)))
+            key, node, size, kind = (np.concatenate([[o], c]) for o, c in zip(open_row, (key, node, size, kind)))
         if not len(key):
             continue
         fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])])
-        key, node, size, wide = key[fresh], node[fresh], size[fresh], wide[fresh].astype(bool)
+        key, node, size, kind = key[fresh], node[fresh], size[fresh], kind[fresh]
         begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         spans = np.diff(np.concatenate([begin, [len(key)]]))
-        shared = (np.repeat(spans, spans) > 1) | wide
+        shared = np.repeat((spans > 1) & (kind[begin] != EMPTY), spans)
         last = begin[-1]
-        open_row = (key[last], node[last], size[last], wide[last])
+        # The row that opened the last run stands for it, with its kind.
+        open_row = (key[last], node[last], size[last], kind[last])
         yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(key[shared].astype(np.int64)), pa.array(node[shared].astype(np.int64)), pa.array(size[shared].astype(np.int32)),
-                pa.array(wide[shared]),
-            ],
-            ["key", "node", "size", "wide"],
-        )
+            [pa.array(key[shared].astype(np.int64)), pa.array(node[shared].astype(np.int64)), pa.array(size[shared].astype(np.int32))],
+            ["key", "node", "size"],
+        )
+
+
+def sketch_bits(size: int) -> int:
+    """A power of two, so that a large sketch folds onto a small one."""
+    return max(SKETCH_BITS, 1 << (size - 1).bit_length())
 
 
 def parity_sketch(tokens: np.ndarray) -> np.ndarray:
-    """Parities of the token counts in ``SKETCH_BITS`` hash buckets. Two sets
+    """Parities of the token counts in hash buckets, about one a token. Two sets
     differ in at least as many elements as their sketches in bits."""
-    bucket = (mix(tokens + _SALT_SKETCH) % np.uint64(SKETCH_BITS)).astype(np.int64)
-    return np.packbits((np.bincount(bucket, minlength=SKETCH_BITS) & 1).astype(np.uint8)).view(np.int64)
+    bits = sketch_bits(len(tokens))
+    bucket = (mix(tokens + _SALT_SKETCH) % np.uint64(bits)).astype(np.int64)
+    return np.packbits((np.bincount(bucket, minlength=bits) & 1).astype(np.uint8)).view(np.int64)
+
 
+def folded(sketch: np.ndarray) -> np.ndarray:
+    """A sketch of the smallest size."""
+    return np.bitwise_xor.reduce(sketch.reshape(-1, SKETCH_BITS // 64), axis=0)
 
-def _set_table(n: int):
-    words = SKETCH_BITS // 64
 
+def _set_table(n: int, name: Namer):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Shingler(n)
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 found = [make(t) for t in batch.column(0).slice(at, 128).to_pylist()]
-                nodes = [digest(t) if len(t) else None for t in found]
+                nodes = [name(t) if len(t) else None for t in found]
                 offsets = np.concatenate([[0], np.cumsum([len(t) for t in found])])
                 flat = np.concatenate(found) if found else np.zeros(0, np.uint64)
-                sketches = np.concatenate([parity_sketch(t) for t in found]) if found else np.zeros(0, np.int64)
+                sketches = [parity_sketch(t) for t in found] or [np.zeros(0, np.int64)]
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in sketches[: len(found)]])])
+                smalls = np.concatenate([folded(x) for x in sketches])
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(nodes, pa.int64()),
                         pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat.view(np.int64))),
-                        pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * words, pa.int32()), pa.array(sketches)),
+                        pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sketches))),
+                        pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * (SKETCH_BITS // 64), pa.int32()), pa.array(smalls)),
                     ],
-                    ["node", "tokens", "sketch"],
+                    ["node", "tokens", "sketch", "small"],
                 )
 
     return run
@@ -293,12 +321,19 @@ def _fits(a: str, b: str, percent: int):
     return small * 100 >= large * percent
 
 
+def _folded(sketch: str, words: Column) -> Column:
+    """The sketch on ``words`` words: sizes of a pair differ by one power at most."""
+    halves = F.zip_with(F.slice(sketch, F.lit(1), words), F.slice(sketch, words + 1, words), lambda x, y: x.bitwiseXOR(y))
+    return F.when(F.size(sketch) > words, halves).otherwise(F.col(sketch))
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose sets reach the similarity. The short sketches rule out
     most others before any set is moved; the sets decide."""
     short = sets.select("node", F.size("tokens").alias("n"), "sketch")
     both = pairs.join(short.toDF("a", "n_a", "sketch_a"), "a").join(short.toDF("b", "n_b", "sketch_b"), "b")
-    bits = F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    least = F.least(F.size("sketch_a"), F.size("sketch_b"))
+    bits = F.zip_with(_folded("sketch_a", least), _folded("sketch_b", least), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
     apart = F.aggregate(bits, F.lit(0), lambda acc, v: acc + v).cast("long")
     # common >= percent / (100 + percent) * sum, so at most this many elements differ
     near = apart * (100 + percent) <= (F.col("n_a") + F.col("n_b")).cast("long") * (100 - percent)
@@ -373,7 +408,7 @@ def crowded_pairs(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     """
     counts = placed.groupBy("key").agg(F.count(F.lit(1)).alias("k"))
     parts = F.ceil(F.col("k") / BLOCK_ROWS).cast("int")
-    rows = placed.join(counts, "key").join(sets.select("node", "sketch"), "node").withColumn("parts", parts)
+    rows = placed.join(counts, "key").join(sets.select("node", F.col("small").alias("sketch")), "node").withColumn("parts", parts)
     rows = rows.withColumn("own", F.pmod(F.xxhash64(F.lit(41), "node"), F.col("parts")).cast("int"))
     met = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     low, high = F.least("own", "other"), F.greatest("own", "other")
@@ -384,14 +419,14 @@ def crowded_pairs(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     return units.repartition("pair").sortWithinPartitions(*order).mapInArrow(_block_pairs(percent), "a long, b long").distinct()
 
 
-def components(edges: DataFrame, name: str = "stars") -> DataFrame:
+def components(edges: DataFrame, own: Workspace) -> DataFrame:
     """(node, root) for every node of an edge: alternating large and small stars.
 
     Each step is one aggregate and one join, written to the shared folder; no
     neighbour list is ever held. Ends when a step changes nothing.
     """
     stars = edges.where("a <> b").select("a", "b")
-    mark = None
+    mark = past = None
     while True:
         # Large star: larger neighbours move to the least neighbour.
         sides = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -404,7 +439,9 @@ def components(edges: DataFrame, name: str = "stars") -> DataFrame:
         small = down.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("x"), "low"), F.struct(F.col("a").alias("x"), "low"))).alias("e"))
         seen = Observation()  # counts what is written, without reading it again
         stars = small.select(F.col("e.x").alias("a"), F.col("e.low").alias("b")).where("a <> b").distinct()
-        stars = materialise(stars.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")), name)
+        stars = own.table(stars.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")), "stars")
+        own.drop(past)
+        past = stars
         if (row := (seen.get["n"], seen.get["h"])) == mark:
             break
         mark = row
@@ -412,39 +449,50 @@ def components(edges: DataFrame, name: str = "stars") -> DataFrame:
     return stars.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
 
 
-def similar_components(documents: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id (least id reachable by links) per row."""
+def similar_components(documents: DataFrame, n: int = 4, percent: int = 85, digest: Callable[[np.ndarray, int], int] = set_digest) -> DataFrame:
+    """doc_id, n_shingles, component_id (least id reachable by links) per row.
+
+    ``digest`` names a set (seed 0) and parts sets of one name (seed 1)."""
+    return placed_rows(documents, n, percent, digest)[0].select("doc_id", "n_shingles", "component_id")
+
+
+def placed_rows(documents: DataFrame, n: int, percent: int, digest: Callable[[np.ndarray, int], int] = set_digest) -> tuple[DataFrame, Namer]:
+    """As ``similar_components``, with each row's node and its component's root,
+    and the naming of nodes."""
+    spark = documents.sparkSession
+    own = Workspace(spark, "jaccard")
     base = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    shingled = materialise(base.mapInArrow(_shingle_table(n), "doc_id long, n_shingles long, node long"), "shingled")
+    written = shingled = own.table(base.mapInArrow(_shingle_table(n, digest), "doc_id long, n_shingles long, node long, other long"), "shingled")
+
+    # Names that different sets share: a handful in the largest tables there are.
+    apart = shingled.groupBy("node").agg(F.min("other").alias("lo"), F.max("other").alias("hi")).where("lo <> hi")
+    name = Namer(digest, frozenset(r.node for r in apart.select("node").collect()))
+    if name.shared:
+        node = F.when(F.col("node").isin(sorted(name.shared)), F.col("other")).otherwise(F.col("node"))
+        shingled = shingled.withColumn("node", node)
 
     # Index rows meet by key; only keys of two nodes or more are kept.
-    keyed = base.select("text").mapInArrow(_signature_table(n, percent), _SIGNATURE)
-    shared = materialise(keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_runs, _SIGNATURE), "shared-keys")
-    wide = shared.where("wide").select("key", "node", "size").distinct()
-    members = shared.where("not wide").select("key", "node", "size")
-    wide_keys = wide.select("key").distinct()
-    if wide_keys.limit(1).count():
-        # Sets with too many empty segments: meet all sets that have those empty.
-        others = base.select("text").mapInArrow(_signature_table(n, percent, only_empty=True), _SIGNATURE)
-        others = others.join(wide_keys, "key", "left_semi").select("key", "node", "size").distinct()
-        members = materialise(members.unionByName(others), "shared-keys")
-
-    members = members.select("key", "node", "size").distinct()
-    wanted = materialise(members.groupBy("node").agg(F.count(F.lit(1)).alias("popularity"), F.max("size").alias("size")), "wanted")
+    keyed = base.select("text").mapInArrow(_signature_table(n, percent, name), _SIGNATURE)
+    order = ["key", "kind", "node"]
+    shared = keyed.repartition("key").sortWithinPartitions(*order).mapInArrow(_runs, "key long, node long, size int")
+    shared = own.table(shared, "shared-keys")
+    members = own.table(shared.distinct(), "meeting")
+    own.close(written, members)  # the index is the largest of all tables
+    wanted = own.table(members.groupBy("node").agg(F.count(F.lit(1)).alias("popularity"), F.max("size").alias("size")), "wanted")
     holders = shingled.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    holders = materialise(holders, "holders")
-    few = holders.count() <= BROADCAST_ROWS
-    texts = base.join(F.broadcast(holders) if few else holders, "doc_id").select("text")
-    made = texts.mapInArrow(_set_table(n), "node long, tokens array<bigint>, sketch array<bigint>")
-    # Repeated ids may bring other texts; any row of a node is as good.
-    asked = wanted.select("node")
-    sets = materialise(made.join(F.broadcast(asked) if few else asked, "node", "left_semi").dropDuplicates(["node"]), "sets")
+    texts = maybe_in(base, "doc_id", bit_filter(holders, "doc_id")).select("text")
+    made = texts.mapInArrow(_set_table(n, name), "node long, tokens array<bigint>, sketch array<bigint>, small array<bigint>")
+    # Any row of a node is as good as another; sets that only passed the filters are not asked for.
+    asked = maybe_in(made.where("node is not null"), "node", bit_filter(wanted, "node"))
+    # Kept in buckets: verification moves the pairs, and one set a pair.
+    sets = own.bucketed(asked, "node", "sets")
 
     # Star rounds: each key offers its most shared member (later: one by chance)
     # to the members of other components. Each is linear in the index rows.
     links = roots = None
     seen = None
-    known = materialise(members.join(wanted.select("node", "popularity"), "node"), "members")
+    known = own.table(members.join(wanted.select("node", "popularity"), "node"), "members")
+    own.drop(members)
     placed = known.withColumn("root", F.col("node"))
     for turn in range(STAR_ROUNDS):
         worth = F.col("popularity") if turn == 0 else F.xxhash64(F.lit(turn), "key", "node")
@@ -459,14 +507,16 @@ def similar_components(documents: DataFrame, n: int = 4, percent: int = 85) -> D
             offers = offers.groupBy("node").agg(best.alias("p")).select("p.a", "p.b").distinct()
         else:
             offers = offers.select("a", "b").distinct().join(seen, ["a", "b"], "left_anti")
-        offers = materialise(offers, "offers")
-        new = materialise(verified(offers, sets, percent), "links")
+        offers = own.table(offers, "offers")
+        new = own.table(verified(offers, sets, percent), "links")
+        own.release()
         links = new if links is None else links.unionByName(new)
         seen = offers if seen is None else seen.unionByName(offers)
-        roots = components(links)
+        last, roots = placed, components(links, own)
         placed = known.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         open_keys = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-        placed = materialise(placed.join(open_keys, "key", "left_semi"), "placed")
+        placed = own.table(placed.join(open_keys, "key", "left_semi"), "placed")
+        own.drop(last)
 
     # What is left: nodes that share a key but not a component.
     # Keys of few sets by a join, crowded ones by blocks.
@@ -481,29 +531,69 @@ def similar_components(documents: DataFrame, n: int = 4, percent: int = 85) -> D
         .distinct()
     )
     cross = cross.unionByName(crowded).distinct()
-    cross = materialise(cross.join(seen, ["a", "b"], "left_anti"), "cross-pairs")
-    links = materialise(links.unionByName(verified(cross, sets, percent)), "links")
-    roots = components(links)
+    cross = own.table(cross.join(seen, ["a", "b"], "left_anti"), "cross-pairs")
+    links = own.table(links.unionByName(verified(cross, sets, percent)), "links")
+    own.close(written, links)
+    roots = components(links, own)
 
     # Least document of each component, then back to the rows.
     least = shingled.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     rooted = least.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     of_root = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(of_root, "root").select("node", "component_id")
-    return shingled.join(named, "node", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+    named = rooted.join(of_root, "root").select("node", "root", "component_id")
+    out = shingled.join(named, "node", "left").select(
+        "doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "node", "root"
     )
+    out = own.table(out, "components")
+    own.close(out)
+    return out, name
+
+
+def _with_node(n: int, name: Namer):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = Shingler(n)
+        for batch in batches:
+            found = [make(t) for t in batch.column("_words").to_pylist()]
+            nodes = pa.array([name(t) if len(t) else None for t in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, nodes], [*batch.schema.names, "_node"])
+
+    return run
 
 
 def drop_near_copies(documents: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``documents`` with the least id of each component."""
-    found = similar_components(documents, n, percent)
-    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
-    kept = documents.join(gone, "doc_id", "left_anti").select(documents.columns)
-    repeated = kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and doc_id is not null").select("doc_id")
-    lone = kept.join(repeated, "doc_id", "left_anti").select(documents.columns)
-    # Rows that share an id and have words are one component: one of them stays.
-    many = kept.join(repeated, "doc_id", "left_semi").select(documents.columns)
-    order = Window.partitionBy("doc_id").orderBy(F.trim(F.coalesce("text", F.lit(""))) == "", F.xxhash64("text"))
-    one = many.withColumn("_rank", F.row_number().over(order)).where("_rank = 1 or trim(coalesce(text, '')) = ''")
-    return lone.unionByName(one.select(documents.columns))
+    """One row of each component: one with its least id, or with none where no
+    row of it has an id; of several, that of the least hash. Rows without words
+    link with nothing and stay.
+
+    Only rows in question move: those whose id is in a component of another id,
+    and those whose id is null or repeated.
+    """
+    own = Workspace(documents.sparkSession, "near-copies")
+    found, name = placed_rows(documents, n, percent)
+    found = found.where("n_shingles > 0")
+    by_id = own.table(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.max(F.col("component_id") != F.col("doc_id")).alias("moved")).where("rows > 1 or moved or doc_id is null"), "in-question")
+    several = own.table(bit_filter(by_id.where("rows > 1 or doc_id is null"), "doc_id"), "repeated")
+    gone = by_id.where("rows = 1 and moved").select(F.col("doc_id").alias("_own"))
+    single = own.table(bit_filter(gone, "_own"), "gone")
+
+    columns = documents.columns
+    rows = documents.withColumn("_own", F.col("doc_id").cast("long")).withColumn("_words", F.coalesce(F.col("text").cast("string"), F.lit("")))
+    worded = F.regexp_replace("_words", SPACE_RE, "") != ""
+    plain = maybe_in(rows, "_own", several, inside=False)
+    stay = maybe_in(plain, "_own", single, inside=False)
+    moved = maybe_in(plain, "_own", single)
+    kept = [stay, moved.where(~worded), moved.where(worded).join(gone, "_own", "left_anti")]
+
+    # Repeated ids and rows without one: their sets tell the component.
+    mixed = maybe_in(rows, "_own", several)
+    kept.append(mixed.where(~worded))
+    schema = StructType([*mixed.schema.fields, StructField("_node", LongType())])
+    noded = mixed.where(worded).mapInArrow(_with_node(n, name), schema)
+    row = F.struct(*columns)
+    best = F.min_by(row, F.xxhash64(*columns)).alias("_row")
+    ones = noded.groupBy("_own", "_node").agg(best)  # before the join, so that no set is hot
+    marks = found.select(F.col("node").alias("_node"), "root", "component_id").distinct()
+    ones = ones.join(marks, "_node").where(F.col("_own").eqNullSafe(F.col("component_id")))
+    ones = ones.groupBy("root").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
+    picked = ones.select(*[F.col("_row")[c].alias(c) for c in columns])
+    return reduce(DataFrame.unionByName, [part.select(columns) for part in kept] + [picked])

@@ -32,7 +32,12 @@ from pyspark.sql import functions as F
 
 ORDER = 3
 SAMPLE_DOCS = 300
-MAX_CONTEXTS = 24_000
+SAMPLE_CHARS = 1 << 18
+#: Languages learned: the most frequent values of the label.
+MAX_LANGUAGES = 128
+#: Size of the table of code lengths. Contexts seen most own a row; one without a
+#: row has the code lengths of its longest suffix with one.
+MODEL_BYTES = 256 << 20
 MIN_COUNT = 2
 SLICE = 1 << 19
 BATCH_BYTES = 1 << 19
@@ -62,12 +67,13 @@ class PpmModel:
         return int(self.symbol_of.max()) + 1
 
     @classmethod
-    def fit(cls, samples: dict[str, list[bytes]], max_contexts: int = MAX_CONTEXTS) -> PpmModel:
+    def fit(cls, samples: dict[str, list[bytes]], model_bytes: int = MODEL_BYTES) -> PpmModel:
         languages = sorted(samples)
         seen = np.unique(np.frombuffer(b"".join(b for l in languages for b in samples[l]), dtype=np.uint8))
         symbol_of = np.full(256, len(seen) + 1, dtype=np.int64)  # the last symbol: any other byte
         symbol_of[seen] = np.arange(1, len(seen) + 1)
         a = len(seen) + 2
+        max_contexts = max(1, model_bytes // (4 * a * max(1, len(languages)) * ORDER))
         streams = {}
         for lang in languages:
             parts = [p for raw in samples[lang] for p in (np.zeros(ORDER, np.int64), symbol_of[np.frombuffer(raw, np.uint8)])]
@@ -94,36 +100,42 @@ class PpmModel:
                 contexts = np.sort(contexts[np.argsort(-totals, kind="stable")[:max_contexts]])
             kept.append(contexts)
         # Rows from the root down; a parent is the context without its oldest byte.
-        base = np.full((1, a, len(languages)), 1.0 / a)
-        tables, row_maps, first = [], [], 0
+        flat = np.zeros((sum(map(len, kept)), a, len(languages)), np.float32)
+        row_maps, first = [], 0
         for order, contexts in enumerate(kept):
             if order == 0:
-                parent = base
+                parent = np.full((1, a, len(languages)), 1.0 / a, np.float32)
             else:
-                parent = tables_flat[row_maps[order - 1][contexts % a ** (order - 1)]]
-            table = parent.copy()
+                parent = flat[row_maps[order - 1][contexts % a ** (order - 1)]]
+            table = flat[first : first + len(contexts)]
             for j, lang in enumerate(languages):
                 keys, counts = grams[order][lang]
                 at = np.searchsorted(contexts, keys // a)
                 at = np.minimum(at, max(0, len(contexts) - 1))
                 hit = contexts[at] == keys // a if len(contexts) else np.zeros(len(keys), bool)
-                n = np.zeros((len(contexts), a))
-                n[at[hit], keys[hit] % a] = counts[hit]
-                total, kinds = n.sum(1, keepdims=True), (n > 0).sum(1, keepdims=True)
-                lower = np.where(n > 0, 0, parent[:, :, j])
-                left = lower.sum(1, keepdims=True)
-                escape = np.where(left > 0, lower / np.where(left > 0, left, 1), 0) * kinds
-                table[:, :, j] = np.where(total > 0, (n + escape) / np.maximum(1, total + kinds), parent[:, :, j])
+                own_row, own_byte, own_count = at[hit], keys[hit] % a, counts[hit]
+                # Some rows at a time: the float64 work stays small beside the table.
+                for lo in range(0, len(contexts), 8192):
+                    hi = min(lo + 8192, len(contexts))
+                    mine = slice(*np.searchsorted(own_row, [lo, hi]))
+                    n = np.zeros((hi - lo, a))
+                    n[own_row[mine] - lo, own_byte[mine]] = own_count[mine]
+                    total, kinds = n.sum(1, keepdims=True), (n > 0).sum(1, keepdims=True)
+                    above = parent[lo:hi, :, j].astype(np.float64)
+                    lower = np.where(n > 0, 0, above)
+                    left = lower.sum(1, keepdims=True)
+                    escape = np.where(left > 0, lower / np.where(left > 0, left, 1), 0) * kinds
+                    table[lo:hi, :, j] = np.where(total > 0, (n + escape) / np.maximum(1, total + kinds), above)
             rows = np.zeros(a**order, dtype=np.int32)
             if order:
                 rows[:] = np.tile(row_maps[order - 1], a)
             rows[contexts] = first + np.arange(len(contexts))
             first += len(contexts)
-            tables.append(table)
             row_maps.append(rows)
-            tables_flat = np.concatenate(tables)
-        bits = -np.log2(np.maximum(tables_flat, 1e-12)).astype(np.float32).reshape(-1, len(languages))
-        return cls(languages, symbol_of, row_maps[-1], bits)
+        np.maximum(flat, 1e-12, out=flat)
+        np.log2(flat, out=flat)
+        np.negative(flat, out=flat)
+        return cls(languages, symbol_of, row_maps[-1], flat.reshape(-1, len(languages)))
 
     def positions(self, codes: np.ndarray) -> np.ndarray:
         """Code lengths of ``codes[ORDER:]``, a row a byte."""
@@ -183,22 +195,28 @@ def _groups(chosen: list[int], texts: list) -> Iterator[list[int]]:
 def fit_languages(documents: DataFrame, folds: int = 3, held: int = 1, sample_docs: int = SAMPLE_DOCS) -> PpmModel:
     learn = documents.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     learn = learn.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(folds=folds) != held))
-    sizes = [(r.lang, r.n) for r in learn.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()]
+    counts = learn.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    sizes = [(r.lang, r.n) for r in counts.orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()]
     if not sizes:
         return PpmModel([], np.zeros(256, np.int64), np.zeros(1, np.int32), np.zeros((1, 0), np.float32))
     share = F.create_map(*[F.lit(x) for lang, n in sizes for x in (lang, int(min(1.0, sample_docs / n) * (1 << 30)))])
-    picked = learn.where(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 30)) < share[F.col("lang")]).limit(3 * sample_docs * len(sizes))
+    drawn = learn.withColumn("h", F.xxhash64(F.lit(5), "doc_id")).where(F.pmod("h", F.lit(1 << 30)) < share[F.col("lang")])
+    # The order makes the bound repeatable where it bites, with repeated ids.
+    tie = F.xxhash64("text")
+    picked = drawn.orderBy("h", tie, "lang").limit(3 * sample_docs * len(sizes))
+    # Of a long document, the run of SAMPLE_CHARS characters at a place chosen by hash.
+    place = F.pmod(F.col("h"), F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS + 1)) + 1
+    picked = picked.select("lang", "h", tie.alias("tie"), F.substring("text", place.cast("int"), F.lit(SAMPLE_CHARS)).alias("text"))
     samples: dict[str, list[tuple]] = {}
-    # The model needs no more than so many bytes of one document.
-    for r in picked.select("lang", "doc_id", F.substring("text", 1, 1 << 18).alias("text")).collect():
-        samples.setdefault(r.lang, []).append((r.doc_id, r.text.lower().encode("utf-8", "replace")))
-    return PpmModel.fit({lang: [raw for _, raw in sorted(rows)] for lang, rows in samples.items()})
+    for r in picked.collect():
+        samples.setdefault(r.lang, []).append((r.h, r.tie, r.text.lower().encode("utf-8", "replace")))
+    return PpmModel.fit({lang: [raw for *_, raw in sorted(rows)] for lang, rows in samples.items()})
 
 
 def identify_languages(documents: DataFrame, folds: int = 3, held: int = 1, model: PpmModel | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row."""
     model = model or fit_languages(documents, folds, held)
-    shared = documents.sparkSession.sparkContext.broadcast(model)  # bounded by MAX_CONTEXTS
+    shared = documents.sparkSession.sparkContext.broadcast(model)  # MODEL_BYTES at most, and the map of contexts
     rows = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(fold(folds=folds) == held, F.lit(False)).alias("held_out"),

@@ -2,21 +2,25 @@
 
 1. Sizes (words) of all documents are counted; a budget is shared out over the
    sources by weight, each source capped at a multiple of its size.
-2. The documents of a source fall into blocks by a hash of their id. Blocks are
-   drawn in permuted order, in as many passes as the target needs; the block in
-   which the target ends is settled document by document.
-3. The exact block quotas of the sources are dealt to output shards by a tree:
-   each node hands a multivariate hypergeometric draw of its blocks to its left
-   child and the rest to its right one. A shard then takes the next blocks in
-   each source's permuted order, so shards are disjoint, and shuffles locally.
-
-All of it is DataFrame operations. No window spans a source: prefix sums run
-over blocks (at most ``MAX_BLOCKS`` a source) and inside one block.
-
-Defined results: a null text has size 0; documents of size 0 are never taken by
-words; sources order by code point with null last; equal rows are drawn
-independently of their order; an empty table gives an empty mix; the same seed
-gives the same mix.
+2. The documents of a source fall into blocks of about ``DOCS_A_BLOCK`` by a hash
+   of their id. Blocks are drawn in permuted order, in as many passes as the
+   target needs; each drawn pass of a block is one ball, and their number is the
+   source's quota. The block in which the target ends is settled document by
+   document.
+3. A tree deals the balls of all sources to output shards: each node sends a
+   uniformly drawn half of its balls to its left child and the rest to its right
+   one, which splits the quotas by a multivariate hypergeometric draw. A
+   document is taken once for every ball of its block that a shard got, so
+   shards hold disjoint balls, and each is shuffled locally.
+
+All of it is DataFrame operations. Nothing is ordered whole: prefix sums and
+halves are found over ``CELLS`` cells of a hash, and only the cell in which the
+end falls is ordered row by row.
+
+Defined results: a null text has size 0; documents of size 0 add no words;
+sources order by code point with null last; equal rows are drawn independently
+of their order; an empty table gives an empty mix; the same seed gives the same
+mix.
 """
 
 from __future__ import annotations
@@ -28,16 +32,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from halyard.llm.common import WORD_RE, materialise, text_or_empty
+from halyard.llm.common import WORD_RE, Workspace, bit_filter, maybe_in, text_or_empty
 
 #: Weights by a source's place, repeating; the contract's fixed values.
 WEIGHTS = (3.0, 1.0, 2.0)
 BUDGET_SHARE = 1.5
 CAP = 2.0
 DOCS_A_BLOCK = 64
-MAX_BLOCKS = 4096
-#: Source tables of at most this many rows are broadcast.
-BROADCAST_SOURCES = 50_000
+CELL_BITS = 12
+#: Parts into which a shard is written.
+SHARD_PARTS = 64
 
 
 def word_count(text: Column) -> Column:
@@ -48,6 +52,11 @@ def _uniform_key(seed: int, *columns: Column | str) -> Column:
     return F.xxhash64(F.lit(seed), *columns)
 
 
+def _cell(key: Column) -> Column:
+    """One of 2**CELL_BITS cells; keys of a lower cell come first in its order."""
+    return F.shiftrightunsigned(key, 64 - CELL_BITS)
+
+
 def source_targets(
     totals: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = BUDGET_SHARE, cap: float = CAP
 ) -> DataFrame:
@@ -78,31 +87,39 @@ def source_targets(
 
 @dataclass
 class Mix:
-    documents: DataFrame  # doc_id, uid, source, size, source_size, target, copies, taken, shard
+    documents: DataFrame  # doc_id, uid, source, size, source_size, target, copies, taken, shards
     shards: DataFrame  # shard, place, quota
 
 
-def splitting_tree(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
-    """(place, quota) -> (shard, place, quota), all blocks dealt exactly.
+def deal(balls: DataFrame, shards: int, seed: int, own: Workspace) -> DataFrame:
+    """(place, block, pass) -> with shard; every level halves each node exactly.
 
-    A node of n blocks sends a uniformly drawn half of them left: blocks are
-    ranked by hash inside their node, which is a multivariate hypergeometric draw
-    of the counts. At most ``MAX_BLOCKS`` rows a source and pass take part.
+    The half of the balls with the least hashes goes left. Counts by cell tell
+    the cell in which the half ends (one row a node, ``shards`` at most); its
+    balls alone are ranked.
     """
-    nodes = quotas.select(F.lit(0).cast("long").alias("node"), "place", "quota")
+    nodes = balls.select("place", "block", "pass", F.lit(0).cast("long").alias("node"))
+    past = None
     for level in range(int(math.log2(shards))):
+        drawn = nodes.withColumn("r", _uniform_key(seed + level, "node", "place", "block", "pass")).withColumn("cell", _cell(F.col("r")))
         in_node = Window.partitionBy("node")
-        urn = (
-            nodes.where("quota > 0")
-            .withColumn("ball", F.explode(F.sequence(F.lit(1), F.col("quota").cast("int"))))
-            .withColumn("draw", F.row_number().over(in_node.orderBy(_uniform_key(seed + level, "node", "place", "ball"), "place", "ball")))
-            .withColumn("left", F.col("draw") * 2 <= F.count(F.lit(1)).over(in_node) + (F.col("node") % 2))
-        )
-        nodes = (
-            urn.groupBy((F.col("node") * 2 + F.when(F.col("left"), 0).otherwise(1)).alias("node"), "place")
-            .agg(F.count(F.lit(1)).alias("quota"))
-        )
-    return nodes.select(F.col("node").alias("shard"), "place", "quota")
+        upto = in_node.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+        cells = (
+            drawn.groupBy("node", "cell").agg(F.count(F.lit(1)).alias("n"))
+            .withColumn("below", F.coalesce(F.sum("n").over(upto), F.lit(0)))
+            # The odd ball of a node goes left in every other node.
+            .withColumn("half", F.floor((F.sum("n").over(in_node) + F.col("node") % 2) / 2))
+        )
+        ends = cells.where("below < half and half <= below + n").select("node", F.col("cell").alias("end"), (F.col("half") - F.col("below")).alias("room"))
+        placed = drawn.join(F.broadcast(ends), "node", "left")
+        clear = placed.where("end is null or cell <> end").withColumn("left", F.coalesce(F.col("cell") < F.col("end"), F.lit(False)))
+        within = Window.partitionBy("node").orderBy("r", "place", "block", "pass")
+        edge = placed.where("cell = end").withColumn("left", F.row_number().over(within) <= F.col("room"))
+        child = (F.col("node") * 2 + F.when(F.col("left"), 0).otherwise(1)).alias("node")
+        nodes = own.table(clear.select("place", "block", "pass", child).unionByName(edge.select("place", "block", "pass", child)), "mix-level")
+        own.drop(past)
+        past = nodes
+    return nodes.withColumnRenamed("node", "shard")
 
 
 def mix_sources(
@@ -116,7 +133,8 @@ def mix_sources(
     """Draw the mix. ``shards`` is a power of two."""
     if shards < 1 or shards & (shards - 1):
         raise ValueError("shards must be a power of two")
-    sized = materialise(
+    own = Workspace(documents.sparkSession, "mix")
+    sized = own.table(
         documents.select(
             F.col("doc_id").cast("long").alias("doc_id"),
             F.monotonically_increasing_id().alias("uid"),
@@ -124,42 +142,49 @@ def mix_sources(
             word_count(text_or_empty()).alias("size"),
             F.xxhash64(text_or_empty()).alias("text_key"),
         ),
-        "mix-sizes",
+        "sizes",
     )
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs"))
-    sources = materialise(
-        source_targets(totals, weights, share, cap).withColumn(
-            "n_blocks", F.least(F.lit(MAX_BLOCKS), F.greatest(F.lit(1), F.ceil(F.col("docs") / DOCS_A_BLOCK))).cast("long")
-        ),
-        "mix-sources",
-    )
+    blocks_of = F.greatest(F.lit(1), F.ceil(F.col("docs") / DOCS_A_BLOCK)).cast("long")
+    sources = own.table(source_targets(totals, weights, share, cap).withColumn("n_blocks", blocks_of), "sources")
+    # Joined by its name; equal rows of a source are spread by a salt, as one source
+    # may hold a third of all rows.
+    spread = F.explode(F.sequence(F.lit(0), F.lit(SHARD_PARTS - 1)))
+    salted = sources.withColumn("_salt", spread)
+    named = sized.withColumn("_salt", F.pmod(F.xxhash64(F.lit(seed + 9), "uid"), F.lit(SHARD_PARTS)).cast("int"))
+    keyed = named.join(salted, (named["_salt"] == salted["_salt"]) & named["source"].eqNullSafe(salted["source"])).drop(salted["source"]).drop("_salt")
     # The order key permutes a source's documents; equal rows are interchangeable.
-    few = sources.count() <= BROADCAST_SOURCES
-    keyed = sized.join(F.broadcast(sources) if few else sources, sized["source"].eqNullSafe(sources["source"])).drop(sources["source"])
     keyed = keyed.withColumn("key", _uniform_key(seed, "doc_id", "text_key")).withColumn(
         "block", F.pmod(F.xxhash64(F.lit(seed + 7), "doc_id", "text_key"), F.col("n_blocks"))
     )
-    blocks = materialise(
+    blocks = own.table(
         keyed.groupBy("place", "block").agg(
-            F.sum("size").alias("words"),
-            F.first("source_size").alias("source_size"),
-            F.first("target").alias("target"),
+            F.sum("size").alias("words"), F.first("source_size").alias("source_size"), F.first("target").alias("target")
         ),
-        "mix-blocks",
+        "blocks",
     )
-    # Whole passes first, then the words that are left of the target.
-    runs = Window.partitionBy("place").orderBy(_uniform_key(seed + 1, "place", "block"), "block")
+    # Whole passes first, then the words that are left of the target: cells of blocks
+    # in permuted order, then the blocks of the cell in which the target ends.
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    ordered = (
+    blocks = (
         blocks.withColumn("passes", passes)
         .withColumn("left_over", F.col("target") - F.col("passes") * F.col("source_size"))
-        .withColumn("rank", F.row_number().over(runs))
-        .withColumn("upto", F.sum("words").over(runs.rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("r", _uniform_key(seed + 1, "place", "block"))
+        .withColumn("cell", _cell(F.col("r")))
+    )
+    in_order = Window.partitionBy("place").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = blocks.groupBy("place", "cell").agg(F.sum("words").alias("cell_words"))
+    cells = cells.withColumn("before", F.coalesce(F.sum("cell_words").over(in_order), F.lit(0))).select("place", "cell", "before")
+    in_cell = Window.partitionBy("place", "cell").orderBy("r", "block").rowsBetween(Window.unboundedPreceding, 0)
+    ordered = (
+        blocks.join(cells, ["place", "cell"])
+        .withColumn("upto", F.col("before") + F.sum("words").over(in_cell))
         .withColumn("begin", F.col("upto") - F.col("words"))
         .withColumn("whole", F.col("upto") <= F.col("left_over"))
         .withColumn("split", (~F.col("whole")) & (F.col("begin") < F.col("left_over")) & (F.col("words") > 0))
+        .withColumn("draws", F.col("passes") + (F.col("whole") | F.col("split")).cast("long"))
     )
-    ordered = materialise(ordered, "mix-order")
+    ordered = own.table(ordered.select("place", "block", "passes", "left_over", "begin", "split", "draws"), "order")
     # The block in which the target ends: its documents in permuted order.
     edge = ordered.where("split").select("place", "block", (F.col("left_over") - F.col("begin")).alias("room"))
     within = Window.partitionBy("place", "block").orderBy("key", "doc_id", "text_key", "uid")
@@ -169,30 +194,17 @@ def mix_sources(
         # A document joins if the larger part of it is inside the target.
         .where(F.col("upto") - F.col("size") / 2 <= F.col("room"))
         .where("size > 0")
-        .select("uid", F.lit(1).cast("long").alias("extra"))
-    )
-    # Blocks to shards: each pass of a block is one ball of its source's urn.
-    drawn = ordered.withColumn("draws", F.col("passes") + (F.col("whole") | F.col("split")).cast("long"))
-    quotas = drawn.groupBy("place").agg(F.sum("draws").alias("quota"))
-    dealt = materialise(splitting_tree(quotas, shards, seed + 100), "mix-shards")
-    span = Window.partitionBy("place").orderBy("shard")
-    bounds = dealt.withColumn("to", F.sum("quota").over(span)).withColumn("from", F.col("to") - F.col("quota"))
-    # Balls of a source in order: the first pass of all blocks, then the partial one.
-    balls = drawn.where("draws > 0").withColumn("pass", F.explode(F.sequence(F.lit(1), F.col("draws").cast("int"))))
-    ball_order = Window.partitionBy("place").orderBy("pass", "rank")
-    placed = (
-        balls.withColumn("ball", F.row_number().over(ball_order))
-        .join(bounds.select("place", "shard", "from", "to"), "place")
-        .where((F.col("ball") > F.col("from")) & (F.col("ball") <= F.col("to")))
-        .groupBy("place", "block")
-        .agg(F.array_sort(F.collect_list(F.struct("pass", "shard"))).alias("homes"))
-    )
-    plan = drawn.select("place", "block", "passes", "whole").join(placed, ["place", "block"], "left")
-    chosen = (
-        keyed.join(plan, ["place", "block"])
-        .join(inside, "uid", "left")
-        .withColumn("copies", F.col("passes") + F.when(F.col("whole"), 1).otherwise(F.coalesce("extra", F.lit(0))))
+        .select("uid", F.lit(True).alias("inside"))
     )
+    # Each pass of a block is one ball; the tree deals them to the shards.
+    balls = ordered.where("draws > 0").select("place", "block", F.explode(F.sequence(F.lit(1), F.col("draws").cast("int"))).alias("pass"))
+    dealt = deal(balls, shards, seed + 100, own)
+    homes = dealt.groupBy("place", "block").agg(F.array_sort(F.collect_list(F.struct("pass", "shard"))).alias("homes"))  # a ball a pass
+    plan = ordered.select("place", "block", "passes", "split").join(homes, ["place", "block"], "left")
+    chosen = keyed.join(plan, ["place", "block"]).join(inside, "uid", "left")
+    got = F.coalesce("homes", F.array())
+    got = F.when(F.col("split") & F.col("inside").isNull(), F.filter(got, lambda h: h["pass"] <= F.col("passes"))).otherwise(got)
+    chosen = chosen.withColumn("got", got).withColumn("copies", F.size("got").cast("long"))
     out = chosen.select(
         "doc_id",
         "uid",
@@ -200,36 +212,38 @@ def mix_sources(
         "size",
         "source_size",
         "target",
-        F.col("copies").cast("long").alias("copies"),
-        (F.col("copies") * F.col("size")).cast("long").alias("taken"),
-        F.when(F.col("copies") > 0, F.transform(F.slice(F.coalesce("homes", F.array()), 1, F.col("copies").cast("int")), lambda h: h["shard"])).alias("shards"),
+        "copies",
+        (F.col("copies") * F.col("size")).alias("taken"),
+        F.when(F.col("copies") > 0, F.transform("got", lambda h: h["shard"])).alias("shards"),
         "text_key",
-        "key",
     )
-    return Mix(out, dealt)
+    quotas = dealt.groupBy("shard", "place").agg(F.count(F.lit(1)).alias("quota"))
+    return Mix(out, quotas)
 
 
 def apply_mix(documents: DataFrame, **options) -> DataFrame:
-    """The mixed rows of ``documents``: all columns, a row for each copy taken,
-    shards one after the other, shuffled by hash inside each shard."""
+    """The mixed rows of ``documents``: all columns, a row for each copy taken.
+
+    A shard is written in ``SHARD_PARTS`` parts, each shuffled by hash. Of rows
+    that share id and text the one of the least hash stands for all; their
+    copies are counted by shard, so no list of them is held."""
     seed = options.get("seed", 20)
+    own = Workspace(documents.sparkSession, "mixed")
     mix = mix_sources(documents, **options).documents
-    # Rows of equal id and text are interchangeable: their copies are summed and
-    # dealt evenly, so the join is on what identifies a row to a reader.
-    counts = mix.groupBy("doc_id", "text_key").agg(
-        F.count(F.lit(1)).alias("rows"), F.flatten(F.collect_list("shards")).alias("homes")
-    )
-    counts = counts.where(F.size("homes") > 0)
-    same = Window.partitionBy("_id", "_key").orderBy("_id")
+    taken = mix.where("copies > 0").select("doc_id", "text_key", F.explode("shards").alias("_shard"))
+    counts = taken.groupBy("doc_id", "text_key", "_shard").agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.select(F.col("doc_id").alias("_rid"), F.col("text_key").alias("_rkey"), "_shard", "_n")
+    same = mix.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("text_key").distinct()
+    bits = own.table(bit_filter(same, "text_key"), "repeated")
+    columns = documents.columns
     left = documents.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_key", F.xxhash64(text_or_empty()))
-    right = counts.select(F.col("doc_id").alias("_rid"), F.col("text_key").alias("_rkey"), "rows", F.col("homes").alias("_homes"))
-    joined = left.join(right, F.col("_id").eqNullSafe(F.col("_rid")) & (F.col("_key") == F.col("_rkey")))
-    lone = joined.where(F.col("rows") == 1)
-    many = joined.where(F.col("rows") > 1).withColumn("_n", F.row_number().over(same))
-    many = many.withColumn("_homes", F.expr("filter(_homes, (h, i) -> i % `rows` = `_n` - 1)")).drop("_n")
-    copies = lone.unionByName(many).withColumn("_shard", F.explode("_homes"))
+    one = maybe_in(left, "_key", bits).groupBy("_id", "_key").agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("_row"))
+    one = one.select("_id", "_key", *[F.col("_row")[c].alias(c) for c in columns])
+    rows = maybe_in(left, "_key", bits, inside=False).unionByName(one)
+    joined = rows.join(counts, F.col("_id").eqNullSafe(F.col("_rid")) & (F.col("_key") == F.col("_rkey")))
+    copies = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
     return (
-        copies.repartition(F.col("_shard"), F.pmod(F.col("_key"), F.lit(64)))
-        .sortWithinPartitions("_shard", F.xxhash64(F.lit(seed + 3), "_id", "_key"))
-        .select(documents.columns)
+        copies.repartition(F.col("_shard"), F.pmod(F.xxhash64("_id", "_key", "_copy"), F.lit(SHARD_PARTS)))
+        .sortWithinPartitions("_shard", F.xxhash64(F.lit(seed + 3), "_id", "_key", "_copy"))
+        .select(columns)
     )

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from halyard.llm.common import scratch_path, text_or_empty
+from halyard.llm.common import Workspace, text_or_empty
 from halyard.llm.tokenizing import encoder
 
 END_ID = 0
@@ -92,7 +92,9 @@ def hilbert_keys(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
 def document_keys(documents: list[np.ndarray], vocabulary: int) -> np.ndarray:
     """Hilbert key of each document's id array."""
     bucket = _bucket_of(vocabulary)
-    counts = np.sqrt(np.array([np.bincount(bucket[ids], minlength=BUCKETS) for ids in documents]).reshape(-1, BUCKETS))
+    owner = np.repeat(np.arange(len(documents)) * BUCKETS, [len(ids) for ids in documents])
+    flat = np.concatenate(documents) if documents else np.zeros(0, np.int64)
+    counts = np.sqrt(np.bincount(bucket[flat] + owner, minlength=len(documents) * BUCKETS).reshape(-1, BUCKETS))
     counts -= counts.mean(1, keepdims=True)
     length = np.linalg.norm(counts, axis=1, keepdims=True)
     points = (counts / np.where(length > 0, length, 1)) @ _projection()
@@ -169,22 +171,19 @@ def _cut(width: int, sequence: int):
 
 def pack_documents(documents: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE) -> DataFrame:
     """One row a piece. ``sequence`` is a power of two."""
-    spark = documents.sparkSession
+    own = Workspace(documents.sparkSession, "packing")
     base = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    path = scratch_path(spark, "packing")
     # Written first, because range partitioning looks at its input twice.
-    encoded_schema = "doc_id long, n long, key long, ids binary"
-    base.mapInArrow(_encode(tokenizer_path), encoded_schema).write.option("compression", "zstd").parquet(f"{path}/encoded")
+    encoded = own.table(base.mapInArrow(_encode(tokenizer_path), "doc_id long, n long, key long, ids binary"), "encoded", compression="zstd")
     order = ["key", "doc_id", F.xxhash64("ids")]
-    encoded = spark.read.schema(encoded_schema).parquet(f"{path}/encoded")
     laid = (
         encoded.repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .select("doc_id", "n", "ids", F.spark_partition_id().alias("part"))
         .mapInArrow(_lay_out, "doc_id long, n long, ids binary, part int, place long")
     )
-    laid.write.option("compression", "zstd").parquet(f"{path}/laid")
-    laid = spark.read.schema("doc_id long, n long, ids binary, part int, place long").parquet(f"{path}/laid")
+    laid = own.table(laid, "laid", compression="zstd")
+    own.close(laid)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     every = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     parts = laid.groupBy("part").agg(F.sum("n").alias("tokens"))  # one row a part

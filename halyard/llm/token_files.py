@@ -10,10 +10,11 @@ Layout under a folder of any file system that Spark writes:
 * ``manifest`` - ids before each part, so that a document's global start is its
   part's base plus its place in the part.
 
-The dictionary is trained on the serialized id arrays of a bounded sample
-(``SAMPLE_DOCS`` documents chosen by hash, of at most ``SAMPLE_CHARS``
-characters); every document is written whole. Where the sample is too small to
-train on, frames carry no dictionary.
+The dictionary is trained on the serialized id arrays of a bounded sample:
+``SAMPLE_DOCS`` documents, those of the least hashes; of one with more than
+``SAMPLE_IDS`` ids, a run of so many at a place chosen by hash. Every document
+is written whole. Where the sample is too small to train on, frames carry no
+dictionary.
 
 Defined results: a null text is empty and holds the end id alone; rows without
 an id come first; equal ids are ordered by text hash; an empty table writes no
@@ -41,7 +42,7 @@ BLOCK_DOCS = 256
 BLOCK_BYTES = 1 << 18
 LEVEL = 3
 SAMPLE_DOCS = 1500
-SAMPLE_CHARS = 20_000
+SAMPLE_IDS = 16_384
 DICTIONARY_BYTES = 1 << 16
 
 BLOCK_SCHEMA = (
@@ -63,9 +64,14 @@ def _end(path: str) -> bytes:
 
 def _sample_encoder(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        most = SAMPLE_IDS * encoder(path).dtype.itemsize
         for batch in batches:
-            raw = [b + _end(path) for b in encoder(path).encode_many(batch.column(0).to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array(raw, pa.binary())], ["ids"])
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                raws = [raw + _end(path) for raw in encoder(path).encode_many(part.column(0).to_pylist())]
+                places = [h % (max(0, len(raw) - most) // SAMPLE_IDS + 1) * SAMPLE_IDS for h, raw in zip(part.column(1).to_pylist(), raws)]
+                raws = [raw[p : p + most] for p, raw in zip(places, raws)]
+                yield pa.RecordBatch.from_arrays([pa.array(raws, pa.binary())], ["ids"])
 
     return run
 
@@ -76,11 +82,13 @@ def train_dictionary(documents: DataFrame, tokenizer_path: str, sample_docs: int
 
     n = max(1, documents.count())
     share = min(1.0, 1.2 * sample_docs / n)
+    # The threshold leaves few rows to order; the order makes the bound repeatable.
     picked = (
-        documents.where(F.pmod(F.xxhash64(F.lit(97), "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-        .select(text_or_empty().alias("text"))
-        .where(F.length("text") <= SAMPLE_CHARS)
+        documents.withColumn("h", F.xxhash64(F.lit(97), "doc_id"))
+        .where(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30)))
+        .orderBy("h", F.xxhash64("text"))
         .limit(sample_docs)
+        .select("text", "h")
     )
     samples = [bytes(r.ids) for r in picked.mapInArrow(_sample_encoder(tokenizer_path), "ids binary").collect()]
     try:
@@ -208,15 +216,19 @@ def read_token_files(spark: SparkSession, path: str, tokenizer_path: str, with_i
     return located.mapInArrow(_block_reader(bytes(stored["data"]), wide, with_ids), schema)
 
 
-def read_document(spark: SparkSession, path: str, doc_id: int, tokenizer_path: str) -> list[int]:
-    """Ids of one document: its block alone is fetched, its frame alone unpacked."""
+def read_document(spark: SparkSession, path: str, doc_id: int, tokenizer_path: str) -> list[int] | None:
+    """Ids of one document: its block alone is fetched, its frame alone unpacked.
+    None where no document has the id; of several, the first in the files' order."""
     import zstandard
 
     stored = spark.read.parquet(f"{path}/dictionary").first()
     at = F.array_position("doc_ids", doc_id).cast("int")
     begin = F.when(at > 1, F.element_at("frame_ends", F.greatest(at - 1, F.lit(1)))).otherwise(F.lit(0)).cast("int")
     frame = F.substring("payload", begin + 1, (F.element_at("frame_ends", at).cast("int") - begin))
-    row = spark.read.parquet(f"{path}/blocks").where(F.array_contains("doc_ids", doc_id)).select(frame.alias("frame")).first()
+    row = spark.read.parquet(f"{path}/blocks").where(F.array_contains("doc_ids", doc_id))
+    row = row.orderBy("part", "start_in_part").select(frame.alias("frame")).first()
+    if row is None:
+        return None
     unpack = zstandard.ZstdDecompressor(dict_data=_dictionary(bytes(stored["data"]))).decompress
     return np.frombuffer(unpack(bytes(row["frame"])), dtype=encoder(tokenizer_path).dtype).tolist()
 

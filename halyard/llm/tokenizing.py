@@ -4,24 +4,39 @@ The pre-tokenizer of these vocabularies never lets a piece cross the boundary
 before a lone space or around a lone newline. A text whose white space is only
 lone spaces and lone newlines between words is therefore the concatenation of
 its words' encodings, and each word is encoded once per worker and kept in a
-bounded cache. Any other text goes to the library whole.
+bounded cache. A word of Latin letters alone is one piece, so it goes to the
+library's BPE model directly; other words and texts go to the whole tokenizer.
 """
 
 from __future__ import annotations
 
 import os
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 
 #: Cached words per Python worker, in two halves: when one is full, the other,
-#: with the words not met since, is let go.
-CACHE_WORDS = 1_200_000
+#: with the words not met since, is let go. Longer words are not kept, so the
+#: cache is bounded in bytes as well (about 100 MB).
+CACHE_WORDS = 500_000
+KEPT_CHARS = 48
+CACHE_TAILS = 10_000
 #: ASCII punctuation that may end a word; the apostrophe is left out (contractions).
 RUNS = ("  ", "\n\n", " \n", "\n ")
 #: White space besides space and newline.
 OTHER_SPACE = tuple("\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 STOPS = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
+#: Letters below this one are in every version of the Unicode tables.
+LATIN_END = "ɐ"
+
+
+def _byte_letters() -> dict[int, int]:
+    """The vocabulary's letter of each byte: printable Latin-1 characters stand
+    for themselves, the other bytes for the letters from U+0100 on, in order."""
+    plain = {b for b in range(33, 256) if b not in (127, 173) and not 127 < b < 161}
+    rest = [b for b in range(256) if b not in plain]
+    return {b: 256 + k for k, b in enumerate(rest)}
 
 
 class WordCachedEncoder:
@@ -30,9 +45,12 @@ class WordCachedEncoder:
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # The same model behind a plain split: takes pieces that are cut already.
+        self.pieces = Tokenizer(self.tokenizer.model)
+        self.pieces.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.opens = np.zeros(size, dtype=bool)
         for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
@@ -41,6 +59,7 @@ class WordCachedEncoder:
         self.newline = lone[0] if len(lone) == 1 else None
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2") if size <= 65536 else np.dtype("<u4")
+        self.letters = _byte_letters()
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
@@ -50,10 +69,8 @@ class WordCachedEncoder:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return np.array(ids, dtype=self.dtype).tobytes()
 
-    def _fill(self, words: list[str], joined: str, begins) -> None:
-        """Encode ``words`` in one call; ``begins`` marks the ids that open one."""
-        # The fast call leaves out character offsets, which nothing here needs.
-        ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype=self.dtype)
+    def _fill(self, words: list[str], ids: np.ndarray, begins) -> None:
+        """Deal out the ids of ``words``; ``begins`` marks those that open one."""
         at = np.flatnonzero(begins(ids))
         if len(at) != len(words) or at[0] != 0:
             for w in words:
@@ -63,7 +80,14 @@ class WordCachedEncoder:
         bounds = (at * width).tolist()
         self.cache.update(zip(words, map(raw.__getitem__, map(slice, bounds, [*bounds[1:], len(raw)]))))
 
-    def _learn(self, missing: list[str]) -> None:
+    def _ids(self, tokenizer, joined: str) -> np.ndarray:
+        # The fast call leaves out character offsets, which nothing here needs.
+        return np.array(tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype=self.dtype)
+
+    def _letters(self, word: str) -> str:
+        return word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+
+    def _learn(self, missing: set[str]) -> None:
         cache, bare, ended = self.cache, set(), []
         for w in missing:
             stem = w.rstrip(STOPS)
@@ -74,16 +98,37 @@ class WordCachedEncoder:
                     bare.add(stem)
             else:
                 bare.add(w)
-        spaced = [w for w in bare if w[0] != "\n"]
-        for i in range(0, len(spaced), 20_000):
-            part = spaced[i : i + 20_000]
-            self._fill(part, " " + " ".join(part), self.opens.__getitem__)
-        if first := [w for w in bare if w[0] == "\n"]:
-            self._fill(first, "".join(first), self.newline.__eq__)
+        plain, first, other, opened = [], [], [], []
+        for w in bare:
+            after_line = w[0] == "\n"
+            body = w[1:] if after_line else w
+            if body.isalpha() and (body.isascii() or max(body) < LATIN_END):
+                (first if after_line else plain).append(w)
+            else:
+                (opened if after_line else other).append(w)
+        for i in range(0, len(plain), 20_000):
+            part = plain[i : i + 20_000]
+            self._fill(part, self._ids(self.pieces, "Ġ" + "\nĠ".join(map(self._letters, part))), self.opens.__getitem__)
+        if first and self.newline is not None:
+            joined = "\n".join("Ċ\n" + self._letters(w[1:]) for w in first)
+            self._fill(first, self._ids(self.pieces, joined), lambda ids: ids == self.newline)
+        for i in range(0, len(other), 20_000):
+            part = other[i : i + 20_000]
+            self._fill(part, self._ids(self.tokenizer, " " + " ".join(part)), self.opens.__getitem__)
+        if opened:
+            self._fill(opened, self._ids(self.tokenizer, "".join(opened)), lambda ids: ids == self.newline)
+        if len(self.tails) > CACHE_TAILS:
+            self.tails = {}
         for w, stem, tail in ended:
-            if tail not in self.tails:
-                self.tails[tail] = self.whole(tail)
-            cache[w] = cache[stem] + self.tails[tail]
+            end = self.tails.get(tail)
+            if end is None:
+                end = self.whole(tail)
+                if len(tail) <= KEPT_CHARS:
+                    self.tails[tail] = end
+            cache[w] = cache[stem] + end
+        for w in bare:
+            if len(w) > KEPT_CHARS and w not in missing:
+                del cache[w]
 
     def _keys(self, text: str) -> list[str] | None:
         """The text's words as cache keys; None where white space is irregular."""
@@ -98,14 +143,30 @@ class WordCachedEncoder:
         if len(self.cache) > self.limit // 2:
             self.older, self.cache = self.cache, {}
         split = [self._keys(text) for text in texts]
-        missing = set().union(*(keys for keys in split if keys)).difference(self.cache)
-        older = self.older
-        known = {w: older[w] for w in missing if w in older}
-        self.cache.update(known)
-        if len(known) < len(missing):
-            self._learn([w for w in missing if w not in known])
-        get, width = self.cache.__getitem__, self.dtype.itemsize
-        return [b"".join(map(get, keys))[width:] if keys else self.whole(text) for text, keys in zip(texts, split)]
+        words = list(chain.from_iterable(keys for keys in split if keys))
+        found = list(map(self.cache.get, words))
+        holes = [k for k, raw in enumerate(found) if raw is None]
+        if holes:
+            missing = {words[k] for k in holes}
+            older = self.older
+            known = {w: older[w] for w in missing if w in older}
+            self.cache.update(known)
+            if len(known) < len(missing):
+                self._learn(missing.difference(known))
+            get = self.cache.__getitem__
+            for k in holes:
+                found[k] = get(words[k])
+            for w in missing:
+                if len(w) > KEPT_CHARS:
+                    del self.cache[w]
+        out, at, width = [], 0, self.dtype.itemsize
+        for text, keys in zip(texts, split):
+            if not keys:
+                out.append(self.whole(text))
+                continue
+            out.append(b"".join(found[at : at + len(keys)])[width:])
+            at += len(keys)
+        return out
 
     def ids(self, raw: bytes) -> np.ndarray:
         return np.frombuffer(raw, dtype=self.dtype).astype("<u4")

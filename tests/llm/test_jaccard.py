@@ -4,7 +4,8 @@ import re
 import numpy as np
 import pytest
 
-from halyard.llm.jaccard import Scheme, Shingler, components, drop_near_copies, signatures, similar_components
+from halyard.llm.common import Workspace
+from halyard.llm.jaccard import EMPTY, PLAIN, SKETCH_BITS, WIDE, Scheme, Shingler, components, drop_near_copies, folded, mix, parity_sketch, set_digest, signatures, similar_components
 
 
 def shingles(text, n):
@@ -63,7 +64,7 @@ def near_rows(seed, count=60):
 def test_edits(spark, monkeypatch, cover):
     """With ``cover`` 0 all sets with an empty segment take the further pass."""
     if cover is not None:
-        monkeypatch.setattr(Scheme, "covered", lambda self, m: 0)
+        monkeypatch.setattr(Scheme, "bearable", lambda self, m: 0)
     rows = near_rows(5)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in similar_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute(rows, 4, 85)
@@ -103,9 +104,56 @@ def test_signatures_meet():
     assert met >= 50
 
 
+def test_sets_in_one_segment():
+    """Sets with elements in one segment alone still share a key, by the further pass."""
+    scheme = Scheme(80)
+    for size in (8, 9, 10):
+        m = scheme.segments(scheme.band(size + 2))
+        pool = [t for t in np.arange(1, 4000, dtype=np.uint64) if mix(np.array([t], np.uint64) ^ np.uint64(0x51))[0] % np.uint64(m) == 0]
+        a, b = np.array(pool[:size], np.uint64), np.array(pool[: size + size // 4], np.uint64)
+        assert 100 * len(a) >= 80 * len(b)
+        kinds = [{kind: np.concatenate([k for k, w in signatures(x, scheme) if w == kind] or [np.zeros(0, np.uint64)]) for kind in (WIDE, EMPTY, PLAIN)} for x in (a, b)]
+        met = [(x, y) for x in kinds[0] for y in kinds[1] if len(np.intersect1d(kinds[0][x], kinds[1][y]))]
+        assert any(pair == (PLAIN, PLAIN) or WIDE in pair for pair in met)
+
+
+def test_sketches_bound_the_difference():
+    rng = np.random.default_rng(4)
+    for size in (3, 700, 2049, 9000):
+        a = rng.integers(1, 1 << 62, size, dtype=np.uint64)
+        b = np.concatenate([a[: size - size // 9], rng.integers(1, 1 << 62, size // 8, dtype=np.uint64)])
+        apart = size // 9 + size // 8
+        x, y = parity_sketch(a), parity_sketch(b)
+        assert len(x) == max(SKETCH_BITS, 1 << (size - 1).bit_length()) // 64
+        small = np.bitwise_count((folded(x) ^ folded(y)).view(np.uint64)).sum()
+        assert small <= apart
+        if len(x) == len(y):
+            assert apart * 0.7 <= np.bitwise_count((x ^ y).view(np.uint64)).sum() <= apart
+
+
+def test_names_that_sets_share(spark):
+    """Digests of three bits: sets that share one are told apart by the second."""
+    rows = near_rows(6, 12)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    weak = similar_components(docs, digest=lambda tokens, seed: set_digest(tokens, 1) if seed else set_digest(tokens, 0) % 8)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in weak.collect()} == brute(rows, 4, 85)
+
+
+def test_rows_without_an_id(spark):
+    """They link like others; of a component without any id one row stays."""
+    long = [f"w{k}" for k in range(60)]
+    near, alone = [*long[:-1], "x"], [f"v{k}" for k in range(60)]
+    texts = [(None, " ".join(long)), (5, " ".join(near)), (None, " ".join(alone)), (None, " ".join([*alone[:-1], "y"])), (None, None), (None, "\t\n"), (9, "\t\n"), (9, "\t \n"), (9, "q r"), (9, "s t")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = [(r.doc_id, r.component_id) for r in similar_components(docs).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, [(None, 5), (5, 5), (None, None), (None, None), (None, None), (None, None), (9, 9), (9, 9), (9, 9), (9, 9)]))
+    kept = sorted(((r.doc_id is None, r.doc_id or 0, (r.text or "")[:2]) for r in drop_near_copies(docs).collect()))
+    assert kept == [(False, 5, "w0"), (False, 9, "\t\n"), (False, 9, "\t "), (False, 9, "q "), (False, 9, "s "), (True, 0, ""), (True, 0, "\t\n"), (True, 0, "v0")]
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 102), (102, 101)]
-    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long"), Workspace(spark, "test")).collect()}
     assert got == {**{k: 0 for k in range(41)}, 100: 100, 101: 100, 102: 100}
 
 

@@ -7,8 +7,8 @@ import pytest
 from halyard.llm.common import scratch_path
 from halyard.llm.packing import boundary_after, hilbert_keys, pack_documents
 from halyard.llm.queries import tokenizer_path
-from halyard.llm.token_files import read_document, read_token_files, round_trip, write_token_files
-from halyard.llm.tokenizing import encoder
+from halyard.llm.token_files import read_document, read_token_files, round_trip, train_dictionary, write_token_files
+from halyard.llm.tokenizing import WordCachedEncoder, encoder
 
 ODD = [None, "", "  a  b\n\nc ", "a\n", "\n", "x\ty z", "it's  we'll 12 ½²\n\n", "<|endoftext|> a b", "日本 語 a", "a b,c.\nD!! e", "w " * 30_000]
 
@@ -33,6 +33,25 @@ def test_cached_encoding_equals_library():
     assert [[*enc.ids(b).tolist(), 0] for b in enc.encode_many(texts)] == [reference(t) for t in texts]
 
 
+def test_cache_is_bounded():
+    """Small caches, long words, words of one line each: the ids do not change."""
+    enc = WordCachedEncoder(tokenizer_path(), cache_words=40)
+    texts = [f"word{k} Mot{'é' * (k % 60)} {'long' * k}, line\nAnd{chr(97 + k % 26)}z (x{k})!{'!' * k} it's-{k}" for k in range(300)]
+    for at in range(0, len(texts), 20):
+        part = texts[at : at + 20]
+        assert [[*enc.ids(b).tolist(), 0] for b in enc.encode_many(part)] == [reference(t) for t in part]
+        assert len(enc.older) + len(enc.cache) < 400
+        assert max(map(len, [*enc.cache, *enc.tails]), default=0) <= 48
+
+
+def test_long_documents_train_the_dictionary(spark, monkeypatch):
+    monkeypatch.setattr("halyard.llm.token_files.SAMPLE_IDS", 50)
+    docs = spark.createDataFrame([(k, f"alpha beta {k} gamma " * 200) for k in range(40)], "doc_id long, text string")
+    assert train_dictionary(docs, tokenizer_path())
+    assert train_dictionary(docs, tokenizer_path()) == train_dictionary(docs.repartition(5), tokenizer_path())
+    assert round_trip(docs, tokenizer_path()).count() == 40
+
+
 def test_files_round_trip(spark, odd):
     got = {r.doc_id: r for r in round_trip(odd.repartition(3), tokenizer_path()).collect()}
     start = 0
@@ -48,6 +67,7 @@ def test_single_document_access(spark, odd):
     write_token_files(odd, path, tokenizer_path())
     for k in (2, 9):
         assert read_document(spark, path, 10 * k, tokenizer_path()) == reference(ODD[k])
+    assert read_document(spark, path, 7, tokenizer_path()) is None
     full = {r.doc_id: r.ids for r in read_token_files(spark, path, tokenizer_path(), with_ids=True).collect()}
     assert full[20] == reference(ODD[2])
 
