@@ -144,7 +144,7 @@ def id_ranges(documents: DataFrame) -> Column:
     wanted = max(1, min(MAX_RANGES, sizes["named"] // ROWS_A_BUCKET))
     cuts: list[int] = []
     if sizes["named"] and wanted > 1:
-        shares = F.array(*[F.lit(k / wanted) for k in range(1, wanted)]) if wanted <= 64 else F.transform(F.sequence(F.lit(1), F.lit(wanted - 1)), lambda k: k / F.lit(float(wanted)))
+        shares = F.from_json(F.lit(str([k / wanted for k in range(1, wanted)])), "array<double>")
         cuts = documents.agg(F.percentile_approx("doc_id", shares, F.lit(10 * wanted)).alias("q")).first()["q"]
     bounds = F.from_json(F.lit(str(list(cuts))), "array<bigint>")
     steps = len(cuts).bit_length()
@@ -158,7 +158,7 @@ def id_ranges(documents: DataFrame) -> Column:
 
         def step(span: Column, _: Column) -> Column:
             middle = F.floor((span["lo"] + span["hi"]) / 2).cast("int")
-            cut = F.element_at(bounds, middle + 1)
+            cut = F.element_at(bounds, F.least(middle + 1, F.lit(len(cuts))))
             right = (cut < F.col("doc_id")) if least else (cut <= F.col("doc_id"))
             right = right & (span["lo"] < span["hi"])
             return F.struct(F.when(right, middle + 1).otherwise(span["lo"]).alias("lo"), F.when(right | (span["lo"] >= span["hi"]), span["hi"]).otherwise(middle).alias("hi"))

@@ -173,14 +173,19 @@ def fit_quality(documents: DataFrame, labels: DataFrame, folds: int = 5, held: i
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label"))
     marks = marks.where(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & (fold(folds=folds) != held))
     share = min(1.0, sample_docs / max(1, marks.count()))
-    picked = marks.where(F.pmod(F.xxhash64(F.lit(13), "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    picked = picked.limit(2 * sample_docs)  # a bound for repeated ids
+    picked = marks.withColumn("h", F.xxhash64(F.lit(13), "doc_id")).where(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30)))
+    # Bounds for repeated ids, in an order that makes them repeatable.
+    picked = picked.orderBy("h", "label").limit(2 * sample_docs).drop("h")
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _metadata(documents).alias("n"))
     joined = rows.join(F.broadcast(picked), "doc_id").select("doc_id", "label", "text", "n")
+    joined = joined.orderBy(F.xxhash64(F.lit(13), "doc_id"), F.xxhash64("text"), "label", "n").limit(4 * sample_docs)
     schema = "doc_id long, label int, slots array<bigint>, amounts array<double>, stats array<double>"
-    found = joined.mapInArrow(_features, schema).limit(4 * sample_docs).collect()
-    found.sort(key=lambda r: (r.doc_id, r.label, r.slots))
-    return FactorisationMachine.fit([(r.label, np.array(r.slots, np.int64), np.array(r.amounts), np.array(r.stats)) for r in found])
+    found = joined.mapInArrow(_features, schema).toArrow()
+    order = sorted(range(found.num_rows), key=lambda k: (found["doc_id"][k].as_py(), found["label"][k].as_py(), found["slots"][k].as_py()))
+    # Arrays, not lists: the features of a long document are its whole vocabulary.
+    parts = [found[c].combine_chunks() for c in ("slots", "amounts", "stats")]
+    labels_of = found["label"].to_pylist()
+    return FactorisationMachine.fit([(labels_of[k], *(part[k].values.to_numpy() for part in parts)) for k in order])
 
 
 def quality_score(documents: DataFrame, model: FactorisationMachine) -> Column:

@@ -19,7 +19,7 @@ import numpy as np
 #: Cached words per Python worker, in two halves: when one is full, the other,
 #: with the words not met since, is let go. Longer words are not kept, so the
 #: cache is bounded in bytes as well (about 100 MB).
-CACHE_WORDS = 500_000
+CACHE_WORDS = 700_000
 KEPT_CHARS = 48
 CACHE_TAILS = 10_000
 #: ASCII punctuation that may end a word; the apostrophe is left out (contractions).

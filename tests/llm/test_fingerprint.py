@@ -1,8 +1,9 @@
 import hashlib
+from collections import Counter
 
 from pyspark.sql import functions as F
 
-from halyard.llm.fingerprint import combine, fingerprint_documents, fingerprint_lanes, likeness, remove, to_hex
+from halyard.llm.fingerprint import combine, fingerprint_documents, fingerprint_lanes, id_ranges, likeness, remove, to_hex
 
 
 def test_homomorphism_and_order(spark):
@@ -37,6 +38,24 @@ def test_table(spark, sf):
     assert abs(sum(r.near_edited for r in long) / len(long) - 0.75) < 0.08
 
 
+def test_ranges_follow_the_data(spark, monkeypatch):
+    """Wide, dense, repeated and missing ids in small ranges: the next text is the right one."""
+    monkeypatch.setattr("halyard.llm.fingerprint.ROWS_A_BUCKET", 5)
+    ids = [-(2**62), -(2**63), 0, 2**62, 2**63 - 1, *range(1, 60), *[7] * 30, *[None] * 25]
+    rows = [(i, f"text {k} " + "word " * (k % 9)) for k, i in enumerate(ids)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("tie", F.xxhash64("text"))
+    placed = docs.withColumn("bucket", id_ranges(docs.select("doc_id"))).collect()
+    order = sorted(placed, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.tie))
+    assert [r.bucket for r in order] == sorted(r.bucket for r in order)
+    assert max(Counter(r.bucket for r in placed).values()) <= 25
+    got = Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in fingerprint_documents(docs.select("doc_id", "text")).collect())
+    want = Counter()
+    for k, r in enumerate(order):
+        after, cut = order[(k + 1) % len(order)].text, len(r.text) // 4
+        want[(r.doc_id, len(r.text), hashlib.sha256((r.text[: len(r.text) - cut] + after[:cut]).encode()).hexdigest())] += 1
+    assert got == want
+
+
 def test_edge_rows(spark):
     rows = [(1, None), (5, ""), (5, ""), (9, "a b c d. e f"), (None, "q"), (10**12, "w x\n" * 60_000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as fp", "2 as bucket")
