@@ -156,12 +156,12 @@ def x3(spark, d):
 
 
 @query("x5_metric_stats", """SELECT id, start_time, CAST(2 AS INTEGER) AS metrics, fa AS flops_avg, ba AS bw_avg, bm AS bw_max FROM jobs JOIN (SELECT l_orderkey AS id,
- CAST(sum(CAST(floor(l_extendedprice) AS BIGINT)) AS DOUBLE) / count(*) AS fa, CAST(sum(CAST(l_quantity AS BIGINT)) AS DOUBLE) / count(*) AS ba, max(l_quantity) AS bm FROM lineitem GROUP BY l_orderkey) USING (id) WHERE cluster = 'c1'""")
+ CAST(sum(CAST(floor(l_extendedprice) AS BIGINT)) AS DOUBLE) / count(*) AS fa, CAST(sum(CAST(l_quantity AS BIGINT)) AS DOUBLE) / count(*) AS ba, max(l_quantity) AS bm FROM lineitem GROUP BY l_orderkey) USING (id)""")
 def x5(spark, d):
     from halyard.plans.job_queries import node_averages
 
     stats = node_averages(spark, d).groupBy("id", "metric").agg(F.avg("avg").alias("avg"), F.min("avg").alias("min"), F.max("avg").alias("max"))
-    rows = X.jobs_metric_stats(view(spark, d, "jobs").where("cluster = 'c1'").select("id", "start_time"), stats)
+    rows = X.jobs_metric_stats(view(spark, d, "jobs").select("id", "start_time"), stats)
     flops, bandwidth = F.col("stats")[0], F.col("stats")[1]
     return rows.select("id", "start_time", F.size("stats").alias("metrics"), flops["avg"].alias("flops_avg"), bandwidth["avg"].alias("bw_avg"), bandwidth["max"].alias("bw_max"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,13 +12,15 @@ from pyspark.sql import SparkSession
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests, notebooks) a folder is made and
-    registered, which is right for local mode alone.
+    Only where the setting is absent a folder is made and registered, and only
+    in local mode: executors elsewhere would not see it.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         made = spark.sparkContext.getCheckpointDir()
         if made is None:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="halyard-"))
             made = spark.sparkContext.getCheckpointDir()
         root = made

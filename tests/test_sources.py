@@ -21,7 +21,7 @@ def meta(job_id, start, cluster="alpha", hosts=("h1", "h2"), **more):
 
 @pytest.fixture
 def tree(tmp_path):
-    docs = [meta(1403244, 100), meta(1404397, 200, hosts=("h3",)), meta(7, 300, cluster="beta")]
+    docs = [meta(52017, 100), meta(52018, 200, hosts=("h3",)), meta(7, 300, cluster="beta")]
     for m in docs:
         folder = tmp_path / "tree" / m["cluster"] / str(m["jobId"] // 1000) / f"{m['jobId'] % 1000:03d}" / str(m["startTime"])
         folder.mkdir(parents=True)
@@ -37,7 +37,7 @@ def tree(tmp_path):
 
 def test_read_archive(spark, tree):
     jobs = A.read_job_archive(spark, tree, with_data=True)
-    assert sorted((r.job_id, r.cluster, r.start_time, r.num_nodes) for r in jobs.collect()) == [(7, "beta", 300, 2), (1403244, "alpha", 100, 2), (1404397, "alpha", 200, 1)]
+    assert sorted((r.job_id, r.cluster, r.start_time, r.num_nodes) for r in jobs.collect()) == [(7, "beta", 300, 2), (52017, "alpha", 100, 2), (52018, "alpha", 200, 1)]
     rows = A.job_data_rows(jobs.where("job_id = 7")).orderBy("ts").collect()
     assert [(r.ts, r.value) for r in rows] == [(300, 1.0), (360, None), (420, 3.0)]
     assert A.rejected_documents(spark, tree).count() == 1
@@ -67,9 +67,9 @@ def test_load_archive(spark, tree):
     lists = spark.createDataFrame([("alpha", "main", "h[1-9]")], "cluster string, subcluster string, nodes string")
     jobs, tags, links, rejects = A.load_archive(spark, tree, config, ["alpha"], lists)
     rows = {r.job_id: r for r in jobs.collect()}
-    assert sorted(rows) == [1403244, 1404397]
-    assert rows[1403244].footprint == {"flops_any_avg": 10.5, "mem_used_max": 0.0}
-    assert rows[1403244].energy == pytest.approx(1.0)
+    assert sorted(rows) == [52017, 52018]
+    assert rows[52017].footprint == {"flops_any_avg": 10.5, "mem_used_max": 0.0}
+    assert rows[52017].energy == pytest.approx(1.0)
     assert tags.count() == 1 and links.count() == 2
     assert "unknown cluster" in rejects.first().reasons
 
