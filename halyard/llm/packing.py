@@ -34,6 +34,7 @@ SEQUENCE = 1024
 BUCKETS = 256
 DIMENSIONS = 3
 BITS = 10
+ROWS = 1024  # documents encoded at a time
 REACH = 2.0  # projected values beyond this many units fall in the outer cells
 
 PIECE_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -107,12 +108,12 @@ def _encode(path: str):
         end = np.array([END_ID], dtype=enc.dtype).tobytes()
         size = max(len(enc.opens), END_ID + 1)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                raws = [raw + end for raw in enc.encode_many(batch.column(1).slice(at, 256).to_pylist())]
+            for at in range(0, batch.num_rows, ROWS):
+                raws = [raw + end for raw in enc.encode_many(batch.column(1).slice(at, ROWS).to_pylist())]
                 keys = document_keys([np.frombuffer(raw, dtype=enc.dtype) for raw in raws], size)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(at, 256),
+                        batch.column(0).slice(at, ROWS),
                         pa.array([len(raw) // enc.dtype.itemsize for raw in raws], pa.int64()),
                         pa.array(keys, pa.int64()),
                         pa.array(raws, pa.binary()),

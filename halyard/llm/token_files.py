@@ -39,6 +39,7 @@ from halyard.llm.tokenizing import encoder
 
 END_ID = 0
 BLOCK_DOCS = 256
+ROWS = 1024  # documents encoded at a time
 BLOCK_BYTES = 1 << 18
 LEVEL = 3
 SAMPLE_DOCS = 1500
@@ -118,9 +119,9 @@ def _block_writer(path: str, dictionary: bytes, level: int):
 
         for batch in batches:
             docs, parts = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            for at in range(0, len(docs), 256):
-                texts = batch.column(1).slice(at, 256).to_pylist()
-                for doc_id, p, raw in zip(docs[at : at + 256], parts[at : at + 256], enc.encode_many(texts)):
+            for at in range(0, len(docs), ROWS):
+                texts = batch.column(1).slice(at, ROWS).to_pylist()
+                for doc_id, p, raw in zip(docs[at : at + ROWS], parts[at : at + ROWS], enc.encode_many(texts)):
                     part = p
                     raw += end
                     payload += pack(raw)

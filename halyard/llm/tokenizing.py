@@ -12,9 +12,11 @@ from __future__ import annotations
 
 import os
 from functools import lru_cache
-from itertools import chain
+from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Cached words per Python worker, in two halves: when one is full, the other,
 #: with the words not met since, is let go. Longer words are not kept, so the
@@ -22,6 +24,8 @@ import numpy as np
 CACHE_WORDS = 700_000
 KEPT_CHARS = 48
 CACHE_TAILS = 10_000
+#: Characters whose words are numbered at a time.
+CHUNK_CHARS = 4_000_000
 #: ASCII punctuation that may end a word; the apostrophe is left out (contractions).
 RUNS = ("  ", "\n\n", " \n", "\n ")
 #: White space besides space and newline.
@@ -31,12 +35,16 @@ STOPS = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
 LATIN_END = "ɐ"
 
 
-def _byte_letters() -> dict[int, int]:
+def _byte_letters() -> np.ndarray:
     """The vocabulary's letter of each byte: printable Latin-1 characters stand
-    for themselves, the other bytes for the letters from U+0100 on, in order."""
+    for themselves, the other bytes for the letters from U+0100 on, in order.
+    The newline is left as it is: it parts words."""
     plain = {b for b in range(33, 256) if b not in (127, 173) and not 127 < b < 161}
     rest = [b for b in range(256) if b not in plain]
-    return {b: 256 + k for k, b in enumerate(rest)}
+    letters = np.arange(256, dtype="<u4")
+    letters[rest] = np.arange(256, 256 + len(rest))
+    letters[10] = 10
+    return letters
 
 
 class WordCachedEncoder:
@@ -84,33 +92,32 @@ class WordCachedEncoder:
         # The fast call leaves out character offsets, which nothing here needs.
         return np.array(tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype=self.dtype)
 
-    def _letters(self, word: str) -> str:
-        return word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-
-    def _learn(self, missing: set[str]) -> None:
-        cache, bare, ended = self.cache, set(), []
-        for w in missing:
-            stem = w.rstrip(STOPS)
-            # A run of stops after a letter or digit is always a piece of its own.
-            if len(stem) < len(w) and stem[-1:].isalnum():
-                ended.append((w, stem, w[len(stem) :]))
-                if stem not in cache:
-                    bare.add(stem)
-            else:
-                bare.add(w)
-        plain, first, other, opened = [], [], [], []
+    def _lines(self, words: list[str]) -> str:
+        """Words of letters alone as lines in the vocabulary's letters."""
+        lines = "\n".join(words)
+        return lines if lines.isascii() else self.letters[np.frombuffer(lines.encode(), np.uint8)].tobytes().decode("utf-32-le")
+
+    def _learn(self, missing: list[str]) -> None:
+        cache = self.cache
+        stems = list(map(str.rstrip, missing, repeat(STOPS)))
+        # A run of stops after a letter or digit is always a piece of its own.
+        ended = [(w, stem, w[len(stem) :]) for w, stem in zip(missing, stems) if w != stem and stem[-1:].isalnum()]
+        apart = {stem for _, stem, _ in ended if stem not in cache}
+        bare = apart.union(missing).difference(w for w, _, _ in ended)
+        plain, latin, first, other, opened = [], [], [], [], []
         for w in bare:
             after_line = w[0] == "\n"
             body = w[1:] if after_line else w
             if body.isalpha() and (body.isascii() or max(body) < LATIN_END):
-                (first if after_line else plain).append(w)
+                (first if after_line else plain if body.isascii() else latin).append(w)
             else:
                 (opened if after_line else other).append(w)
-        for i in range(0, len(plain), 20_000):
-            part = plain[i : i + 20_000]
-            self._fill(part, self._ids(self.pieces, "Ġ" + "\nĠ".join(map(self._letters, part))), self.opens.__getitem__)
+        for words in (plain, latin):
+            for i in range(0, len(words), 20_000):
+                part = words[i : i + 20_000]
+                self._fill(part, self._ids(self.pieces, "Ġ" + self._lines(part).replace("\n", "\nĠ")), self.opens.__getitem__)
         if first and self.newline is not None:
-            joined = "\n".join("Ċ\n" + self._letters(w[1:]) for w in first)
+            joined = "Ċ\n" + self._lines([w[1:] for w in first]).replace("\n", "\nĊ\n")
             self._fill(first, self._ids(self.pieces, joined), lambda ids: ids == self.newline)
         for i in range(0, len(other), 20_000):
             part = other[i : i + 20_000]
@@ -126,46 +133,90 @@ class WordCachedEncoder:
                 if len(tail) <= KEPT_CHARS:
                     self.tails[tail] = end
             cache[w] = cache[stem] + end
-        for w in bare:
-            if len(w) > KEPT_CHARS and w not in missing:
+        for w in apart.difference(missing):
+            if len(w) > KEPT_CHARS:
                 del cache[w]
 
-    def _keys(self, text: str) -> list[str] | None:
-        """The text's words as cache keys; None where white space is irregular."""
+    def _regular(self, text: str) -> bool:
         if not text or self.newline is None or text[0] in " \n" or text[-1] in " \n":
-            return None
-        if any(s in text for s in (*RUNS, *OTHER_SPACE, *self.special)):
-            return None
-        return ("\n" + text).replace("\n", " \n").split(" ")[1:]
+            return False
+        return not any(s in text for s in (*RUNS, *OTHER_SPACE, *self.special))
 
-    def encode_many(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian integers of ``self.dtype``."""
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words, from the cache or learnt."""
         if len(self.cache) > self.limit // 2:
             self.older, self.cache = self.cache, {}
-        split = [self._keys(text) for text in texts]
-        words = list(chain.from_iterable(keys for keys in split if keys))
         found = list(map(self.cache.get, words))
-        holes = [k for k, raw in enumerate(found) if raw is None]
-        if holes:
-            missing = {words[k] for k in holes}
-            older = self.older
-            known = {w: older[w] for w in missing if w in older}
-            self.cache.update(known)
-            if len(known) < len(missing):
-                self._learn(missing.difference(known))
-            get = self.cache.__getitem__
-            for k in holes:
-                found[k] = get(words[k])
+        if None in found:
+            missing = [w for w, raw in zip(words, found) if raw is None]
+            known = list(map(self.older.get, missing))
+            self.cache.update((w, raw) for w, raw in zip(missing, known) if raw is not None)
+            if None in known:
+                self._learn([w for w, raw in zip(missing, known) if raw is None])
+            found = list(map(self.cache.__getitem__, words))
             for w in missing:
                 if len(w) > KEPT_CHARS:
                     del self.cache[w]
-        out, at, width = [], 0, self.dtype.itemsize
-        for text, keys in zip(texts, split):
-            if not keys:
-                out.append(self.whole(text))
+        return found
+
+    def _joined(self, keys: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of keys parted by blanks, and the place where each key begins.
+
+        Words are split and numbered by Arrow, so Python meets each distinct
+        word of a chunk once.
+        """
+        coded = pc.split_pattern(pa.array([keys], pa.large_string()), " ").flatten().dictionary_encode()
+        # One string cut by Python: values of an array taken singly cost far more.
+        every = pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary)
+        raws = self._words(pc.binary_join(every, pa.scalar(" ", pa.large_string()))[0].as_py().split(" "))
+        sizes = np.fromiter(map(len, raws), np.int64, len(raws)) // self.dtype.itemsize
+        flat, at = np.frombuffer(b"".join(raws), dtype=self.dtype), coded.indices.to_numpy()
+        n = sizes[at]
+        begins = np.cumsum(n) - n
+        source = np.repeat((np.cumsum(sizes) - sizes)[at] - begins, n)
+        source += np.arange(len(source))
+        return flat[source], begins
+
+    def _long(self, keys: str) -> bytes:
+        """As ``_joined``, in pieces, for a text beyond a chunk."""
+        out, at = [], 0
+        while at < len(keys):
+            cut = keys.find(" ", at + CHUNK_CHARS)
+            cut = len(keys) if cut < 0 else cut
+            out.append(self._joined(keys[at:cut])[0].tobytes())
+            at = cut + 1
+        return b"".join(out)
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian integers of ``self.dtype``."""
+        out: list[bytes] = [b""] * len(texts)
+        chunk: list[tuple[int, str]] = []
+        held, width = 0, self.dtype.itemsize
+
+        def flush() -> None:
+            ids, begins = self._joined(" ".join(keys for _, keys in chunk))
+            words = np.cumsum([0, *(keys.count(" ") + 1 for _, keys in chunk)])
+            bounds = np.append(begins, len(ids))[words].tolist()
+            # The first key of a text has a newline in front that the text has not.
+            for (k, _), lo, hi in zip(chunk, bounds, bounds[1:]):
+                out[k] = ids[lo + 1 : hi].tobytes()
+            chunk.clear()
+
+        for k, text in enumerate(texts):
+            if not self._regular(text):
+                out[k] = self.whole(text)
+                continue
+            keys = "\n" + text.replace("\n", " \n")
+            if len(keys) > CHUNK_CHARS:
+                out[k] = self._long(keys)[width:]
                 continue
-            out.append(b"".join(found[at : at + len(keys)])[width:])
-            at += len(keys)
+            chunk.append((k, keys))
+            held += len(keys)
+            if held > CHUNK_CHARS:
+                flush()
+                held = 0
+        if chunk:
+            flush()
         return out
 
     def ids(self, raw: bytes) -> np.ndarray:
