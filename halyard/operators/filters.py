@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 from functools import reduce
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,8 +48,10 @@ class StringFilter:
 
 
 def like(column: Column, pattern: str) -> Column:
-    """Case-insensitive LIKE; ``%`` and ``_`` in the value stay wildcards."""
-    return column.ilike(pattern.replace("\\", "\\\\"))
+    """LIKE that takes A-Z as a-z and keeps other letters apart; ``%`` and ``_`` in
+    the value stay wildcards."""
+    folded = pattern.translate(str.maketrans(ascii_uppercase, ascii_lowercase))
+    return F.translate(column, ascii_uppercase, ascii_lowercase).like(folded.replace("\\", "\\\\"))
 
 
 @dataclass(frozen=True)

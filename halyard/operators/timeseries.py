@@ -245,11 +245,17 @@ def metric_health(samples: DataFrame, expected: DataFrame, hosts: DataFrame, now
 
     A metric is degraded if any of its series ends more than five steps before
     now, healthy if it has series and none is stale, else missing. A host without
-    data fails; all healthy is full; none healthy fails; else partial.
+    data fails; all healthy is full; none healthy fails; else partial. A series
+    ends with the cell of its last sample, on a grid that begins half a step
+    before its first.
     """
-    last = samples.groupBy("hostname", "scope_id", "metric").agg(F.max("ts").alias("last"))
-    step = F.broadcast(expected)  # configuration
-    judged = last.join(step, "metric").groupBy("hostname", "metric").agg(F.bool_or(F.col("last") < F.lit(now) - 5 * F.col("step")).alias("stale"))
+    spans = samples.groupBy("hostname", "scope_id", "metric").agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
+    end = F.expr("last - (last - first + step div 2) % step + step")
+    judged = (
+        spans.join(F.broadcast(expected), "metric")  # configuration
+        .groupBy("hostname", "metric")
+        .agg(F.bool_or(end < F.lit(now) - 5 * F.col("step")).alias("stale"))
+    )
     grid = hosts.select("hostname").distinct().crossJoin(F.broadcast(expected.select("metric")))
     state = grid.join(judged, ["hostname", "metric"], "left")
     names = lambda c: F.array_sort(F.collect_list(F.when(c, F.col("metric"))))

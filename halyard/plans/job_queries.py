@@ -32,7 +32,7 @@ _filter(
 _filter("f2_string_eq", JobFilter(user=StringFilter(eq="u7", neq="u7")), "hpc_user = 'u7'")
 _filter("f2_string_neq", JobFilter(project=StringFilter(neq="machinery")), "project <> 'machinery'")
 _filter("f2_string_starts", JobFilter(user=StringFilter(starts_with="U1")), "hpc_user ILIKE 'U1%'")
-_filter("f2_string_ends", JobFilter(subcluster=StringFilter(ends_with="IA")), "subcluster ILIKE '%IA'")
+_filter("f2_string_ends", JobFilter(subcluster=StringFilter(ends_with="N_7")), "subcluster ILIKE '%N_7'")
 _filter("f2_string_contains", JobFilter(partition=StringFilter(contains="h_g")), "cluster_partition ILIKE '%h_g%'")
 _filter("f2_string_in", JobFilter(project=StringFilter(is_in=("building", "machinery"))), "project IN ('building', 'machinery')")
 _filter("f3_ranges", JobFilter(duration=Range(1000, 90000), num_nodes=Range(0, 3), num_hwthreads=Range(72, 0), num_acc=Range(0, 0)), "duration BETWEEN 1000 AND 90000 AND num_nodes <= 3 AND num_hwthreads >= 72")

@@ -78,8 +78,8 @@ query("j6_samples_for_jobs", "SELECT j.id, s.seq, s.metric, s.value FROM rebased
 query("j7_user_names", "SELECT s.name, s.total_jobs, coalesce(u.name, '') AS display_name FROM (SELECT hpc_user AS name, count(*) AS total_jobs FROM jobs GROUP BY hpc_user) s LEFT JOIN users u ON u.username = s.name")(
     lambda spark, d: A.with_user_names(A.jobs_stats_grouped(view(spark, d, "jobs"), "hpc_user", NOW, measures=("total_jobs",)), view(spark, d, "users"))
 )
-query("j8_nodes_not_in_db", "SELECT DISTINCT hostname FROM job_hosts WHERE hostname NOT IN (SELECT hostname FROM node_states) AND contains(hostname, '1')")(
-    lambda spark, d: J.nodes_not_in_db(view(spark, d, "job_hosts"), view(spark, d, "node_states"), "1")
+query("j8_nodes_not_in_db", "SELECT DISTINCT concat('n', c_custkey) AS hostname FROM customer WHERE concat('n', c_custkey) NOT IN (SELECT hostname FROM node_states) AND contains(concat('n', c_custkey), '1')")(
+    lambda spark, d: J.nodes_not_in_db(view(spark, d, "customer").select(F.concat(F.lit("n"), F.col("c_custkey")).alias("hostname")), view(spark, d, "node_states"), "1")
 )
 FIRST_HOST = {"hosted": "SELECT j.id, j.cluster, CASE WHEN j.id % 5 = 0 THEN j.subcluster ELSE 'none' END AS subcluster, (SELECT min(hostname) FROM job_hosts h WHERE h.id = j.id) AS first_host FROM jobs j"}
 

@@ -135,7 +135,7 @@ NOW_S = 1706600000
 EXPECT = "(VALUES ('flops_any', 86400), ('mem_bw', 43200), ('cpu_load', 86400)) AS e(metric, step)"
 
 
-@query("t13_metric_health", f"""WITH e AS (SELECT * FROM {EXPECT}), l AS (SELECT hostname, scope_id, metric, max(ts) AS last FROM samples GROUP BY ALL), g AS (SELECT hostname, metric, bool_or(last < {NOW_S} - 5 * step) AS stale FROM l JOIN e USING (metric) GROUP BY ALL),
+@query("t13_metric_health", f"""WITH e AS (SELECT * FROM {EXPECT}), l AS (SELECT hostname, scope_id, metric, min(ts) AS first, max(ts) AS last FROM samples GROUP BY ALL), g AS (SELECT hostname, metric, bool_or(first - step // 2 + ((last - first + step // 2) // step + 1) * step < {NOW_S} - 5 * step) AS stale FROM l JOIN e USING (metric) GROUP BY ALL),
  h AS (SELECT hostname FROM samples UNION SELECT hostname FROM job_hosts), s AS (SELECT hostname, metric, stale FROM h CROSS JOIN e LEFT JOIN g USING (hostname, metric))
  SELECT hostname, coalesce(list(metric ORDER BY metric) FILTER (stale IS NULL), CAST([] AS VARCHAR[])) AS missing, coalesce(list(metric ORDER BY metric) FILTER (stale), CAST([] AS VARCHAR[])) AS degraded, CASE WHEN count(*) FILTER (NOT stale) = 0 THEN 'failed' WHEN count(*) FILTER (stale IS NULL OR stale) = 0 THEN 'full' ELSE 'partial' END AS health_state FROM s GROUP BY hostname""")
 def t13(spark, d):

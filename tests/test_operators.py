@@ -159,3 +159,20 @@ def test_concurrent_running(spark):
     hosts = spark.createDataFrame([(k, "h") for k in (1, 2, 3, 4)], "id long, hostname string")
     got = sorted(tuple(r) for r in J.concurrent_jobs(jobs, hosts, now=9000).collect())
     assert got == [(1, 2), (1, 3), (2, 1), (2, 3), (2, 4)]
+
+
+def test_metric_health_ends_with_the_last_cell(spark):
+    # Cells of 60 from 0 - 30: the sample at 100 lies in [90, 150), so the series ends at 150.
+    samples = spark.createDataFrame([("a", 0, "m", 0), ("a", 0, "m", 100), ("b", 0, "m", 30)], "hostname string, scope_id long, metric string, ts long")
+    expected = spark.createDataFrame([("m", 60)], "metric string, step long")
+    health = lambda now: {r.hostname: r.health_state for r in T.metric_health(samples, expected, samples, now).collect()}
+    assert health(450) == {"a": "full", "b": "failed"}
+    assert health(451) == {"a": "failed", "b": "failed"}
+    assert health(360) == {"a": "full", "b": "full"}
+
+
+def test_like_folds_latin_capitals_alone(spark):
+    df = spark.createDataFrame([("ABC",), ("abc",), ("ÄBC",), ("äbc",), (None,)], "s string")
+    hits = lambda p: sorted(r.s for r in df.where(P.like(F.col("s"), p)).collect())
+    assert hits("a_C") == ["ABC", "abc"]
+    assert hits("Äb%") == ["ÄBC"]
