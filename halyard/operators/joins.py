@@ -6,12 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from halyard.functions.scalars import expand_node_list
+from halyard.operators.filters import User, readable_tags
 
 BUCKET = 86400
 
 
-def job_tag_list(jobs: DataFrame, job_tags: DataFrame, tags: DataFrame) -> DataFrame:
-    """(id, tag_id, tag_type, tag_name): the tags of jobs."""
+def job_tag_list(jobs: DataFrame, job_tags: DataFrame, tags: DataFrame, user: User | None = None) -> DataFrame:
+    """(id, tag_id, tag_type, tag_name): the tags of jobs, for a user those that
+    they may read."""
+    tags = tags if user is None else readable_tags(tags, user)
     links = job_tags.select(F.col("job_id").alias("id"), "tag_id")
     return jobs.select("id").join(links, "id").join(tags, "tag_id").select("id", "tag_id", "tag_type", "tag_name")
 

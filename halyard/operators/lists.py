@@ -101,12 +101,21 @@ def duplicate_start_guard(starts: DataFrame, window: int = 86400) -> DataFrame:
     return starts.join(folded, "id")
 
 
-def node_list_page(latest: DataFrame, number: int, per_page: int, part: str = "") -> DataFrame:
-    """Nodes by host name, a page at a time, with the total and a next-page mark."""
-    rows = latest.where(F.col("hostname").contains(part)) if part else latest
+def node_list_page(latest: DataFrame, number: int, per_page: int, part: str = "", configured: DataFrame | None = None) -> DataFrame:
+    """Nodes by host name, a page at a time, with the total and a next-page mark.
+
+    While no node has a row, the hosts of the cluster configuration (``configured``:
+    hostname) stand in, without states; the part of a name holds for them too."""
+    named = lambda df: df.where(F.col("hostname").contains(part)) if part else df
+    rows = named(latest)
+    if configured is not None:
+        known = rows.agg(F.count(F.lit(1)).alias("_n"))
+        spare = named(configured.select("hostname").distinct()).crossJoin(F.broadcast(known)).where("_n = 0").drop("_n")
+        rows = rows.unionByName(spare, allowMissingColumns=True)
     total = rows.agg(F.count(F.lit(1)).alias("total"))
     cut = page(rows.orderBy("hostname"), number, per_page)
-    return cut.crossJoin(F.broadcast(total)).withColumn("has_next", F.col("total") > number * per_page)
+    more = (F.col("total") > max(1, number) * per_page) if per_page > 0 else F.lit(False)
+    return cut.crossJoin(F.broadcast(total)).withColumn("has_next", more)
 
 
 def job_detail(jobs: DataFrame, tag_rows: DataFrame, stats: DataFrame) -> DataFrame:

@@ -2,14 +2,20 @@
 down-sampling and health.
 
 A sample row has cluster, hostname, scope, scope_id, metric, ts, seq, value. A
-missing value is null. A cell is ``ts div step``; ``t`` is the cell's begin.
+missing value is null. A series' grid begins half a step before its first sample;
+``cell`` numbers its cells from ``begin div step`` on, so that cells of different
+series meet that begin less than a step apart.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from halyard.functions.scalars import sanitize_stats
+from halyard.operators.lists import node_list_page
 
 #: Scopes from fine to coarse (fixed values).
 SCOPE_ORDER = ("accelerator", "hwthread", "core", "memory_domain", "socket", "node")
@@ -21,17 +27,30 @@ LEGAL = {
 SERIES = ("cluster", "hostname", "scope", "scope_id", "metric")
 
 
+def with_cells(samples: DataFrame, step: int, keys: tuple[str, ...] = SERIES) -> DataFrame:
+    """Adds ``cell``, on the grid of the sample's series. Rows without a time have
+    none; a null in a key is a key of its own. The begins of all series are one
+    combined aggregate; AQE broadcasts them if they are few."""
+    begins = samples.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.expr(f"min(ts) - {step} div 2").alias("_begin"))
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    cell = F.floor(F.col("_begin") / step) + F.floor((F.col("ts") - F.col("_begin")) / step)
+    return samples.join(begins, same).withColumn("cell", cell.cast("long")).drop("_begin", *[f"_{k}" for k in keys])
+
+
 def dedup_samples(samples: DataFrame, step: int, keys: tuple[str, ...] = SERIES) -> DataFrame:
-    """The last written value of each series and cell."""
-    cell = F.floor(F.col("ts") / step).cast("long")
-    return samples.groupBy(*keys, cell.alias("cell")).agg(F.max_by("value", "seq").alias("value"))
+    """The last written value of each series and cell. Samples that carry a cell
+    already (``with_cells``, or another grid) keep it."""
+    placed = samples if "cell" in samples.columns else with_cells(samples, step, keys)
+    return placed.groupBy(*keys, "cell").agg(F.max_by("value", "seq").alias("value"))
 
 
 def grid_fill(cells: DataFrame, keys: tuple[str, ...] = SERIES) -> DataFrame:
     """All cells between a series' first and last, missing ones null."""
     spans = cells.groupBy(*keys).agg(F.min("cell").alias("lo"), F.max("cell").alias("hi"))
     dense = spans.withColumn("cell", F.explode(F.sequence("lo", "hi"))).drop("lo", "hi")
-    return dense.join(cells, [*keys, "cell"], "left")
+    # A cell has one value at most; grouping meets nulls in keys, which a join does not.
+    both = dense.withColumn("value", F.lit(None).cast("double")).unionByName(cells.where("cell IS NOT NULL").select(*keys, "cell", "value"))
+    return both.groupBy(*keys, "cell").agg(F.max("value").alias("value"))
 
 
 def align(samples: DataFrame, step: int, keys: tuple[str, ...] = SERIES) -> DataFrame:
@@ -71,10 +90,11 @@ def result_scope(native: str, target: str) -> str | None:
     return scope
 
 
-def scope_rollup(cells: DataFrame, topology: DataFrame, config: DataFrame, native: str, target: str) -> DataFrame:
+def scope_rollup(cells: DataFrame, topology: DataFrame, config: DataFrame, native: str, target: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Native cells to a target scope: sum or average over the series of each
     target, by the metric's aggregation. A cell that any series misses is null.
-    Metrics without aggregation may hold one series a target only."""
+    Metrics without aggregation may hold one series a target only. ``by``: further
+    keys of the cells, as a job's id."""
     scope = result_scope(native, target)
     if scope is None:
         return cells.where(F.lit(False))
@@ -86,7 +106,7 @@ def scope_rollup(cells: DataFrame, topology: DataFrame, config: DataFrame, nativ
         ids = topology.select(F.col(native).cast("long").alias("scope_id"), F.col(scope).cast("long").alias("target")).distinct()
         placed = cells.join(F.broadcast(ids), "scope_id")  # a node's topology is a small document
     placed = placed.join(F.broadcast(config.select("metric", "aggregation")), "metric")
-    base = ("cluster", "hostname", "metric", "target")
+    base = (*by, "cluster", "hostname", "metric", "target")
     size = placed.groupBy(*base).agg(F.countDistinct("scope_id").alias("series"))
     combined = placed.groupBy(*base, "cell").agg(F.sum("value").alias("total"), F.count("value").alias("there"), F.first("aggregation").alias("agg"))
     out = combined.join(size, [*base])
@@ -94,7 +114,7 @@ def scope_rollup(cells: DataFrame, topology: DataFrame, config: DataFrame, nativ
     value = F.when(lone, F.raise_error(F.lit("no aggregation for more than one series"))).when(
         F.col("there") == F.col("series"), F.when(F.col("agg") == "avg", F.col("total") / F.col("series")).otherwise(F.col("total"))
     )
-    return out.select("cluster", "hostname", F.lit(scope).alias("scope"), F.col("target").alias("scope_id"), "metric", "cell", value.alias("value"))
+    return out.select(*by, "cluster", "hostname", F.lit(scope).alias("scope"), F.col("target").alias("scope_id"), "metric", "cell", value.alias("value"))
 
 
 def add_node_scope(cells: DataFrame, topology: DataFrame, config: DataFrame, native: str, metrics: tuple[str, ...] = ("flops_any", "mem_bw")) -> DataFrame:
@@ -211,22 +231,54 @@ def _rollup_by_job(cells: DataFrame, config: DataFrame) -> DataFrame:
     return sums.select(*keys, "cell", value.alias("value"))
 
 
+def _at_scopes(cells: DataFrame, topology: DataFrame, config: DataFrame, native: str, scopes: list[str] | tuple[str, ...], by: tuple[str, ...] = ()) -> DataFrame:
+    """Cells at every wanted scope; scopes that give the same are taken once, and
+    those that give nothing are absent."""
+    wanted = dict.fromkeys(result_scope(native, s) for s in scopes)
+    parts = [scope_rollup(cells, topology, config, native, s, by) for s in wanted if s]
+    columns = [*by, *SERIES, "cell", "value"]
+    return reduce(DataFrame.unionByName, [p.select(*columns) for p in parts]) if parts else cells.select(*columns).where(F.lit(False))
+
+
+def _sanitized(stats: DataFrame) -> DataFrame:
+    names = ("avg", "min", "max")
+    return stats.withColumns(dict(zip(names, sanitize_stats(*[F.col(c) for c in names]))))
+
+
 def scoped_job_stats(cells: DataFrame, topology: DataFrame, config: DataFrame, native: str, scopes: list[str]) -> DataFrame:
     """Statistics at every wanted scope, missing ones as zeros."""
-    from functools import reduce
+    return _sanitized(series_stats(_at_scopes(cells, topology, config, native, scopes)))
 
-    parts = [series_stats(scope_rollup(cells, topology, config, native, s)) for s in scopes]
-    out = reduce(DataFrame.unionByName, parts)
-    gone = F.col("avg").isNull() | F.col("min").isNull() | F.col("max").isNull()
-    return out.withColumns({c: F.when(gone, 0.0).otherwise(F.col(c)) for c in ("avg", "min", "max")})
 
+def archived_job_stats(series: DataFrame, metrics: list[str] | None = None, scopes: list[str] | None = None) -> DataFrame:
+    """The same of finished jobs: the stored statistics of their series, as they
+    are (``series``: id, hostname, scope, scope_id, metric, avg, min, max)."""
+    rows = series.where(F.col("metric").isin(*metrics)) if metrics is not None else series
+    rows = rows.where(F.col("scope").isin(*scopes)) if scopes is not None else rows
+    return rows.select("id", "hostname", "scope", "scope_id", "metric", "avg", "min", "max")
 
-def job_metrics(job_samples: DataFrame, config: DataFrame, step: int, metrics: list[str], resolution: int = 0) -> DataFrame:
-    """Node series of jobs' samples, down-sampled, with each series' statistics."""
-    cells = dedup_samples(job_samples.where(F.col("metric").isin(*metrics)), step, ("id", *SERIES))
-    node = _rollup_by_job(cells, config)
-    keys = ("id", "hostname", "metric")
-    return downsample_lttb(node, resolution, keys).join(series_stats(node, keys), list(keys))
+
+JOB_SERIES = ("id", *SERIES)
+
+
+def job_cells(job_samples: DataFrame, topology: DataFrame, config: DataFrame, step: int, metrics: list[str], scopes: tuple[str, ...] = ("node",), native: str = "hwthread") -> DataFrame:
+    """Cells of jobs' samples at every wanted scope; metrics without a
+    configuration are left out."""
+    rows = job_samples.where(F.col("metric").isin(*metrics)).join(config.select("metric").distinct(), "metric", "left_semi")
+    return _at_scopes(dedup_samples(rows, step, JOB_SERIES), topology, config, native, scopes, ("id",))
+
+
+def job_metrics(cells: DataFrame, resolution: int | None = None, resolutions: tuple[int, ...] = ()) -> DataFrame:
+    """Series of ``job_cells``, each down-sampled to ``resolution`` points (None: the
+    greatest of the configured ``resolutions``; 0: all) with its statistics over all
+    cells, missing ones as zeros. Scopes and metrics without values are absent."""
+    size = max(resolutions, default=0) if resolution is None else resolution
+    return downsample_lttb(cells, size, JOB_SERIES).join(_sanitized(series_stats(cells, JOB_SERIES)), list(JOB_SERIES))
+
+
+def job_stats_series(cells: DataFrame, least: int = 8) -> DataFrame:
+    """Least, mean, median and greatest value a cell of jobs with many series at a scope."""
+    return stats_series(cells, ("id", "metric", "scope"), least)
 
 
 def node_metrics(cells: DataFrame, topology: DataFrame, config: DataFrame, states: DataFrame, metrics: list[str], start: int, end: int, step: int, hosts: list[str] | None = None, native: str = "hwthread") -> DataFrame:
@@ -240,6 +292,20 @@ def node_metrics(cells: DataFrame, topology: DataFrame, config: DataFrame, state
     return node.join(stats, ["hostname", "metric"]).join(info, "hostname", "left").select("hostname", "metric", "cell", "value", "avg", "min", "max", "node_state", "health_state")
 
 
+def node_metrics_list(
+    cells: DataFrame, topology: DataFrame, config: DataFrame, latest: DataFrame, metrics: list[str], start: int, end: int, step: int,
+    number: int, per_page: int, part: str = "", scopes: tuple[str, ...] = ("node",), resolution: int = 0, native: str = "hwthread", configured: DataFrame | None = None,
+) -> DataFrame:
+    """A page of nodes by host name with their series in a time range at every
+    wanted scope, down-sampled, with statistics, states, the total and a next-page
+    mark. Hosts without series are absent; ``configured`` as in ``node_list_page``."""
+    shown = node_list_page(latest, number, per_page, part, configured).select("hostname", "node_state", "health_state", "total", "has_next")
+    rows = cells.where(F.col("metric").isin(*metrics)).join(shown.select("hostname"), "hostname", "left_semi")
+    inside = read_range(_at_scopes(rows, topology, config, native, scopes), start, end, step)
+    series = downsample_lttb(inside, resolution).join(_sanitized(series_stats(inside)), list(SERIES))
+    return series.join(shown, "hostname")
+
+
 def metric_health(samples: DataFrame, expected: DataFrame, hosts: DataFrame, now: int) -> DataFrame:
     """Health of each host by its expected metrics (``expected``: metric, step).
 

@@ -32,6 +32,9 @@ query("x4_top_projects", "SELECT project AS name, count(*) AS total_jobs FROM jo
 query("j1_job_tags", "SELECT j.id, tag_id, tag_type, tag_name FROM jobs j JOIN job_tags jt ON jt.job_id = j.id JOIN tags USING (tag_id)")(
     lambda spark, d: J.job_tag_list(view(spark, d, "jobs"), view(spark, d, "job_tags"), view(spark, d, "tags"))
 )
+query("j1_readable_tags", "SELECT j.id, tag_id, tag_type, tag_name FROM jobs j JOIN job_tags jt ON jt.job_id = j.id JOIN tags USING (tag_id) WHERE tag_scope IN ('global', 'u1')")(
+    lambda spark, d: J.job_tag_list(view(spark, d, "jobs"), view(spark, d, "job_tags"), view(spark, d, "tags"), P.User("u1", frozenset({"user"})))
+)
 for _mode, _cond in (("all", "true"), ("user", "tag_type NOT IN ('app', 'jobClass')")):
     query(f"j4_anti_tagged_{_mode}", f"SELECT id FROM jobs WHERE id NOT IN (SELECT job_id FROM job_tags JOIN tags USING (tag_id) WHERE {_cond})")(
         lambda spark, d, mode=_mode: J.anti_tagged(view(spark, d, "jobs"), view(spark, d, "job_tags"), view(spark, d, "tags"), mode).select("id")
@@ -50,20 +53,19 @@ def j3(spark, d):
     return N.nodes_with_state(nodes, view(spark, d, "node_states")).select("node_id", "id", "node_state")
 
 
-@query("j5_concurrent_jobs", f"""WITH p AS (SELECT id, cluster, job_state, shared, start_time, CASE WHEN job_state = 'running' THEN {NOW} ELSE start_time + duration END AS e, hostname FROM jobs JOIN job_hosts USING (id) WHERE start_time > 960000000)
+CONCURRENT = f"""WITH p AS (SELECT id, cluster, job_state, shared, start_time, CASE WHEN job_state = 'running' THEN {NOW} ELSE start_time + duration END AS e, hostname FROM jobs JOIN job_hosts USING (id))
  SELECT DISTINCT a.id, b.id AS other FROM p a JOIN p b ON a.cluster = b.cluster AND a.hostname = b.hostname AND a.id <> b.id WHERE a.shared <> 'none' AND a.e - a.start_time > 600
- AND ((b.job_state <> 'running' AND b.start_time < a.e - 200 AND b.e > a.start_time + 200) OR (b.job_state = 'running' AND b.start_time <= a.e - 200))""")
-def j5(spark, d):
-    return J.concurrent_jobs(view(spark, d, "jobs").where("start_time > 960000000"), view(spark, d, "job_hosts"), NOW)
+ AND ((b.job_state <> 'running' AND b.start_time < a.e - 200 AND b.e > a.start_time + 200) OR (b.job_state = 'running' AND b.start_time <= a.e - 200))"""
 
 
-@query("j5_concurrent_jobs_all", f"""WITH p AS (SELECT id, cluster, job_state, shared, start_time, CASE WHEN job_state = 'running' THEN {NOW} ELSE start_time + duration END AS e, hostname FROM jobs JOIN job_hosts USING (id))
- SELECT DISTINCT a.id, b.id AS other FROM p a JOIN p b ON a.cluster = b.cluster AND a.hostname = b.hostname AND a.id <> b.id WHERE a.shared <> 'none' AND a.e - a.start_time > 600
- AND ((b.job_state <> 'running' AND b.start_time < a.e - 200 AND b.e > a.start_time + 200) OR (b.job_state = 'running' AND b.start_time <= a.e - 200))""")
-def j5_all(spark, d):
+def j5(spark, d):
     return J.concurrent_jobs(view(spark, d, "jobs"), view(spark, d, "job_hosts"), NOW)
 
 
+for _name in ("j5_concurrent_jobs", "j5_concurrent_jobs_all"):  # two names of one query
+    query(_name, CONCURRENT)(j5)
+
+
 REBASED = {"rebased": f"SELECT id, job_state, hpc_user, num_nodes, {REBASE} + start_time % {REBASE_SPAN} AS start_time, duration FROM jobs"}
 
 
@@ -138,14 +140,11 @@ def a33(spark, d):
     return X.job_detail(jobs, rows, stats).drop("monitoring_status")
 
 
-query("x1_order_by_column", "SELECT id, start_time FROM jobs ORDER BY start_time DESC, id LIMIT 50")(lambda spark, d: X.order_jobs(view(spark, d, "jobs"), "startTime", "col", "DESC").select("id", "start_time").limit(50))
-query("x1_order_by_footprint", "SELECT id, flops_any_avg FROM jobs WHERE flops_any_avg IS NOT NULL ORDER BY flops_any_avg, id LIMIT 50")(
-    lambda spark, d: X.order_jobs(full_jobs(spark, d), "flops_any_avg", "foot", "ASC").select("id", "flops_any_avg").limit(50)
-)
-query("x1_order_by_column_all", "SELECT id, start_time FROM jobs ORDER BY start_time DESC, id")(lambda spark, d: X.order_jobs(view(spark, d, "jobs"), "startTime", "col", "DESC").select("id", "start_time"))
-query("x1_order_by_footprint_all", "SELECT id, flops_any_avg FROM jobs WHERE flops_any_avg IS NOT NULL ORDER BY flops_any_avg, id")(
-    lambda spark, d: X.order_jobs(full_jobs(spark, d), "flops_any_avg", "foot", "ASC").select("id", "flops_any_avg")
-)
+for _tail in ("", "_all"):  # two names of one query
+    query(f"x1_order_by_column{_tail}", "SELECT id, start_time FROM jobs ORDER BY start_time DESC, id")(lambda spark, d: X.order_jobs(view(spark, d, "jobs"), "startTime", "col", "DESC").select("id", "start_time"))
+    query(f"x1_order_by_footprint{_tail}", "SELECT id, flops_any_avg FROM jobs WHERE flops_any_avg IS NOT NULL ORDER BY flops_any_avg, id")(
+        lambda spark, d: X.order_jobs(full_jobs(spark, d), "flops_any_avg", "foot", "ASC").select("id", "flops_any_avg")
+    )
 query("x2_page", "SELECT id, duration FROM jobs ORDER BY duration, id LIMIT 25 OFFSET 50")(lambda spark, d: X.page(X.order_jobs(view(spark, d, "jobs"), "duration"), 3, 25).select("id", "duration"))
 
 
@@ -169,6 +168,9 @@ def x5(spark, d):
 query("x6_node_list_page", f"SELECT hostname, node_state, (SELECT count(*) FROM {LATEST} WHERE contains(hostname, '1')) AS total, (SELECT count(*) FROM {LATEST} WHERE contains(hostname, '1')) > 20 AS has_next FROM {LATEST} WHERE contains(hostname, '1') ORDER BY hostname LIMIT 10 OFFSET 10")(
     lambda spark, d: X.node_list_page(N.latest_node_state(view(spark, d, "node_states")), 2, 10, "1").select("hostname", "node_state", "total", "has_next")
 )
+query("x6_node_list_configured", "SELECT hostname, CAST(NULL AS VARCHAR) AS node_state, count(*) OVER () AS total, count(*) OVER () > 20 AS has_next FROM (SELECT DISTINCT hostname FROM job_hosts WHERE contains(hostname, '1')) ORDER BY hostname LIMIT 10 OFFSET 10")(
+    lambda spark, d: X.node_list_page(N.latest_node_state(view(spark, d, "node_states")).where("cluster = 'unknown'"), 2, 10, "1", view(spark, d, "job_hosts")).select("hostname", "node_state", "total", "has_next")
+)
 SCOPED = "SELECT hostname, metric, CASE seq % 5 WHEN 0 THEN 'hwthread' WHEN 1 THEN 'core' WHEN 2 THEN 'socket' ELSE 'node' END AS scope, scope_id, seq FROM samples WHERE NOT (metric = 'mem_bw' AND seq % 5 = 1)"
 
 
@@ -290,11 +292,8 @@ query("c13_quality", """SELECT seq, CAST(CASE WHEN lower_is_better THEN CASE WHE
 query("c14_scaled_threshold", "SELECT id, CASE WHEN shared = 'none' THEN 500.0D ELSE floor(500.0D * num_hwthreads / 144 + 0.5D) END AS peak FROM jobs")(
     lambda spark, d: view(spark, d, "jobs").select("id", S.scaled_threshold(F.lit(500.0), F.col("shared"), F.lit("max"), F.col("num_hwthreads"), F.lit(144)).alias("peak"))
 )
-query("c15_scheduler_state", f"""SELECT node_id, CASE WHEN s && ['allocated'] THEN 'allocated' WHEN s && ['reserved'] THEN 'reserved' WHEN s && ['idle'] AND s && ['down'] THEN 'down' WHEN s && ['idle'] THEN 'idle' WHEN s && ['down'] THEN 'down' WHEN s && ['mixed'] THEN 'mixed' ELSE 'unknown' END AS state
- FROM (SELECT node_id, list(lower(node_state)) AS s FROM node_states WHERE id % 37 < 2 GROUP BY node_id)""")(
-    lambda spark, d: N.scheduler_states(view(spark, d, "node_states").where("id % 37 < 2"))
-)
-query("c15_scheduler_state_all", """SELECT node_id, CASE WHEN s && ['allocated'] THEN 'allocated' WHEN s && ['reserved'] THEN 'reserved' WHEN s && ['idle'] AND s && ['down'] THEN 'down' WHEN s && ['idle'] THEN 'idle' WHEN s && ['down'] THEN 'down' WHEN s && ['mixed'] THEN 'mixed' ELSE 'unknown' END AS state
+for _name in ("c15_scheduler_state", "c15_scheduler_state_all"):  # two names of one query
+    query(_name, """SELECT node_id, CASE WHEN s && ['allocated'] THEN 'allocated' WHEN s && ['reserved'] THEN 'reserved' WHEN s && ['idle'] AND s && ['down'] THEN 'down' WHEN s && ['idle'] THEN 'idle' WHEN s && ['down'] THEN 'down' WHEN s && ['mixed'] THEN 'mixed' ELSE 'unknown' END AS state
  FROM (SELECT node_id, list(DISTINCT lower(node_state)) AS s FROM node_states GROUP BY node_id)""")(lambda spark, d: N.scheduler_states(view(spark, d, "node_states")))
 query("c16_peak_fraction", "SELECT seq, coalesce(least(1.0D, value / 100 / peak), 0.0D) AS part FROM samples LEFT JOIN (SELECT * FROM metric_config WHERE metric <> 'mem_bw') USING (metric)")(
     lambda spark, d: view(spark, d, "samples").join(view(spark, d, "metric_config").where("metric <> 'mem_bw'"), "metric", "left").select("seq", S.peak_fraction(F.col("value") / 100, F.col("peak")).alias("part"))

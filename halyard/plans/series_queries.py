@@ -14,11 +14,13 @@ from halyard.plans.registry import query
 
 EXTRA = {
     **REBASED,
-    "cells": f"SELECT cluster, hostname, scope, scope_id, metric, ts // {STEP} AS cell, arg_max(value, seq) AS value FROM samples GROUP BY ALL",
+    "begins": f"SELECT *, min(ts) OVER (PARTITION BY cluster, hostname, scope, scope_id, metric) - {STEP} // 2 AS begins FROM samples",
+    "placed": f"SELECT * EXCLUDE (begins), begins // {STEP} + (ts - begins) // {STEP} AS cell FROM begins",
+    "cells": "SELECT cluster, hostname, scope, scope_id, metric, cell, arg_max(value, seq) AS value FROM placed GROUP BY ALL",
     "node_cells": """SELECT c.cluster, c.hostname, 'node' AS scope, CAST(0 AS BIGINT) AS scope_id, c.metric, cell, CASE WHEN count(value) = any_value(series) THEN CASE WHEN any_value(aggregation) = 'avg' THEN sum(value) / any_value(series) ELSE sum(value) END END AS value
  FROM cells c JOIN (SELECT cluster, hostname, metric, count(DISTINCT scope_id) AS series FROM cells GROUP BY ALL) s USING (cluster, hostname, metric) JOIN metric_config m ON m.metric = c.metric GROUP BY c.cluster, c.hostname, c.metric, cell""",
-    "job_samples": "SELECT j.id, s.* FROM rebased j JOIN job_hosts h USING (id) JOIN samples s ON s.hostname = h.hostname AND s.ts >= j.start_time AND s.ts < j.start_time + j.duration",
-    "job_cells": f"SELECT id, hostname, scope_id, metric, ts // {STEP} AS cell, arg_max(value, seq) AS value FROM job_samples GROUP BY ALL",
+    "job_samples": "SELECT j.id, s.* FROM rebased j JOIN job_hosts h USING (id) JOIN placed s ON s.hostname = h.hostname AND s.ts >= j.start_time AND s.ts < j.start_time + j.duration",
+    "job_cells": "SELECT id, hostname, scope_id, metric, cell, arg_max(value, seq) AS value FROM job_samples GROUP BY ALL",
     "job_node_cells": """SELECT c.id, c.hostname, c.metric, cell, CASE WHEN count(value) = any_value(series) THEN CASE WHEN any_value(aggregation) = 'avg' THEN sum(value) / any_value(series) ELSE sum(value) END END AS value
  FROM job_cells c JOIN (SELECT id, hostname, metric, count(DISTINCT scope_id) AS series FROM job_cells GROUP BY ALL) s USING (id, hostname, metric) JOIN metric_config m ON m.metric = c.metric GROUP BY c.id, c.hostname, c.metric, cell""",
 }
@@ -33,7 +35,7 @@ def node_cells(spark, d):
 
 
 def job_samples(spark, d):
-    return J.samples_for_jobs(view(spark, d, "samples"), rebased_jobs(spark, d), view(spark, d, "job_hosts"))
+    return J.samples_for_jobs(T.with_cells(view(spark, d, "samples"), STEP), rebased_jobs(spark, d), view(spark, d, "job_hosts"))
 
 
 KEYS = "cluster, hostname, scope, scope_id, metric"
@@ -105,9 +107,41 @@ def t6(spark, d):
     return T.downsample_lttb(hourly, 60, ("metric",))
 
 
+def job_cells(spark, d, metrics, scopes=("node",)):
+    return T.job_cells(job_samples(spark, d), view(spark, d, "topology"), view(spark, d, "metric_config"), STEP, metrics, scopes)
+
+
 query("t7_job_metrics", "SELECT c.id, c.hostname, c.metric, c.cell, c.value, s.a AS avg, s.lo AS min, s.hi AS max, s.n AS samples FROM job_node_cells c JOIN (SELECT id, hostname, metric, avg(value) AS a, min(value) AS lo, max(value) AS hi, count(value) AS n FROM job_node_cells GROUP BY ALL) s USING (id, hostname, metric) WHERE value IS NOT NULL AND metric IN ('flops_any', 'mem_used')", EXTRA)(
-    lambda spark, d: T.job_metrics(job_samples(spark, d), view(spark, d, "metric_config"), STEP, ["flops_any", "mem_used"])
+    lambda spark, d: T.job_metrics(job_cells(spark, d, ["flops_any", "mem_used"])).drop("cluster", "scope", "scope_id")
+)
+# Every metric at three scopes: sums of whole hundredths, so no order of adding shows.
+SCOPED = {
+    **EXTRA,
+    "job_socket_cells": """SELECT c.id, c.hostname, c.metric, t.socket, cell, CASE WHEN count(value) = any_value(series) THEN sum(value) END AS value FROM job_cells c JOIN topology t ON t.hwthread = c.scope_id
+ JOIN (SELECT id, hostname, metric, socket, count(DISTINCT scope_id) AS series FROM job_cells JOIN topology ON hwthread = scope_id GROUP BY ALL) s ON s.id = c.id AND s.hostname = c.hostname AND s.metric = c.metric AND s.socket = t.socket GROUP BY c.id, c.hostname, c.metric, t.socket, cell""",
+    "job_scoped": """SELECT * FROM (SELECT id, hostname, 'hwthread' AS scope, scope_id, metric, cell, value FROM job_cells UNION ALL SELECT id, hostname, 'socket', CAST(socket AS BIGINT), metric, cell, value FROM job_socket_cells
+ UNION ALL SELECT id, hostname, 'node', CAST(0 AS BIGINT), metric, cell, value FROM job_node_cells) WHERE metric IN ('flops_any', 'mem_bw', 'mem_used', 'cpu_power')""",
+}
+SUMMED, THREE = ["flops_any", "mem_bw", "mem_used", "cpu_power", "unknown"], ("node", "socket", "hwthread")
+ONE_SERIES = "id, hostname, scope, scope_id, metric"
+query("t7_job_metrics_scopes", f"SELECT {ONE_SERIES}, cell, value, a AS avg, lo AS min, hi AS max, n AS samples FROM job_scoped JOIN (SELECT {ONE_SERIES}, avg(value) AS a, min(value) AS lo, max(value) AS hi, count(value) AS n FROM job_scoped GROUP BY ALL) USING ({ONE_SERIES}) WHERE value IS NOT NULL", SCOPED)(
+    lambda spark, d: T.job_metrics(job_cells(spark, d, SUMMED, THREE)).drop("cluster")
 )
+query("t7_job_stats_series", """SELECT id, metric, scope, cell, min(value) AS min, avg(value) AS mean, median(value) AS median, max(value) AS max FROM job_scoped WHERE (id, metric, scope) IN (SELECT (id, metric, scope) FROM job_scoped GROUP BY id, metric, scope HAVING count(DISTINCT (hostname, scope_id)) >= 3) GROUP BY id, metric, scope, cell""", SCOPED)(
+    lambda spark, d: T.job_stats_series(job_cells(spark, d, SUMMED, THREE), least=3)
+)
+
+
+@query("t9_archived_stats", "SELECT l_orderkey AS id, concat('n', l_suppkey) AS hostname, 'socket' AS scope, CAST(l_linenumber AS BIGINT) AS scope_id, 'flops_any' AS metric, l_quantity AS avg, l_discount AS min, l_extendedprice AS max FROM lineitem WHERE l_linenumber % 2 = 1")
+def t9_archived(spark, d):
+    odd = F.col("l_linenumber") % 2 == 1
+    series = view(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("id"), F.concat(F.lit("n"), "l_suppkey").alias("hostname"), F.when(odd, "socket").otherwise("core").alias("scope"), F.col("l_linenumber").cast("long").alias("scope_id"),
+        F.lit("flops_any").alias("metric"), F.col("l_quantity").alias("avg"), F.col("l_discount").alias("min"), F.col("l_extendedprice").alias("max"),
+    )
+    return T.archived_job_stats(series, ["flops_any"], ["socket", "node"])
+
+
 query("t8_job_node_stats", "SELECT id, hostname, metric, avg(value) AS avg, min(value) AS min, max(value) AS max, count(value) AS samples FROM job_node_cells GROUP BY ALL HAVING avg(value) IS NOT NULL", EXTRA)(
     lambda spark, d: T.job_node_stats(job_samples(spark, d), view(spark, d, "topology"), view(spark, d, "metric_config"), STEP)
 )
@@ -131,6 +165,17 @@ def t11(spark, d):
     return T.node_metrics(rows, view(spark, d, "topology"), view(spark, d, "metric_config"), latest, ["flops_any"], LO, HI, STEP)
 
 
+PAGE_SQL = f"(SELECT hostname, node_state, health_state, count(*) OVER () AS total, count(*) OVER () > 40 AS has_next FROM {LATEST} ORDER BY hostname LIMIT 20 OFFSET 20)"
+
+
+@query("t11_node_metrics_page", f"""WITH p AS {PAGE_SQL}, r AS (SELECT hostname, scope, scope_id, metric, cell, value FROM (SELECT * FROM cells UNION ALL SELECT * FROM node_cells) WHERE metric IN ('flops_any', 'mem_bw') AND cell BETWEEN {A_} AND {B_} AND hostname IN (SELECT hostname FROM p))
+ SELECT r.*, a AS avg, lo AS min, hi AS max, n AS samples, node_state, health_state, total, has_next FROM r JOIN (SELECT hostname, scope, scope_id, metric, avg(value) AS a, min(value) AS lo, max(value) AS hi, count(value) AS n FROM r GROUP BY ALL) s USING (hostname, scope, scope_id, metric) JOIN p USING (hostname) WHERE value IS NOT NULL""", EXTRA)
+def t11_page(spark, d):
+    latest = N.latest_node_state(view(spark, d, "node_states"))
+    rows = T.node_metrics_list(cells(spark, d), view(spark, d, "topology"), view(spark, d, "metric_config"), latest, ["flops_any", "mem_bw"], LO, HI, STEP, 2, 20, scopes=("node", "hwthread"))
+    return rows.drop("cluster")
+
+
 NOW_S = 1706600000
 EXPECT = "(VALUES ('flops_any', 86400), ('mem_bw', 43200), ('cpu_load', 86400)) AS e(metric, step)"
 

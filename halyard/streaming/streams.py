@@ -20,7 +20,9 @@ BUFFER_CELLS = 512
 
 def ingest_samples(lines: DataFrame, default_cluster: str, config: DataFrame, step: int) -> DataFrame:
     """Line protocol to the last value of each series and cell. Samples later than
-    512 cells are dropped by the watermark; ``lines``: line, seq (arrival)."""
+    512 cells are dropped by the watermark; ``lines``: line, seq (arrival). A stream
+    does not know a series' first sample for good, so cells begin at multiples of
+    the step."""
     rows = parse_line_protocol(lines, default_cluster, config, keep=("seq",))
     stamped = rows.withColumn("time", F.timestamp_seconds("ts")).withWatermark("time", f"{BUFFER_CELLS * step} seconds")
     cell = F.window("time", f"{step} seconds")

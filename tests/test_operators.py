@@ -95,6 +95,9 @@ def test_align(spark):
     samples = spark.createDataFrame(rows, "cluster string, hostname string, scope string, scope_id long, metric string, ts long, seq long, value double")
     got = [(r.cell, r.value) for r in T.align(samples, 10).orderBy("cell").collect()]
     assert got == [(0, 2.0), (1, None), (2, None), (3, 4.0)]
+    # The grid begins at 8 - 5 = 3: 12 is in the first cell, 13 in the next.
+    late = samples.limit(0).union(spark.createDataFrame([("c", "h", "node", None, "m", ts, ts, float(ts)) for ts in (8, 12, 13, 32, 33)], samples.schema))
+    assert [(r.cell, r.value) for r in T.align(late, 10).orderBy("cell").collect()] == [(0, 12.0), (1, 13.0), (2, 32.0), (3, 33.0)]
     padded = T.read_range(T.align(samples, 10), -20, 40, 10, pad=True).orderBy("cell").collect()
     assert [(r.cell, r.value) for r in padded][:3] == [(-2, None), (-1, None), (0, 2.0)]
 
