@@ -1,6 +1,7 @@
 """Unit tables of operators, by meaning; SQL equivalence is in test_oracle.py."""
 
 import math
+import json
 import random
 
 import pytest
@@ -179,3 +180,22 @@ def test_like_folds_latin_capitals_alone(spark):
     hits = lambda p: sorted(r.s for r in df.where(P.like(F.col("s"), p)).collect())
     assert hits("a_C") == ["ABC", "abc"]
     assert hits("Äb%") == ["ÄBC"]
+
+
+def test_rule_and_pattern_files(spark, tmp_path):
+    from halyard.operators import rules as R
+
+    (tmp_path / "solver.txt").write_text("  solve[-_]run\\S\n\nmpirun +solver\n")
+    (tmp_path / "blank.txt").write_text("\n")
+    assert R.read_patterns(spark, str(tmp_path)) == {"solver": ["solve[-_]run\\S", "mpirun +solver"]}
+    doc = {"name": "Idle", "tag": "idle", "parameters": ["least"], "metrics": ["load"], "requirements": ["job.id % 2 == 0"], "variables": [{"name": "share", "expr": "load.avg / job.cores"}], "rule": "share < least", "hint": "share {{.share}}"}
+    (tmp_path / "idle.json").write_text(json.dumps(doc))
+    (tmp_path / "parameters.json").write_text(json.dumps({"least": 0.5, "note": "text"}))
+    rules, params = R.read_rules(spark, str(tmp_path))
+    assert params == {"least": 0.5} and [r.tag for r in rules] == ["idle"]
+    stats = "map<string,struct<avg:double,min:double,max:double>>"
+    jobs = spark.createDataFrame([(k, 4, {"load": (avg, 0.0, 4.0)}, {}) for k, avg in ((1, 1.0), (2, 1.0), (4, 3.0))], f"id long, cores int, stats {stats}, limits {stats}")
+    assert [(r.id, list(r.tags), r.message) for r in R.classify_jobs(jobs, rules, params).collect()] == [(2, ["idle"], "share 0.25")]
+    (tmp_path / "parameters.json").write_text("{}")
+    with pytest.raises(ValueError, match="unknown parameters least"):
+        R.read_rules(spark, str(tmp_path))
