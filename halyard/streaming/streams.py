@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from halyard import schemas
 from halyard.functions.scalars import scheduler_state
+from halyard.operators.joins import assign_subcluster
 from halyard.operators.nodes import join_health
 from halyard.sources.line_protocol import parse_line_protocol
 
@@ -113,10 +114,16 @@ def job_lifecycle_batch(events: DataFrame) -> DataFrame:
     return parse_job_events(events).groupBy("cluster", "job_id").applyInPandas(fold, JOBS_OUT)
 
 
-def node_state_rows(events: DataFrame, health: DataFrame) -> DataFrame:
+def node_state_rows(events: DataFrame, health: DataFrame, node_lists: DataFrame | None = None) -> DataFrame:
     """Node updates (hostname, states, time_stamp, ...) with one scheduler state
-    and joined health; works on a stream with a static health table."""
-    return join_health(events.withColumn("node_state", scheduler_state(F.col("states"))).drop("states"), health)
+    and joined health; works on a stream with a static health table. With the
+    ``node_lists`` of the configuration (cluster, subcluster, nodes) updates, which
+    then hold cluster, get the subcluster of their host, null if none lists it."""
+    out = join_health(events.withColumn("node_state", scheduler_state(F.col("states"))).drop("states"), health)
+    if node_lists is None:
+        return out
+    hosted = out.withColumn("first_host", F.col("hostname")).withColumn("subcluster", F.lit(None).cast("string"))
+    return assign_subcluster(hosted, node_lists).drop("first_host", "subcluster").withColumnRenamed("assigned", "subcluster")
 
 
 def sync_sink(

@@ -77,6 +77,16 @@ def test_node_states(spark, tmp_path):
     assert sorted((r.hostname, r.node_state, r.health_state) for r in got.collect()) == [("h1", "idle", "partial"), ("h2", "down", "full"), ("h3", "mixed", "failed")]
 
 
+def test_node_subclusters(spark, tmp_path):
+    path = str(tmp_path / "ns")
+    schema = "hostname string, cluster string, states array<string>, time_stamp long"
+    write_lines(spark, path, [("n1", "a", ["IDLE"], 5), ("n9", "a", ["IDLE"], 5), ("n1", "b", ["IDLE"], 5)], schema)
+    health = spark.createDataFrame([("n1", "full")], "hostname string, health_state string")
+    lists = spark.createDataFrame([("a", "low", "n[1-3]"), ("a", "rest", "*")], "cluster string, subcluster string, nodes string")
+    got = run_stream(node_state_rows(spark.readStream.schema(schema).json(path), health, lists), "subclusters")
+    assert {(r.cluster, r.hostname): r.subcluster for r in got.collect()} == {("a", "n1"): "low", ("a", "n9"): "rest", ("b", "n1"): None}
+
+
 def test_sync_sink(spark, tmp_path):
     schema = "job_id long, cluster string, start_time long"
     main, seen = str(tmp_path / "main"), []
