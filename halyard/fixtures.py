@@ -122,3 +122,49 @@ def full_jobs(spark: SparkSession, sf_dir: str, resources: bool = False) -> Data
         hosts = view(spark, sf_dir, "job_hosts").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("hostname"))).alias("resources"))
         jobs = jobs.join(hosts, "id", "left")
     return jobs
+
+
+#: Cluster documents of five clusters: even ones list half of their hosts as
+#: subcluster a (two sockets), all else is b (one socket). Metrics as in
+#: ``metric_config``, with overrides of clusters and subclusters, one metric removed.
+CLUSTERS = ("c0", "c1", "c2", "c3", "c4")
+
+
+def cluster_documents() -> list[dict]:
+    limits = {"peak": 500.0, "normal": 250.0, "caution": 50.0, "alert": 20.0}
+    used = {"peak": 500.0, "normal": 300.0, "caution": 400.0, "alert": 450.0, "lowerIsBetter": True}
+    two = {"node": [0, 1, 2, 3], "socket": [[0, 1], [2, 3]], "memoryDomain": [[0, 1], [2, 3]], "core": [[0, 1], [2, 3]]}
+    one = {"node": [0, 1, 2, 3], "socket": [[0, 1, 2, 3]], "memoryDomain": [[0, 1], [2, 3]], "core": [[0], [1], [2], [3]]}
+    out = []
+    for k, cluster in enumerate(CLUSTERS):
+        listed = [{"name": "a", "nodes": ",".join(f"n{u}" for u in range(k, 75, 5)), "topology": two}] if k % 2 == 0 else []
+        metrics = {
+            "flops_any": {**limits, "aggregation": "sum", "footprint": "avg"}, "mem_bw": {**limits, "aggregation": "avg" if k == 2 else "sum", "footprint": "avg"},
+            "cpu_load": {**limits, "aggregation": "avg", "footprint": "avg"}, "mem_used": {**used, "aggregation": "sum", "footprint": "max"},
+            "cpu_power": {**limits, "aggregation": "sum", "energy": "energy" if k == 4 else "power"},
+        }
+        if k == 0:
+            metrics["cpu_load"]["subClusters"] = [{"name": "a", "remove": True}]
+            metrics["mem_used"]["subClusters"] = [{"name": "b", **used, "peak": 600.0, "footprint": "avg"}]
+        if k == 3:
+            metrics["flops_any"]["subClusters"] = [{"name": "b", **limits, "footprint": "max"}]
+        config = [{"name": n, "unit": {"base": "x"}, "scope": "hwthread", "timestep": STEP, **m} for n, m in metrics.items()]
+        out.append({"name": cluster, "subClusters": [*listed, {"name": "b", "nodes": "*", "topology": one}], "metricConfig": config})
+    return out
+
+
+def cluster_config(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(configuration, topology, subclusters) of the documents, through the reader."""
+    import json
+
+    from halyard.scratch import scratch_path
+    from halyard.sources.samples import read_cluster_config
+
+    path = scratch_path(spark, "clusters")
+    spark.createDataFrame([(json.dumps(cluster_documents()),)], "value string").coalesce(1).write.text(path)
+    return read_cluster_config(spark, path)
+
+
+def cluster_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The samples, each host in one of five clusters."""
+    return view(spark, sf_dir, "samples").withColumn("cluster", F.concat(F.lit("c"), F.substring("hostname", 2, 20).cast("long") % 5))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from halyard.functions.scalars import expand_node_list
+from halyard.operators.config import host_keys, with_config
 from halyard.operators.filters import User, readable_tags
 
 BUCKET = 86400
@@ -69,19 +70,21 @@ def concurrent_jobs(jobs: DataFrame, hosts: DataFrame, now: int, buffer: int = 2
 def samples_for_jobs(samples: DataFrame, jobs: DataFrame, hosts: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """Samples of a job's hosts in [start, start + duration), with the job's id.
 
-    Equi join on host and time bucket, then the exact range.
+    Equi join on (cluster, host) and time bucket, then the exact range. Jobs without
+    a cluster, as those of one cluster alone, meet hosts by name.
     """
-    spans = jobs.select("id", "start_time", "duration").join(hosts, "id").where("duration > 0")
+    spans = jobs.select("id", *[c for c in ("cluster",) if c in jobs.columns], "start_time", "duration").join(hosts, "id").where("duration > 0")
     spans = spans.withColumn("bucket", F.explode(_buckets(F.col("start_time"), F.col("start_time") + F.col("duration") - 1, bucket)))
     keyed = samples.withColumn("bucket", F.floor(F.col("ts") / bucket))
     hit = (F.col("ts") >= F.col("start_time")) & (F.col("ts") < F.col("start_time") + F.col("duration"))
-    return keyed.join(spans, ["hostname", "bucket"]).where(hit).drop("bucket", "start_time", "duration")
+    return keyed.join(spans, [*host_keys(keyed, spans), "bucket"]).where(hit).drop("bucket", "start_time", "duration")
 
 
 def nodes_not_in_db(configured: DataFrame, nodes: DataFrame, part: str = "") -> DataFrame:
-    """Configured host names without a node row, sorted."""
-    out = configured.select("hostname").distinct().join(nodes.select("hostname"), "hostname", "left_anti")
-    return (out.where(F.col("hostname").contains(part)) if part else out).orderBy("hostname")
+    """Configured hosts without a node row, sorted; by cluster where both name it."""
+    at = host_keys(configured, nodes)
+    out = configured.select(*at).distinct().join(nodes.select(*at), at, "left_anti")
+    return (out.where(F.col("hostname").contains(part)) if part else out).orderBy(*reversed(at))
 
 
 def assign_subcluster(jobs: DataFrame, node_lists: DataFrame) -> DataFrame:
@@ -97,8 +100,9 @@ def assign_subcluster(jobs: DataFrame, node_lists: DataFrame) -> DataFrame:
 
 
 def with_thresholds(rows: DataFrame, config: DataFrame) -> DataFrame:
-    """Attaches a metric's configuration; metrics without one are dropped."""
-    return rows.join(F.broadcast(config), "metric")  # configuration is a document of bounded size
+    """Attaches a metric's configuration, on the row's subcluster where it is kept by
+    that; metrics without one, or removed there, are dropped."""
+    return with_config(rows, config)
 
 
 def node_roofline_info(node_metrics: DataFrame, states: DataFrame, jobs: DataFrame, hosts: DataFrame) -> DataFrame:

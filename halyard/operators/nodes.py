@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from halyard.functions.scalars import scheduler_state
+from halyard.operators.config import host_keys
 
 
 def latest_node_state(states: DataFrame) -> DataFrame:
@@ -90,5 +91,6 @@ def node_health_table(latest: DataFrame, part: str = "", health: str | None = No
 
 def join_health(updates: DataFrame, health: DataFrame) -> DataFrame:
     """Health of node updates: full for down nodes, else as checked, else failed."""
-    out = updates.join(health.select("hostname", F.col("health_state").alias("_h")), "hostname", "left")
+    at = host_keys(updates, health)
+    out = updates.join(health.select(*at, F.col("health_state").alias("_h")), at, "left")
     return out.withColumn("health_state", F.when(F.col("node_state") == "down", "full").otherwise(F.coalesce("_h", F.lit("failed")))).drop("_h")

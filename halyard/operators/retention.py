@@ -89,21 +89,26 @@ def sync_jobs(staged: DataFrame, jobs: DataFrame) -> DataFrame:
 
 
 def refresh_footprints(jobs: DataFrame, node_stats: DataFrame, config: DataFrame, now: int, min_duration: int) -> DataFrame:
-    """(id, footprint) of running jobs longer than a minimum."""
+    """(id, footprint) of running jobs longer than a minimum, by the configuration of
+    their cluster and subcluster where it is kept by them."""
+    from halyard.operators.config import config_keys
     from halyard.operators.energy import footprint
     from halyard.operators.timeseries import job_stats
 
     live = jobs.where((F.col("job_state") == "running") & (F.lit(now) - F.col("start_time") > min_duration))
-    metrics = [r.metric for r in config.where("footprint <> ''").select("metric").collect()]  # configuration
-    return footprint(job_stats(node_stats.join(live.select("id"), "id", "left_semi"), live, metrics), config)
+    metrics = [r.metric for r in config.where("footprint <> ''").select("metric").distinct().collect()]  # configuration
+    stats = job_stats(node_stats.join(live.select("id"), "id", "left_semi"), live, metrics)
+    return footprint(stats.join(live.select("id", *config_keys(live, config)), "id"), config)
 
 
 def finalize_jobs(stopped: DataFrame, series: DataFrame, config: DataFrame) -> DataFrame:
     """Archive rows of stopped jobs: footprint, energy, and success, or failed
     for jobs without series. ``series``: id, metric, avg, min, max at node scope."""
+    from halyard.operators.config import config_keys
     from halyard.operators.energy import energy, footprint
     from halyard.operators.timeseries import archive_job_stats
 
     stats = archive_job_stats(series.join(stopped.select("id"), "id", "left_semi"), stopped)
+    stats = stats.join(stopped.select("id", *config_keys(stopped, config)), "id")
     out = stopped.join(footprint(stats, config), "id", "left").join(energy(stopped, stats, config), "id", "left")
     return out.withColumn("monitoring_status", F.when(F.col("footprint").isNull(), "failed").otherwise("success"))

@@ -2,19 +2,27 @@
 down-sampling and health.
 
 A sample row has cluster, hostname, scope, scope_id, metric, ts, seq, value. A
-missing value is null. A series' grid begins half a step before its first sample;
-``cell`` numbers its cells from ``begin div step`` on, so that cells of different
-series meet that begin less than a step apart.
+missing value is null. A series' grid begins half a step before its first sample,
+and anew half a step before a sample that is ``GRID_CELLS`` cells or more behind its
+begin; ``cell`` numbers its cells from ``begin div step`` on, so that cells of
+different series meet that begin less than a step apart.
+
+Configuration and topology may be kept by cluster and subcluster (see ``config``);
+cells then carry their subcluster.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from halyard.functions.scalars import sanitize_stats
+from halyard.operators.config import config_keys, host_keys, place_of, with_config
 from halyard.operators.lists import node_list_page
 
 #: Scopes from fine to coarse (fixed values).
@@ -25,27 +33,81 @@ LEGAL = {
     "socket": {"socket", "node"}, "accelerator": {"accelerator", "node"}, "node": {"node"},
 }
 SERIES = ("cluster", "hostname", "scope", "scope_id", "metric")
+JOB_SERIES = ("id", *SERIES)
+
+
+#: Cells of one grid; a later sample begins a new one (fixed value).
+GRID_CELLS = 512
+
+
+def _series_keys(rows: DataFrame, keys: tuple[str, ...]) -> tuple[str, ...]:
+    """The keys, and the subcluster if the rows have one: it follows from the host."""
+    return (*keys, "subcluster") if "subcluster" in rows.columns and "subcluster" not in keys else keys
+
+
+def _place(times: np.ndarray, begin: int | None, step: int) -> tuple[np.ndarray, int]:
+    """Cells of a series' sorted times, and the begin of the grid of the last."""
+    cells, at = np.empty(len(times), np.int64), 0
+    while at < len(times):
+        if begin is None or times[at] >= begin + GRID_CELLS * step:
+            begin = int(times[at]) - step // 2
+        end = int(np.searchsorted(times, begin + GRID_CELLS * step))
+        cells[at:end] = begin // step + (times[at:end] - begin) // step
+        at = end
+    return cells, begin
 
 
 def with_cells(samples: DataFrame, step: int, keys: tuple[str, ...] = SERIES) -> DataFrame:
     """Adds ``cell``, on the grid of the sample's series. Rows without a time have
-    none; a null in a key is a key of its own. The begins of all series are one
-    combined aggregate; AQE broadcasts them if they are few."""
-    begins = samples.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.expr(f"min(ts) - {step} div 2").alias("_begin"))
-    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
-    cell = F.floor(F.col("_begin") / step) + F.floor((F.col("ts") - F.col("_begin")) / step)
-    return samples.join(begins, same).withColumn("cell", cell.cast("long")).drop("_begin", *[f"_{k}" for k in keys])
+    none; a null in a key is a key of its own.
+
+    One shuffle by series, sorted by time; each task goes along its rows and jumps
+    from grid to grid (a binary search each), and holds one batch and one begin. A
+    series has a sample a step, so no series is a large part of a table."""
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, begin = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            marks = batch.column(batch.schema.get_field_index("_series")).to_numpy(zero_copy_only=False)
+            names = batch.column(batch.schema.get_field_index("_name"))
+            times = batch.column(batch.schema.get_field_index("ts"))
+            cells = np.zeros(len(marks), np.int64)
+            edges = [0, *(np.flatnonzero(marks[1:] != marks[:-1]) + 1).tolist(), len(marks)]
+            for low, high in zip(edges, edges[1:]):
+                # The hash is only a first look: names of equal hash are told apart.
+                column = names.slice(low, high - low).dictionary_encode()
+                inner = column.indices.to_numpy(zero_copy_only=False)
+                cuts = [0, *(np.flatnonzero(inner[1:] != inner[:-1]) + 1).tolist(), high - low]
+                for a, b in zip(cuts, cuts[1:]):
+                    name = names[low + a].as_py()
+                    if name != last:
+                        last, begin = name, None
+                    part = times.slice(low + a, b - a)
+                    first = part.null_count  # nulls come first
+                    if first < b - a:
+                        cells[low + a + first : low + b], begin = _place(part.slice(first).to_numpy(), begin, step)
+            kept = [c for c, n in zip(batch.columns, batch.schema.names) if n not in ("_series", "_name")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(cells, mask=times.is_null().to_numpy(zero_copy_only=False))], names=[*(n for n in batch.schema.names if n not in ("_series", "_name")), "cell"])
+
+    name = F.to_json(F.struct(*[F.col(k) for k in keys]))
+    marked = samples.withColumn("ts", F.col("ts").cast("long")).withColumn("_name", name).withColumn("_series", F.xxhash64("_name"))
+    ordered = marked.repartition("_series").sortWithinPartitions("_series", "_name", "ts")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in marked.drop("_name", "_series").schema)
+    return ordered.mapInArrow(number, f"{fields}, cell bigint")
 
 
 def dedup_samples(samples: DataFrame, step: int, keys: tuple[str, ...] = SERIES) -> DataFrame:
     """The last written value of each series and cell. Samples that carry a cell
     already (``with_cells``, or another grid) keep it."""
     placed = samples if "cell" in samples.columns else with_cells(samples, step, keys)
-    return placed.groupBy(*keys, "cell").agg(F.max_by("value", "seq").alias("value"))
+    return placed.groupBy(*_series_keys(placed, keys), "cell").agg(F.max_by("value", "seq").alias("value"))
 
 
 def grid_fill(cells: DataFrame, keys: tuple[str, ...] = SERIES) -> DataFrame:
     """All cells between a series' first and last, missing ones null."""
+    keys = _series_keys(cells, keys)
     spans = cells.groupBy(*keys).agg(F.min("cell").alias("lo"), F.max("cell").alias("hi"))
     dense = spans.withColumn("cell", F.explode(F.sequence("lo", "hi"))).drop("lo", "hi")
     # A cell has one value at most; grouping meets nulls in keys, which a join does not.
@@ -103,18 +165,21 @@ def scope_rollup(cells: DataFrame, topology: DataFrame, config: DataFrame, nativ
     if scope == "node":
         placed = cells.withColumn("target", F.lit(0).cast("long"))
     else:
-        ids = topology.select(F.col(native).cast("long").alias("scope_id"), F.col(scope).cast("long").alias("target")).distinct()
-        placed = cells.join(F.broadcast(ids), "scope_id")  # a node's topology is a small document
-    placed = placed.join(F.broadcast(config.select("metric", "aggregation")), "metric")
-    base = (*by, "cluster", "hostname", "metric", "target")
+        at = config_keys(cells, topology)
+        ids = topology.select(*at, F.col(native).cast("long").alias("scope_id"), F.col(scope).cast("long").alias("target")).distinct()
+        placed = cells.join(ids, [*at, "scope_id"])
+    placed = with_config(placed, config, "aggregation")
+    sub = [c for c in ("subcluster",) if c in cells.columns]
+    base = (*by, "cluster", *sub, "hostname", "metric", "target")
     size = placed.groupBy(*base).agg(F.countDistinct("scope_id").alias("series"))
     combined = placed.groupBy(*base, "cell").agg(F.sum("value").alias("total"), F.count("value").alias("there"), F.first("aggregation").alias("agg"))
-    out = combined.join(size, [*base])
+    same = reduce(Column.__and__, [combined[c].eqNullSafe(size[c]) for c in base])
+    out = combined.join(size, same).select(*[combined[c] for c in (*base, "cell", "total", "there", "agg")], "series")
     lone = (F.col("agg") != "sum") & (F.col("agg") != "avg") & (F.col("series") > 1)
     value = F.when(lone, F.raise_error(F.lit("no aggregation for more than one series"))).when(
         F.col("there") == F.col("series"), F.when(F.col("agg") == "avg", F.col("total") / F.col("series")).otherwise(F.col("total"))
     )
-    return out.select(*by, "cluster", "hostname", F.lit(scope).alias("scope"), F.col("target").alias("scope_id"), "metric", "cell", value.alias("value"))
+    return out.select(*by, "cluster", *sub, "hostname", F.lit(scope).alias("scope"), F.col("target").alias("scope_id"), "metric", "cell", value.alias("value"))
 
 
 def add_node_scope(cells: DataFrame, topology: DataFrame, config: DataFrame, native: str, metrics: tuple[str, ...] = ("flops_any", "mem_bw")) -> DataFrame:
@@ -128,10 +193,11 @@ def series_stats(cells: DataFrame, keys: tuple[str, ...] = SERIES) -> DataFrame:
 
 
 def selector_stats(cells: DataFrame, config: DataFrame, keys: tuple[str, ...] = SERIES) -> DataFrame:
-    """Per metric over its series: average (or sum) of averages, least, greatest, samples."""
-    per = series_stats(cells, keys)
-    joined = per.join(F.broadcast(config.select("metric", "aggregation")), "metric")
-    return joined.groupBy("metric").agg(
+    """Per metric over its series: average (or sum) of averages, least, greatest,
+    samples; by cluster where the configuration is, as clusters may aggregate unlike."""
+    per = series_stats(cells, _series_keys(cells, keys))
+    joined = with_config(per, config, "aggregation")
+    return joined.groupBy(*[c for c in ("cluster",) if c in config.columns], "metric").agg(
         F.when(F.first("aggregation") == "avg", F.avg("avg")).otherwise(F.sum("avg")).alias("avg"), F.min("min").alias("min"), F.max("max").alias("max"), F.sum("samples").alias("samples")
     )
 
@@ -168,10 +234,11 @@ def stats_series(cells: DataFrame, keys: tuple[str, ...], least: int = 8) -> Dat
     )
 
 
-def cluster_metrics(cells: DataFrame, factor: float = 1e-3) -> DataFrame:
-    """(metric, cell): sum over all nodes, scaled, to two digits; and the node count."""
-    nodes = cells.groupBy("metric").agg(F.countDistinct("hostname").alias("nodes"))
-    return cells.groupBy("metric", "cell").agg(_round2(F.sum("value") * factor).alias("value")).join(F.broadcast(nodes), "metric")
+def cluster_metrics(cells: DataFrame, factor: float = 1e-3, by: tuple[str, ...] = ()) -> DataFrame:
+    """(metric, cell): sum over all nodes, scaled, to two digits; and the node count.
+    ``by``: further keys, as the cluster, or the cluster and subcluster."""
+    nodes = cells.groupBy(*by, "metric").agg(F.countDistinct("cluster", "hostname").alias("nodes"))
+    return cells.groupBy(*by, "metric", "cell").agg(_round2(F.sum("value") * factor).alias("value")).join(nodes, [*by, "metric"])
 
 
 def lttb(points: Column, size: int) -> Column:
@@ -217,26 +284,17 @@ def downsample_lttb(cells: DataFrame, size: int, keys: tuple[str, ...] = SERIES)
 def job_node_stats(job_samples: DataFrame, topology: DataFrame, config: DataFrame, step: int, native: str = "hwthread") -> DataFrame:
     """(id, hostname, metric): node-scope statistics of jobs' samples; hosts
     without a whole cell are left out. ``job_samples`` carries id."""
-    cells = dedup_samples(job_samples, step, ("id", *SERIES))
-    node = _rollup_by_job(cells, config)
+    cells = dedup_samples(job_samples, step, JOB_SERIES)
+    node = scope_rollup(cells, topology, config, native, "node", ("id",))
     return series_stats(node, ("id", "hostname", "metric")).where("avg IS NOT NULL")
 
 
-def _rollup_by_job(cells: DataFrame, config: DataFrame) -> DataFrame:
-    keys = ["id", "hostname", "metric"]
-    size = cells.groupBy(*keys).agg(F.countDistinct("scope_id").alias("series"))
-    sums = cells.groupBy(*keys, "cell").agg(F.sum("value").alias("total"), F.count("value").alias("there")).join(size, keys)
-    sums = sums.join(F.broadcast(config.select("metric", "aggregation")), "metric")
-    value = F.when(F.col("there") == F.col("series"), F.when(F.col("aggregation") == "avg", F.col("total") / F.col("series")).otherwise(F.col("total")))
-    return sums.select(*keys, "cell", value.alias("value"))
-
-
 def _at_scopes(cells: DataFrame, topology: DataFrame, config: DataFrame, native: str, scopes: list[str] | tuple[str, ...], by: tuple[str, ...] = ()) -> DataFrame:
     """Cells at every wanted scope; scopes that give the same are taken once, and
     those that give nothing are absent."""
     wanted = dict.fromkeys(result_scope(native, s) for s in scopes)
     parts = [scope_rollup(cells, topology, config, native, s, by) for s in wanted if s]
-    columns = [*by, *SERIES, "cell", "value"]
+    columns = [*by, *_series_keys(cells, SERIES), "cell", "value"]
     return reduce(DataFrame.unionByName, [p.select(*columns) for p in parts]) if parts else cells.select(*columns).where(F.lit(False))
 
 
@@ -258,13 +316,11 @@ def archived_job_stats(series: DataFrame, metrics: list[str] | None = None, scop
     return rows.select("id", "hostname", "scope", "scope_id", "metric", "avg", "min", "max")
 
 
-JOB_SERIES = ("id", *SERIES)
-
-
 def job_cells(job_samples: DataFrame, topology: DataFrame, config: DataFrame, step: int, metrics: list[str], scopes: tuple[str, ...] = ("node",), native: str = "hwthread") -> DataFrame:
     """Cells of jobs' samples at every wanted scope; metrics without a
     configuration are left out."""
-    rows = job_samples.where(F.col("metric").isin(*metrics)).join(config.select("metric").distinct(), "metric", "left_semi")
+    keys = config_keys(job_samples, config, "metric")
+    rows = job_samples.where(F.col("metric").isin(*metrics)).join(config.select(*keys), keys, "left_semi")
     return _at_scopes(dedup_samples(rows, step, JOB_SERIES), topology, config, native, scopes, ("id",))
 
 
@@ -287,9 +343,11 @@ def node_metrics(cells: DataFrame, topology: DataFrame, config: DataFrame, state
     rows = cells.where(F.col("metric").isin(*metrics))
     rows = rows.where(F.col("hostname").isin(*hosts)) if hosts else rows
     node = read_range(scope_rollup(rows, topology, config, native, "node"), start, end, step)
-    stats = series_stats(node, ("hostname", "metric"))
-    info = states.select("hostname", "node_state", "health_state")
-    return node.join(stats, ["hostname", "metric"]).join(info, "hostname", "left").select("hostname", "metric", "cell", "value", "avg", "min", "max", "node_state", "health_state")
+    stats = series_stats(node, ("cluster", "hostname", "metric"))
+    at = host_keys(node, states)
+    info = states.select(*at, "node_state", "health_state")
+    told = node.join(stats, ["cluster", "hostname", "metric"]).join(info, at, "left")
+    return told.select(*place_of(config), "hostname", "metric", "cell", "value", "avg", "min", "max", "node_state", "health_state")
 
 
 def node_metrics_list(
@@ -299,11 +357,12 @@ def node_metrics_list(
     """A page of nodes by host name with their series in a time range at every
     wanted scope, down-sampled, with statistics, states, the total and a next-page
     mark. Hosts without series are absent; ``configured`` as in ``node_list_page``."""
-    shown = node_list_page(latest, number, per_page, part, configured).select("hostname", "node_state", "health_state", "total", "has_next")
-    rows = cells.where(F.col("metric").isin(*metrics)).join(shown.select("hostname"), "hostname", "left_semi")
+    at = host_keys(cells, latest)
+    shown = node_list_page(latest, number, per_page, part, configured).select(*at, "node_state", "health_state", "total", "has_next")
+    rows = cells.where(F.col("metric").isin(*metrics)).join(shown.select(*at), at, "left_semi")
     inside = read_range(_at_scopes(rows, topology, config, native, scopes), start, end, step)
     series = downsample_lttb(inside, resolution).join(_sanitized(series_stats(inside)), list(SERIES))
-    return series.join(shown, "hostname")
+    return series.join(shown, at)
 
 
 def metric_health(samples: DataFrame, expected: DataFrame, hosts: DataFrame, now: int) -> DataFrame:
@@ -312,20 +371,20 @@ def metric_health(samples: DataFrame, expected: DataFrame, hosts: DataFrame, now
     A metric is degraded if any of its series ends more than five steps before
     now, healthy if it has series and none is stale, else missing. A host without
     data fails; all healthy is full; none healthy fails; else partial. A series
-    ends with the cell of its last sample, on a grid that begins half a step
-    before its first.
+    ends with the cell of its last sample, on the grid of its first: one combined
+    aggregate, so grids begun anew are not looked at. ``hosts`` and ``expected`` may
+    name clusters and subclusters; a host then owes the metrics of its place.
     """
-    spans = samples.groupBy("hostname", "scope_id", "metric").agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
+    at = host_keys(samples, hosts)
+    asked = config_keys(hosts, expected)
+    spans = samples.groupBy(*at, "scope_id", "metric").agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
     end = F.expr("last - (last - first + step div 2) % step + step")
-    judged = (
-        spans.join(F.broadcast(expected), "metric")  # configuration
-        .groupBy("hostname", "metric")
-        .agg(F.bool_or(end < F.lit(now) - 5 * F.col("step")).alias("stale"))
-    )
-    grid = hosts.select("hostname").distinct().crossJoin(F.broadcast(expected.select("metric")))
-    state = grid.join(judged, ["hostname", "metric"], "left")
+    known = hosts.select(*dict.fromkeys([*at, *asked])).distinct()
+    grid = known.join(expected.select(*asked, "metric", "step"), asked) if asked else known.crossJoin(expected.select("metric", "step"))
+    judged = spans.join(grid, [*at, "metric"]).groupBy(*at, "metric").agg(F.bool_or(end < F.lit(now) - 5 * F.col("step")).alias("stale"))
+    state = grid.drop("step").join(judged, [*at, "metric"], "left")
     names = lambda c: F.array_sort(F.collect_list(F.when(c, F.col("metric"))))
-    out = state.groupBy("hostname").agg(
+    out = state.groupBy(*at).agg(
         names(F.col("stale").isNull()).alias("missing"), names(F.col("stale")).alias("degraded"), F.count_if(~F.col("stale")).alias("healthy")
     )
     health = F.when(F.col("healthy") == 0, "failed").when((F.size("missing") == 0) & (F.size("degraded") == 0), "full").otherwise("partial")

@@ -150,7 +150,7 @@ query("t9_scoped_stats", f"SELECT {KEYS}, coalesce(avg(value), 0) AS avg, coales
 )
 query("t10_node_metrics", f"""WITH r AS (SELECT hostname, metric, cell, value FROM node_cells WHERE metric IN ('flops_any', 'cpu_load') AND cell BETWEEN {A_} AND {B_}) SELECT r.*, a AS avg, lo AS min, hi AS max, node_state, health_state
  FROM r JOIN (SELECT hostname, metric, avg(value) AS a, min(value) AS lo, max(value) AS hi FROM r GROUP BY ALL) s USING (hostname, metric) LEFT JOIN {LATEST} l USING (hostname)""", EXTRA)(
-    lambda spark, d: T.node_metrics(cells(spark, d), view(spark, d, "topology"), view(spark, d, "metric_config"), N.latest_node_state(view(spark, d, "node_states")), ["flops_any", "cpu_load", "nothing"], LO, HI, STEP)
+    lambda spark, d: T.node_metrics(cells(spark, d), view(spark, d, "topology"), view(spark, d, "metric_config"), N.latest_node_state(view(spark, d, "node_states")).drop("cluster"), ["flops_any", "cpu_load", "nothing"], LO, HI, STEP)
 )
 
 
@@ -159,7 +159,7 @@ query("t10_node_metrics", f"""WITH r AS (SELECT hostname, metric, cell, value FR
 def t11(spark, d):
     from halyard.operators.lists import node_list_page
 
-    latest = N.latest_node_state(view(spark, d, "node_states"))
+    latest = N.latest_node_state(view(spark, d, "node_states")).drop("cluster")  # the samples are of one cluster
     shown = node_list_page(latest, 2, 20).select("hostname")
     rows = cells(spark, d).join(shown, "hostname", "left_semi")
     return T.node_metrics(rows, view(spark, d, "topology"), view(spark, d, "metric_config"), latest, ["flops_any"], LO, HI, STEP)
@@ -171,7 +171,7 @@ PAGE_SQL = f"(SELECT hostname, node_state, health_state, count(*) OVER () AS tot
 @query("t11_node_metrics_page", f"""WITH p AS {PAGE_SQL}, r AS (SELECT hostname, scope, scope_id, metric, cell, value FROM (SELECT * FROM cells UNION ALL SELECT * FROM node_cells) WHERE metric IN ('flops_any', 'mem_bw') AND cell BETWEEN {A_} AND {B_} AND hostname IN (SELECT hostname FROM p))
  SELECT r.*, a AS avg, lo AS min, hi AS max, n AS samples, node_state, health_state, total, has_next FROM r JOIN (SELECT hostname, scope, scope_id, metric, avg(value) AS a, min(value) AS lo, max(value) AS hi, count(value) AS n FROM r GROUP BY ALL) s USING (hostname, scope, scope_id, metric) JOIN p USING (hostname) WHERE value IS NOT NULL""", EXTRA)
 def t11_page(spark, d):
-    latest = N.latest_node_state(view(spark, d, "node_states"))
+    latest = N.latest_node_state(view(spark, d, "node_states")).drop("cluster")  # the samples are of one cluster
     rows = T.node_metrics_list(cells(spark, d), view(spark, d, "topology"), view(spark, d, "metric_config"), latest, ["flops_any", "mem_bw"], LO, HI, STEP, 2, 20, scopes=("node", "hwthread"))
     return rows.drop("cluster")
 

@@ -133,13 +133,12 @@ def load_archive(spark: SparkSession, path: str, config: DataFrame, clusters: li
     from halyard.operators.rules import sanity_check, split_checked
 
     jobs = read_job_archive(spark, path).withColumn("id", F.xxhash64("job_id", "cluster", "start_time"))
-    stats = jobs.select("id", F.explode("statistics").alias("metric", "s")).select("id", "metric", "s.avg", "s.min", "s.max")
-    base = jobs.drop("footprint", "energy_footprint", "energy", "statistics")
-    filled = base.join(footprint(stats, config), "id", "left").join(energy(jobs, stats, config), "id", "left")
-    hosted = filled.withColumn("first_host", F.try_element_at("resources", F.lit(1))["hostname"])
+    jobs = assign_subcluster(jobs.withColumn("first_host", F.try_element_at("resources", F.lit(1))["hostname"]), node_lists)
+    stats = jobs.select("id", "cluster", F.col("assigned").alias("subcluster"), F.explode("statistics").alias("metric", "s")).select("id", "cluster", "subcluster", "metric", "s.avg", "s.min", "s.max")
+    hosted = jobs.drop("footprint", "energy_footprint", "energy", "statistics").join(footprint(stats, config), "id", "left").join(energy(jobs, stats, config), "id", "left")
     for c in ("num_acc", "num_hwthreads"):
         hosted = hosted.withColumn(c, F.coalesce(c, F.lit(0).cast("long")))
-    good, rejects = split_checked(sanity_check(assign_subcluster(hosted, node_lists), clusters))
+    good, rejects = split_checked(sanity_check(hosted, clusters))
     rows = good.select("id", F.explode("tags").alias("t")).select("id", F.col("t.type").alias("tag_type"), F.col("t.name").alias("tag_name"), F.coalesce("t.scope", F.lit("global")).alias("tag_scope"))
     key = F.concat_ws(":", "tag_type", "tag_name").alias("tag_id")
     tags = rows.select(key, "tag_type", "tag_name", "tag_scope").dropDuplicates(["tag_type", "tag_name"])
