@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from halyard.operators.scan import Step, along, column
+
 #: Scopes from finest to coarsest, and the order in which a table prefers them.
 SCOPES = ("accelerator", "hwthread", "core", "memoryDomain", "socket", "node")
 TABLE_PREFERENCE = ("accelerator", "core", "socket", "node")
@@ -86,19 +90,29 @@ def newest_jobs(jobs: DataFrame) -> DataFrame:
 
 
 def duplicate_start_guard(starts: DataFrame, window: int = 86400) -> DataFrame:
-    """Adds ``accepted``: a start within ``window`` seconds of the last accepted
-    one of its (job_id, cluster) is a duplicate; duplicates do not shadow later
-    starts. The fold runs over one key's sorted starts."""
-    lists = starts.groupBy("job_id", "cluster").agg(F.array_sort(F.collect_list(F.struct("start_time", "id"))).alias("s"))
-    begin = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<struct<id:bigint,accepted:boolean>>").alias("out"))
-
-    def step(acc, x):
-        good = acc["last"].isNull() | (x["start_time"] - acc["last"] >= window)
-        item = F.struct(x["id"].cast("long").alias("id"), good.alias("accepted"))
-        return F.struct(F.when(good, x["start_time"].cast("long")).otherwise(acc["last"]).alias("last"), F.concat(acc["out"], F.array(item)).alias("out"))
-
-    folded = lists.select(F.explode(F.aggregate("s", begin, step)["out"]).alias("r")).select("r.id", "r.accepted")
-    return starts.join(folded, "id")
+    """Adds ``accepted``: a start within ``window`` seconds of the last accepted one of
+    its (job_id, cluster) is a duplicate; duplicates do not shadow later starts. Starts
+    without a time are accepted and shadow nothing. One pass over sorted starts, which
+    jumps from one accepted start to the next and holds no key's rows."""
+
+    def guard() -> Step:
+        last = None
+
+        def accept(rows: pa.RecordBatch) -> pa.Array:
+            nonlocal last
+            times = column(rows, "start_time")
+            at = times.null_count  # nulls come first
+            known = times.slice(at).to_numpy()
+            out = np.arange(len(times)) < at
+            k = 0 if last is None else int(np.searchsorted(known, last + window))
+            while k < len(known):
+                out[at + k], last = True, int(known[k])
+                k = max(k + 1, int(np.searchsorted(known, last + window)))
+            return pa.array(out)
+
+        return accept
+
+    return along(starts, ("job_id", "cluster"), ("start_time", "id"), guard, "accepted", "boolean")
 
 
 def node_list_page(latest: DataFrame, number: int, per_page: int, part: str = "", configured: DataFrame | None = None) -> DataFrame:

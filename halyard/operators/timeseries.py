@@ -13,7 +13,6 @@ cells then carry their subcluster.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -24,6 +23,7 @@ from pyspark.sql import functions as F
 from halyard.functions.scalars import sanitize_stats
 from halyard.operators.config import config_keys, host_keys, place_of, with_config
 from halyard.operators.lists import node_list_page
+from halyard.operators.scan import Step, along, column
 
 #: Scopes from fine to coarse (fixed values).
 SCOPE_ORDER = ("accelerator", "hwthread", "core", "memory_domain", "socket", "node")
@@ -65,37 +65,21 @@ def with_cells(samples: DataFrame, step: int, keys: tuple[str, ...] = SERIES) ->
     from grid to grid (a binary search each), and holds one batch and one begin. A
     series has a sample a step, so no series is a large part of a table."""
 
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, begin = None, None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            marks = batch.column(batch.schema.get_field_index("_series")).to_numpy(zero_copy_only=False)
-            names = batch.column(batch.schema.get_field_index("_name"))
-            times = batch.column(batch.schema.get_field_index("ts"))
-            cells = np.zeros(len(marks), np.int64)
-            edges = [0, *(np.flatnonzero(marks[1:] != marks[:-1]) + 1).tolist(), len(marks)]
-            for low, high in zip(edges, edges[1:]):
-                # The hash is only a first look: names of equal hash are told apart.
-                column = names.slice(low, high - low).dictionary_encode()
-                inner = column.indices.to_numpy(zero_copy_only=False)
-                cuts = [0, *(np.flatnonzero(inner[1:] != inner[:-1]) + 1).tolist(), high - low]
-                for a, b in zip(cuts, cuts[1:]):
-                    name = names[low + a].as_py()
-                    if name != last:
-                        last, begin = name, None
-                    part = times.slice(low + a, b - a)
-                    first = part.null_count  # nulls come first
-                    if first < b - a:
-                        cells[low + a + first : low + b], begin = _place(part.slice(first).to_numpy(), begin, step)
-            kept = [c for c, n in zip(batch.columns, batch.schema.names) if n not in ("_series", "_name")]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(cells, mask=times.is_null().to_numpy(zero_copy_only=False))], names=[*(n for n in batch.schema.names if n not in ("_series", "_name")), "cell"])
-
-    name = F.to_json(F.struct(*[F.col(k) for k in keys]))
-    marked = samples.withColumn("ts", F.col("ts").cast("long")).withColumn("_name", name).withColumn("_series", F.xxhash64("_name"))
-    ordered = marked.repartition("_series").sortWithinPartitions("_series", "_name", "ts")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in marked.drop("_name", "_series").schema)
-    return ordered.mapInArrow(number, f"{fields}, cell bigint")
+    def number() -> Step:
+        begin = None
+
+        def cells(rows: pa.RecordBatch) -> pa.Array:
+            nonlocal begin
+            times = column(rows, "ts")
+            empty = times.null_count  # nulls come first
+            out = np.zeros(len(times), np.int64)
+            if empty < len(times):
+                out[empty:], begin = _place(times.slice(empty).to_numpy(), begin, step)
+            return pa.array(out, mask=np.arange(len(times)) < empty)
+
+        return cells
+
+    return along(samples.withColumn("ts", F.col("ts").cast("long")), keys, ("ts",), number, "cell", "bigint")
 
 
 def dedup_samples(samples: DataFrame, step: int, keys: tuple[str, ...] = SERIES) -> DataFrame:

@@ -84,6 +84,29 @@ def s3(spark, d):
     return M.job_lifecycle_batch(events).select("cluster", "job_id", "start_time", "action")
 
 
+@query("s3_job_lifecycle_stops", """WITH RECURSIVE n AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY start_time, id) AS k FROM repeated),
+ g AS (SELECT id, job_id, cluster, k, start_time, true AS accepted, start_time AS last FROM n WHERE k = 1 UNION ALL SELECT n.id, n.job_id, n.cluster, n.k, n.start_time, n.start_time - g.last >= 86400, CASE WHEN n.start_time - g.last >= 86400 THEN n.start_time ELSE g.last END FROM g JOIN n ON n.job_id = g.job_id AND n.k = g.k + 1)
+ SELECT cluster, job_id, start_time, CASE WHEN accepted THEN 'start' ELSE 'reject' END AS action, CASE WHEN accepted THEN '' ELSE 'duplicate start' END AS reason, CAST(0 AS BIGINT) AS duration FROM g
+ UNION ALL SELECT cluster, job_id, start_time, CASE WHEN accepted THEN 'stop' ELSE 'reject' END, CASE WHEN accepted THEN '' WHEN start_time = last THEN 'not running' ELSE 'unknown job' END, CASE WHEN accepted THEN id % 50000 ELSE 0 END FROM g""", REPEATED)
+def s3_stops(spark, d):
+    """Every start is followed by a stop of its own; stops of refused starts find no job, or one that has ended."""
+    jobs = repeated_jobs(spark, d)
+    same = [F.col("job_id").alias("jobId"), "cluster", F.col("start_time").alias("startTime")]
+    start = F.struct(*same, F.lit("u").alias("user"), F.lit(1).alias("numNodes"), F.array(F.struct(F.lit("h").alias("hostname"))).alias("resources"))
+    stop = F.struct(*same, (F.col("start_time") + F.col("id") % 50000).alias("stopTime"))
+    seq = (F.col("start_time") * 1_000_000_000 + F.col("id")) * 2
+    events = jobs.select(F.explode(F.array(F.struct(F.lit("start_job").alias("function"), F.to_json(start).alias("event"), seq.alias("seq")), F.struct(F.lit("stop_job").alias("function"), F.to_json(stop).alias("event"), (seq + 1).alias("seq")))).alias("e"))
+    return M.job_lifecycle_batch(events.select("e.*")).select("cluster", "job_id", "start_time", "action", "reason", "duration")
+
+
+@query("s2_ingest_series", """WITH RECURSIVE n AS (SELECT *, row_number() OVER (PARTITION BY hostname, scope_id, metric ORDER BY seq) AS k FROM samples),
+ g AS (SELECT hostname, scope_id, metric, seq, value, ts, k, ts - 1800 AS b FROM n WHERE k = 1 UNION ALL SELECT n.hostname, n.scope_id, n.metric, n.seq, n.value, n.ts, n.k, CASE WHEN n.ts - g.b >= 512 * 3600 THEN n.ts - 1800 ELSE g.b END FROM g JOIN n ON n.hostname = g.hostname AND n.scope_id = g.scope_id AND n.metric = g.metric AND n.k = g.k + 1)
+ SELECT 'c0' AS cluster, hostname, 'hwthread' AS scope, CAST(scope_id AS VARCHAR) AS scope_id, metric, b // 3600 + (ts - b) // 3600 AS cell, arg_max(value, seq) AS value FROM g WHERE ts >= b GROUP BY hostname, scope_id, metric, b // 3600 + (ts - b) // 3600""")
+def s2(spark, d):
+    """Samples in order of arrival into each series' own buffer; late ones are refused."""
+    return M.ingest_series_batch(_lines(spark, d), "c0", view(spark, d, "metric_config"), 3600)
+
+
 @query("s5_node_state_stream", """SELECT id, hostname, CASE WHEN node_state = 'down' THEN 'down' ELSE node_state END AS node_state, CASE WHEN node_state = 'down' THEN 'full' ELSE coalesce(h, 'failed') END AS health_state
  FROM node_states LEFT JOIN (SELECT hostname, min(health_state) AS h FROM node_states WHERE node_id % 3 <> 0 GROUP BY hostname) USING (hostname)""")
 def s5(spark, d):

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from types import SimpleNamespace
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -13,6 +15,7 @@ from halyard import schemas
 from halyard.functions.scalars import scheduler_state
 from halyard.operators.joins import assign_subcluster
 from halyard.operators.nodes import join_health
+from halyard.operators.scan import Step, along, column
 from halyard.sources.line_protocol import parse_line_protocol
 
 #: Cells of the buffer that still takes late samples.
@@ -31,6 +34,85 @@ def ingest_samples(lines: DataFrame, default_cluster: str, config: DataFrame, st
     return out.select("cluster", "hostname", "scope", "scope_id", "metric", F.unix_timestamp("w.start").alias("t"), "value")
 
 
+SERIES_OUT = "cluster string, hostname string, scope string, scope_id string, metric string, cell long, t long, value double, seq long, late boolean"
+SERIES_KEY = ("cluster", "hostname", "scope", "scope_id", "metric")
+
+
+def write_along(begin: int | None, times: list[int], step: int) -> tuple[list[int | None], int | None]:
+    """Cells of a series' samples in order of arrival, and the begin of its buffer. A
+    sample before the begin is late (None); one 512 cells or more behind it begins
+    a buffer of its own."""
+    cells: list[int | None] = []
+    for ts in times:
+        if begin is None or ts - begin >= BUFFER_CELLS * step:
+            begin = ts - step // 2
+        cells.append(None if ts < begin else begin // step + (ts - begin) // step)
+    return cells, begin
+
+
+class SeriesBuffer(StatefulProcessor):
+    """State of one series: where its buffer begins. A sample is late by its own series
+    alone, however far others have run ahead. Rows of a batch that meet in a cell leave
+    as one, the last; ``seq`` tells a sink which of two batches' values is newer."""
+
+    def __init__(self, step: int, idle_ms: int):
+        self.step, self.idle_ms = step, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.begin = handle.getValueState("begin", "begin long", self.idle_ms or None)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
+        begin = self.begin.get()[0] if self.begin.exists() else None
+        batch = pd.concat(list(rows)).sort_values("seq", kind="stable")  # one series' rows of one trigger
+        cells, begin = write_along(begin, batch["ts"].tolist(), self.step)
+        self.begin.update((begin,))
+        batch["late"] = [c is None for c in cells]
+        batch["cell"] = [ts // self.step if c is None else c for c, ts in zip(cells, batch["ts"].tolist())]
+        kept = pd.concat([batch[batch["late"]], batch[~batch["late"]].drop_duplicates("cell", keep="last")])
+        for name, value in zip(SERIES_KEY, key):
+            kept[name] = value
+        kept["t"] = kept["cell"] * self.step
+        yield kept[[f.split()[0] for f in SERIES_OUT.split(", ")]]
+
+    def close(self) -> None:
+        pass
+
+
+def _ms(days: int | None) -> int:
+    return (days or 0) * 86_400_000
+
+
+def _clock(days: int | None) -> str:
+    """State that ends by age needs Spark's clock; its triggers then never rest."""
+    return "ProcessingTime" if days else "None"
+
+
+def ingest_series(lines: DataFrame, default_cluster: str, config: DataFrame, step: int, idle_days: int | None = None) -> DataFrame:
+    """Line protocol (line, seq) to cells of each series' own buffer, as they change.
+    Late samples leave marked ``late``. State is one number a series; with
+    ``idle_days``, a series that is silent for so long is forgotten and begins anew."""
+    rows = parse_line_protocol(lines, default_cluster, config, keep=("seq",))
+    return rows.groupBy(*SERIES_KEY).transformWithStateInPandas(SeriesBuffer(step, _ms(idle_days)), SERIES_OUT, "Update", _clock(idle_days))
+
+
+def ingest_series_batch(lines: DataFrame, default_cluster: str, config: DataFrame, step: int) -> DataFrame:
+    """The cells that a stream of the same lines ends with: the last value of each."""
+    rows = parse_line_protocol(lines, default_cluster, config, keep=("seq",))
+
+    def buffer() -> Step:
+        begin = None
+
+        def write(batch: pa.RecordBatch) -> pa.Array:
+            nonlocal begin
+            cells, begin = write_along(begin, column(batch, "ts").to_pylist(), step)
+            return pa.array(cells, pa.int64())
+
+        return write
+
+    placed = along(rows, SERIES_KEY, ("seq",), buffer, "cell", "bigint").where("cell IS NOT NULL")
+    return placed.groupBy(*SERIES_KEY, "cell").agg(F.max_by("value", "seq").alias("value"))
+
+
 JOBS_OUT = (
     "cluster string, job_id long, start_time long, action string, reason string, hpc_user string, job_state string, duration long, num_nodes long, subcluster string"
 )
@@ -46,30 +128,38 @@ def parse_job_events(events: DataFrame) -> DataFrame:
 
 
 class JobLifecycle(StatefulProcessor):
-    """State of one (cluster, job_id): its accepted starts and whether they run.
+    """State of one (cluster, job_id): its running starts and its last accepted one.
 
     Starts within a day of the last accepted one are duplicates; a stop ends the
-    newest running start that it fits. Rejects leave as rows with a reason.
+    newest running start that it fits. Rejects leave as rows with a reason. Stopped
+    starts are forgotten when a later one is accepted, all of a key when nothing is
+    heard of it for ``idle_ms``: the state is one row and one for each running job.
     """
 
     WINDOW = 86400
     STATES = frozenset({"completed", "failed", "cancelled", "timeout", "out_of_memory", "node_fail", "preempted", "deadline", "boot_fail", "suspended"})
 
+    def __init__(self, idle_ms: int = 0):
+        self.idle_ms = idle_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.jobs = handle.getListState("jobs", "start_time long, running boolean, hpc_user string, num_nodes long, subcluster string")
+        fields = "start_time long, running boolean, hpc_user string, num_nodes long, subcluster string"
+        self.jobs = handle.getListState("jobs", fields, self.idle_ms or None)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
         jobs = [list(j) for j in self.jobs.get()]
-        out = self.fold(key, jobs, pd.concat(list(rows)))
+        batch = pd.concat(list(rows)).sort_values("seq", kind="stable")  # one job id's events of one trigger
+        out = [(*key, *self.apply(jobs, r)) for r in batch.itertuples()]
         if jobs:  # an empty list cannot be stored
             self.jobs.put([tuple(j) for j in jobs])
-        yield out
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in JOBS_OUT.split(", ")])
 
     @classmethod
-    def fold(cls, key, jobs: list, rows: pd.DataFrame) -> pd.DataFrame:
-        """Applies events in order of arrival to the key's jobs."""
-        out = [(*key, *(cls.start(jobs, r) if r.function == "start_job" else cls.stop(jobs, r))) for r in rows.sort_values("seq", kind="stable").itertuples()]
-        return pd.DataFrame(out, columns=[c.split()[0] for c in JOBS_OUT.split(", ")])
+    def apply(cls, jobs: list, row) -> tuple:
+        """One event; ``jobs`` stays in order of acceptance and short."""
+        out = cls.start(jobs, row) if row.function == "start_job" else cls.stop(jobs, row)
+        jobs[:] = [j for k, j in enumerate(jobs) if j[1] or k == len(jobs) - 1]
+        return out
 
     @classmethod
     def start(cls, jobs: list, row) -> tuple:
@@ -103,15 +193,30 @@ class JobLifecycle(StatefulProcessor):
         pass
 
 
-def job_lifecycle(events: DataFrame) -> DataFrame:
-    """Start and stop events (function, event, seq) to accepted changes and rejects."""
-    return parse_job_events(events).groupBy("cluster", "job_id").transformWithStateInPandas(JobLifecycle(), JOBS_OUT, "Append", "None")
+def job_lifecycle(events: DataFrame, idle_days: int | None = None) -> DataFrame:
+    """Start and stop events (function, event, seq) to accepted changes and rejects.
+    With ``idle_days``, ids that nothing is heard of for so long are forgotten."""
+    return parse_job_events(events).groupBy("cluster", "job_id").transformWithStateInPandas(JobLifecycle(_ms(idle_days)), JOBS_OUT, "Append", _clock(idle_days))
 
 
 def job_lifecycle_batch(events: DataFrame) -> DataFrame:
-    """The same over a bounded table of events: one fold a (cluster, job_id)."""
-    fold = lambda key, rows: JobLifecycle.fold(key, [], rows)
-    return parse_job_events(events).groupBy("cluster", "job_id").applyInPandas(fold, JOBS_OUT)
+    """The same over a bounded table of events: one pass along each (cluster, job_id)."""
+    names = [c.split()[0] for c in JOBS_OUT.split(", ")][2:]
+    kinds = {"long": pa.int64(), "string": pa.string()}
+    shape = pa.struct([(n, kinds[t]) for n, t in (c.split() for c in JOBS_OUT.split(", ")[2:])])
+
+    def life() -> Step:
+        jobs: list = []
+
+        def follow(batch: pa.RecordBatch) -> pa.Array:
+            rows = (SimpleNamespace(**r) for r in batch.to_pylist())
+            return pa.array([dict(zip(names, JobLifecycle.apply(jobs, r))) for r in rows], shape)
+
+        return follow
+
+    kind = ",".join(f"{n}:{t}" for n, t in (c.split() for c in JOBS_OUT.split(", ")[2:]))
+    told = along(parse_job_events(events), ("cluster", "job_id"), ("seq",), life, "change", f"struct<{kind}>")
+    return told.select("cluster", "job_id", "change.*")
 
 
 def node_state_rows(events: DataFrame, health: DataFrame, node_lists: DataFrame | None = None) -> DataFrame:

@@ -1,11 +1,12 @@
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from halyard.operators.timeseries import dedup_samples
 from halyard.sources.line_protocol import parse_line_protocol
-from halyard.streaming.streams import ingest_samples, job_lifecycle, job_lifecycle_batch, node_state_rows, sync_sink
+from halyard.streaming.streams import JobLifecycle, ingest_samples, ingest_series, ingest_series_batch, job_lifecycle, job_lifecycle_batch, node_state_rows, sync_sink
 
 
 def run_stream(df, name, mode="append"):
@@ -98,3 +99,67 @@ def test_sync_sink(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.read.parquet(main).count() == 2 and seen == [1]
+
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def test_late_by_series(spark, tmp_path):
+    """One series sends old rows while another is far ahead; only its own begin counts."""
+    config = spark.createDataFrame([("load",)], "metric string")
+    path, schema = str(tmp_path / "in"), "seq long, line string"
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    batches = [[("ahead", 1_000_000), ("slow", 1000)], [("ahead", 2_000_000), ("slow", 1100), ("slow", 994), ("slow", 995)], [("slow", 1120), ("slow", 1010), ("ahead", 1_000_000), ("slow", 9000), ("slow", 1130)]]
+    seq = 0
+    for rows in batches:
+        write_lines(spark, path, [((seq := seq + 1), f"load,hostname={h} value={seq} {t}") for h, t in rows], schema)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(path)
+    got = run_stream(ingest_series(stream, "c0", config, 10), "by_series", "update").collect()
+    last = {}
+    for r in got:
+        if not r.late and r.seq >= last.get((r.hostname, r.cell), (0,))[0]:
+            last[r.hostname, r.cell] = (r.seq, r.value)
+    assert sorted((r.hostname, r.seq) for r in got if r.late) == [("ahead", 9), ("slow", 5), ("slow", 11)]
+    batch = ingest_series_batch(spark.read.schema(schema).json(path), "c0", config, 10).collect()
+    assert {(r.hostname, r.cell): r.value for r in batch} == {k: v for k, (_, v) in last.items()}
+
+
+def test_state_ends(spark, tmp_path):
+    """With an age limit the same rows come, and the state store has a clock."""
+    path, schema = str(tmp_path / "ev"), "function string, event string, seq long"
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    write_lines(spark, path, EVENTS, schema)
+    stream = job_lifecycle(spark.readStream.schema(schema).json(path), idle_days=400)
+    q = stream.writeStream.format("memory").queryName("ends").outputMode("append").start()
+    got, until = spark.table("ends"), time.time() + 60
+    while got.count() < 9 and time.time() < until:  # a stream with a clock never rests
+        time.sleep(0.5)
+    q.stop()
+    batch = job_lifecycle_batch(spark.read.schema(schema).json(path))
+    assert sorted(map(str, batch.select(got.columns).collect())) == sorted(map(str, got.collect()))
+
+
+def test_lifecycle_state_is_short():
+    class Row:
+        function, hosts, num_nodes, hpc_user, subcluster, stop_time, job_state = "start_job", 1, 1, "u", "s", None, None
+
+    jobs = []
+    for k in range(1000):
+        start, stop = Row(), Row()
+        start.start_time = stop.start_time = k * 86400
+        stop.function, stop.stop_time = "stop_job", k * 86400 + 5
+        assert JobLifecycle.apply(jobs, start)[1] == "start" and JobLifecycle.apply(jobs, stop)[1] == "stop"
+        assert len(jobs) <= 2
+
+
+def test_start_guard_of_a_hot_key(spark):
+    from halyard.operators.lists import duplicate_start_guard
+
+    starts = spark.range(300_000).selectExpr("id", "7L AS job_id", "'c' AS cluster", "id * 13 AS start_time").union(spark.sql("SELECT 1000000L, 7L, 'c', CAST(NULL AS BIGINT)"))
+    got = {r.start_time for r in duplicate_start_guard(starts, 86400).where("accepted").collect()}
+    want, last = {None}, None
+    for t in range(0, 300_000 * 13, 13):
+        if last is None or t - last >= 86400:
+            want.add(t)
+            last = t
+    assert got == want
