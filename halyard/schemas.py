@@ -14,8 +14,8 @@ JOB_META = (
 SERIES = "struct<hostname:string,id:string,statistics:struct<avg:double,min:double,max:double>,data:array<double>>"
 JOB_DATA = f"map<string,map<string,struct<unit:struct<base:string,prefix:string>,timestep:long,series:array<{SERIES}>>>>"
 METRICS = "map<string,struct<data:array<double>,frequency:long,start:long>>"
-#: Four levels: cluster file, host, component, sub-component.
-CHECKPOINT = f"struct<`from`:long,`to`:long,metrics:{METRICS},children:map<string,struct<metrics:{METRICS},children:map<string,struct<metrics:{METRICS}>>>>>"
+#: One level of a checkpoint; children stay text until they are parsed in their turn.
+CHECKPOINT = f"struct<`from`:long,`to`:long,metrics:{METRICS},children:map<string,string>>"
 _LIMITS = "name:string,peak:double,normal:double,caution:double,alert:double,footprint:string,energy:string,lowerIsBetter:boolean,remove:boolean"
 CLUSTER = (
     "name string, subClusters array<struct<name:string,nodes:string,socketsPerNode:int,coresPerSocket:int,threadsPerCore:int,"

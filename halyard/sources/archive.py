@@ -98,31 +98,85 @@ def read_job_json(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*[F.col(k).alias(v) for k, v in NAMES.items()])
 
 
+def write_job_tree(jobs: DataFrame, path: str) -> dict[str, int]:
+    """Jobs to a ``<cluster>/<id/1000>/<id%1000>/<start>/meta.json`` tree, and their
+    parsed series (column ``data``, if there) to ``data.json`` beside it. Jobs without
+    cluster, id or start have no place: they count as failed."""
+    from halyard.sources.job_tree import write_documents
+
+    back = {v: k for k, v in NAMES.items() if v in jobs.columns}
+    number = F.col("job_id")
+    folder = F.concat_ws("/", "cluster", F.floor(number / 1000).cast("string"), F.lpad((number % 1000).cast("string"), 3, "0"), F.col("start_time").cast("string"))
+    placed = F.col("cluster").isNotNull() & number.isNotNull() & F.col("start_time").isNotNull()
+    meta = F.struct(F.lit("meta.json").alias("name"), F.to_json(F.struct(*[F.col(v).alias(k) for v, k in back.items()])).alias("body"))
+    parts = [meta, F.struct(F.lit("data.json").alias("name"), F.to_json("data").alias("body"))] if "data" in jobs.columns else [meta]
+    rows = jobs.select(F.when(placed, folder).alias("folder"), F.explode(F.array(*parts)).alias("d")).select("folder", "d.*")
+    return write_documents(rows.where("name = 'meta.json' OR body IS NOT NULL"), path)
+
+
 def convert_archive(spark: SparkSession, source: str, target: str, fmt: str) -> DataFrame:
-    """A JSON tree to Parquet, or Parquet to JSON lines: one row with the counts."""
+    """A JSON tree to Parquet (``parquet``), or Parquet to JSON lines (``json``) or to a
+    tree (``tree``): one row with the counts."""
+    count = F.count(F.lit(1)).alias("converted")
     if fmt == "parquet":
         jobs = read_job_archive(spark, source)
         write_job_parquet(jobs, target)
-        return jobs.agg(F.count(F.lit(1)).alias("converted")).crossJoin(rejected_documents(spark, source).agg(F.count(F.lit(1)).alias("failed")))
+        return jobs.agg(count).crossJoin(rejected_documents(spark, source).agg(F.count(F.lit(1)).alias("failed")))
+    jobs = read_job_parquet(spark, source)
     if fmt == "json":
-        jobs = read_job_parquet(spark, source)
-        write_job_json(jobs, target)
-        return jobs.agg(F.count(F.lit(1)).alias("converted")).withColumn("failed", F.lit(0).cast("long"))
+        placed = F.col("job_id").isNotNull() & F.col("cluster").isNotNull() & F.col("start_time").isNotNull()
+        write_job_json(jobs.where(placed), target)
+        return jobs.agg(F.count_if(placed).alias("converted"), F.count_if(~placed).alias("failed"))
+    if fmt == "tree":
+        counts = write_job_tree(jobs, target)
+        return spark.createDataFrame([(counts["converted"], counts["failed"])], "converted long, failed long")
     raise ValueError(f"unknown format {fmt}")
 
 
-def import_archive(spark: SparkSession, source: str, target: str) -> DataFrame:
-    """Appends a JSON tree's jobs that the Parquet target has not: the counts."""
+def import_archive(spark: SparkSession, source: str, target: str, batch: str = "import") -> DataFrame:
+    """Appends a JSON tree's jobs that the Parquet target has not: the counts. The new
+    rows are written once and moved in as a batch, so a run that died can be repeated
+    under its name; under the name of a whole batch nothing is left to import, and the
+    next free number is taken."""
     from halyard.operators.retention import import_jobs
-
-    jobs, known = read_job_archive(spark, source), read_job_parquet(spark, target)
-    fresh = import_jobs(jobs, known)
-    counts = fresh.agg(F.count(F.lit(1)).alias("imported")).collect()[0][0]
-    total, failed = jobs.count(), rejected_documents(spark, source).count()
-    known_types = dict(fresh.dtypes)
-    coded = fresh.withColumns({c: F.to_json(c) for c in schemas.JSON_COLUMNS if c in known_types})
-    coded.sortWithinPartitions("cluster", *SORT).write.mode("append").partitionBy("cluster").option("compression", "zstd").parquet(target)
-    return spark.createDataFrame([(counts, total - counts, failed)], "imported long, skipped long, failed long")
+    from halyard.scratch import scratch_path
+    from halyard.sources.commits import append_batch, clear_batch, committed
+
+    whole = {m["batch"] for m in committed(spark, target)}
+    name = next(n for n in (batch, *(f"{batch}.{k}" for k in range(1, len(whole) + 2))) if n not in whole)
+    clear_batch(spark, target, name)
+    jobs = read_job_archive(spark, source)
+    fresh = import_jobs(jobs, read_job_parquet(spark, target))
+    known = dict(fresh.dtypes)
+    coded = fresh.withColumns({c: F.to_json(c) for c in schemas.JSON_COLUMNS if c in known})
+    held = scratch_path(spark, "import")  # the target is read here, before anything is added to it
+    coded.write.parquet(held)
+    coded = spark.read.schema(coded.schema).parquet(held)
+    imported, total = coded.count(), jobs.count()
+    failed = rejected_documents(spark, source).count()
+    if imported:
+        append_batch(coded.repartition("cluster").sortWithinPartitions("cluster", *SORT), target, name, ("cluster",), {"rows": imported})
+    return spark.createDataFrame([(imported, total - imported, failed)], "imported long, skipped long, failed long")
+
+
+def copy_jobs(jobs: DataFrame, job_tags: DataFrame, tags: DataFrame, target: str, cutoff: int, omit: str = "none") -> int:
+    """Copies jobs that started since the last copy, up to ``cutoff``, to a Parquet
+    archive; the rows copied. The marker is the archive's own: the greatest cutoff of
+    its whole batches. A run that died before its mark is repeated with the same rows."""
+    from halyard.operators.retention import retain_copy
+    from halyard.sources.commits import append_batch, clear_batch, committed
+
+    spark = jobs.sparkSession
+    marker = max((m["cutoff"] for m in committed(spark, target) if "cutoff" in m), default=0)
+    if cutoff <= marker:
+        return 0
+    clear_batch(spark, target, f"copy-{marker}")
+    rows, upto = retain_copy(jobs, marker, cutoff, job_tags, tags, omit)
+    known = dict(rows.dtypes)
+    coded = rows.withColumns({c: F.to_json(c) for c in schemas.JSON_COLUMNS if c in known and known[c] != "string"})
+    counted = rows.count()
+    append_batch(coded, target, f"copy-{marker}", ("cluster",), {"cutoff": upto, "rows": counted})
+    return counted
 
 
 def load_archive(spark: SparkSession, path: str, config: DataFrame, clusters: list[str], node_lists: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:

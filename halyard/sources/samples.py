@@ -20,21 +20,49 @@ def read_samples_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_samples_checkpoint(spark: SparkSession, path: str, from_ts: int = 0) -> DataFrame:
-    """``<cluster>/<host>/<begin>.json`` trees to samples; files whose name says that
-    they ended before ``from_ts`` hold no row of it and are skipped by time."""
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(path, wholetext=True)
-    where = F.col("_metadata.file_path")
-    doc = files.select(F.from_json("value", schemas.CHECKPOINT).alias("d"), F.regexp_extract(where, r"([^/]+)/[^/]+/[^/]+$", 1).alias("cluster"), F.regexp_extract(where, r"([^/]+)/[^/]+$", 1).alias("hostname"))
-    doc = doc.where(F.col("d").isNotNull() & (F.coalesce(F.col("d.to"), F.lit(1 << 62)) >= from_ts))
-    own = doc.select("cluster", "hostname", F.lit("node").alias("component"), F.lit("").alias("part"), F.col("d.metrics").alias("m"))
-    child = doc.select("cluster", "hostname", F.explode("d.children").alias("component", "c"))
-    first = child.select("cluster", "hostname", "component", F.lit("").alias("part"), F.col("c.metrics").alias("m"))
-    second = child.select("cluster", "hostname", "component", F.explode("c.children").alias("part", "cc")).select("cluster", "hostname", "component", "part", F.col("cc.metrics").alias("m"))
-    rows = own.unionByName(first).unionByName(second)
-    metric = rows.select("cluster", "hostname", "component", "part", F.explode("m").alias("metric", "b"))
-    points = metric.select("cluster", "hostname", "component", "part", "metric", F.col("b.start").alias("s"), F.col("b.frequency").alias("f"), F.posexplode("b.data").alias("k", "value"))
-    scope, number = split_component(F.col("component"))
-    out = points.select("cluster", "hostname", scope.alias("scope"), F.when(F.col("part") == "", number).otherwise(F.concat_ws(".", number, "part")).alias("scope_id"), "metric", (F.col("s") + F.col("k") * F.col("f")).alias("ts"), "value")
+    """``<cluster>/<host>/<begin>.json`` trees to samples, components at any depth.
+
+    Of each host, files that a later one followed at or before ``from_ts`` hold no row of
+    it: they are skipped by name, before they are opened. Of a component's path the
+    first name is its scope and number, the others are joined to the number by dots. A
+    file that is no checkpoint is left out."""
+    named = F.regexp_extract("_metadata.file_name", r"^([0-9]+)\.json$", 1)
+    tree = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json")
+    begin = F.when(named != "", named.cast("long"))
+    newer = tree.text(path, wholetext=True).where(begin >= from_ts)  # only names decide: the scan lists and skips
+    if from_ts > 0:
+        # The last file before, one a host.
+        listed = tree.format("binaryFile").load(path).select("path")
+        number = F.regexp_extract("path", r"/([0-9]+)\.json$", 1)
+        old = listed.where(number != "").select("path", F.regexp_extract("path", r"^(.*)/[^/]+$", 1).alias("folder"), number.cast("long").alias("begin"))
+        before = F.when(F.col("begin") < from_ts, F.struct("begin", "path"))
+        last = old.groupBy("folder").agg(F.max(before).alias("last"), F.min("begin").alias("first"), F.max(F.col("begin") == from_ts).alias("exact"))
+        kept = [r[0] for r in last.where("last IS NOT NULL AND NOT exact").select("last.path").collect()]
+        files = newer.select("value", F.col("_metadata.file_path").alias("file"))
+        if kept:
+            files = files.unionByName(spark.read.text(kept, wholetext=True).select("value", F.col("_metadata.file_path").alias("file")))
+    else:
+        files = newer.select("value", F.col("_metadata.file_path").alias("file"))
+    doc = files.select(F.from_json("value", schemas.CHECKPOINT).alias("d"), F.regexp_extract("file", r"([^/]+)/[^/]+/[^/]+$", 1).alias("cluster"), F.regexp_extract("file", r"([^/]+)/[^/]+$", 1).alias("hostname"))
+    level = doc.where(F.col("d").isNotNull()).select("cluster", "hostname", F.array().cast("array<string>").alias("names"), "d")
+    levels = []
+    while True:
+        levels.append(level.select("cluster", "hostname", "names", F.explode("d.metrics").alias("metric", "b")))
+        inner = level.select("cluster", "hostname", "names", F.explode("d.children").alias("name", "text"))
+        level = inner.select("cluster", "hostname", F.array_append("names", F.col("name")).alias("names"), F.from_json("text", schemas.CHECKPOINT).alias("d")).where(F.col("d").isNotNull())
+        if level.isEmpty():
+            break
+    rows = levels[0]
+    for more in levels[1:]:
+        rows = rows.unionByName(more)
+    points = rows.select("cluster", "hostname", "names", "metric", F.col("b.start").alias("s"), F.col("b.frequency").alias("f"), F.posexplode("b.data").alias("k", "value"))
+    scope, number = split_component(F.try_element_at("names", F.lit(1)))
+    deeper = F.slice("names", 2, F.greatest(F.size("names") - 1, F.lit(0)))
+    none = F.size("names") == 0
+    out = points.select(
+        "cluster", "hostname", F.when(none, "node").otherwise(scope).alias("scope"), F.when(none, "").when(F.size("names") == 1, number).otherwise(F.concat_ws(".", number, deeper)).alias("scope_id"), "metric",
+        (F.col("s") + F.col("k") * F.col("f")).alias("ts"), "value",
+    )
     return out.where(F.col("value").isNotNull() & (F.col("ts") >= from_ts))
 
 

@@ -92,7 +92,7 @@ def test_checkpoint(spark, tmp_path):
         "children": {"cpu3": {"metrics": {"flops": {"data": [5], "frequency": 10, "start": 50}}}, "socket0": {"metrics": {}, "children": {"x1": {"metrics": {"t": {"data": [7.5], "frequency": 1, "start": 9}}}}}},
     }
     (folder / "0.json").write_text(json.dumps(doc))
-    (folder / "1.json").write_text("broken")
+    (folder / "900.json").write_text("broken")  # names are begins, so it follows the first
     rows = S.read_samples_checkpoint(spark, str(tmp_path / "cp"))
     assert sorted((r.cluster, r.hostname, r.scope, r.scope_id, r.metric, r.ts, r.value) for r in rows.collect()) == [
         ("alpha", "h1", "hwthread", "3", "flops", 50, 5.0), ("alpha", "h1", "node", "", "load_one", 0, 1.0), ("alpha", "h1", "node", "", "load_one", 20, 3.0), ("alpha", "h1", "socket", "0.x1", "t", 9, 7.5),
@@ -131,3 +131,64 @@ def test_line_protocol(spark):
     ]
     got = parse_line_protocol(spark.createDataFrame([(x,) for x in lines], "line string"), "c0", config).collect()
     assert sorted(tuple(r) for r in got) == [("c0", "h1", "node", "", "load", 10, 1.5), ("c0", "h1", "node", "", "load", 16, -2000.0), ("c9", "h2", "hwthread", "3", "flops", 11, 7.0)]
+
+
+def test_checkpoint_depth_and_names(spark, tmp_path):
+    folder = tmp_path / "cp" / "alpha" / "h1"
+    folder.mkdir(parents=True)
+    leaf = lambda v: {"m": {"data": [v], "frequency": 1, "start": 500}}
+    deep = {"metrics": leaf(1), "children": {"socket1": {"metrics": leaf(2), "children": {"core2": {"metrics": leaf(3), "children": {"cpu3": {"metrics": leaf(4), "children": {"x": {"metrics": leaf(5)}}}}}}}}}
+    for name in (0, 100, 400, 600):
+        (folder / f"{name}.json").write_text(json.dumps(deep))
+    (folder / "notes.json").write_text("{}")
+    rows = S.read_samples_checkpoint(spark, str(tmp_path / "cp"), 450)
+    (folder / "0.json").unlink()  # listed, but never opened
+    (folder / "100.json").unlink()
+    got = sorted((r.scope, r.scope_id, r.value) for r in rows.collect())
+    assert got == sorted(2 * [("node", "", 1.0), ("socket", "1", 2.0), ("socket", "1.core2", 3.0), ("socket", "1.core2.cpu3", 4.0), ("socket", "1.core2.cpu3.x", 5.0)])
+
+
+def test_tree_round_trip(spark, tree, tmp_path):
+    pq, again, back = str(tmp_path / "pq"), str(tmp_path / "again"), str(tmp_path / "back")
+    A.convert_archive(spark, tree, pq, "parquet")
+    counts = A.convert_archive(spark, pq, again, "tree").first()
+    assert (counts.converted, counts.failed) == (3, 0)
+    assert os.path.isfile(f"{again}/alpha/52/017/100/meta.json")
+    key = lambda df: sorted(json.dumps(r.asDict(True), sort_keys=True) for r in df.select(sorted(df.columns)).collect())
+    assert key(A.read_job_archive(spark, again)) == key(A.read_job_archive(spark, tree))
+    assert A.write_job_tree(A.read_job_archive(spark, tree, with_data=True), back)["converted"] == 6
+    assert key(A.read_job_archive(spark, back, with_data=True)) == key(A.read_job_archive(spark, tree, with_data=True))
+    odd = A.read_job_parquet(spark, pq).withColumn("cluster", F.when(F.col("job_id") > 7, F.col("cluster")))
+    assert A.write_job_tree(odd, str(tmp_path / "odd")) == {"converted": 2, "failed": 1}
+
+
+def test_batches_can_be_repeated(spark, tree, tmp_path, monkeypatch):
+    from halyard.sources import commits
+
+    jobs = A.read_job_archive(spark, tree).withColumn("id", F.col("job_id"))
+    links = spark.createDataFrame([], "job_id long, tag_id string")
+    tags = spark.createDataFrame([], "tag_id string, tag_type string")
+    target = str(tmp_path / "archive")
+    real = commits._text
+
+    def die(value):
+        raise RuntimeError("killed before the mark")
+
+    monkeypatch.setattr(commits, "_text", die)
+    with pytest.raises(RuntimeError):
+        A.copy_jobs(jobs, links, tags, target, 250)
+    monkeypatch.setattr(commits, "_text", real)
+    assert spark.read.parquet(target).count() == 2  # moved in, not marked
+    assert A.copy_jobs(jobs, links, tags, target, 250) == 2
+    assert A.copy_jobs(jobs, links, tags, target, 250) == 0
+    assert A.copy_jobs(jobs, links, tags, target, 1000) == 1
+    assert sorted(r.job_id for r in spark.read.parquet(target).collect()) == [7, 52017, 52018]
+    pq = str(tmp_path / "pq")
+    A.write_job_parquet(A.read_job_archive(spark, tree).where("job_id = 7"), pq)
+    monkeypatch.setattr(commits, "_text", die)
+    with pytest.raises(RuntimeError):
+        A.import_archive(spark, tree, pq)
+    monkeypatch.setattr(commits, "_text", real)
+    assert tuple(A.import_archive(spark, tree, pq).first()) == (2, 1, 1)
+    assert tuple(A.import_archive(spark, tree, pq).first()) == (0, 3, 1)
+    assert A.read_job_parquet(spark, pq).count() == 3
