@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from halyard.scratch import scratch_path
 
-__all__ = ["SPACE_RE", "WORD_RE", "Workspace", "bit_filter", "materialise", "maybe_in", "read_documents", "scratch_path", "text_or_empty"]
+__all__ = ["SPACE_RE", "WORD_RE", "Workspace", "bit_filter", "materialise", "maybe_in", "read_documents", "row_hash", "scratch_path", "text_or_empty", "whole_rows"]
 
 #: White space of the corpus contracts: space and U+0009 to U+000D (fixed value).
 SPACE_RE = r"[\x20\x09-\x0D]+"
@@ -106,6 +106,17 @@ def maybe_in(rows: DataFrame, column: str, bits: DataFrame, inside: bool = True)
     return rows.join(F.broadcast(bits), (F.bitmap_bucket_number(slot) == bits["bucket"]) & is_set, "left_semi" if inside else "left_anti")
 
 
+def whole_rows(documents: DataFrame, *more: Column) -> DataFrame:
+    """``row``, a struct of all columns, beside working columns of any names: no name of
+    the documents can meet one of them, whatever its case."""
+    return documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), *more)
+
+
+def row_hash(documents: DataFrame) -> Column:
+    """Hash of ``row`` over all columns, as of the columns side by side."""
+    return F.xxhash64(*[F.col(f"row.`{c}`") for c in documents.columns])
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

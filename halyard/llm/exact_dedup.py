@@ -31,7 +31,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from halyard.llm.common import SPACE_RE, Workspace, bit_filter, maybe_in, text_or_empty
+from halyard.llm.common import SPACE_RE, Workspace, bit_filter, maybe_in, row_hash, text_or_empty, whole_rows
 
 #: Memtables of one bulk load, and runs a level holds before they are merged.
 MEMTABLES = 2
@@ -185,11 +185,10 @@ def drop_exact_copies(documents: DataFrame) -> DataFrame:
     ids = verdicts.select(F.when(~F.col("_none"), F.col("_id")).alias("_id"))
     bits = own.table(bit_filter(ids, "_id"), "copy-filter")
     own.drop(groups)
-    named = documents.withColumn("_own", F.col("doc_id").cast("long"))
+    named = whole_rows(documents, F.col("doc_id").cast("long").alias("_own"))
     alone = maybe_in(named, "_own", bits, inside=False)
-    met = maybe_in(named, "_own", bits).withColumn("_sha", sha256_hex(normalised(text_or_empty())))
-    row = F.struct(*[documents[c] for c in documents.columns])
+    met = maybe_in(named, "_own", bits).withColumn("_sha", sha256_hex(normalised(text_or_empty("row.text"))))
     same = [F.coalesce("_own", F.lit(0)).alias("_id"), F.col("_own").isNull().alias("_none"), "_sha"]
-    one = met.groupBy(*same).agg(F.min_by(row, F.xxhash64(*documents.columns)).alias("_row"))
+    one = met.groupBy(*same).agg(F.min_by("row", row_hash(documents)).alias("row"))
     stay = one.join(verdicts, ["_id", "_none", "_sha"], "left").where(F.coalesce("_kept", F.lit(True)))
-    return alone.select(documents.columns).unionByName(stay.select(*[F.col("_row")[c].alias(c) for c in documents.columns]))
+    return alone.select("row").unionByName(stay.select("row")).select("row.*")

@@ -49,7 +49,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from halyard.llm.common import SPACE_RE, Workspace, bit_filter, maybe_in
+from halyard.llm.common import SPACE_RE, Workspace, bit_filter, maybe_in, row_hash, text_or_empty, whole_rows
 
 BAND_RATIO = 1.3
 CACHE_WORDS = 300_000
@@ -472,7 +472,10 @@ def placed_rows(documents: DataFrame, n: int, percent: int, digest: Callable[[np
         shingled = shingled.withColumn("node", node)
 
     # Index rows meet by key; only keys of two nodes or more are kept.
-    keyed = base.select("text").mapInArrow(_signature_table(n, percent, name), _SIGNATURE)
+    # One row of a set speaks for all (more where ids are null or repeated).
+    speakers = shingled.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    spoken = maybe_in(base, "doc_id", own.table(bit_filter(speakers, "doc_id"), "speakers"))
+    keyed = spoken.select("text").mapInArrow(_signature_table(n, percent, name), _SIGNATURE)
     order = ["key", "kind", "node"]
     shared = keyed.repartition("key").sortWithinPartitions(*order).mapInArrow(_runs, "key long, node long, size int")
     shared = own.table(shared, "shared-keys")
@@ -576,8 +579,7 @@ def drop_near_copies(documents: DataFrame, n: int = 5, percent: int = 80) -> Dat
     gone = by_id.where("rows = 1 and moved").select(F.col("doc_id").alias("_own"))
     single = own.table(bit_filter(gone, "_own"), "gone")
 
-    columns = documents.columns
-    rows = documents.withColumn("_own", F.col("doc_id").cast("long")).withColumn("_words", F.coalesce(F.col("text").cast("string"), F.lit("")))
+    rows = whole_rows(documents, F.col("doc_id").cast("long").alias("_own"), text_or_empty().alias("_words"))
     worded = F.regexp_replace("_words", SPACE_RE, "") != ""
     plain = maybe_in(rows, "_own", several, inside=False)
     stay = maybe_in(plain, "_own", single, inside=False)
@@ -589,11 +591,8 @@ def drop_near_copies(documents: DataFrame, n: int = 5, percent: int = 80) -> Dat
     kept.append(mixed.where(~worded))
     schema = StructType([*mixed.schema.fields, StructField("_node", LongType())])
     noded = mixed.where(worded).mapInArrow(_with_node(n, name), schema)
-    row = F.struct(*columns)
-    best = F.min_by(row, F.xxhash64(*columns)).alias("_row")
-    ones = noded.groupBy("_own", "_node").agg(best)  # before the join, so that no set is hot
+    ones = noded.groupBy("_own", "_node").agg(F.min_by("row", row_hash(documents)).alias("row"))  # before the join, so that no set is hot
     marks = found.select(F.col("node").alias("_node"), "root", "component_id").distinct()
     ones = ones.join(marks, "_node").where(F.col("_own").eqNullSafe(F.col("component_id")))
-    ones = ones.groupBy("root").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
-    picked = ones.select(*[F.col("_row")[c].alias(c) for c in columns])
-    return reduce(DataFrame.unionByName, [part.select(columns) for part in kept] + [picked])
+    picked = ones.groupBy("root").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row")
+    return reduce(DataFrame.unionByName, [part.select("row") for part in kept] + [picked]).select("row.*")

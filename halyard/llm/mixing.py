@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from halyard.llm.common import WORD_RE, Workspace, bit_filter, maybe_in, text_or_empty
+from halyard.llm.common import WORD_RE, Workspace, bit_filter, maybe_in, row_hash, text_or_empty, whole_rows
 
 #: Weights by a source's place, repeating; the contract's fixed values.
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -235,15 +235,13 @@ def apply_mix(documents: DataFrame, **options) -> DataFrame:
     counts = counts.select(F.col("doc_id").alias("_rid"), F.col("text_key").alias("_rkey"), "_shard", "_n")
     same = mix.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("text_key").distinct()
     bits = own.table(bit_filter(same, "text_key"), "repeated")
-    columns = documents.columns
-    left = documents.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_key", F.xxhash64(text_or_empty()))
-    one = maybe_in(left, "_key", bits).groupBy("_id", "_key").agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("_row"))
-    one = one.select("_id", "_key", *[F.col("_row")[c].alias(c) for c in columns])
-    rows = maybe_in(left, "_key", bits, inside=False).unionByName(one)
+    left = whole_rows(documents, F.col("doc_id").cast("long").alias("_id"), F.xxhash64(text_or_empty()).alias("_key"))
+    one = maybe_in(left, "_key", bits).groupBy("_id", "_key").agg(F.min_by("row", row_hash(documents)).alias("row"))
+    rows = maybe_in(left, "_key", bits, inside=False).unionByName(one.select("row", "_id", "_key"))
     joined = rows.join(counts, F.col("_id").eqNullSafe(F.col("_rid")) & (F.col("_key") == F.col("_rkey")))
     copies = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
     return (
         copies.repartition(F.col("_shard"), F.pmod(F.xxhash64("_id", "_key", "_copy"), F.lit(SHARD_PARTS)))
         .sortWithinPartitions("_shard", F.xxhash64(F.lit(seed + 3), "_id", "_key", "_copy"))
-        .select(columns)
+        .select("row.*")
     )

@@ -215,4 +215,4 @@ def score_quality(documents: DataFrame, labels: DataFrame, folds: int = 5, held:
 def keep_good(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``documents`` that the classifier does not reject."""
     model = fit_quality(documents, labels)
-    return documents.withColumn("_score", quality_score(documents, model)).where(F.col("_score") >= THRESHOLD).drop("_score")
+    return documents.where(quality_score(documents, model) >= THRESHOLD)

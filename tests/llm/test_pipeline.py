@@ -1,5 +1,8 @@
 from collections import Counter
 
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from halyard.llm.quality import score_quality
 from tests.llm.test_jaccard import brute
@@ -53,3 +56,24 @@ def test_stages(spark):
 
 def test_run(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+#: Names that the stages use inside, and some in other letter case.
+INNER = (
+    "_own _sha _id _none _kept _words _node row Row ROW _copy _key _shard _n _rid _rkey _score _row text_sha256 norm uid first kept digest node other root component_id n_shingles "
+    "tokens sketch size copies shards shard place bucket bits slot source_size target taken _OWN _Node _Copy label fold held_out score predicted key kind"
+).split()
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES[:4])
+def test_clashing_names(spark, sf, name, stage):
+    """Columns of any name come through a stage with their own values."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    extra = list({c.lower(): c for c in INNER}.values())
+    wide = docs.withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in extra})
+    got = stage(spark, wide, sf)
+    assert got.columns == wide.columns
+    rows = got.collect()
+    assert rows and all(r[c] == f"{c}{r.doc_id}" for r in rows for c in extra)
+    plain = Counter(r.doc_id for r in stage(spark, docs, sf).collect())
+    assert Counter(r.doc_id for r in rows).keys() == plain.keys()
