@@ -60,8 +60,9 @@ SKETCH_BITS = 2048
 #: Rounds in which each key offers one member to the others, before the rest of
 #: the pairs is formed.
 STAR_ROUNDS = 2
-#: Keys of more sets than this are compared by blocks of about so many rows.
-CROWD = 24
+#: Keys of more sets than this are compared by blocks of about so many rows; a key of
+#: fewer gives six pairs at most.
+CROWD = 4
 BLOCK_ROWS = 1024
 
 
