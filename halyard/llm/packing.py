@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from halyard.llm.common import Workspace, text_or_empty
-from halyard.llm.tokenizing import encoder
+from halyard.llm.tokenizing import CACHE_WORDS, encoder
 
 END_ID = 0
 SEQUENCE = 1024
@@ -102,9 +102,9 @@ def document_keys(documents: list[np.ndarray], vocabulary: int) -> np.ndarray:
     return hilbert_keys(np.clip((points + REACH) * ((1 << BITS) / (2 * REACH)), 0, (1 << BITS) - 1))
 
 
-def _encode(path: str):
+def _encode(path: str, cache_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(path, cache_words)
         end = np.array([END_ID], dtype=enc.dtype).tobytes()
         size = max(len(enc.opens), END_ID + 1)
         for batch in batches:
@@ -170,12 +170,13 @@ def _cut(width: int, sequence: int):
     return run
 
 
-def pack_documents(documents: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE) -> DataFrame:
-    """One row a piece. ``sequence`` is a power of two."""
+def pack_documents(documents: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE, cache_words: int = CACHE_WORDS) -> DataFrame:
+    """One row a piece. ``sequence`` is a power of two. ``cache_words`` bounds the words
+    that a worker keeps encoded."""
     own = Workspace(documents.sparkSession, "packing")
     base = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     # Written first, because range partitioning looks at its input twice.
-    encoded = own.table(base.mapInArrow(_encode(tokenizer_path), "doc_id long, n long, key long, ids binary"), "encoded", compression="zstd")
+    encoded = own.table(base.mapInArrow(_encode(tokenizer_path, cache_words), "doc_id long, n long, key long, ids binary"), "encoded", compression="zstd")
     order = ["key", "doc_id", F.xxhash64("ids")]
     laid = (
         encoded.repartitionByRange(*order)

@@ -224,5 +224,5 @@ class WordCachedEncoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> WordCachedEncoder:
-    return WordCachedEncoder(path)
+def encoder(path: str, cache_words: int = CACHE_WORDS) -> WordCachedEncoder:
+    return WordCachedEncoder(path, cache_words)
