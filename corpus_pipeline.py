@@ -39,9 +39,12 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 1024 ids along the Hilbert curve."""
-    return pack_documents(docs, tokenizer_path())
+    return pack_documents(docs, tokenizer_path(), cache_words=CACHE_WORDS)
 
 
+#: Workers serve all stages in turn, so packing keeps fewer words than on its own.
+CACHE_WORDS = 250_000
+
 STAGES = [
     ("quality", quality),
     ("exact_copies", exact_copies),
