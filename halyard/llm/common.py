@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -75,7 +76,8 @@ class Workspace:
         self.release()
 
     def release(self) -> None:
-        """Let Spark's cleaner find the shuffle files of queries that are over."""
+        """Let Spark's cleaner find the shuffle files and broadcasts of queries that are over."""
+        gc.collect()  # Python's handles keep plans alive
         self.spark.sparkContext._jvm.System.gc()
 
     def _delete(self, path: str) -> None:

@@ -287,12 +287,20 @@ def parity_sketch(tokens: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount(bucket, minlength=bits) & 1).astype(np.uint8)).view(np.int64)
 
 
-def folded(sketch: np.ndarray) -> np.ndarray:
-    """A sketch of the smallest size."""
-    return np.bitwise_xor.reduce(sketch.reshape(-1, SKETCH_BITS // 64), axis=0)
+def folded(sketch: np.ndarray, words: int = SKETCH_BITS // 64) -> np.ndarray:
+    """A sketch on fewer words, a power of two."""
+    return np.bitwise_xor.reduce(sketch.reshape(-1, words), axis=0)
+
+
+def slim_words(size: int) -> int:
+    """Words of a sketch of one to two bits an element. Of two unrelated sets about
+    half of its bits differ; those that are similar may differ in a ninth at most."""
+    return max(1, (1 << (size - 1).bit_length()) // 64)
 
 
 def _set_table(n: int, name: Namer):
+    """Sets with their sketches; ``small`` and ``slim`` are null where ``sketch`` has their size."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Shingler(n)
         for batch in batches:
@@ -303,29 +311,40 @@ def _set_table(n: int, name: Namer):
                 flat = np.concatenate(found) if found else np.zeros(0, np.uint64)
                 sketches = [parity_sketch(t) for t in found] or [np.zeros(0, np.int64)]
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in sketches[: len(found)]])])
-                smalls = np.concatenate([folded(x) for x in sketches])
+                smalls = [folded(x) if len(x) > SKETCH_BITS // 64 else None for x in sketches[: len(found)]]
+                slims = [folded(x, slim_words(len(t))) if 0 < slim_words(len(t)) < len(x) else None for t, x in zip(found, sketches)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(nodes, pa.int64()),
                         pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat.view(np.int64))),
                         pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sketches))),
-                        pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * (SKETCH_BITS // 64), pa.int32()), pa.array(smalls)),
+                        pa.array(smalls, pa.list_(pa.int64())),
+                        pa.array(slims, pa.list_(pa.int64())),
                     ],
-                    ["node", "tokens", "sketch", "small"],
+                    ["node", "tokens", "sketch", "small", "slim"],
                 )
 
     return run
 
 
-def _fits(a: str, b: str, percent: int):
+def _fits(a: Column, b: Column, percent: int) -> Column:
     small, large = F.least(a, b).cast("long"), F.greatest(a, b).cast("long")
     return small * 100 >= large * percent
 
 
-def _folded(sketch: str, words: Column) -> Column:
+def _folded(sketch: Column, words: Column) -> Column:
     """The sketch on ``words`` words: sizes of a pair differ by one power at most."""
     halves = F.zip_with(F.slice(sketch, F.lit(1), words), F.slice(sketch, words + 1, words), lambda x, y: x.bitwiseXOR(y))
-    return F.when(F.size(sketch) > words, halves).otherwise(F.col(sketch))
+    return F.when(F.size(sketch) > words, halves).otherwise(sketch)
+
+
+def _may_reach(sketch_a: Column, sketch_b: Column, n_a: Column, n_b: Column, percent: int) -> Column:
+    """Whether the sketches of sets whose sizes fit leave the similarity possible:
+    common >= percent / (100 + percent) * sum, so at most this many elements differ."""
+    least = F.least(F.size(sketch_a), F.size(sketch_b))
+    bits = F.zip_with(_folded(sketch_a, least), _folded(sketch_b, least), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    apart = F.aggregate(bits, F.lit(0), lambda acc, v: acc + v).cast("long")
+    return apart * (100 + percent) <= (n_a + n_b).cast("long") * (100 - percent)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -333,12 +352,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     most others before any set is moved; the sets decide."""
     short = sets.select("node", F.size("tokens").alias("n"), "sketch")
     both = pairs.join(short.toDF("a", "n_a", "sketch_a"), "a").join(short.toDF("b", "n_b", "sketch_b"), "b")
-    least = F.least(F.size("sketch_a"), F.size("sketch_b"))
-    bits = F.zip_with(_folded("sketch_a", least), _folded("sketch_b", least), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
-    apart = F.aggregate(bits, F.lit(0), lambda acc, v: acc + v).cast("long")
-    # common >= percent / (100 + percent) * sum, so at most this many elements differ
-    near = apart * (100 + percent) <= (F.col("n_a") + F.col("n_b")).cast("long") * (100 - percent)
-    close = both.where(near).select("a", "b")
+    close = both.where(_may_reach(F.col("sketch_a"), F.col("sketch_b"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
     whole = sets.select("node", "tokens")
     both = close.join(whole.toDF("a", "tokens_a"), "a").join(whole.toDF("b", "tokens_b"), "b")
     common = F.size(F.array_intersect("tokens_a", "tokens_b")).cast("long")
@@ -409,7 +423,7 @@ def crowded_pairs(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     """
     counts = placed.groupBy("key").agg(F.count(F.lit(1)).alias("k"))
     parts = F.ceil(F.col("k") / BLOCK_ROWS).cast("int")
-    rows = placed.join(counts, "key").join(sets.select("node", F.col("small").alias("sketch")), "node").withColumn("parts", parts)
+    rows = placed.join(counts, "key").join(sets.select("node", F.coalesce("small", "sketch").alias("sketch")), "node").withColumn("parts", parts)
     rows = rows.withColumn("own", F.pmod(F.xxhash64(F.lit(41), "node"), F.col("parts")).cast("int"))
     met = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     low, high = F.least("own", "other"), F.greatest("own", "other")
@@ -420,6 +434,26 @@ def crowded_pairs(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     return units.repartition("pair").sortWithinPartitions(*order).mapInArrow(_block_pairs(percent), "a long, b long").distinct()
 
 
+def few_pairs(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of keys that ``CROWD`` sets share at most.
+
+    Sets that share a subset by chance meet here, and such pairs grow faster than the
+    input. A key's members, four at most, lie in one row with sketches as long as the
+    sets need, so that only pairs that may be similar are ever formed.
+    """
+    slims = sets.select("node", F.coalesce("slim", "sketch").alias("slim"))
+    met = placed.join(slims, "node").groupBy("key").agg(F.collect_list(F.struct("node", "size", "root", "slim")).alias("m"))
+
+    def partners(x: Column) -> Column:
+        def good(y: Column) -> Column:
+            apart = (x.node < y.node) & (x.root != y.root) & _fits(x["size"], y["size"], percent)
+            return apart & _may_reach(x.slim, y.slim, x["size"], y["size"], percent)
+
+        return F.transform(F.filter("m", good), lambda y: F.struct(x.node.alias("a"), y.node.alias("b")))
+
+    return met.select(F.explode(F.flatten(F.transform("m", partners))).alias("p")).select("p.a", "p.b").distinct()
+
+
 def components(edges: DataFrame, own: Workspace) -> DataFrame:
     """(node, root) for every node of an edge: alternating large and small stars.
 
@@ -485,7 +519,7 @@ def placed_rows(documents: DataFrame, n: int, percent: int, digest: Callable[[np
     wanted = own.table(members.groupBy("node").agg(F.count(F.lit(1)).alias("popularity"), F.max("size").alias("size")), "wanted")
     holders = shingled.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     texts = maybe_in(base, "doc_id", bit_filter(holders, "doc_id")).select("text")
-    made = texts.mapInArrow(_set_table(n, name), "node long, tokens array<bigint>, sketch array<bigint>, small array<bigint>")
+    made = texts.mapInArrow(_set_table(n, name), "node long, tokens array<bigint>, sketch array<bigint>, small array<bigint>, slim array<bigint>")
     # Any row of a node is as good as another; sets that only passed the filters are not asked for.
     asked = maybe_in(made.where("node is not null"), "node", bit_filter(wanted, "node"))
     # Kept in buckets: verification moves the pairs, and one set a pair.
@@ -503,7 +537,7 @@ def placed_rows(documents: DataFrame, n: int, percent: int, digest: Callable[[np
         chief = placed.groupBy("key").agg(F.max(F.struct(worth.alias("worth"), "node", "size", "root")).alias("c"))
         offers = (
             placed.join(chief, "key")
-            .where((F.col("root") != F.col("c.root")) & _fits("size", "c.size", percent))
+            .where((F.col("root") != F.col("c.root")) & _fits(F.col("size"), F.col("c.size"), percent))
             .select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b"), "c.worth", "node")
         )
         if turn == 0:  # the most shared one only
@@ -523,17 +557,10 @@ def placed_rows(documents: DataFrame, n: int, percent: int, digest: Callable[[np
         own.drop(last)
 
     # What is left: nodes that share a key but not a component.
-    # Keys of few sets by a join, crowded ones by blocks.
+    # Keys of few sets in one row each, crowded ones by blocks.
     crowd = placed.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > CROWD).select("key")
     crowded = crowded_pairs(placed.join(crowd, "key", "left_semi"), sets, percent)
-    placed = placed.join(crowd, "key", "left_anti")
-    right = placed.select("key", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("root").alias("root_b"))
-    cross = (
-        placed.select("key", "node", "size", "root").join(right, "key")
-        .where((F.col("node") < F.col("b")) & (F.col("root") != F.col("root_b")) & _fits("size", "size_b", percent))
-        .select(F.col("node").alias("a"), "b")
-        .distinct()
-    )
+    cross = few_pairs(placed.join(crowd, "key", "left_anti"), sets, percent)
     cross = cross.unionByName(crowded).distinct()
     cross = own.table(cross.join(seen, ["a", "b"], "left_anti"), "cross-pairs")
     links = own.table(links.unionByName(verified(cross, sets, percent)), "links")
