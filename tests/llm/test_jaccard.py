@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from halyard.llm.common import Workspace
-from halyard.llm.jaccard import EMPTY, PLAIN, SKETCH_BITS, WIDE, Scheme, Shingler, components, drop_near_copies, folded, mix, parity_sketch, set_digest, signatures, similar_components
+from halyard.llm.jaccard import EMPTY, PLAIN, SKETCH_BITS, WIDE, Namer, Scheme, Shingler, _set_table, components, drop_near_copies, few_pairs, folded, mix, parity_sketch, set_digest, signatures, similar_components
 
 
 def shingles(text, n):
@@ -164,3 +164,30 @@ def test_edge_rows(spark):
     assert sorted(got) == [(1, 2, 1), (2, 0, 2), (3, 2, 1), (4, 0, 4), (5, 0, 5), (6, 1, 6), (7, 1, 6), (7, 1, 6), (8, 1, 8), (9, 1, 9), (10, 1, 10)]
     assert sorted(r.doc_id for r in drop_near_copies(docs).collect()) == [1, 2, 4, 5, 6, 8, 9, 10]
     assert similar_components(docs.limit(0)).count() == 0
+
+
+def test_few_pairs(spark):
+    """Every similar pair of a key comes out, and hardly any other is formed."""
+    rng, texts = random.Random(5), []
+    for size in [3, 30, 70, 130, 300, 600, 1100, 2500, 5000] * 3:
+        words = [f"w{rng.randrange(10**6)}" for _ in range(size)]
+        near = words[:]
+        near[size // 2] = "x"
+        texts += [" ".join(words), " ".join(near), " ".join(f"v{rng.randrange(10**6)}" for _ in range(size))]
+    name, make = Namer(set_digest), Shingler(5)
+    found = {name(make(t)): set(make(t).tolist()) for t in texts}
+    nodes = [name(make(t)) for t in texts]
+    rows = [(k // 3, node, len(found[node]), node) for k, node in enumerate(nodes)]
+    rows += [(-1, nodes[0], len(found[nodes[0]]), 7), (-1, nodes[1], len(found[nodes[1]]), 7)]  # one component already
+    placed = spark.createDataFrame(rows, "key long, node long, size int, root long")
+    frame = spark.createDataFrame([(t,) for t in texts], "text string").select("text")
+    sets = frame.mapInArrow(_set_table(5, name), "node long, tokens array<bigint>, sketch array<bigint>, small array<bigint>, slim array<bigint>")
+    got = {(r.a, r.b) for r in few_pairs(placed, sets, 80).collect()}
+    want = {
+        tuple(sorted((a, b)))
+        for k in range(0, len(nodes), 3)
+        for a in nodes[k : k + 3]
+        for b in nodes[k : k + 3]
+        if a != b and 100 * len(found[a] & found[b]) >= 80 * len(found[a] | found[b])
+    }
+    assert want and want <= got and len(got - want) <= 6
