@@ -126,6 +126,18 @@ def select_series(samples: DataFrame, selector: dict[str, str | list[str] | None
     return samples
 
 
+def nearest_series(samples: DataFrame) -> DataFrame:
+    """What a selector that ends at the host means: the host's own series of a metric
+    where it has one, else all series below. Rows without a scope are below; null keys
+    are keys of their own. Only names of hosts with own series are matched, so no
+    sample moves unless that list is large."""
+    keys = ("cluster", "hostname", "metric")
+    own = F.col("scope").eqNullSafe("node")
+    owners = samples.where(own).select(*(F.col(k).alias(f"{k}_") for k in keys)).distinct()
+    same = [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys]
+    return samples.where(own).unionByName(samples.where(~own).join(owners, same, "left_anti"))
+
+
 def result_scope(native: str, target: str) -> str | None:
     """The coarser of both; None where nothing comes out; an error if not offered."""
     scope = max(native, target, key=SCOPE_ORDER.index)

@@ -52,6 +52,18 @@ query("t2_read_range_padded", f"""WITH i AS (SELECT * FROM cells WHERE cell BETW
 query("t3_select_series", f"SELECT {KEYS}, seq FROM samples WHERE hostname IN ('n1', 'n2', 'n30') AND scope_id = 2", EXTRA)(
     lambda spark, d: T.select_series(view(spark, d, "samples"), {"cluster": None, "hostname": ["n1", "n2", "n30"], "scope_id": "2"}).select("cluster", "hostname", "scope", "scope_id", "metric", "seq")
 )
+OWN_OF = "CAST(substring(hostname, 2, 20) AS BIGINT) % 2 = 0 AND scope_id = 0"  # hosts that also send series of their own
+
+
+def scoped_samples(spark, d):
+    samples = view(spark, d, "samples")
+    return samples.unionByName(samples.where(OWN_OF).withColumn("scope", F.lit("node")))
+
+
+query("t3_nearest_series", f"""WITH b AS (SELECT * FROM samples UNION ALL SELECT * REPLACE ('node' AS scope) FROM samples WHERE {OWN_OF})
+ SELECT {KEYS}, seq FROM b QUALIFY scope = 'node' OR NOT bool_or(scope = 'node') OVER (PARTITION BY cluster, hostname, metric)""", EXTRA)(
+    lambda spark, d: T.nearest_series(scoped_samples(spark, d)).select("cluster", "hostname", "scope", "scope_id", "metric", "seq")
+)
 for _scope in ("core", "socket"):
     query(f"t4_rollup_{_scope}", f"""WITH p AS (SELECT c.cluster, c.hostname, c.metric, t.{_scope} AS target, c.scope_id, cell, value, aggregation FROM cells c JOIN topology t ON t.hwthread = c.scope_id JOIN metric_config m ON m.metric = c.metric), s AS (SELECT cluster, hostname, metric, target, count(DISTINCT scope_id) AS series FROM p GROUP BY ALL)
  SELECT cluster, hostname, '{_scope}' AS scope, CAST(target AS BIGINT) AS scope_id, metric, cell, CASE WHEN count(value) = any_value(series) THEN CASE WHEN any_value(aggregation) = 'avg' THEN sum(value) / any_value(series) ELSE sum(value) END END AS value FROM p JOIN s USING (cluster, hostname, metric, target) GROUP BY cluster, hostname, metric, target, cell""", EXTRA)(

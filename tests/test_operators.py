@@ -199,3 +199,12 @@ def test_rule_and_pattern_files(spark, tmp_path):
     (tmp_path / "parameters.json").write_text("{}")
     with pytest.raises(ValueError, match="unknown parameters least"):
         R.read_rules(spark, str(tmp_path))
+
+
+def test_nearest_series(spark):
+    from halyard.operators.timeseries import nearest_series
+
+    rows = [(None, "a", "node", "m", 1), (None, "a", "core", "m", 2), ("c", "a", "core", "m", 3), ("c", "a", None, "m", 4), ("c", "b", "core", "m", 5), ("c", "b", "node", "n", 6)]
+    samples = spark.createDataFrame(rows, "cluster string, hostname string, scope string, metric string, v int")
+    assert sorted(r.v for r in nearest_series(samples).collect()) == [1, 3, 4, 5, 6]
+    assert nearest_series(samples.limit(0)).count() == 0
