@@ -135,14 +135,13 @@ class FactorisationMachine:
         if not rows:
             model.factors[:] = 0
             return model
-        inputs = [model.inputs(r[1], r[2], r[3]) for r in rows]
         labels = np.array([float(r[0]) for r in rows])
         share = min(max(labels.mean(), 1e-3), 1 - 1e-3)
         model.bias = math.log(share / (1 - share))
         past_w, past_v, past_b = np.full(SIZE, 1e-2), np.full((SIZE, RANK), 1e-2), 1e-2
         for _ in range(EPOCHS):
             for k in rng.permutation(len(rows)):
-                index, x = inputs[k]
+                index, x = model.inputs(*rows[k][1:])  # made anew: kept, they would double the sample
                 z, total = model.raw(index, x)
                 slip = 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) - labels[k]
                 grad_w = slip * x + DECAY * model.weights[index]
@@ -181,11 +180,10 @@ def fit_quality(documents: DataFrame, labels: DataFrame, folds: int = 5, held: i
     joined = joined.orderBy(F.xxhash64(F.lit(13), "doc_id"), F.xxhash64("text"), "label", "n").limit(4 * sample_docs)
     schema = "doc_id long, label int, slots array<bigint>, amounts array<double>, stats array<double>"
     found = joined.mapInArrow(_features, schema).toArrow()
-    order = sorted(range(found.num_rows), key=lambda k: (found["doc_id"][k].as_py(), found["label"][k].as_py(), found["slots"][k].as_py()))
-    # Arrays, not lists: the features of a long document are its whole vocabulary.
-    parts = [found[c].combine_chunks() for c in ("slots", "amounts", "stats")]
-    labels_of = found["label"].to_pylist()
-    return FactorisationMachine.fit([(labels_of[k], *(part[k].values.to_numpy() for part in parts)) for k in order])
+    ids, labels_of = found["doc_id"].to_pylist(), found["label"].to_pylist()
+    order = sorted(range(len(ids)), key=lambda k: (ids[k], labels_of[k]))  # stable: rows of one id keep the order above
+    # Views of the one table, not lists: the features of a long document are its whole vocabulary.
+    return FactorisationMachine.fit([(labels_of[k], *(found[c][k].values.to_numpy() for c in ("slots", "amounts", "stats"))) for k in order])
 
 
 def quality_score(documents: DataFrame, model: FactorisationMachine) -> Column:
