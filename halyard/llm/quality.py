@@ -20,7 +20,7 @@ count; rows without an id are not held out; extra columns are ignored.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from operator import eq
 from zlib import crc32
@@ -41,6 +41,8 @@ RATE = 0.08
 DECAY = 2e-5
 THRESHOLD = 0.3
 CACHE_WORDS = 400_000
+#: Inputs of documents scored together, some MB of factors; a document adds its own at most.
+BATCH_INPUTS = 100_000
 #: Byte classes counted over the UTF-8 text.
 _UPPER = np.arange(65, 91)
 _LOWER = np.arange(97, 123)
@@ -120,9 +122,28 @@ class FactorisationMachine:
         total = v.sum(0)
         return float(self.bias + self.weights[index] @ x + 0.5 * ((total * total).sum() - (v * v).sum())), total
 
-    def score(self, slots: np.ndarray, values: np.ndarray, stats: np.ndarray) -> float:
-        z = self.raw(*self.inputs(slots, values, stats))[0]
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+    def scores(self, rows: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Probabilities for (slots, values, statistics) of documents, computed together
+        for as many as have ``BATCH_INPUTS`` inputs."""
+        out, held, size = [], [], 0
+        for row in rows:
+            held.append(self.inputs(*row))
+            size += len(held[-1][0])
+            if size >= BATCH_INPUTS:
+                out.append(self._together(held))
+                held, size = [], 0
+        return np.concatenate([*out, self._together(held)])
+
+    def _together(self, held: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        if not held:
+            return np.zeros(0)
+        starts = np.cumsum([0, *(len(index) for index, _ in held[:-1])])  # no row is without inputs
+        index, x = (np.concatenate(part) for part in zip(*held))
+        v = self.factors[index] * x[:, None]
+        total = np.add.reduceat(v, starts)
+        own = np.add.reduceat((v * v).sum(1), starts)
+        z = self.bias + np.add.reduceat(self.weights[index] * x, starts) + 0.5 * ((total * total).sum(1) - own)
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
     @classmethod
     def fit(cls, rows: list[tuple], seed: int = 1) -> FactorisationMachine:
@@ -195,7 +216,7 @@ def quality_score(documents: DataFrame, model: FactorisationMachine) -> Column:
         make, machine = FeatureMaker(), shared.value
         for texts, sizes in batches:
             given = [None if pd.isna(n) else int(n) for n in sizes]
-            yield pd.Series([machine.score(*make(t, n)) for t, n in zip(texts, given)], dtype="float64")
+            yield pd.Series(machine.scores(make(t, n) for t, n in zip(texts, given)), dtype="float64")
 
     return score(F.col("text").cast("string"), _metadata(documents))
 

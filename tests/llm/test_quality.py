@@ -3,7 +3,8 @@ import zlib
 import numpy as np
 import pytest
 
-from halyard.llm.quality import SIZE, STATISTICS, FactorisationMachine, FeatureMaker, keep_good, score_quality
+from halyard.llm import quality
+from halyard.llm.quality import SIZE, STATISTICS, FactorisationMachine, FeatureMaker, fit_quality, keep_good, score_quality
 
 
 def test_sum_of_squares_identity():
@@ -14,6 +15,30 @@ def test_sum_of_squares_identity():
     assert fm.raw(index, x)[0] == pytest.approx(0.1 + fm.weights[index] @ x + pairs)
 
 
+def test_query_against_pairs_of_inputs(spark):
+    """Scores of the operator are those of a loop over all pairs of inputs."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    model = fit_quality(docs, labels)
+    make = FeatureMaker()
+    got = {r.doc_id: r.score for r in score_quality(docs, labels).collect()}
+    for row in docs.orderBy("doc_id").collect():
+        index, x = model.inputs(*make(row.text, row.n_chars))
+        both = (model.factors[index] @ model.factors[index].T) * np.outer(x, x)
+        z = model.bias + model.weights[index] @ x + np.triu(both, 1).sum()
+        assert got[row.doc_id] == pytest.approx(1 / (1 + np.exp(-np.clip(z, -30, 30))), abs=1e-9)
+
+
+@pytest.mark.parametrize("together", [1, 40, 10**6])
+def test_scores_in_any_batches(together, monkeypatch):
+    rng = np.random.default_rng(3)
+    fm = FactorisationMachine(-0.2, rng.normal(size=SIZE), rng.normal(0, 0.1, (SIZE, 6)), np.zeros(len(STATISTICS)), np.ones(len(STATISTICS)))
+    rows = [FeatureMaker()(t, None) for t in ("a b a", "", None, "one two " * 30, "x")]
+    monkeypatch.setattr(quality, "BATCH_INPUTS", together)
+    alone = [1 / (1 + np.exp(-fm.raw(*fm.inputs(*r))[0])) for r in rows]
+    assert fm.scores(rows) == pytest.approx(alone) and len(fm.scores([])) == 0
+
+
 def auc(scores, labels):
     good = [s for s, l in zip(scores, labels) if l]
     bad = [s for s, l in zip(scores, labels) if not l]
