@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from halyard import schemas
@@ -15,9 +17,6 @@ NAMES = {
     "statistics": "statistics", "tags": "tags", "metaData": "meta_data", "footprint": "footprint", "energyFootprint": "energy_footprint",
 }
 SORT = ("subcluster", "project", "start_time")
-#: Rows a file of about the given size; a job row is near this many bytes.
-BYTES_A_JOB = 4096
-BYTES_A_STATE = 128
 
 
 def _tree(spark: SparkSession, path: str, name: str) -> DataFrame:
@@ -67,19 +66,54 @@ def job_data_rows(jobs: DataFrame) -> DataFrame:
     return rows.select("job_id", "metric", "scope", "hostname", "scope_id", (F.col("start_time") + F.col("k") * F.col("step")).alias("ts"), "value")
 
 
-def write_job_parquet(jobs: DataFrame, path: str, max_mb: int = 512) -> None:
-    """By cluster, sorted, Zstd, files of limited size; nested columns as JSON.
+def row_bytes(df: DataFrame) -> Column:
+    """Plain bytes of a row: texts as long as they are, nested values as JSON, eight bytes
+    for the rest and one a column. Encoded and compressed it is hardly ever more."""
+    size = F.lit(len(df.columns)).cast("long")
+    for name, kind in df.dtypes:
+        column = F.col(f"`{name}`")
+        if kind.startswith(("array", "map", "struct")):
+            column, kind = F.to_json(column), "string"
+        size += F.coalesce(F.octet_length(column), F.lit(0)) if kind in ("string", "binary") else F.lit(8)
+    return size
+
+
+def write_rolled(df: DataFrame, path: str, order: Sequence[str], time: str, span: int, max_bytes: int) -> None:
+    """By cluster, a new file wherever the running bytes of a cluster in order of ``time``
+    pass a multiple of ``max_bytes``; a file has one row more than that at most.
 
-    A cluster is dealt to as many tasks as its hash of start days gives, so a
-    large cluster is no single task.
+    Only the bytes of each (cluster, ``span`` seconds) are summed beforehand, in a table
+    as small as the time is long; the running sum of rows is one window a span, so no
+    cluster is one task. ``df`` is read twice. Rows without a time come first, those
+    without a cluster are a cluster of their own; no rows give no files of rows.
     """
+    placed = df.select(
+        F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.coalesce("cluster", F.lit("")).alias("home"),
+        F.coalesce(F.floor(F.col(time) / span), F.lit(-(1 << 40))).alias("slice"), F.col(time).alias("at"), row_bytes(df).alias("bytes"),
+    )
+    slices = placed.groupBy("home", "slice").agg(F.sum("bytes").alias("total"))
+    running = F.sum("total").over(Window.partitionBy("home").orderBy("slice"))
+    slices = slices.withColumn("before", running - F.col("total"))
+    homes = slices.groupBy("home").agg((F.floor((F.sum("total") - 1) / max_bytes) + 1).alias("files"))
+    # One row a cluster: numbered in one task.
+    homes = homes.withColumn("first", F.sum("files").over(Window.orderBy("home")) - F.col("files"))
+    files = homes.agg(F.sum("files")).first()[0] or 1
+    # Equal times in an order that a repeated task finds again; maps cannot be hashed.
+    whole = [F.to_json(f"row.`{c}`") if kind.startswith(("array", "map", "struct")) else F.col(f"row.`{c}`") for c, kind in df.dtypes]
+    order_in = Window.partitionBy("home", "slice").orderBy("at", F.xxhash64(*whole)).rowsBetween(Window.unboundedPreceding, 0)
+    upto = F.col("before") + F.sum("bytes").over(order_in)
+    number = F.col("first") + F.floor((upto - 1) / max_bytes)
+    dealt = placed.join(slices.select("home", "slice", "before"), ["home", "slice"]).join(homes.select("home", "first"), "home")
+    dealt = dealt.select("row", number.cast("int").alias("file")).repartitionById(int(files), F.col("file"))
+    dealt.select("row.*").sortWithinPartitions("cluster", *order).write.partitionBy("cluster").option("compression", "zstd").parquet(path)
+
+
+def write_job_parquet(jobs: DataFrame, path: str, max_mb: float = 512) -> None:
+    """By cluster, sorted, Zstd, files of at most ``max_mb`` of plain bytes, each of
+    successive start times; nested columns as JSON."""
     known = dict(jobs.dtypes)
     coded = jobs.withColumns({c: F.to_json(c) for c in schemas.JSON_COLUMNS if c in known and known[c] != "string"})
-    day = F.pmod(F.floor(F.col("start_time") / 86400), F.lit(64))
-    (
-        coded.repartition("cluster", day).sortWithinPartitions("cluster", *SORT)
-        .write.partitionBy("cluster").option("compression", "zstd").option("maxRecordsPerFile", max(1, max_mb * (1 << 20) // BYTES_A_JOB)).parquet(path)
-    )
+    write_rolled(coded, path, SORT, "start_time", 86400, int(max_mb * (1 << 20)))
 
 
 def read_job_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -200,12 +234,9 @@ def load_archive(spark: SparkSession, path: str, config: DataFrame, clusters: li
     return good.drop("tags"), tags, links, rejects
 
 
-def write_node_state_parquet(states: DataFrame, path: str, max_mb: int = 128) -> None:
-    rows = max(1, max_mb * (1 << 20) // BYTES_A_STATE)
-    (
-        states.repartition("cluster", F.pmod(F.floor(F.col("time_stamp") / 86400), F.lit(64))).sortWithinPartitions("cluster", "hostname", "time_stamp")
-        .write.partitionBy("cluster").option("compression", "zstd").option("maxRecordsPerFile", rows).parquet(path)
-    )
+def write_node_state_parquet(states: DataFrame, path: str, max_mb: float = 128) -> None:
+    """By cluster, sorted by host and time in files of at most ``max_mb`` of plain bytes."""
+    write_rolled(states, path, ("hostname", "time_stamp"), "time_stamp", 3600, int(max_mb * (1 << 20)))
 
 
 def export_csv(df: DataFrame, path: str) -> None:

@@ -192,3 +192,27 @@ def test_batches_can_be_repeated(spark, tree, tmp_path, monkeypatch):
     assert tuple(A.import_archive(spark, tree, pq).first()) == (2, 1, 1)
     assert tuple(A.import_archive(spark, tree, pq).first()) == (0, 3, 1)
     assert A.read_job_parquet(spark, pq).count() == 3
+
+
+@pytest.mark.parametrize("width", [5, 3000])
+def test_files_roll_by_bytes(spark, tmp_path, width):
+    """No file holds more than the limit and one row, whatever the width of jobs; rows are
+    all there, and the files of a cluster follow each other in time."""
+    rows = spark.range(4000).select(
+        F.when(F.col("id") % 5 == 0, "beta").when(F.col("id") % 97 == 1, None).otherwise("alpha").alias("cluster"),
+        F.when(F.col("id") % 101 != 3, F.col("id") * 977 % 400_000).alias("start_time"), F.lit("s").alias("subcluster"), F.lit("p").alias("project"),
+        F.expr(f"substr(repeat(sha2(cast(id as string), 256), 100), 1, {width})").alias("meta_data"), F.col("id").alias("job_id"),
+    )
+    path, limit = str(tmp_path / "rolled"), 65536
+    A.write_job_parquet(rows, path, max_mb=limit / (1 << 20))
+    back = spark.read.parquet(path).withColumn("file", F.col("_metadata.file_path"))
+    plain = rows.select("job_id", A.row_bytes(rows).alias("bytes"))
+    files = back.join(plain, "job_id").groupBy("file", "cluster").agg(F.sum("bytes").alias("bytes"), F.min("start_time").alias("lo"), F.max("start_time").alias("hi")).collect()
+    assert back.count() == 4000 and back.select("job_id").distinct().count() == 4000
+    assert max(f.bytes for f in files) <= limit + 64 + width
+    whole = plain.agg(F.sum("bytes")).first()[0]
+    assert whole / limit <= len(files) <= whole / limit + 4
+    for cluster in {f.cluster for f in files}:
+        spans = sorted((f.lo, f.hi) for f in files if f.cluster == cluster and f.lo is not None)
+        assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+    A.write_job_parquet(rows.limit(0), str(tmp_path / "none"))
