@@ -157,9 +157,10 @@ HOUR = 3600
 KEYS5 = "cluster, hostname, scope, scope_id, metric"
 
 
-@query("w4_grids_begun_anew", f"""WITH RECURSIVE grids AS (SELECT cluster, hostname, scope, scope_id, metric, min(ts) - {HOUR} // 2 AS b FROM samples5 GROUP BY ALL
- UNION ALL SELECT g.cluster, g.hostname, g.scope, g.scope_id, g.metric, min(s.ts) - {HOUR} // 2 FROM grids g JOIN samples5 s ON s.cluster = g.cluster AND s.hostname = g.hostname AND s.scope = g.scope AND s.scope_id = g.scope_id AND s.metric = g.metric AND s.ts >= g.b + 512 * {HOUR} GROUP BY g.cluster, g.hostname, g.scope, g.scope_id, g.metric, g.b)
- SELECT {KEYS5}, cell, arg_max(value, seq) AS value FROM (SELECT s.cluster, s.hostname, s.scope, s.scope_id, s.metric, s.seq, s.value, max(g.b) // {HOUR} + (any_value(s.ts) - max(g.b)) // {HOUR} AS cell FROM samples5 s JOIN grids g ON s.cluster = g.cluster AND s.hostname = g.hostname AND s.scope = g.scope AND s.scope_id = g.scope_id AND s.metric = g.metric AND g.b <= s.ts GROUP BY s.cluster, s.hostname, s.scope, s.scope_id, s.metric, s.seq, s.value) GROUP BY {KEYS5}, cell""", EXTRA)
+@query("w4_grids_begun_anew", f"""WITH RECURSIVE grids AS (SELECT cluster, hostname, scope, scope_id, metric, min(ts) AS f, min(ts) - {HOUR} // 2 AS b FROM samples5 GROUP BY ALL
+ UNION ALL SELECT g.cluster, g.hostname, g.scope, g.scope_id, g.metric, min(s.ts), min(s.ts) - {HOUR} // 2 FROM grids g JOIN samples5 s ON s.cluster = g.cluster AND s.hostname = g.hostname AND s.scope = g.scope AND s.scope_id = g.scope_id AND s.metric = g.metric AND s.ts >= g.b + 512 * {HOUR} GROUP BY g.cluster, g.hostname, g.scope, g.scope_id, g.metric, g.b)
+ SELECT {KEYS5}, cell, arg_max(value, seq) AS value FROM (SELECT s.cluster, s.hostname, s.scope, s.scope_id, s.metric, s.seq, s.value, max(g.b) // {HOUR} + (s.ts - max(g.b)) // {HOUR} AS cell FROM samples5 s JOIN grids g ON s.cluster = g.cluster AND s.hostname = g.hostname AND s.scope = g.scope AND s.scope_id = g.scope_id AND s.metric = g.metric AND g.f <= s.ts GROUP BY s.cluster, s.hostname, s.scope, s.scope_id, s.metric, s.ts, s.seq, s.value) GROUP BY {KEYS5}, cell""", EXTRA)
 def w4_anew(spark, d):
-    """An hour's step: a month is more than one grid of 512 cells."""
+    """An hour's step: a month is more than one grid of 512 cells. A grid holds the samples
+    from its first on (``f``); those in the half step before stay on the grid before it."""
     return T.dedup_samples(cluster_samples(spark, d), HOUR)
