@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from halyard.functions.scalars import expand_node_list
 from halyard.operators.config import host_keys, with_config
 from halyard.operators.filters import User, readable_tags
+from halyard.scratch import scratch_path
 
 BUCKET = 86400
+#: A job of at most so many hosts names those before it on each of its rows.
+FEW_HOSTS = 64
 
 
 def job_tag_list(jobs: DataFrame, job_tags: DataFrame, tags: DataFrame, user: User | None = None) -> DataFrame:
@@ -41,30 +46,52 @@ def concurrent_jobs(jobs: DataFrame, hosts: DataFrame, now: int, buffer: int = 2
     """(id, other): jobs of one cluster that shared a host with a shared job.
 
     Finished others must overlap the job by more than the buffer on both sides;
-    running ones must have started early enough. Intervals are spread over time
-    buckets, so a busy host is many join keys. Of two that overlap, the later
-    starts inside the earlier: only the earlier is spread, and a pair meets once
-    a host.
+    running ones must have started early enough. Two finished jobs meet by host and
+    time bucket, so a busy host is many keys: of two that overlap, the later starts
+    inside the earlier, and only the earlier is spread. A running job lasts up to now
+    and is not spread: it meets the jobs of its hosts as they are.
+
+    A pair is given at its first common host, so pairs are not shuffled to make them
+    distinct: a row carries the hosts of its job that come before its own. Jobs of
+    more than ``FEW_HOSTS`` hosts carry none; their pairs alone are made distinct.
     """
-    width = 30 * BUCKET
-    end = F.when(F.col("job_state") == "running", F.lit(now)).otherwise(F.col("start_time") + F.col("duration"))
-    placed = jobs.select("id", "cluster", "job_state", "shared", "start_time", "duration", end.alias("end")).join(hosts, "id")
-    asked = placed.where((F.col("shared") != "none") & (F.col("end") - F.col("start_time") > min_duration))
-    asked = asked.select("cluster", "hostname", "id", F.col("start_time").alias("s"), F.col("end").alias("e"))
-    other = placed.select("cluster", "hostname", F.col("id").alias("other"), "job_state", "start_time", "end")
-    early = F.col("start_time") < F.col("e") - buffer
-    finished = (F.col("job_state") != "running") & early & (F.col("end") > F.col("s") + buffer)
-    running = (F.col("job_state") == "running") & (F.col("start_time") <= F.col("e") - buffer)
-    hit = (F.col("id") != F.col("other")) & (finished | running)
-
-    def meet(left: Column, right: Column) -> DataFrame:
-        return asked.withColumn("bucket", left).join(other.withColumn("bucket", right), ["cluster", "hostname", "bucket"]).where(hit)
-
+    spark, width = jobs.sparkSession, 30 * BUCKET
+    running = F.coalesce(F.col("job_state") == "running", F.lit(False))
+    end = F.when(running, F.lit(now)).otherwise(F.col("start_time") + F.col("duration"))
+    spans = jobs.select(
+        "id", "cluster", running.alias("running"), F.col("job_state").isNotNull().alias("told"), (F.col("shared") != "none").alias("asks"), F.col("start_time").alias("s"), end.alias("e")
+    )
+    listed = hosts.groupBy("id").agg(F.array_sort(F.collect_set("hostname")).alias("all"))
+    placed = spans.join(listed, "id").select("*", (F.size("all") > FEW_HOSTS).alias("many"), F.posexplode("all").alias("at", "hostname"))
+    placed = placed.withColumn("before", F.when(~F.col("many"), F.slice("all", F.lit(1), F.col("at")))).drop("all", "at")
+    held = scratch_path(spark, "placed")  # read by each join below
+    placed.write.parquet(held)
+    placed = spark.read.schema(placed.schema).parquet(held)
+    asked = placed.where(F.col("asks") & (F.col("e") - F.col("s") > min_duration)).drop("asks", "told")
+    names = {"id": "other", "running": "runs", "s": "start", "e": "stop", "many": "crowd", "before": "ahead"}
+    other = placed.where("told").drop("asks", "told").withColumnsRenamed(names)
+    early = F.col("start") < F.col("e") - buffer
+    overlap = early & (F.col("stop") > F.col("s") + buffer)
     at = lambda time: F.floor(F.col(time) / width)
     spread = lambda start, stop: F.explode(_buckets(F.col(start), F.col(stop), width))
-    after = meet(spread("s", "e"), at("start_time")).where("start_time >= s")
-    before = meet(at("s"), spread("start_time", "end")).where("start_time < s")
-    return after.select("id", "other").unionByName(before.select("id", "other")).distinct()
+    place = ["cluster", "hostname"]
+
+    def meet(asked: DataFrame, other: DataFrame) -> DataFrame:
+        done, past = asked.where("NOT running"), other.where("NOT runs")
+        by_time = [*place, "bucket"]
+        pairs = (
+            done.withColumn("bucket", spread("s", "e")).join(past.withColumn("bucket", at("start")), by_time).where(overlap & F.expr("start >= s")).drop("bucket"),
+            done.withColumn("bucket", at("s")).join(past.withColumn("bucket", spread("start", "stop")), by_time).where(overlap & F.expr("start < s")).drop("bucket"),
+            asked.where("running").join(past, place).where(overlap),
+            asked.join(other.where("runs"), place).where(F.col("start") <= F.col("e") - buffer),
+        )
+        return reduce(DataFrame.unionByName, pairs).where("id <> other")
+
+    few = meet(asked.where("NOT many"), other.where("NOT crowd")).where(~F.arrays_overlap("before", "ahead")).select("id", "other")
+    if placed.where("many").isEmpty():
+        return few
+    rest = meet(asked.where("many"), other).unionByName(meet(asked.where("NOT many"), other.where("crowd")))
+    return few.unionByName(rest.select("id", "other").distinct())
 
 
 def samples_for_jobs(samples: DataFrame, jobs: DataFrame, hosts: DataFrame, bucket: int = BUCKET) -> DataFrame:
