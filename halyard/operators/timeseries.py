@@ -17,7 +17,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from halyard.functions.scalars import sanitize_stats
@@ -148,11 +148,21 @@ def result_scope(native: str, target: str) -> str | None:
     return scope
 
 
+def _series_of(keys: list[str] | tuple[str, ...], names: tuple[str, ...]) -> Column:
+    """Number of distinct ``names`` without nulls over rows of equal keys: windows, so
+    rows that lie together by some of the keys do not move again."""
+    name = F.when(reduce(Column.__and__, [F.col(n).isNotNull() for n in names]), F.struct(*names))
+    whole = Window.partitionBy(*keys)
+    rank = F.dense_rank().over(whole.orderBy(name))
+    return F.max(rank).over(whole) - F.max(F.when(name.isNull(), 1).otherwise(0)).over(whole)
+
+
 def scope_rollup(cells: DataFrame, topology: DataFrame, config: DataFrame, native: str, target: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Native cells to a target scope: sum or average over the series of each
     target, by the metric's aggregation. A cell that any series misses is null.
     Metrics without aggregation may hold one series a target only. ``by``: further
-    keys of the cells, as a job's id."""
+    keys of the cells, as a job's id; series are then counted along windows, which move
+    no row of a job and host that lie together."""
     scope = result_scope(native, target)
     if scope is None:
         return cells.where(F.lit(False))
@@ -167,10 +177,14 @@ def scope_rollup(cells: DataFrame, topology: DataFrame, config: DataFrame, nativ
     placed = with_config(placed, config, "aggregation")
     sub = [c for c in ("subcluster",) if c in cells.columns]
     base = (*by, "cluster", *sub, "hostname", "metric", "target")
-    size = placed.groupBy(*base).agg(F.countDistinct("scope_id").alias("series"))
-    combined = placed.groupBy(*base, "cell").agg(F.sum("value").alias("total"), F.count("value").alias("there"), F.first("aggregation").alias("agg"))
-    same = reduce(Column.__and__, [combined[c].eqNullSafe(size[c]) for c in base])
-    out = combined.join(size, same).select(*[combined[c] for c in (*base, "cell", "total", "there", "agg")], "series")
+    totals = (F.sum("value").alias("total"), F.count("value").alias("there"), F.first("aggregation").alias("agg"))
+    if by:
+        out = placed.withColumn("series", _series_of(base, ("scope_id",))).groupBy(*base, "cell").agg(*totals, F.first("series").alias("series"))
+    else:
+        size = placed.groupBy(*base).agg(F.countDistinct("scope_id").alias("series"))
+        combined = placed.groupBy(*base, "cell").agg(*totals)
+        same = reduce(Column.__and__, [combined[c].eqNullSafe(size[c]) for c in base])
+        out = combined.join(size, same).select(*[combined[c] for c in (*base, "cell", "total", "there", "agg")], "series")
     lone = (F.col("agg") != "sum") & (F.col("agg") != "avg") & (F.col("series") > 1)
     value = F.when(lone, F.raise_error(F.lit("no aggregation for more than one series"))).when(
         F.col("there") == F.col("series"), F.when(F.col("agg") == "avg", F.col("total") / F.col("series")).otherwise(F.col("total"))
@@ -277,10 +291,18 @@ def downsample_lttb(cells: DataFrame, size: int, keys: tuple[str, ...] = SERIES)
     return lists.select(*keys, F.explode(lttb(F.col("p"), size)).alias("q")).select(*keys, F.col("q.x").cast("long").alias("cell"), F.col("q.y").alias("value"))
 
 
+def _job_cells(job_samples: DataFrame, step: int) -> DataFrame:
+    """Cells of jobs' samples, dealt by job and host: the one shuffle of all that follows
+    by series of a job."""
+    placed = job_samples if "cell" in job_samples.columns else with_cells(job_samples, step, JOB_SERIES)
+    columns = [*_series_keys(placed, JOB_SERIES), "cell", "seq", "value"]
+    return dedup_samples(placed.select(*columns).repartition("id", "hostname"), step, JOB_SERIES)
+
+
 def job_node_stats(job_samples: DataFrame, topology: DataFrame, config: DataFrame, step: int, native: str = "hwthread") -> DataFrame:
     """(id, hostname, metric): node-scope statistics of jobs' samples; hosts
     without a whole cell are left out. ``job_samples`` carries id."""
-    cells = dedup_samples(job_samples, step, JOB_SERIES)
+    cells = _job_cells(job_samples, step)
     node = scope_rollup(cells, topology, config, native, "node", ("id",))
     return series_stats(node, ("id", "hostname", "metric")).where("avg IS NOT NULL")
 
@@ -317,7 +339,7 @@ def job_cells(job_samples: DataFrame, topology: DataFrame, config: DataFrame, st
     configuration are left out."""
     keys = config_keys(job_samples, config, "metric")
     rows = job_samples.where(F.col("metric").isin(*metrics)).join(config.select(*keys), keys, "left_semi")
-    return _at_scopes(dedup_samples(rows, step, JOB_SERIES), topology, config, native, scopes, ("id",))
+    return _at_scopes(_job_cells(rows, step), topology, config, native, scopes, ("id",))
 
 
 def job_metrics(cells: DataFrame, resolution: int | None = None, resolutions: tuple[int, ...] = ()) -> DataFrame:
@@ -325,12 +347,20 @@ def job_metrics(cells: DataFrame, resolution: int | None = None, resolutions: tu
     greatest of the configured ``resolutions``; 0: all) with its statistics over all
     cells, missing ones as zeros. Scopes and metrics without values are absent."""
     size = max(resolutions, default=0) if resolution is None else resolution
-    return downsample_lttb(cells, size, JOB_SERIES).join(_sanitized(series_stats(cells, JOB_SERIES)), list(JOB_SERIES))
+    if size:
+        return downsample_lttb(cells, size, JOB_SERIES).join(_sanitized(series_stats(cells, JOB_SERIES)), list(JOB_SERIES))
+    series, value = Window.partitionBy(*JOB_SERIES), F.col("value")
+    stats = {"avg": F.avg(value).over(series), "min": F.min(value).over(series), "max": F.max(value).over(series), "samples": F.count(value).over(series)}
+    return _sanitized(cells.select(*JOB_SERIES, "cell", "value").withColumns(stats)).where(value.isNotNull())
 
 
 def job_stats_series(cells: DataFrame, least: int = 8) -> DataFrame:
     """Least, mean, median and greatest value a cell of jobs with many series at a scope."""
-    return stats_series(cells, ("id", "metric", "scope"), least)
+    keys = ("id", "metric", "scope")
+    rows = cells.select(*keys, "hostname", "scope_id", "cell", "value").repartition(*keys)
+    return rows.withColumn("series", _series_of(keys, ("hostname", "scope_id"))).where(F.col("series") >= least).groupBy(*keys, "cell").agg(
+        F.min("value").alias("min"), F.avg("value").alias("mean"), F.median("value").alias("median"), F.max("value").alias("max")
+    )
 
 
 def node_metrics(cells: DataFrame, topology: DataFrame, config: DataFrame, states: DataFrame, metrics: list[str], start: int, end: int, step: int, hosts: list[str] | None = None, native: str = "hwthread") -> DataFrame:
