@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from halyard import schemas
+from halyard.sources.job_tree import read_packed, write_documents
 
 #: Document field -> column (fixed values).
 NAMES = {
@@ -19,21 +20,25 @@ NAMES = {
 SORT = ("subcluster", "project", "start_time")
 
 
-def _tree(spark: SparkSession, path: str, name: str) -> DataFrame:
-    return spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", name).text(path, wholetext=True)
+def _tree(spark: SparkSession, path: str, name: str, packed: bool = False) -> DataFrame:
+    """(value, file) of the documents of a name; a ``*`` at its end stands for any rest."""
+    if packed:
+        named = F.col("name").startswith(name[:-1]) if name.endswith("*") else F.col("name") == name
+        return read_packed(spark, path).where(named).select(F.col("body").alias("value"), F.concat_ws("/", "folder", "name").alias("file"))
+    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", name).text(path, wholetext=True)
+    return rows.select("value", F.col("_metadata.file_path").alias("file"))
 
 
-def read_job_archive(spark: SparkSession, path: str, with_data: bool = False) -> DataFrame:
-    """Jobs of a ``<cluster>/<id/1000>/<id%1000>/<start>/meta.json`` tree; unreadable
-    documents are left out. ``with_data`` adds the parsed series document."""
-    parsed = _tree(spark, path, "meta.json").select(F.from_json("value", f"struct<{_struct(schemas.JOB_META)}>").alias("j"), F.col("_metadata.file_path").alias("file"))
+def read_job_archive(spark: SparkSession, path: str, with_data: bool = False, packed: bool = False) -> DataFrame:
+    """Jobs of a ``<cluster>/<id/1000>/<id%1000>/<start>/meta.json`` tree, or of its
+    ``packed`` rows; unreadable documents are left out. ``with_data`` adds the parsed
+    series document."""
+    parsed = _tree(spark, path, "meta.json", packed).select(F.from_json("value", f"struct<{_struct(schemas.JOB_META)}>").alias("j"), "file")
     jobs = parsed.where(F.col("j.jobId").isNotNull() & F.col("j.cluster").isNotNull() & F.col("j.startTime").isNotNull())
     out = jobs.select(*[F.col(f"j.{k}").alias(v) for k, v in NAMES.items()], F.regexp_replace("file", r"/meta\.json$", "").alias("_folder"))
     out = out.withColumn("duration", F.coalesce("duration", F.lit(0).cast("long")))
     if with_data:
-        data = _tree(spark, path, "data.json*").select(
-            F.from_json("value", schemas.JOB_DATA).alias("data"), F.regexp_replace(F.col("_metadata.file_path"), r"/data\.json(\.gz)?$", "").alias("_folder")
-        )
+        data = _tree(spark, path, "data.json*", packed).select(F.from_json("value", schemas.JOB_DATA).alias("data"), F.regexp_replace("file", r"/data\.json(\.gz)?$", "").alias("_folder"))
         out = out.join(data, "_folder", "left")
     return out.drop("_folder")
 
@@ -51,9 +56,9 @@ def _struct(ddl: str) -> str:
     return ",".join(out)
 
 
-def rejected_documents(spark: SparkSession, path: str) -> DataFrame:
+def rejected_documents(spark: SparkSession, path: str, packed: bool = False) -> DataFrame:
     """Files of the tree that are no job document."""
-    parsed = _tree(spark, path, "meta.json").select(F.from_json("value", f"struct<{_struct(schemas.JOB_META)}>").alias("j"), F.col("_metadata.file_path").alias("file"))
+    parsed = _tree(spark, path, "meta.json", packed).select(F.from_json("value", f"struct<{_struct(schemas.JOB_META)}>").alias("j"), "file")
     return parsed.where(F.col("j.jobId").isNull() | F.col("j.cluster").isNull() | F.col("j.startTime").isNull()).select("file")
 
 
@@ -132,12 +137,8 @@ def read_job_json(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*[F.col(k).alias(v) for k, v in NAMES.items()])
 
 
-def write_job_tree(jobs: DataFrame, path: str) -> dict[str, int]:
-    """Jobs to a ``<cluster>/<id/1000>/<id%1000>/<start>/meta.json`` tree, and their
-    parsed series (column ``data``, if there) to ``data.json`` beside it. Jobs without
-    cluster, id or start have no place: they count as failed."""
-    from halyard.sources.job_tree import write_documents
-
+def job_documents(jobs: DataFrame) -> DataFrame:
+    """(folder, name, body) of jobs' documents; a job without a place has no folder."""
     back = {v: k for k, v in NAMES.items() if v in jobs.columns}
     number = F.col("job_id")
     folder = F.concat_ws("/", "cluster", F.floor(number / 1000).cast("string"), F.lpad((number % 1000).cast("string"), 3, "0"), F.col("start_time").cast("string"))
@@ -145,7 +146,14 @@ def write_job_tree(jobs: DataFrame, path: str) -> dict[str, int]:
     meta = F.struct(F.lit("meta.json").alias("name"), F.to_json(F.struct(*[F.col(v).alias(k) for v, k in back.items()])).alias("body"))
     parts = [meta, F.struct(F.lit("data.json").alias("name"), F.to_json("data").alias("body"))] if "data" in jobs.columns else [meta]
     rows = jobs.select(F.when(placed, folder).alias("folder"), F.explode(F.array(*parts)).alias("d")).select("folder", "d.*")
-    return write_documents(rows.where("name = 'meta.json' OR body IS NOT NULL"), path)
+    return rows.where("name = 'meta.json' OR body IS NOT NULL")
+
+
+def write_job_tree(jobs: DataFrame, path: str) -> dict[str, int]:
+    """Jobs to a ``<cluster>/<id/1000>/<id%1000>/<start>/meta.json`` tree, and their
+    parsed series (column ``data``, if there) to ``data.json`` beside it. Jobs without
+    cluster, id or start have no place: they count as failed."""
+    return write_documents(job_documents(jobs), path)
 
 
 def convert_archive(spark: SparkSession, source: str, target: str, fmt: str) -> DataFrame:
@@ -213,14 +221,14 @@ def copy_jobs(jobs: DataFrame, job_tags: DataFrame, tags: DataFrame, target: str
     return counted
 
 
-def load_archive(spark: SparkSession, path: str, config: DataFrame, clusters: list[str], node_lists: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(jobs, tags, links, rejects) rebuilt from a JSON tree: footprints and energy
+def load_archive(spark: SparkSession, path: str, config: DataFrame, clusters: list[str], node_lists: DataFrame, packed: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(jobs, tags, links, rejects) rebuilt from a JSON tree, or its packed rows: footprints and energy
     from the statistics, subclusters assigned, rows checked, tags once a (type, name)."""
     from halyard.operators.energy import energy, footprint
     from halyard.operators.joins import assign_subcluster
     from halyard.operators.rules import sanity_check, split_checked
 
-    jobs = read_job_archive(spark, path).withColumn("id", F.xxhash64("job_id", "cluster", "start_time"))
+    jobs = read_job_archive(spark, path, packed=packed).withColumn("id", F.xxhash64("job_id", "cluster", "start_time"))
     jobs = assign_subcluster(jobs.withColumn("first_host", F.try_element_at("resources", F.lit(1))["hostname"]), node_lists)
     stats = jobs.select("id", "cluster", F.col("assigned").alias("subcluster"), F.explode("statistics").alias("metric", "s")).select("id", "cluster", "subcluster", "metric", "s.avg", "s.min", "s.max")
     hosted = jobs.drop("footprint", "energy_footprint", "energy", "statistics").join(footprint(stats, config), "id", "left").join(energy(jobs, stats, config), "id", "left")

@@ -4,6 +4,10 @@
 body). Each task writes a document under another name in its folder and renames it, so
 a document is whole or absent, and a repeated task replaces its own. ``body`` null
 counts as failed. The counts of all tasks are left in ``_counts.json`` by the commit.
+
+A tree takes a file and its folders a document, some blocks of disk each, however small.
+``pack_documents`` keeps the same documents as Parquet rows of (folder, name, body), as
+the reference does in a database; readers take either.
 """
 
 from __future__ import annotations
@@ -13,7 +17,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyarrow import fs as arrow_fs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 from pyspark.sql.types import Row, StructType
 
@@ -84,3 +89,13 @@ def write_documents(documents, path: str) -> dict[str, int]:
     store, root = _open(path)
     with store.open_input_stream(f"{root}/{COUNTS}") as f:
         return json.loads(f.read())
+
+
+def pack_documents(documents: DataFrame, path: str) -> None:
+    """Writes (folder, name, body) rows; those without folder or body are left out."""
+    rows = documents.select("folder", "name", "body").where("folder IS NOT NULL AND body IS NOT NULL")
+    rows.write.option("compression", "zstd").parquet(path)
+
+
+def read_packed(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("folder string, name string, body string").parquet(path)

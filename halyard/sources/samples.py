@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from halyard import schemas
 from halyard.functions.scalars import split_component
+from halyard.sources.job_tree import read_packed
 
 
 def write_samples_parquet(samples: DataFrame, path: str) -> None:
@@ -19,8 +20,18 @@ def read_samples_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).withColumn("value", F.col("value").cast("double"))
 
 
-def read_samples_checkpoint(spark: SparkSession, path: str, from_ts: int = 0) -> DataFrame:
-    """``<cluster>/<host>/<begin>.json`` trees to samples, components at any depth.
+def _packed_checkpoints(spark: SparkSession, path: str, from_ts: int) -> DataFrame:
+    """(value, file) of the packed checkpoints to be read; names decide."""
+    begin = F.regexp_extract("name", r"^([0-9]+)\.json$", 1)
+    docs = read_packed(spark, path).where(begin != "").withColumn("begin", begin.cast("long"))
+    last = docs.groupBy("folder").agg(F.max(F.when(F.col("begin") <= from_ts, F.col("begin"))).alias("last"))
+    kept = docs.join(last, "folder").where((F.col("begin") >= from_ts) | (F.col("begin") == F.col("last")))
+    return kept.select(F.col("body").alias("value"), F.concat(F.lit("/"), F.concat_ws("/", "folder", "name")).alias("file"))
+
+
+def read_samples_checkpoint(spark: SparkSession, path: str, from_ts: int = 0, packed: bool = False) -> DataFrame:
+    """``<cluster>/<host>/<begin>.json`` trees, or their ``packed`` rows, to samples,
+    components at any depth.
 
     Of each host, files that a later one followed at or before ``from_ts`` hold no row of
     it: they are skipped by name, before they are opened. Of a component's path the
@@ -29,8 +40,10 @@ def read_samples_checkpoint(spark: SparkSession, path: str, from_ts: int = 0) ->
     named = F.regexp_extract("_metadata.file_name", r"^([0-9]+)\.json$", 1)
     tree = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json")
     begin = F.when(named != "", named.cast("long"))
-    newer = tree.text(path, wholetext=True).where(begin >= from_ts)  # only names decide: the scan lists and skips
-    if from_ts > 0:
+    newer = None if packed else tree.text(path, wholetext=True).where(begin >= from_ts)  # only names decide: the scan lists and skips
+    if packed:
+        files = _packed_checkpoints(spark, path, from_ts)
+    elif from_ts > 0:
         # The last file before, one a host.
         listed = tree.format("binaryFile").load(path).select("path")
         number = F.regexp_extract("path", r"/([0-9]+)\.json$", 1)
