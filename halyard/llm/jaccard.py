@@ -363,6 +363,11 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 _BLOCK = "pair long, node long, size int, root long, side boolean, lone boolean, sketch array<bigint>"
 
 
+def _on(sketches: np.ndarray, words: int) -> np.ndarray:
+    """Rows of sketches folded on fewer words."""
+    return np.bitwise_xor.reduce(sketches.reshape(len(sketches), -1, words), axis=1)
+
+
 def _block_pairs(percent: int):
     """Pairs within one (key, block, block), given as runs of sorted rows: those
     of different components whose sketches leave the similarity possible. A run
@@ -372,25 +377,38 @@ def _block_pairs(percent: int):
         a_rows = np.arange(len(run["node"])) if run["lone"][0] else np.flatnonzero(~run["side"])
         b_rows = a_rows if run["lone"][0] else np.flatnonzero(run["side"])
         size, node, root, sketch = run["size"].astype(np.int64), run["node"], run["root"], run["sketch"]
+        width = np.fromiter(map(len, sketch), np.int64, len(sketch))
+        tables, slot = {}, np.zeros(len(sketch), np.int64)
+        for w in np.unique(width).tolist():
+            rows = np.flatnonzero(width == w)
+            tables[w], slot[rows] = np.stack(sketch[rows]).view(np.uint64), np.arange(len(rows))
         left, right = [], []
         for at in range(0, len(a_rows), 32):
             i = a_rows[at : at + 32]
-            apart = np.bitwise_count(sketch[i][:, None, :] ^ sketch[b_rows][None, :, :]).sum(2, dtype=np.int64)
             small, large = np.minimum(size[i][:, None], size[b_rows]), np.maximum(size[i][:, None], size[b_rows])
-            good = (apart * (100 + percent) <= (small + large) * (100 - percent)) & (small * 100 >= large * percent)
-            good &= root[i][:, None] != root[b_rows]
+            good = (small * 100 >= large * percent) & (root[i][:, None] != root[b_rows])
             if run["lone"][0]:
                 good &= node[i][:, None] < node[b_rows]
             x, y = np.nonzero(good)
-            left.append(node[i][x])
-            right.append(node[b_rows][y])
+            x, y = i[x], b_rows[y]
+            widths = width[x] << 32 | width[y]
+            for both in np.unique(widths).tolist():
+                w, v = both >> 32, both & 0xFFFFFFFF
+                chosen, step = np.flatnonzero(widths == both), max(1, (1 << 20) // max(w, v))
+                for k in range(0, len(chosen), step):
+                    p, q = x[chosen[k : k + step]], y[chosen[k : k + step]]
+                    apart = np.bitwise_count(_on(tables[w][slot[p]], min(w, v)) ^ _on(tables[v][slot[q]], min(w, v))).sum(1, dtype=np.int64)
+                    close = apart * (100 + percent) <= (size[p] + size[q]) * (100 - percent)
+                    left.append(node[p[close]])
+                    right.append(node[q[close]])
         a, b = np.concatenate(left or [node[:0]]), np.concatenate(right or [node[:0]])
         return np.minimum(a, b), np.maximum(a, b)
 
     def columns(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
         out = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in ("pair", "node", "size", "root", "side", "lone")}
         out["side"], out["lone"] = out["side"].astype(bool), out["lone"].astype(bool)
-        out["sketch"] = batch.column("sketch").flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH_BITS // 64)
+        out["sketch"] = np.empty(batch.num_rows, object)  # widths differ
+        out["sketch"][:] = list(batch.column("sketch").to_numpy(zero_copy_only=False))
         return out
 
     def emit(run: dict[str, np.ndarray]) -> pa.RecordBatch:
@@ -414,16 +432,37 @@ def _block_pairs(percent: int):
     return go
 
 
+def _slims(sets: DataFrame) -> DataFrame:
+    return sets.select("node", F.coalesce("slim", "sketch").alias("slim"))
+
+
+def _crowd(placed: DataFrame) -> DataFrame:
+    """Keys of more than ``CROWD`` sets."""
+    return placed.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > CROWD).select("key")
+
+
+def chief_pairs(placed: DataFrame, sets: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Pairs (a, b) of each key's chief, a set by chance, with its other sets in other
+    components. Sets that meet by chance grow with the square of the input; sketches
+    rule them out before a pair is formed."""
+    rows = placed.join(_slims(sets), "node")
+    chief = rows.groupBy("key").agg(F.max(F.struct(F.xxhash64(F.lit(turn), "key", "node").alias("worth"), "node", "size", "root", "slim")).alias("c"))
+    good = (F.col("root") != F.col("c.root")) & _fits(F.col("size"), F.col("c.size"), percent)
+    good &= _may_reach(F.col("slim"), F.col("c.slim"), F.col("size"), F.col("c.size"), percent)
+    return rows.join(chief, "key").where(good).select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
+
+
 def crowded_pairs(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of keys that many sets share, by blocks against blocks.
 
     A key's members fall into blocks of about ``BLOCK_ROWS``; each pair of blocks
-    is one small unit of work, so a hot key is spread over many tasks. Sketches
-    are compared where they lie and no pair is formed that they rule out.
+    is one small unit of work, so a hot key is spread over many tasks. Sketches as
+    long as the sets need are compared where they lie and no pair is formed that they
+    rule out: on sketches of one length for all sets, long ones would be all alike.
     """
     counts = placed.groupBy("key").agg(F.count(F.lit(1)).alias("k"))
     parts = F.ceil(F.col("k") / BLOCK_ROWS).cast("int")
-    rows = placed.join(counts, "key").join(sets.select("node", F.coalesce("small", "sketch").alias("sketch")), "node").withColumn("parts", parts)
+    rows = placed.join(counts, "key").join(_slims(sets).withColumnRenamed("slim", "sketch"), "node").withColumn("parts", parts)
     rows = rows.withColumn("own", F.pmod(F.xxhash64(F.lit(41), "node"), F.col("parts")).cast("int"))
     met = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     low, high = F.least("own", "other"), F.greatest("own", "other")
@@ -441,8 +480,7 @@ def few_pairs(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     input. A key's members, four at most, lie in one row with sketches as long as the
     sets need, so that only pairs that may be similar are ever formed.
     """
-    slims = sets.select("node", F.coalesce("slim", "sketch").alias("slim"))
-    met = placed.join(slims, "node").groupBy("key").agg(F.collect_list(F.struct("node", "size", "root", "slim")).alias("m"))
+    met = placed.join(_slims(sets), "node").groupBy("key").agg(F.collect_list(F.struct("node", "size", "root", "slim")).alias("m"))
 
     def partners(x: Column) -> Column:
         def good(y: Column) -> Column:
@@ -523,28 +561,27 @@ def placed_rows(documents: DataFrame, n: int, percent: int, digest: Callable[[np
     # Any row of a node is as good as another; sets that only passed the filters are not asked for.
     asked = maybe_in(made.where("node is not null"), "node", bit_filter(wanted, "node"))
     # Kept in buckets: verification moves the pairs, and one set a pair.
-    sets = own.bucketed(asked, "node", "sets")
+    sets = own.bucketed(asked.drop("small"), "node", "sets")
 
-    # Star rounds: each key offers its most shared member (later: one by chance)
-    # to the members of other components. Each is linear in the index rows.
+    # Star rounds: each key offers its most shared member (later, in crowded keys: one
+    # by chance) to the members of other components. Each is linear in the index rows.
     links = roots = None
     seen = None
     known = own.table(members.join(wanted.select("node", "popularity"), "node"), "members")
     own.drop(members)
     placed = known.withColumn("root", F.col("node"))
     for turn in range(STAR_ROUNDS):
-        worth = F.col("popularity") if turn == 0 else F.xxhash64(F.lit(turn), "key", "node")
-        chief = placed.groupBy("key").agg(F.max(F.struct(worth.alias("worth"), "node", "size", "root")).alias("c"))
-        offers = (
-            placed.join(chief, "key")
-            .where((F.col("root") != F.col("c.root")) & _fits(F.col("size"), F.col("c.size"), percent))
-            .select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b"), "c.worth", "node")
-        )
         if turn == 0:  # the most shared one only
+            chief = placed.groupBy("key").agg(F.max(F.struct(F.col("popularity").alias("worth"), "node", "size", "root")).alias("c"))
+            offers = (
+                placed.join(chief, "key")
+                .where((F.col("root") != F.col("c.root")) & _fits(F.col("size"), F.col("c.size"), percent))
+                .select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b"), "c.worth", "node")
+            )
             best = F.max_by(F.struct("a", "b"), "worth")
             offers = offers.groupBy("node").agg(best.alias("p")).select("p.a", "p.b").distinct()
         else:
-            offers = offers.select("a", "b").distinct().join(seen, ["a", "b"], "left_anti")
+            offers = chief_pairs(placed.join(_crowd(placed), "key", "left_semi"), sets, percent, turn).join(seen, ["a", "b"], "left_anti")
         offers = own.table(offers, "offers")
         new = own.table(verified(offers, sets, percent), "links")
         own.release()
@@ -558,7 +595,7 @@ def placed_rows(documents: DataFrame, n: int, percent: int, digest: Callable[[np
 
     # What is left: nodes that share a key but not a component.
     # Keys of few sets in one row each, crowded ones by blocks.
-    crowd = placed.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > CROWD).select("key")
+    crowd = _crowd(placed)
     crowded = crowded_pairs(placed.join(crowd, "key", "left_semi"), sets, percent)
     cross = few_pairs(placed.join(crowd, "key", "left_anti"), sets, percent)
     cross = cross.unionByName(crowded).distinct()
