@@ -92,11 +92,13 @@ def dedup_samples(samples: DataFrame, step: int, keys: tuple[str, ...] = SERIES)
 def grid_fill(cells: DataFrame, keys: tuple[str, ...] = SERIES) -> DataFrame:
     """All cells between a series' first and last, missing ones null."""
     keys = _series_keys(cells, keys)
-    spans = cells.groupBy(*keys).agg(F.min("cell").alias("lo"), F.max("cell").alias("hi"))
-    dense = spans.withColumn("cell", F.explode(F.sequence("lo", "hi"))).drop("lo", "hi")
-    # A cell has one value at most; grouping meets nulls in keys, which a join does not.
-    both = dense.withColumn("value", F.lit(None).cast("double")).unionByName(cells.where("cell IS NOT NULL").select(*keys, "cell", "value"))
-    return both.groupBy(*keys, "cell").agg(F.max("value").alias("value"))
+    # A cell has one value at most; of more rows the last in this order stays.
+    after = F.lead("cell").over(Window.partitionBy(*keys).orderBy("cell", "value"))
+    rows = cells.where("cell IS NOT NULL").select(*keys, "cell", "value", after.alias("_after")).where("_after IS NULL OR _after > cell")
+    # Each cell fills the gap behind it, in the task that holds it: a whole series from
+    # its ends alone would be many rows of a few bytes, all in one task.
+    filled = rows.select(*keys, F.col("cell").alias("_at"), "value", F.explode(F.sequence("cell", F.coalesce(F.col("_after") - 1, "cell"))).alias("cell"))
+    return filled.select(*keys, "cell", F.when(F.col("cell") == F.col("_at"), F.col("value")).alias("value"))
 
 
 def align(samples: DataFrame, step: int, keys: tuple[str, ...] = SERIES) -> DataFrame:
