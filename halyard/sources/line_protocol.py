@@ -13,17 +13,19 @@ def parse_line_protocol(lines: DataFrame, default_cluster: str, config: DataFram
     """``measurement,tags value=x ts`` rows to samples. Unknown measurements, other
     fields and path-like names are skipped; ``type=node`` has no component. ``keep``: columns carried along."""
     part = lambda k: F.regexp_extract(F.col(column), LINE, k)
-    rows = lines.select(part(1).alias("metric"), part(2).alias("tagged"), part(3).alias("field"), part(4).alias("ts"), *keep)
-    tags = F.str_to_map(F.substring("tagged", F.lit(2), F.length("tagged")), F.lit(","), F.lit("="))
-    rows = rows.where((F.col("metric") != "") & (F.col("ts") != "")).withColumn("t", tags)
+    # Generated rows are fences: each line is matched and split once, while plain columns
+    # would be copied into all that reads them, filters too.
+    once = lambda **of: F.inline(F.array(F.struct(*[c.alias(n) for n, c in of.items()])))
+    rows = lines.select(*keep, once(metric=part(1), tagged=part(2), field=part(3), ts=part(4))).where((F.col("metric") != "") & (F.col("ts") != ""))
+    tags = F.str_to_map(F.substring("tagged", 2, 1 << 30), F.lit(","), F.lit("="))
+    rows = rows.select("metric", "ts", *keep, once(t=tags, number=F.regexp_extract("field", NUMBER, 1)))
     tag = lambda *names: F.coalesce(*[F.try_element_at("t", F.lit(n)) for n in names])
     kind = F.coalesce(tag("type"), F.lit("node"))
     scope = F.when(kind == "cpu", "hwthread").otherwise(kind)
-    number = F.regexp_extract("field", NUMBER, 1)
     out = rows.select(
         F.coalesce(tag("cluster"), F.lit(default_cluster)).alias("cluster"), tag("hostname", "host").alias("hostname"), scope.alias("scope"),
         F.when(kind == "node", "").otherwise(F.coalesce(tag("type-id"), F.lit(""))).alias("scope_id"), "metric", F.col("ts").cast("long").alias("ts"),
-        F.when(number != "", number).cast("double").alias("value"), *keep,
+        F.when(F.col("number") != "", F.col("number")).cast("double").alias("value"), *keep,
     )
     odd = lambda c: F.col(c).rlike(r"\.\.|/|\\")
     clean = out.where(F.col("value").isNotNull() & F.col("hostname").isNotNull() & ~odd("cluster") & ~odd("hostname") & ~odd("scope_id"))
