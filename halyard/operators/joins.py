@@ -141,7 +141,8 @@ def node_roofline_info(node_metrics: DataFrame, states: DataFrame, jobs: DataFra
 
 def job_series(jobs: DataFrame, live: DataFrame, archived: DataFrame) -> DataFrame:
     """Series of running or still archiving jobs from the live samples, of all
-    others from the archive. ``live`` and ``archived`` have an id column."""
+    others from the archive. ``live`` and ``archived`` have an id column. A partition's
+    job ids are hashed, so that no series is sorted, however many samples it has."""
     fresh = jobs.where("job_state = 'running' OR monitoring_status = 'archiving'").select("id")
     done = jobs.where("NOT (job_state = 'running' OR monitoring_status = 'archiving')").select("id")
-    return live.join(fresh, "id", "left_semi").unionByName(archived.join(done, "id", "left_semi"))
+    return live.join(fresh.hint("shuffle_hash"), "id", "left_semi").unionByName(archived.join(done.hint("shuffle_hash"), "id", "left_semi"))
