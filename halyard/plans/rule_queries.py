@@ -85,8 +85,9 @@ def v2(spark, d):
 @query("v3_normalize", """WITH s AS (SELECT id, 'mem_bw' AS metric, 'node' AS scope, mem_bw_avg * 1000000000.0D AS value FROM jobs WHERE mem_bw_avg IS NOT NULL UNION ALL SELECT id, 'cpu_load', 'node', mem_bw_avg * 1000000000.0D FROM jobs WHERE mem_bw_avg IS NOT NULL)
  SELECT id, metric, CASE WHEN metric = 'cpu_load' THEN value WHEN value > 1e9 THEN value * CAST(1e-9 AS DOUBLE) WHEN value > 1e6 THEN value * CAST(1e-6 AS DOUBLE) ELSE value END AS value, CASE WHEN metric = 'cpu_load' THEN '' WHEN value > 1e9 THEN 'G' WHEN value > 1e6 THEN 'M' ELSE '' END AS prefix FROM s""")
 def v3(spark, d):
-    jobs = view(spark, d, "jobs").where("mem_bw_avg IS NOT NULL").select("id", (F.col("mem_bw_avg") * 1e9).alias("value"), F.lit("node").alias("scope"), F.lit("").alias("prefix"))
-    both = jobs.withColumn("metric", F.lit("mem_bw")).withColumn("unit", F.lit("B/s")).unionByName(jobs.withColumn("metric", F.lit("cpu_load")).withColumn("unit", F.lit("load")))
+    kinds = F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(u).alias("unit")) for m, u in (("mem_bw", "B/s"), ("cpu_load", "load"))])
+    jobs = view(spark, d, "jobs").where("mem_bw_avg IS NOT NULL").select("id", (F.col("mem_bw_avg") * 1e9).alias("value"))
+    both = jobs.select("id", "value", F.lit("node").alias("scope"), F.lit("").alias("prefix"), F.inline(kinds))
     return R.normalize_job_data(both).select("id", "metric", "value", "prefix")
 
 
