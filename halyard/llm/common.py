@@ -17,6 +17,8 @@ SPACE_RE = r"[\x20\x09-\x0D]+"
 WORD_RE = r"[^\x20\x09-\x0D]+"
 #: Bits of a filter, at every size: 16 MB is the most that one broadcasts.
 FILTER_BITS = 1 << 27
+#: Part of its limit that the driver's heap may take before garbage is collected between tables.
+HEAP_PART = 0.5
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -46,6 +48,7 @@ class Workspace:
         df.write.options(**options).parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
         self.tables[id(back)] = back, path
+        self._ease()
         return back
 
     def bucketed(self, df: DataFrame, column: str, name: str) -> DataFrame:
@@ -60,6 +63,7 @@ class Workspace:
         back = self.spark.table(label)
         self.tables[id(back)] = back, path
         self.labels[id(back)] = label
+        self._ease()
         return back
 
     def drop(self, *tables: DataFrame | None) -> None:
@@ -80,6 +84,13 @@ class Workspace:
         gc.collect()  # Python's handles keep plans alive
         self.spark.sparkContext._jvm.System.gc()
 
+    def _ease(self) -> None:
+        """Plans of many small queries fill the driver's heap at any size of the input, and
+        only a full collection gives what they took back to the system."""
+        heap = self.spark.sparkContext._jvm.java.lang.Runtime.getRuntime()
+        if heap.totalMemory() > HEAP_PART * heap.maxMemory():
+            self.release()
+
     def _delete(self, path: str) -> None:
         context = self.spark.sparkContext
         at = context._jvm.org.apache.hadoop.fs.Path(path)

@@ -148,15 +148,13 @@ def boundary_after(place: int, total: int, sequence: int = SEQUENCE) -> tuple[in
         number, begin, left = number + 1, begin + size, left - size
 
 
-def _cut(width: int, sequence: int):
-    dtype = np.dtype("<u2") if width == 2 else np.dtype("<u4")
-
+def _cut(sequence: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in PIECE_SCHEMA.split(", ")]
         for batch in batches:
             out: list[tuple] = []
             for doc_id, n, raw, place, total in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "ids", "at", "total"))):
-                ids = np.frombuffer(raw, dtype=dtype).astype("<u4")
+                ids = np.frombuffer(raw, dtype=f"<u{len(raw) // n}").astype("<u4")  # no document is without its end id
                 start = 0
                 while start < n:
                     number, begin, end = boundary_after(place + start, total, sequence)
@@ -191,4 +189,4 @@ def pack_documents(documents: DataFrame, tokenizer_path: str, sequence: int = SE
     parts = laid.groupBy("part").agg(F.sum("n").alias("tokens"))  # one row a part
     parts = parts.select("part", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"), F.sum("tokens").over(every).alias("total"))
     placed = laid.join(F.broadcast(parts), "part").select("doc_id", "n", "ids", (F.col("base") + F.col("place")).alias("at"), "total")
-    return placed.mapInArrow(_cut(encoder(tokenizer_path).dtype.itemsize, sequence), PIECE_SCHEMA)
+    return placed.mapInArrow(_cut(sequence), PIECE_SCHEMA)
