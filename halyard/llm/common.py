@@ -18,7 +18,7 @@ WORD_RE = r"[^\x20\x09-\x0D]+"
 #: Bits of a filter, at every size: 16 MB is the most that one broadcasts.
 FILTER_BITS = 1 << 27
 #: Part of its limit that the driver's heap may take before garbage is collected between tables.
-HEAP_PART = 0.5
+HEAP_PART = 0.4
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

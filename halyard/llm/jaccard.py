@@ -493,7 +493,13 @@ def few_pairs(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def components(edges: DataFrame, own: Workspace) -> DataFrame:
-    """(node, root) for every node of an edge: alternating large and small stars.
+    """(node, root) for every node of an edge."""
+    return _roots(forest(edges, own))
+
+
+def forest(edges: DataFrame, own: Workspace) -> DataFrame:
+    """(a, b): each node of an edge but the least of its component, with that one:
+    alternating large and small stars.
 
     Each step is one aggregate and one join, written to the shared folder; no
     neighbour list is ever held. Ends when a step changes nothing.
@@ -518,10 +524,22 @@ def components(edges: DataFrame, own: Workspace) -> DataFrame:
         if (row := (seen.get["n"], seen.get["h"])) == mark:
             break
         mark = row
+    return stars
+
+
+def _roots(stars: DataFrame) -> DataFrame:
     roots = stars.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("root"))
     return stars.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
 
 
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int, own: Workspace) -> tuple[DataFrame, int]:
+    """The verified pairs, written, and how many there are."""
+    count = Observation()
+    links = own.table(verified(pairs, sets, percent).observe(count, F.count(F.lit(1)).alias("n")), "links")
+    own.release()
+    return links, count.get["n"]
+
+
 def similar_components(documents: DataFrame, n: int = 4, percent: int = 85, digest: Callable[[np.ndarray, int], int] = set_digest) -> DataFrame:
     """doc_id, n_shingles, component_id (least id reachable by links) per row.
 
@@ -565,8 +583,7 @@ def placed_rows(documents: DataFrame, n: int, percent: int, digest: Callable[[np
 
     # Star rounds: each key offers its most shared member (later, in crowded keys: one
     # by chance) to the members of other components. Each is linear in the index rows.
-    links = roots = None
-    seen = None
+    stars = seen = None
     known = own.table(members.join(wanted.select("node", "popularity"), "node"), "members")
     own.drop(members)
     placed = known.withColumn("root", F.col("node"))
@@ -583,12 +600,13 @@ def placed_rows(documents: DataFrame, n: int, percent: int, digest: Callable[[np
         else:
             offers = chief_pairs(placed.join(_crowd(placed), "key", "left_semi"), sets, percent, turn).join(seen, ["a", "b"], "left_anti")
         offers = own.table(offers, "offers")
-        new = own.table(verified(offers, sets, percent), "links")
-        own.release()
-        links = new if links is None else links.unionByName(new)
+        new, count = _linked(offers, sets, percent, own)
         seen = offers if seen is None else seen.unionByName(offers)
-        last, roots = placed, components(links, own)
-        placed = known.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        if not count:
+            continue  # components and open keys are as before
+        # The stars so far stand for the links before, which need not be gone through again.
+        last, stars = placed, forest(new if stars is None else new.unionByName(stars), own)
+        placed = known.join(_roots(stars), "node", "left").withColumn("root", F.coalesce("root", "node"))
         open_keys = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
         placed = own.table(placed.join(open_keys, "key", "left_semi"), "placed")
         own.drop(last)
@@ -600,13 +618,16 @@ def placed_rows(documents: DataFrame, n: int, percent: int, digest: Callable[[np
     cross = few_pairs(placed.join(crowd, "key", "left_anti"), sets, percent)
     cross = cross.unionByName(crowded).distinct()
     cross = own.table(cross.join(seen, ["a", "b"], "left_anti"), "cross-pairs")
-    links = own.table(links.unionByName(verified(cross, sets, percent)), "links")
-    own.close(written, links)
-    roots = components(links, own)
+    new, count = _linked(cross, sets, percent, own)
+    own.close(written, new, stars)
+    if count:
+        stars = forest(new if stars is None else new.unionByName(stars), own)
 
     # Least document of each component, then back to the rows.
     least = shingled.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
-    rooted = least.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = least.withColumn("root", F.col("node"))
+    if stars is not None:
+        rooted = least.join(_roots(stars), "node", "left").withColumn("root", F.coalesce("root", "node"))
     of_root = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(of_root, "root").select("node", "root", "component_id")
     out = shingled.join(named, "node", "left").select(
@@ -639,17 +660,22 @@ def drop_near_copies(documents: DataFrame, n: int = 5, percent: int = 80) -> Dat
     own = Workspace(documents.sparkSession, "near-copies")
     found, name = placed_rows(documents, n, percent)
     found = found.where("n_shingles > 0")
-    by_id = own.table(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.max(F.col("component_id") != F.col("doc_id")).alias("moved")).where("rows > 1 or moved or doc_id is null"), "in-question")
-    several = own.table(bit_filter(by_id.where("rows > 1 or doc_id is null"), "doc_id"), "repeated")
+    shared, several = Observation(), None
+    by_id = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.max(F.col("component_id") != F.col("doc_id")).alias("moved")).where("rows > 1 or moved or doc_id is null")
+    by_id = own.table(by_id.observe(shared, F.count_if(F.expr("rows > 1 or doc_id is null")).alias("n")), "in-question")
+    if shared.get["n"]:
+        several = own.table(bit_filter(by_id.where("rows > 1 or doc_id is null"), "doc_id"), "repeated")
     gone = by_id.where("rows = 1 and moved").select(F.col("doc_id").alias("_own"))
     single = own.table(bit_filter(gone, "_own"), "gone")
 
     rows = whole_rows(documents, F.col("doc_id").cast("long").alias("_own"), text_or_empty().alias("_words"))
     worded = F.regexp_replace("_words", SPACE_RE, "") != ""
-    plain = maybe_in(rows, "_own", several, inside=False)
+    plain = rows if several is None else maybe_in(rows, "_own", several, inside=False)
     stay = maybe_in(plain, "_own", single, inside=False)
     moved = maybe_in(plain, "_own", single)
     kept = [stay, moved.where(~worded), moved.where(worded).join(gone, "_own", "left_anti")]
+    if several is None:  # ids tell the rows apart
+        return reduce(DataFrame.unionByName, [part.select("row") for part in kept]).select("row.*")
 
     # Repeated ids and rows without one: their sets tell the component.
     mixed = maybe_in(rows, "_own", several)
