@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from halyard.functions.scalars import expand_node_list
 from halyard.operators.config import host_keys, with_config
 from halyard.operators.filters import User, readable_tags
+from halyard.operators.overlap import ASKS, MANY, RUNS, TOLD, overlapping
 from halyard.scratch import scratch_path
 
 BUCKET = 86400
@@ -46,52 +45,39 @@ def concurrent_jobs(jobs: DataFrame, hosts: DataFrame, now: int, buffer: int = 2
     """(id, other): jobs of one cluster that shared a host with a shared job.
 
     Finished others must overlap the job by more than the buffer on both sides;
-    running ones must have started early enough. Two finished jobs meet by host and
-    time bucket, so a busy host is many keys: of two that overlap, the later starts
-    inside the earlier, and only the earlier is spread. A running job lasts up to now
-    and is not spread: it meets the jobs of its hosts as they are.
-
-    A pair is given at its first common host, so pairs are not shuffled to make them
-    distinct: a row carries the hosts of its job that come before its own. Jobs of
-    more than ``FEW_HOSTS`` hosts carry none; their pairs alone are made distinct.
+    running ones must have started early enough; a running job lasts up to now.
+    ``hosts`` may name a host of a job more than once.
+
+    Rows of a job and host move once, by host, and are sorted by start; one pass then
+    forms the pairs (``overlap.py``). A pair is given at its first common host, so pairs
+    are not shuffled to make them distinct: a row carries the hosts of its job that come
+    before its own. Jobs of more than ``FEW_HOSTS`` hosts carry none; their pairs alone
+    are made distinct.
     """
-    spark, width = jobs.sparkSession, 30 * BUCKET
+    spark = jobs.sparkSession
     running = F.coalesce(F.col("job_state") == "running", F.lit(False))
     end = F.when(running, F.lit(now)).otherwise(F.col("start_time") + F.col("duration"))
-    spans = jobs.select(
-        "id", "cluster", running.alias("running"), F.col("job_state").isNotNull().alias("told"), (F.col("shared") != "none").alias("asks"), F.col("start_time").alias("s"), end.alias("e")
-    )
+    spans = jobs.select("id", "cluster", "shared", "job_state", running.alias("runs"), F.col("start_time").cast("long").alias("s"), end.cast("long").alias("e"))
+    asks = F.coalesce((F.col("shared") != "none") & (F.col("e") - F.col("s") > min_duration), F.lit(False))
+    role = asks.cast("int") * ASKS + F.col("job_state").isNotNull().cast("int") * TOLD + F.col("runs").cast("int") * RUNS
+    spans = spans.where("cluster IS NOT NULL AND s IS NOT NULL AND e IS NOT NULL").select("id", "cluster", "s", "e", role.alias("role")).where(F.col("role").bitwiseAND(ASKS | TOLD) > 0)
     listed = hosts.groupBy("id").agg(F.array_sort(F.collect_set("hostname")).alias("all"))
-    placed = spans.join(listed, "id").select("*", (F.size("all") > FEW_HOSTS).alias("many"), F.posexplode("all").alias("at", "hostname"))
-    placed = placed.withColumn("before", F.when(~F.col("many"), F.slice("all", F.lit(1), F.col("at")))).drop("all", "at")
-    held = scratch_path(spark, "placed")  # read by each join below
+    held = scratch_path(spark, "placed")  # a row a job, read by the queries below
+    placed = spans.join(listed, "id")
     placed.write.parquet(held)
     placed = spark.read.schema(placed.schema).parquet(held)
-    asked = placed.where(F.col("asks") & (F.col("e") - F.col("s") > min_duration)).drop("asks", "told")
-    names = {"id": "other", "running": "runs", "s": "start", "e": "stop", "many": "crowd", "before": "ahead"}
-    other = placed.where("told").drop("asks", "told").withColumnsRenamed(names)
-    early = F.col("start") < F.col("e") - buffer
-    overlap = early & (F.col("stop") > F.col("s") + buffer)
-    at = lambda time: F.floor(F.col(time) / width)
-    spread = lambda start, stop: F.explode(_buckets(F.col(start), F.col(stop), width))
-    place = ["cluster", "hostname"]
-
-    def meet(asked: DataFrame, other: DataFrame) -> DataFrame:
-        done, past = asked.where("NOT running"), other.where("NOT runs")
-        by_time = [*place, "bucket"]
-        pairs = (
-            done.withColumn("bucket", spread("s", "e")).join(past.withColumn("bucket", at("start")), by_time).where(overlap & F.expr("start >= s")).drop("bucket"),
-            done.withColumn("bucket", at("s")).join(past.withColumn("bucket", spread("start", "stop")), by_time).where(overlap & F.expr("start < s")).drop("bucket"),
-            asked.where("running").join(past, place).where(overlap),
-            asked.join(other.where("runs"), place).where(F.col("start") <= F.col("e") - buffer),
-        )
-        return reduce(DataFrame.unionByName, pairs).where("id <> other")
-
-    few = meet(asked.where("NOT many"), other.where("NOT crowd")).where(~F.arrays_overlap("before", "ahead")).select("id", "other")
-    if placed.where("many").isEmpty():
-        return few
-    rest = meet(asked.where("many"), other).unionByName(meet(asked.where("NOT many"), other.where("crowd")))
-    return few.unionByName(rest.select("id", "other").distinct())
+    many = F.size("all") > FEW_HOSTS
+    rows = placed.select("cluster", "id", "s", "e", (F.col("role") + many.cast("int") * MANY).cast("byte").alias("role"), "all", F.posexplode("all").alias("at", "hostname"))
+    before = F.when(F.col("role").bitwiseAND(MANY) == 0, F.slice("all", F.lit(1), F.col("at")))
+    rows = rows.select("cluster", "hostname", "id", "s", "e", "role", before.alias("before")).repartition("cluster", "hostname").sortWithinPartitions("cluster", "hostname", "s")
+    kind = jobs.schema["id"].dataType.simpleString()
+
+    def met(crowd: bool) -> DataFrame:
+        return rows.mapInArrow(lambda batches: overlapping(batches, buffer, crowd), f"id {kind}, other {kind}")
+
+    if placed.where(many).isEmpty():
+        return met(False)
+    return met(False).unionByName(met(True).distinct())
 
 
 def samples_for_jobs(samples: DataFrame, jobs: DataFrame, hosts: DataFrame, bucket: int = BUCKET) -> DataFrame:
