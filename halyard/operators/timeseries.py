@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from halyard.functions.scalars import sanitize_stats
 from halyard.operators.config import config_keys, host_keys, place_of, with_config
 from halyard.operators.lists import node_list_page
+from halyard.operators.rollup import AVG, LONE, SUM, cell_stats, cells_at
 from halyard.operators.scan import Step, along, column
 
 #: Scopes from fine to coarse (fixed values).
@@ -356,12 +357,29 @@ def job_metrics(cells: DataFrame, resolution: int | None = None, resolutions: tu
     return _sanitized(cells.select(*JOB_SERIES, "cell", "value").withColumns(stats)).where(value.isNotNull())
 
 
-def job_stats_series(cells: DataFrame, least: int = 8) -> DataFrame:
-    """Least, mean, median and greatest value a cell of jobs with many series at a scope."""
-    keys = ("id", "metric", "scope")
-    rows = cells.select(*keys, "hostname", "scope_id", "cell", "value").repartition(*keys)
-    return rows.withColumn("series", _series_of(keys, ("hostname", "scope_id"))).where(F.col("series") >= least).groupBy(*keys, "cell").agg(
-        F.min("value").alias("min"), F.avg("value").alias("mean"), F.median("value").alias("median"), F.max("value").alias("max")
+def job_stats_series(job_samples: DataFrame, topology: DataFrame, config: DataFrame, metrics: list[str], scopes: tuple[str, ...], least: int = 8, native: str = "hwthread") -> DataFrame:
+    """Least, mean, median and greatest value a cell of jobs with many series at a scope.
+    ``job_samples`` carries id and cell; metrics without a configuration are left out.
+
+    Samples of a job and metric move once; both passes (``rollup.py``) go along them
+    where they then lie, sorted anew between, and no cell of a coarser scope moves."""
+    wanted = tuple(s for s in dict.fromkeys(result_scope(native, s) for s in scopes) if s)
+    place = [c for c in ("cluster", "subcluster") if c in job_samples.columns]
+    keys, at = config_keys(job_samples, config, "metric"), config_keys(job_samples, topology)
+    how = F.when(F.col("aggregation") == "avg", AVG).when(F.col("aggregation") != "sum", LONE).otherwise(SUM).cast("byte")
+    rows = job_samples.where(F.col("metric").isin(*metrics)).join(config.select(*keys, how.alias("how")), keys)
+    for scope in wanted:
+        if scope not in (native, "node"):
+            targets = topology.where(F.col(scope).isNotNull()).groupBy(*at, F.col(native).cast("long").alias("scope_id")).agg(F.collect_set(F.col(scope).cast("long")).alias(f"at_{scope}"))
+            rows = rows.join(targets, [*at, "scope_id"], "left")
+    order = ("id", "metric", "hostname", *place, "scope_id", "cell", "seq")
+    rows = rows.select(*order, F.col("value").cast("double").alias("value"), "how", *[c for c in rows.columns if c.startswith("at_")])
+    named = lambda c: f"{c} {rows.schema[c].dataType.simpleString()}"
+    cells = rows.repartition("id", "metric").sortWithinPartitions(*order).mapInArrow(
+        lambda batches: cells_at(batches, tuple(place), native, wanted), f"{named('id')}, metric string, scope int, {named('cell')}, value double, series int"
+    )
+    return cells.sortWithinPartitions("id", "metric", "scope", "cell", "value").mapInArrow(
+        lambda batches: cell_stats(batches, wanted, least), f"{named('id')}, metric string, scope string, {named('cell')}, min double, mean double, median double, max double"
     )
 
 

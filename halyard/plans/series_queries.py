@@ -34,8 +34,14 @@ def node_cells(spark, d):
     return T.scope_rollup(cells(spark, d), view(spark, d, "topology"), view(spark, d, "metric_config"), "hwthread", "node")
 
 
+def job_hosts(spark, d):
+    """The hosts of jobs; lines move once, as numbers, to where the jobs' rows go."""
+    lines = view(spark, d, "lineitem").select("l_orderkey", "l_suppkey").repartition("l_orderkey").distinct()
+    return lines.select(F.col("l_orderkey").alias("id"), F.concat(F.lit("n"), "l_suppkey").alias("hostname"))
+
+
 def job_samples(spark, d):
-    return J.samples_for_jobs(T.with_cells(view(spark, d, "samples"), STEP), rebased_jobs(spark, d), view(spark, d, "job_hosts"))
+    return J.samples_for_jobs(T.with_cells(view(spark, d, "samples"), STEP), rebased_jobs(spark, d), job_hosts(spark, d))
 
 
 KEYS = "cluster, hostname, scope, scope_id, metric"
@@ -140,7 +146,7 @@ query("t7_job_metrics_scopes", f"SELECT {ONE_SERIES}, cell, value, a AS avg, lo
     lambda spark, d: T.job_metrics(job_cells(spark, d, SUMMED, THREE)).drop("cluster")
 )
 query("t7_job_stats_series", """SELECT id, metric, scope, cell, min(value) AS min, avg(value) AS mean, median(value) AS median, max(value) AS max FROM job_scoped WHERE (id, metric, scope) IN (SELECT (id, metric, scope) FROM job_scoped GROUP BY id, metric, scope HAVING count(DISTINCT (hostname, scope_id)) >= 3) GROUP BY id, metric, scope, cell""", SCOPED)(
-    lambda spark, d: T.job_stats_series(job_cells(spark, d, SUMMED, THREE), least=3)
+    lambda spark, d: T.job_stats_series(job_samples(spark, d), view(spark, d, "topology"), view(spark, d, "metric_config"), SUMMED, THREE, least=3)
 )
 
 
