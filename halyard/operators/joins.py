@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from halyard.functions.scalars import expand_node_list
 from halyard.operators.config import host_keys, with_config
 from halyard.operators.filters import User, readable_tags
-from halyard.operators.overlap import ASKS, MANY, RUNS, TOLD, overlapping
+from halyard.operators.overlap import ASKS, MANY, RUNS, TOLD, inside, overlapping
 from halyard.scratch import scratch_path
 
-BUCKET = 86400
 #: A job of at most so many hosts names those before it on each of its rows.
 FEW_HOSTS = 64
 
@@ -37,10 +37,6 @@ def anti_tagged(jobs: DataFrame, job_tags: DataFrame, tags: DataFrame, mode: str
     return jobs.join(links.select(F.col("job_id").alias("id")), "id", "left_anti")
 
 
-def _buckets(start: Column, end: Column, width: int) -> Column:
-    return F.sequence(F.floor(start / width), F.greatest(F.floor(start / width), F.floor(end / width)))
-
-
 def concurrent_jobs(jobs: DataFrame, hosts: DataFrame, now: int, buffer: int = 200, min_duration: int = 600) -> DataFrame:
     """(id, other): jobs of one cluster that shared a host with a shared job.
 
@@ -80,17 +76,24 @@ def concurrent_jobs(jobs: DataFrame, hosts: DataFrame, now: int, buffer: int = 2
     return met(False).unionByName(met(True).distinct())
 
 
-def samples_for_jobs(samples: DataFrame, jobs: DataFrame, hosts: DataFrame, bucket: int = BUCKET) -> DataFrame:
+def samples_for_jobs(samples: DataFrame, jobs: DataFrame, hosts: DataFrame) -> DataFrame:
     """Samples of a job's hosts in [start, start + duration), with the job's id.
 
-    Equi join on (cluster, host) and time bucket, then the exact range. Jobs without
-    a cluster, as those of one cluster alone, meet hosts by name.
+    By (cluster, host); jobs without a cluster, as those of one cluster alone, meet hosts
+    by name. Jobs and samples of a host are dealt to one task, jobs first, each once; of the
+    samples, sorted by time, those of a job are a range (``overlap.py``).
     """
     spans = jobs.select("id", *[c for c in ("cluster",) if c in jobs.columns], "start_time", "duration").join(hosts, "id").where("duration > 0")
-    spans = spans.withColumn("bucket", F.explode(_buckets(F.col("start_time"), F.col("start_time") + F.col("duration") - 1, bucket)))
-    keyed = samples.withColumn("bucket", F.floor(F.col("ts") / bucket))
-    hit = (F.col("ts") >= F.col("start_time")) & (F.col("ts") < F.col("start_time") + F.col("duration"))
-    return keyed.join(spans, [*host_keys(keyed, spans), "bucket"]).where(hit).drop("bucket", "start_time", "duration")
+    at = host_keys(samples, spans)
+    more = [c for c in spans.columns if c not in (*at, *samples.columns, "start_time", "duration")]
+    own = [c for c in samples.columns if c not in at]
+    none = lambda frame, names: [F.lit(None).cast(frame.schema[c].dataType).alias(c) for c in names]
+    end = (F.col("start_time") + F.col("duration")).cast("long").alias("_end")
+    begun = spans.select(*at, F.col("start_time").cast("long").alias("_time"), end, *more, *none(samples, own))
+    taken = samples.select(*at, F.floor("ts").cast("long").alias("_time"), F.lit(None).cast("long").alias("_end"), *none(spans, more), *own)
+    rows = begun.unionByName(taken).dropna(subset=[*at, "_time"]).repartition(*at).sortWithinPartitions(*at, F.col("_end").isNull(), "_time")
+    fields = [*(samples.schema[c] for c in (*at, *own)), *(spans.schema[c] for c in more)]
+    return rows.mapInArrow(lambda batches: inside(batches, tuple(at), tuple(more), tuple(own)), StructType([StructField(f.name, f.dataType) for f in fields]))
 
 
 def nodes_not_in_db(configured: DataFrame, nodes: DataFrame, part: str = "") -> DataFrame:

@@ -1,5 +1,5 @@
-"""Pairs of jobs that overlap in time on a host: one pass along rows sorted by host and
-start, one batch and the jobs that still last in memory.
+"""Pairs of jobs that overlap in time on a host, and samples inside jobs: one pass along
+rows sorted by host and time, one batch and the jobs that still last in memory.
 
 Of a sorted table the partners of a row are ranges: finished jobs that start inside it,
 rows that start inside a finished job, running jobs that start before its end. So only
@@ -37,15 +37,27 @@ def _ranges(low: np.ndarray, high: np.ndarray) -> Iterator[tuple[np.ndarray, np.
         at = to
 
 
+def _hosts(rows: pa.RecordBatch, at: tuple[str, ...]) -> np.ndarray:
+    """Numbers of the hosts of rows sorted by them."""
+    new = np.zeros(rows.num_rows, bool)
+    for name in at:
+        names = column(rows, name)
+        new[1:] |= pc.not_equal(names[1:], names[:-1]).to_numpy(zero_copy_only=False)
+    return np.cumsum(new)
+
+
+def _with(held: pa.RecordBatch | None, batch: pa.RecordBatch) -> pa.RecordBatch:
+    if held is None or not held.num_rows:
+        return batch
+    return pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+
+
 class _Rows:
     """Rows sorted by host and start, as arrays; ``group`` numbers the hosts."""
 
     def __init__(self, rows: pa.RecordBatch, buffer: int):
         there = lambda name: column(rows, name)
-        new = np.zeros(rows.num_rows, bool)
-        for name in ("cluster", "hostname"):
-            new[1:] |= pc.not_equal(there(name)[1:], there(name)[:-1]).to_numpy(zero_copy_only=False)
-        self.group, self.ids = np.cumsum(new), there("id")
+        self.group, self.ids = _hosts(rows, ("cluster", "hostname")), there("id")
         self.same = self.ids.dictionary_encode().indices.to_numpy()
         self.start, self.role = there("s").to_numpy(), there("role").to_numpy()
         self.until = there("e").to_numpy() - buffer  # partners start before
@@ -109,8 +121,7 @@ def overlapping(batches: Iterator[pa.RecordBatch], buffer: int, many: bool) -> I
         if not batch.num_rows:
             continue
         old = held.num_rows if held is not None else 0
-        table = pa.Table.from_batches([held, batch] if old else [batch]).combine_chunks()
-        rows = table.to_batches()[0]
+        rows = _with(held, batch)
         r = _Rows(rows, buffer)
         crowd = r.role & MANY > 0
         asks, told, fresh = r.role & ASKS > 0, r.role & TOLD > 0, np.arange(rows.num_rows) >= old
@@ -124,3 +135,27 @@ def overlapping(batches: Iterator[pa.RecordBatch], buffer: int, many: bool) -> I
                     if len(i):
                         yield pa.RecordBatch.from_arrays([r.ids.take(pa.array(i)), r.ids.take(pa.array(j))], names=["id", "other"])
         held = rows.filter(pa.array(r.lasting()))
+
+
+def inside(batches: Iterator[pa.RecordBatch], at: tuple[str, ...], of_job: tuple[str, ...], of_sample: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """Samples and the jobs that they lie in, of rows sorted by host (``at``), jobs first, and
+    ``_time``: a job's start, a sample's time. ``_end``: a job's end, null for samples."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = _with(held, batch)
+        host, time, end = _hosts(rows, at), column(rows, "_time").to_numpy(), column(rows, "_end")
+        job = end.is_valid().to_numpy(zero_copy_only=False)
+        end = end.fill_null(0).to_numpy()
+        jobs, samples = np.flatnonzero(job), np.flatnonzero(~job)
+        times = np.unique(time[samples])
+        place = host * (len(times) + 1)
+        spot = place[samples] + np.searchsorted(times, time[samples])
+        low, high = (np.searchsorted(spot, place[jobs] + np.searchsorted(times, t[jobs])) for t in (time, end))
+        for row, position in _ranges(low, high):
+            i, j = pa.array(jobs[row]), pa.array(samples[position])
+            columns = [*(column(rows, c).take(j) for c in (*at, *of_sample)), *(column(rows, c).take(i) for c in of_job)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*at, *of_sample, *of_job])
+        open_ = job & (host == host[-1])
+        held = rows.filter(pa.array(open_ if job[-1] else open_ & (end > time[-1])))

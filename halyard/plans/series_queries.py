@@ -40,8 +40,10 @@ def job_hosts(spark, d):
     return lines.select(F.col("l_orderkey").alias("id"), F.concat(F.lit("n"), "l_suppkey").alias("hostname"))
 
 
-def job_samples(spark, d):
-    return J.samples_for_jobs(T.with_cells(view(spark, d, "samples"), STEP), rebased_jobs(spark, d), job_hosts(spark, d))
+def job_samples(spark, d, metrics=None):
+    samples = view(spark, d, "samples")
+    samples = samples if metrics is None else samples.where(F.col("metric").isin(*metrics))
+    return J.samples_for_jobs(T.with_cells(samples, STEP), rebased_jobs(spark, d), job_hosts(spark, d))
 
 
 KEYS = "cluster, hostname, scope, scope_id, metric"
@@ -126,7 +128,7 @@ def t6(spark, d):
 
 
 def job_cells(spark, d, metrics, scopes=("node",)):
-    return T.job_cells(job_samples(spark, d), view(spark, d, "topology"), view(spark, d, "metric_config"), STEP, metrics, scopes)
+    return T.job_cells(job_samples(spark, d, metrics), view(spark, d, "topology"), view(spark, d, "metric_config"), STEP, metrics, scopes)
 
 
 query("t7_job_metrics", "SELECT c.id, c.hostname, c.metric, c.cell, c.value, s.a AS avg, s.lo AS min, s.hi AS max, s.n AS samples FROM job_node_cells c JOIN (SELECT id, hostname, metric, avg(value) AS a, min(value) AS lo, max(value) AS hi, count(value) AS n FROM job_node_cells GROUP BY ALL) s USING (id, hostname, metric) WHERE value IS NOT NULL AND metric IN ('flops_any', 'mem_used')", EXTRA)(
@@ -146,7 +148,7 @@ query("t7_job_metrics_scopes", f"SELECT {ONE_SERIES}, cell, value, a AS avg, lo
     lambda spark, d: T.job_metrics(job_cells(spark, d, SUMMED, THREE)).drop("cluster")
 )
 query("t7_job_stats_series", """SELECT id, metric, scope, cell, min(value) AS min, avg(value) AS mean, median(value) AS median, max(value) AS max FROM job_scoped WHERE (id, metric, scope) IN (SELECT (id, metric, scope) FROM job_scoped GROUP BY id, metric, scope HAVING count(DISTINCT (hostname, scope_id)) >= 3) GROUP BY id, metric, scope, cell""", SCOPED)(
-    lambda spark, d: T.job_stats_series(job_samples(spark, d), view(spark, d, "topology"), view(spark, d, "metric_config"), SUMMED, THREE, least=3)
+    lambda spark, d: T.job_stats_series(job_samples(spark, d, SUMMED), view(spark, d, "topology"), view(spark, d, "metric_config"), SUMMED, THREE, least=3)
 )
 
 
