@@ -78,7 +78,7 @@ def rebased_jobs(spark, d):
 
 
 query("j6_samples_for_jobs", "SELECT j.id, s.seq, s.metric, s.value FROM rebased j JOIN job_hosts h USING (id) JOIN samples s ON s.hostname = h.hostname AND s.ts >= j.start_time AND s.ts < j.start_time + j.duration", REBASED)(
-    lambda spark, d: J.samples_for_jobs(view(spark, d, "samples"), rebased_jobs(spark, d), view(spark, d, "job_hosts")).select("id", "seq", "metric", "value")
+    lambda spark, d: J.samples_for_jobs(view(spark, d, "samples").select("hostname", "ts", "seq", "metric", "value"), rebased_jobs(spark, d), view(spark, d, "job_hosts")).select("id", "seq", "metric", "value")
 )
 query("j7_user_names", "SELECT s.name, s.total_jobs, coalesce(u.name, '') AS display_name FROM (SELECT hpc_user AS name, count(*) AS total_jobs FROM jobs GROUP BY hpc_user) s LEFT JOIN users u ON u.username = s.name")(
     lambda spark, d: A.with_user_names(A.jobs_stats_grouped(view(spark, d, "jobs"), "hpc_user", NOW, measures=("total_jobs",)), view(spark, d, "users"))
