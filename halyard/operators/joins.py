@@ -10,6 +10,7 @@ from halyard.functions.scalars import expand_node_list
 from halyard.operators.config import host_keys, with_config
 from halyard.operators.filters import User, readable_tags
 from halyard.operators.overlap import ASKS, MANY, RUNS, TOLD, inside, overlapping
+from halyard.operators.packed import dealt
 from halyard.scratch import scratch_path
 
 #: A job of at most so many hosts names those before it on each of its rows.
@@ -65,7 +66,8 @@ def concurrent_jobs(jobs: DataFrame, hosts: DataFrame, now: int, buffer: int = 2
     many = F.size("all") > FEW_HOSTS
     rows = placed.select("cluster", "id", "s", "e", (F.col("role") + many.cast("int") * MANY).cast("byte").alias("role"), "all", F.posexplode("all").alias("at", "hostname"))
     before = F.when(F.col("role").bitwiseAND(MANY) == 0, F.slice("all", F.lit(1), F.col("at")))
-    rows = rows.select("cluster", "hostname", "id", "s", "e", "role", before.alias("before")).repartition("cluster", "hostname").sortWithinPartitions("cluster", "hostname", "s")
+    rows = rows.select("cluster", "hostname", "id", "s", "e", "role", before.alias("before"))
+    rows = dealt(rows, "cluster", "hostname").sortWithinPartitions("cluster", "hostname", "s")
     kind = jobs.schema["id"].dataType.simpleString()
 
     def met(crowd: bool) -> DataFrame:
@@ -91,7 +93,7 @@ def samples_for_jobs(samples: DataFrame, jobs: DataFrame, hosts: DataFrame) -> D
     end = (F.col("start_time") + F.col("duration")).cast("long").alias("_end")
     begun = spans.select(*at, F.col("start_time").cast("long").alias("_time"), end, *more, *none(samples, own))
     taken = samples.select(*at, F.floor("ts").cast("long").alias("_time"), F.lit(None).cast("long").alias("_end"), *none(spans, more), *own)
-    rows = begun.unionByName(taken).dropna(subset=[*at, "_time"]).repartition(*at).sortWithinPartitions(*at, F.col("_end").isNull(), "_time")
+    rows = dealt(begun.unionByName(taken).dropna(subset=[*at, "_time"]), *at).sortWithinPartitions(*at, F.col("_end").isNull(), "_time")
     fields = [*(samples.schema[c] for c in (*at, *own)), *(spans.schema[c] for c in more)]
     return rows.mapInArrow(lambda batches: inside(batches, tuple(at), tuple(more), tuple(own)), StructType([StructField(f.name, f.dataType) for f in fields]))
 

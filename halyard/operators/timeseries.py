@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from halyard.functions.scalars import sanitize_stats
 from halyard.operators.config import config_keys, host_keys, place_of, with_config
 from halyard.operators.lists import node_list_page
+from halyard.operators.packed import dealt
 from halyard.operators.rollup import AVG, LONE, SUM, cell_stats, cells_at
 from halyard.operators.scan import Step, along, column
 
@@ -375,8 +376,8 @@ def job_stats_series(job_samples: DataFrame, topology: DataFrame, config: DataFr
     order = ("id", "metric", "hostname", *place, "scope_id", "cell", "seq")
     rows = rows.select(*order, F.col("value").cast("double").alias("value"), "how", *[c for c in rows.columns if c.startswith("at_")])
     named = lambda c: f"{c} {rows.schema[c].dataType.simpleString()}"
-    cells = rows.repartition("id", "metric").sortWithinPartitions(*order).mapInArrow(
-        lambda batches: cells_at(batches, tuple(place), native, wanted), f"{named('id')}, metric string, scope int, {named('cell')}, value double, series int"
+    cells = dealt(rows, "id", "metric").sortWithinPartitions(*order).mapInArrow(
+        lambda batches: cells_at(batches, tuple(place), native, wanted, least), f"{named('id')}, metric string, scope int, {named('cell')}, value double, series int, mean double, median double, max double"
     )
     return cells.sortWithinPartitions("id", "metric", "scope", "cell", "value").mapInArrow(
         lambda batches: cell_stats(batches, wanted, least), f"{named('id')}, metric string, scope string, {named('cell')}, min double, mean double, median double, max double"
